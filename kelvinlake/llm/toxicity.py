@@ -1,11 +1,11 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
-Features are words and word beginnings (4 to 6 letters), present or not. Over all labelled documents Spark counts how
-many toxic and clean ones hold each feature; of those that are over-represented in toxic ones (log-odds over 1, MIN_Z standard errors) the max_terms with the most
+The model is fitted on at most fit_rows labelled documents, taken in the order of a hash of doc_id (a documented bound,
+which also makes their labels small enough to broadcast, so that no text is shuffled). Features are words and word
+beginnings (4 to 6 letters), present or not. Spark counts how many toxic and clean ones of them hold each feature; of those that are over-represented in toxic ones (log-odds over 1, MIN_Z standard errors) the max_terms with the most
 weight make up the model's vocabulary. The table's label is binary, so severity grades come from the dose: clean rows are grade 0, toxic rows
 1, 2 or 3 by how many distinct words of theirs hold a term with log-odds of at least 2 (up to 2, 3 to 4, more). One weight vector is
-shared by the ordered thresholds: P(grade > k) = sigmoid(w.x - theta_k). It is fitted on at most fit_rows labelled
-rows, taken in the order of a hash of doc_id (a documented bound); everything else covers all rows. The output is
+shared by the ordered thresholds: P(grade > k) = sigmoid(w.x - theta_k). Every document is graded; the output is
 the expected grade and P(grade > 0); a document is toxic from P >= 0.5.
 
 Defined cases: a null or empty text has no features; without labels, or with labels of one class only, no document
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelvinlake.llm.common import ship, table
+from kelvinlake.llm.common import cut, ship, table
 
 MAX_TERMS, FIT_ROWS, MIN_DOCS, MIN_Z = 2000, 20_000, 4, 2.8
 LETTERS = regex.compile(r"\p{L}+")
@@ -91,9 +91,9 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_terms: int, rounds:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_terms: int = MAX_TERMS, fit_rows: int = FIT_ROWS) -> Model:
     known = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    labelled = docs.select("doc_id", "text").join(known, "doc_id")
-    n = known.join(docs.select("doc_id"), "doc_id").groupBy("toxic").count().collect()
-    n_of = {r["toxic"]: r["count"] for r in n}
+    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    labelled = cut(docs.select("doc_id", "text").join(F.broadcast(cut(picked, "picked")), "doc_id").select("toxic", "text"), "labelled")
+    n_of = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     model = Model({}, set())
     if len(n_of) < 2:
         return model
@@ -110,8 +110,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_terms: int = MAX_TERMS,
             made = [model.row(t) for t in pdf["text"]]
             yield pd.DataFrame({"toxic": pdf["toxic"], "terms": [r for r, _ in made], "dose": [d for _, d in made]})
 
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    got = docs.select("doc_id", "text").join(picked, "doc_id").select("toxic", "text").mapInPandas(run, "toxic int, terms array<int>, dose int").limit(2 * fit_rows).toPandas()
+    got = labelled.mapInPandas(run, "toxic int, terms array<int>, dose int").toPandas()
     grade = got["toxic"].to_numpy() * (1 + (got["dose"].to_numpy() >= 3) + (got["dose"].to_numpy() >= 5))
     if grade.max(initial=0) > 0:
         model.weights, model.thresholds = fit_ordinal([list(r) for r in got["terms"]], grade.astype(int), len(top))
