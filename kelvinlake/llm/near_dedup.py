@@ -7,8 +7,8 @@ documents with equal minwise values there meet in a child. Children of LEAF docu
 exhaustively, larger ones branch again, and TREES independent trees bring the chance to miss a pair at 0.8 below one in
 a million. What is linked is confirmed on full sets.
 
-Large groups of near copies never become pairs: every node first compares its members with its smallest document
-only, and later comparisons are made only between different components. Nodes that are still large after DEPTH
+Large groups of near copies do not become pairs: every node first compares its members with one pivot only, the one
+with the most support, then with two more at random, and later comparisons are made only between different components. Nodes that are still large after DEPTH
 branchings are compared in full, so no link depends on a cap. Before sets are built, documents that share fewer than
 SHARED nodes with anyone are put aside (a pair at 0.8 shares about 16 of 20).
 
@@ -163,12 +163,16 @@ class _Join:
         self.links: DataFrame | None = None
 
     def suspects(self) -> DataFrame:
-        """(key, rep) at depth 1 for the documents that share enough nodes with others."""
+        """(key, rep, support) at depth 1 for the documents that share enough nodes with others.
+
+        support sums the sizes of a document's nodes. An original holds the values most of its copies hold, so it has
+        the most support among them.
+        """
         rows = cut(self.reps.select("rep", F.explode(root_children("sig")).alias("key")), "nodes")
-        met = rows.groupBy("key").count().filter("count > 1").select("key")
+        met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         shared = rows.join(met, "key")
-        enough = shared.groupBy("rep").count().filter(F.col("count") >= SHARED).select("rep")
-        return cut(shared.join(enough, "rep", "left_semi").select("key", "rep"), "suspects")
+        enough = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("times"), F.sum("n").alias("support")).filter(F.col("times") >= SHARED)
+        return cut(shared.select("key", "rep").join(enough.select("rep", "support"), "rep"), "suspects")
 
     def build_sets(self, nodes: DataFrame) -> None:
         k = self.k
@@ -190,13 +194,13 @@ class _Join:
         """nodes with the component of each document."""
         if components is None:
             return nodes.withColumn("comp", F.col("rep"))
-        return nodes.join(components, nodes["rep"] == components["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+        return nodes.join(components, nodes["rep"] == components["node"], "left").select("key", "rep", "support", F.coalesce("component", "rep").alias("comp"))
 
     def confirm(self, pairs: DataFrame) -> None:
         """Add those of pairs(a, b) that are links."""
         p, reps = self.percent, self.reps
         side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-        near = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+        near = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
         near = near.filter(100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
         near = near.filter(equal_values("sig_a", "sig_b") >= int(SEEN * WIDTH)).select("a", "b", "n_a", "n_b")
         near = cut(near, "near")
@@ -207,30 +211,40 @@ class _Join:
         links = cut(same.filter(100 * F.col("same") >= p * (F.col("n_a") + F.col("n_b") - F.col("same"))).select("a", "b"), "links")
         self.links = links if self.links is None else self.links.unionByName(links)
 
-    def run(self) -> DataFrame | None:
+    @staticmethod
+    def mixed(at: DataFrame, pivot: Column) -> DataFrame:
+        """Nodes that hold several components: (key, n, pivot struct of rep and comp), the pivot with the largest order."""
+        return at.groupBy("key").agg(
+            F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct(pivot.alias("order"), (-F.col("rep")).alias("tie"), "rep", "comp")).alias("pivot")
+        ).filter("lo < hi").select("key", "n", F.col("pivot.rep").alias("pivot"), F.col("pivot.comp").alias("pivot_comp"))
+
+    def stars(self, at: DataFrame, pivot: Column) -> DataFrame:
+        """Pairs of each mixed node's pivot with the members of other components."""
+        return at.join(self.mixed(at, pivot), "key").filter("comp <> pivot_comp").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+
+    def run(self) -> DataFrame:
         nodes = self.suspects()
         self.build_sets(nodes)
-        low = nodes.groupBy("key").agg(F.min("rep").alias("a"))
-        self.confirm(nodes.join(low, "key").filter("a <> rep").select("a", F.col("rep").alias("b")))
-        components = self.components()
+        components = None
+        for pivot in (F.col("support"), F.xxhash64("key", "rep"), F.xxhash64("rep", "key")):
+            self.confirm(self.stars(self.placed(nodes, components), pivot))
+            components = self.components()
         pairs, depth = None, 1
         while True:
             at = self.placed(nodes, components)
-            mixed = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("rep", "comp")).alias("low")).filter("lo < hi")
-            members = cut(at.join(mixed.select("key", "n", "low"), "key"), "members")
+            members = cut(at.join(self.mixed(at, F.col("support")), "key"), "members")
             small, large = members.filter(F.col("n") <= LEAF), members.filter(F.col("n") > LEAF)
-            found = self.exhaustive(small).unionByName(large.filter("comp <> low.comp").select(F.col("low.rep").alias("a"), F.col("rep").alias("b")))
+            found = self.exhaustive(small).unionByName(large.filter("comp <> pivot_comp").select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
             pairs = found if pairs is None else pairs.unionByName(found)
             if depth == DEPTH or not large.limit(1).count():
                 break
             sig = self.reps.select("rep", "sig")
-            below = large.join(sig, "rep").select("rep", F.explode(node_children("key", "sig")).alias("key")).select("key", "rep")
-            nodes, depth = cut(below, "nodes"), depth + 1
+            below = large.join(sig, "rep").select("rep", "support", F.explode(node_children("key", "sig")).alias("key"))
+            nodes, depth = cut(below.select("key", "rep", "support"), "nodes"), depth + 1
         self.confirm(pairs)
         if depth == DEPTH and large.limit(1).count():
-            rest = self.placed(large.select("key", "rep"), self.components())
-            mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-            self.confirm(self.exhaustive(rest.join(mixed, "key")))
+            rest = self.placed(large.select("key", "rep", "support"), self.components())
+            self.confirm(self.exhaustive(rest.join(self.mixed(rest, F.col("support")).select("key"), "key")))
         return self.components()
 
     @staticmethod
