@@ -225,26 +225,27 @@ class _Join:
     def run(self) -> DataFrame:
         nodes = self.suspects()
         self.build_sets(nodes)
-        components = None
-        for pivot in (F.col("support"), F.xxhash64("key", "rep"), F.xxhash64("rep", "key")):
-            self.confirm(self.stars(self.placed(nodes, components), pivot))
-            components = self.components()
+        self.confirm(self.stars(self.placed(nodes, None), F.col("support")))
+        components = self.components()
         pairs, depth = None, 1
         while True:
             at = self.placed(nodes, components)
-            members = cut(at.join(self.mixed(at, F.col("support")), "key"), "members")
-            small, large = members.filter(F.col("n") <= LEAF), members.filter(F.col("n") > LEAF)
-            found = self.exhaustive(small).unionByName(large.filter("comp <> pivot_comp").select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+            members = cut(at.join(self.mixed(at, F.col("support")).select("key", "n"), "key"), "members")
+            small, large = members.filter(F.col("n") <= LEAF), members.filter(F.col("n") > LEAF).select("key", "rep", "support")
+            found = self.exhaustive(small)
             pairs = found if pairs is None else pairs.unionByName(found)
-            if depth == DEPTH or not large.limit(1).count():
+            rest = bool(large.limit(1).count())
+            if depth == DEPTH or not rest:
                 break
             sig = self.reps.select("rep", "sig")
             below = large.join(sig, "rep").select("rep", "support", F.explode(node_children("key", "sig")).alias("key"))
             nodes, depth = cut(below.select("key", "rep", "support"), "nodes"), depth + 1
         self.confirm(pairs)
-        if depth == DEPTH and large.limit(1).count():
-            rest = self.placed(large.select("key", "rep", "support"), self.components())
-            self.confirm(self.exhaustive(rest.join(self.mixed(rest, F.col("support")).select("key"), "key")))
+        if rest:
+            for pivot in (F.col("support"), F.xxhash64("key", "rep"), F.xxhash64("rep", "key")):
+                self.confirm(self.stars(self.placed(large, self.components()), pivot))
+            at = self.placed(large, self.components())
+            self.confirm(self.exhaustive(at.join(self.mixed(at, F.col("support")).select("key"), "key")))
         return self.components()
 
     @staticmethod
