@@ -245,14 +245,36 @@ class _Join:
             for pivot in (F.col("support"), F.xxhash64("key", "rep"), F.xxhash64("rep", "key")):
                 self.confirm(self.stars(self.placed(large, self.components()), pivot))
             at = self.placed(large, self.components())
-            self.confirm(self.exhaustive(at.join(self.mixed(at, F.col("support")).select("key"), "key")))
+            at = cut(at.join(self.mixed(at, F.col("support")).select("key"), "key"), "rest")
+            self.confirm(self.exhaustive(at.join(self.reach(at), "rep"), bounded=self.percent))
         return self.components()
 
+    def reach(self, at: DataFrame) -> DataFrame:
+        """(rep, n, common): the set's size and how many of its shingles some other document of `at` holds too."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                each = [unpacked(x).astype(np.int64) for x in pdf["shingles"]]
+                yield pd.DataFrame({"rep": np.repeat(pdf["rep"].to_numpy(), [len(x) for x in each]), "shingle": np.concatenate(each)})
+
+        held = self.sets.join(at.select("rep").distinct(), "rep", "left_semi").mapInPandas(run, "rep long, shingle long")
+        alone = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).filter("n = 1")
+        own = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+        return self.reps.select("rep", "n").join(own, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+
     @staticmethod
-    def exhaustive(members: DataFrame) -> DataFrame:
-        """Pairs (a, b) of members of a node that are in different components."""
-        x, y = (members.select("key", F.col("rep").alias(r), F.col("comp").alias(c)) for r, c in (("a", "comp_a"), ("b", "comp_b")))
-        return x.join(y, "key").filter("a < b and comp_a <> comp_b").select("a", "b")
+    def exhaustive(members: DataFrame, bounded: int = 0) -> DataFrame:
+        """Pairs (a, b) of members of a node that are in different components.
+
+        bounded: members carry (n, common), and pairs whose intersection, at most the smaller `common`, cannot reach so
+        many percent of the union are left out.
+        """
+        also = ["n", "common"] if bounded else []
+        x, y = (members.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "comp", *also))) for side in ("a", "b"))
+        on = (x["key"] == y["key"]) & (F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b"))
+        if bounded:
+            on &= (100 + bounded) * F.least("common_a", "common_b") >= bounded * (F.col("n_a") + F.col("n_b"))
+        return x.join(y, on).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
