@@ -76,6 +76,16 @@ class Bpe:
         return np.where(self.codes[at] == code, self.order[at], -1)
 
     def encode_distinct(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """The ids of each piece; a special token's string is a piece of its own and has its one id."""
+        if not pieces:
+            return []
+        out = self._merged(pieces)
+        for i, p in enumerate(pieces):
+            if p in self.special:
+                out[i] = (self.special[p],)
+        return out
+
+    def _merged(self, pieces: list[str]) -> list[tuple[int, ...]]:
         raw = [p.encode("utf-8", "replace") for p in pieces]
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         ids = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
@@ -137,8 +147,6 @@ class Bpe:
         if len(self.known) > KEEP_WORDS:
             self.known.clear()
         known = self.known
-        for s, i in self.special.items():
-            known[s] = (i,)
         fresh = list(set().union(*cut).difference(known)) if cut else []
         if fresh:
             known.update(zip(fresh, self.encode_distinct(fresh)))
@@ -184,14 +192,21 @@ def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(path)
+        listed: dict[str, str] = {}
+        back: dict[str, bytes] = {}
         for pdf in batches:
-            coded = bpe.encode_batch(pdf["text"].fillna("").tolist())
-            shown = {ids: (",".join(map(str, ids)), b"".join([bpe.bytes[i] for i in ids])) for ws in coded for ids in ws}
+            cut = [bpe.pieces(x) for x in pdf["text"].fillna("")]
+            if len(listed) > KEEP_WORDS:
+                listed.clear(), back.clear()
+            fresh = list(set().union(*cut).difference(listed))
+            for w, ids in zip(fresh, bpe.encode_distinct(fresh)):
+                listed[w] = ",".join(map(str, ids))
+                back[w] = b"".join([bpe.bytes[i] for i in ids])
             rows = []
-            for ws in coded:
-                both = [shown[ids] for ids in ws]
-                text = b"".join([b for _, b in both]).decode("utf-8", "replace")
-                rows.append((sum(map(len, ws)), hashlib.sha256(",".join([a for a, _ in both]).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+            for ws in cut:
+                shown = ",".join([listed[w] for w in ws])
+                text = b"".join([back[w] for w in ws]).decode("utf-8", "replace")
+                rows.append((shown.count(",") + bool(ws), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             yield out.assign(doc_id=pdf["doc_id"].values)[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
 
