@@ -13,6 +13,8 @@ from kelvinlake.functions import scalar as S
 
 MEASURES = ("energy", "load", "flow")
 UNIT = Window.partitionBy("equipment_id").orderBy("ts", "row_ord")
+#: The same series backwards: what follows a row is what precedes it here, in one pass.
+BACK = Window.partitionBy("equipment_id").orderBy(F.desc("ts"), F.desc("row_ord"))
 WHOLE = Window.partitionBy("equipment_id")
 
 
@@ -51,10 +53,10 @@ def nominal_minutes(t: DataFrame) -> DataFrame:
 def impute(t: DataFrame) -> DataFrame:
     """Interpolates over spans of at most four nominal intervals, else carries forward, else back."""
     out = t.join(F.broadcast(nominal_minutes(t)), F.lit(True))  # one row
-    before, after = UNIT.rowsBetween(Window.unboundedPreceding, -1), UNIT.rowsBetween(1, Window.unboundedFollowing)
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (UNIT, BACK))
     for c in MEASURES:
         have = F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("ts_ms").alias("at")))
-        out = out.withColumn(f"p_{c}", F.last(have, True).over(before)).withColumn(f"n_{c}", F.first(have, True).over(after))
+        out = out.withColumn(f"p_{c}", F.last(have, True).over(before)).withColumn(f"n_{c}", F.last(have, True).over(after))
     for c in MEASURES:
         p, n = F.col(f"p_{c}"), F.col(f"n_{c}")
         near = p.isNotNull() & n.isNotNull() & (n["at"] - p["at"] <= 4 * F.col("nominal") * 60000)
@@ -232,8 +234,8 @@ def nearest(t: DataFrame, asked: DataFrame) -> DataFrame:
     """For each (equipment_id, at_ms) asked, the row nearest in time; of two as near the later."""
     marks = asked.select("equipment_id", F.col("at_ms").alias("ts_ms"), F.lit(True).alias("asked"))
     both = t.select("equipment_id", "ts_ms", F.lit(False).alias("asked"), F.struct("ts_ms", "row_ord").alias("hit")).unionByName(marks.withColumn("hit", F.lit(None).cast("struct<ts_ms:bigint,row_ord:bigint>")))
-    w = Window.partitionBy("equipment_id").orderBy("ts_ms", "asked")
-    seen = both.withColumn("before", F.last("hit", True).over(w)).withColumn("after", F.first("hit", True).over(w.rowsBetween(0, Window.unboundedFollowing))).filter("asked")
+    w, back = Window.partitionBy("equipment_id").orderBy("ts_ms", "asked"), Window.partitionBy("equipment_id").orderBy(F.desc("ts_ms"), F.desc("asked"))
+    seen = both.withColumn("before", F.last("hit", True).over(w)).withColumn("after", F.last("hit", True).over(back)).filter("asked")
     later = F.col("before").isNull() | (F.col("after.ts_ms") - F.col("ts_ms") <= F.col("ts_ms") - F.col("before.ts_ms"))
     return seen.select("equipment_id", F.col("ts_ms").alias("at_ms"), F.when(F.col("after").isNotNull() & later, F.col("after")).otherwise(F.col("before")).alias("hit")).select("equipment_id", "at_ms", F.col("hit.row_ord").alias("row_ord"))
 

@@ -32,7 +32,7 @@ def run(t: DataFrame, model: str = "linear", mode: str = "quantile") -> dict[str
     model: `linear` (DataFrame functions only) or `learned` (isolation forest and network in grouped batches).
     """
     enough, few = split_by_data(t)
-    z = series.standardise(series.impute(enough)).filter("z_energy is not null")
+    z = series.standardise(series.impute(enough).persist()).filter("z_energy is not null")
     r = series.linear_residual(z)
     if model == "learned":
         learned = models.score_units(model_features(z))
