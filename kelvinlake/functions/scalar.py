@@ -21,9 +21,9 @@ def clamp(c: Column, lo: float, hi: float) -> Column:
 
 
 def bin8(v: Column, lo: Column, hi: Column) -> Column:
-    """One of eight equal-width bins; a range of width 0 counts as width 1."""
+    """One of eight equal-width bins; a range of width 0 counts as width 1, and a value within 1e-9 of an edge lies above it."""
     width = F.when(hi == lo, F.lit(1.0)).otherwise(hi - lo)
-    return clamp(F.floor((v - lo) / width * 8), 0, 7).cast("int")
+    return clamp(F.floor((v - lo) / width * 8 + 1e-9), 0, 7).cast("int")
 
 
 def residual_anomaly(z: Column) -> Column:

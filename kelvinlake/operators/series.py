@@ -6,26 +6,29 @@ follow sources.contract.telemetry(): equipment_id, ts, row_ord, ts_ms, energy, l
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kelvinlake.functions import scalar as S
 
 MEASURES = ("energy", "load", "flow")
-UNIT = Window.partitionBy("equipment_id").orderBy("ts", "row_ord")
-#: The same series backwards: what follows a row is what precedes it here, in one pass.
-BACK = Window.partitionBy("equipment_id").orderBy(F.desc("ts"), F.desc("row_ord"))
-WHOLE = Window.partitionBy("equipment_id")
 
 
-def upper_median(values: Column) -> Column:
-    """The element at floor(n / 2) of the sorted values."""
-    s = F.array_sort(F.collect_list(values))
-    return F.try_element_at(s, F.floor(F.size(s) / 2).cast("int") + 1)
+def by_time() -> WindowSpec:
+    return Window.partitionBy("equipment_id").orderBy("ts", "row_ord")
+
+
+def backwards() -> WindowSpec:
+    """The same series backwards: what follows a row is what precedes it here, in one pass."""
+    return Window.partitionBy("equipment_id").orderBy(F.desc("ts"), F.desc("row_ord"))
+
+
+def by_unit() -> WindowSpec:
+    return Window.partitionBy("equipment_id")
 
 
 def intervals(t: DataFrame) -> DataFrame:
-    return t.withColumn("gap", F.col("ts_ms") - F.lag("ts_ms").over(UNIT))
+    return t.withColumn("gap", F.col("ts_ms") - F.lag("ts_ms").over(by_time()))
 
 
 def interval_median(t: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,7 +56,7 @@ def nominal_minutes(t: DataFrame) -> DataFrame:
 def impute(t: DataFrame) -> DataFrame:
     """Interpolates over spans of at most four nominal intervals, else carries forward, else back."""
     out = t.join(F.broadcast(nominal_minutes(t)), F.lit(True))  # one row
-    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (UNIT, BACK))
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (by_time(), backwards()))
     for c in MEASURES:
         have = F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("ts_ms").alias("at")))
         out = out.withColumn(f"p_{c}", F.last(have, True).over(before)).withColumn(f"n_{c}", F.last(have, True).over(after))
@@ -82,28 +85,28 @@ def standardise(t: DataFrame) -> DataFrame:
 
 
 def lags(z: DataFrame) -> DataFrame:
-    return z.withColumns({f"lag{n}": F.coalesce(F.lag("z_energy", n).over(UNIT), F.lit(0.0)) for n in (1, 48)})
+    return z.withColumns({f"lag{n}": F.coalesce(F.lag("z_energy", n).over(by_time()), F.lit(0.0)) for n in (1, 48)})
 
 
 def rolling(t: DataFrame, n: int = 48) -> DataFrame:
     """Mean and population deviation of the last n rows, the current one included; before row n the own value and 0."""
-    w, rn = UNIT.rowsBetween(1 - n, 0), F.row_number().over(UNIT)
+    w, rn = by_time().rowsBetween(1 - n, 0), F.row_number().over(by_time())
     return t.withColumns({"roll_mean": F.when(rn >= n, F.avg("energy").over(w)).otherwise(F.col("energy")), "roll_std": F.when(rn >= n, F.stddev_pop("energy").over(w)).otherwise(0.0)})
 
 
 def linear_residual(z: DataFrame) -> DataFrame:
     """residual of z_energy on z_load, less the hour's and the prediction bin's median, over the robust scale."""
     fit = z.filter("z_energy is not null and z_load is not null").groupBy("equipment_id").agg(F.regr_slope("z_energy", "z_load").alias("a"), F.regr_intercept("z_energy", "z_load").alias("b"))
-    y = z.join(fit, "equipment_id").withColumn("rn", F.row_number().over(UNIT)).withColumn("pred", F.col("a") * F.col("z_load") + F.col("b"))
+    y = z.join(fit, "equipment_id").withColumn("rn", F.row_number().over(by_time())).withColumn("pred", F.col("a") * F.col("z_load") + F.col("b"))
     y = y.withColumn("hour_bucket", F.floor(F.pmod("ts_ms", F.lit(S.DAY_MS)) / 3600000).cast("int")).withColumn("trained", F.col("rn") > S.WARMUP)
     own = F.when(F.col("trained"), F.col("z_energy") - F.col("pred"))
     y = y.withColumn("r0", F.col("z_energy") - F.col("pred"))
     y = y.withColumn("hour_med", F.coalesce(F.percentile(own, F.lit(0.5)).over(Window.partitionBy("equipment_id", "hour_bucket")), F.lit(0.0)))
-    lo, hi = (f(F.when(F.col("trained"), F.col("pred"))).over(WHOLE) for f in (F.min, F.max))
+    lo, hi = (f(F.when(F.col("trained"), F.col("pred"))).over(by_unit()) for f in (F.min, F.max))
     y = y.withColumn("bin", S.bin8(F.col("pred"), lo, hi)).withColumn("r1", F.when(F.col("trained"), F.col("r0") - F.col("hour_med")).otherwise(F.col("r0")))
     y = y.withColumn("bin_med", F.coalesce(F.percentile(F.when(F.col("trained"), F.col("r1")), F.lit(0.5)).over(Window.partitionBy("equipment_id", "bin")), F.lit(0.0)))
     y = y.withColumn("r2", F.when(F.col("trained"), F.col("r1") - F.col("bin_med")).otherwise(F.col("r1")))
-    scale = 1.4826 * F.percentile(F.when(F.col("trained"), F.abs("r2")), F.lit(0.5)).over(WHOLE)
+    scale = 1.4826 * F.percentile(F.when(F.col("trained"), F.abs("r2")), F.lit(0.5)).over(by_unit())
     return y.withColumn("resid_z", F.col("r2") / F.when(F.coalesce(scale, F.lit(0.0)) == 0, 1.0).otherwise(scale))
 
 
@@ -117,7 +120,7 @@ def thresholds(r: DataFrame, mode: str = "quantile") -> DataFrame:
     if mode == "quantile":
         q = active.groupBy("equipment_id").agg(F.percentile("raw", F.lit(0.975)).alias("t"), F.percentile("raw", F.lit(0.99)).alias("g"))
     else:
-        k = active.withColumn("k", F.row_number().over(UNIT) - 1).withColumn("n", F.count(F.lit(1)).over(WHOLE))
+        k = active.withColumn("k", F.row_number().over(by_time()) - 1).withColumn("n", F.count(F.lit(1)).over(by_unit()))
         at = lambda p: F.sum(F.col("raw") * F.greatest(F.lit(0.0), 1 - F.abs(F.col("k") - p * (F.col("n") - 1))))
         q = k.groupBy("equipment_id").agg(at(0.975).alias("t"), at(0.99).alias("g"))
     units = r.select("equipment_id").distinct()
@@ -127,8 +130,8 @@ def thresholds(r: DataFrame, mode: str = "quantile") -> DataFrame:
 def islands(r: DataFrame, mode: str = "quantile") -> DataFrame:
     """Runs of candidates joined over up to JOIN_WINDOW rows: (equipment_id, s, e); single rows only above rescue."""
     c = r.join(thresholds(r, mode), "equipment_id").filter(f"rn > {S.WARMUP} and raw > threshold")
-    c = c.withColumn("new", F.when(F.col("rn") - F.lag("rn").over(UNIT) > S.JOIN_WINDOW + 1, 1).otherwise(0))
-    c = c.withColumn("island", F.sum("new").over(UNIT))
+    c = c.withColumn("new", F.when(F.col("rn") - F.lag("rn").over(by_time()) > S.JOIN_WINDOW + 1, 1).otherwise(0))
+    c = c.withColumn("island", F.sum("new").over(by_time()))
     runs = c.groupBy("equipment_id", "island").agg(F.min("rn").alias("s"), F.max("rn").alias("e"), F.min_by("raw", "rn").alias("first_raw"), F.first("rescue").alias("rescue"))
     return runs.filter("e - s >= 1 or first_raw > rescue").select("equipment_id", "s", "e")
 
@@ -137,7 +140,7 @@ def scored(r: DataFrame, mode: str = "quantile") -> DataFrame:
     """r with run bounds s and e (null outside), score with the run's boost; warm-up rows score 0."""
     runs = islands(r, mode).withColumnRenamed("equipment_id", "unit")
     # a run's start is carried forward to its rows, in place of a range join
-    marked = r.join(runs, (r["equipment_id"] == runs["unit"]) & (r["rn"] == runs["s"]), "left").withColumn("run", F.last(F.when(F.col("s").isNotNull(), F.struct("s", "e")), True).over(UNIT))
+    marked = r.join(runs, (r["equipment_id"] == runs["unit"]) & (r["rn"] == runs["s"]), "left").withColumn("run", F.last(F.when(F.col("s").isNotNull(), F.struct("s", "e")), True).over(by_time()))
     inside = F.col("rn") <= F.col("run.e")
     out = marked.select(*r.columns, F.when(inside, F.col("run.s")).alias("s"), F.when(inside, F.col("run.e")).alias("e"))
     boost = 0.03 * F.least(F.lit(1.0), (F.col("e") - F.col("s") + 1) / 10)
@@ -149,7 +152,7 @@ def episodes(x: DataFrame) -> DataFrame:
     runs = x.filter("s is not null").groupBy("equipment_id", "s", "e").agg(
         F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.max("score").alias("peak"), F.max_by("rn", F.struct("score", -F.col("rn"))).alias("peak_rn")
     )
-    floor = lambda base, q: F.greatest(F.lit(base), F.percentile("peak", F.lit(q)).over(WHOLE))
+    floor = lambda base, q: F.greatest(F.lit(base), F.percentile("peak", F.lit(q)).over(by_unit()))
     runs = runs.withColumn("severity", F.when(F.col("peak") >= floor(0.8, 0.9), "action").when(F.col("peak") >= floor(0.7, 0.6), "alert").otherwise("watch"))
     return runs.withColumns({"id": F.concat_ws("-", "equipment_id", "start_ms"), "hours": S.half_up((F.col("end_ms") - F.col("start_ms")) / 3_600_000, 1)})
 
@@ -160,7 +163,7 @@ def severity_rank(c: Column) -> Column:
 
 def exposure(x: DataFrame) -> DataFrame:
     """Share of the unit's last 30 days of rows with a score of 0.7 or more."""
-    recent = x.withColumn("last", F.max("ts_ms").over(WHOLE)).filter(F.col("ts_ms") >= F.col("last") - 30 * S.DAY_MS)
+    recent = x.withColumn("last", F.max("ts_ms").over(by_unit())).filter(F.col("ts_ms") >= F.col("last") - 30 * S.DAY_MS)
     return recent.groupBy("equipment_id").agg(F.avg((F.col("score") >= 0.7).cast("int")).alias("exposure"))
 
 
@@ -183,7 +186,7 @@ def trend(d: DataFrame) -> DataFrame:
 
 def spearman_trend(x: DataFrame) -> DataFrame:
     """Rank correlation of every 4th residual of the last 4320 rows with time; 0 for under 240 rows."""
-    n = F.count(F.lit(1)).over(WHOLE)
+    n = F.count(F.lit(1)).over(by_unit())
     v = x.withColumn("n", n).filter(F.col("rn") > F.col("n") - F.least("n", F.lit(4320)))
     v = v.withColumn("k", F.col("rn") - (F.col("n") - F.least("n", F.lit(4320))) - 1).filter("k % 4 = 0 and resid_z is not null")
     tie = Window.partitionBy("equipment_id", "resid_z")
@@ -194,7 +197,7 @@ def spearman_trend(x: DataFrame) -> DataFrame:
 
 def contributors(x: DataFrame, peaks: DataFrame, k: int = 4) -> DataFrame:
     """The k measures that stand out most at each peak, against the 24 rows before it (the current one excluded)."""
-    before = UNIT.rowsBetween(-24, -1)
+    before = by_time().rowsBetween(-24, -1)
     frames = x
     for c in MEASURES:
         frames = frames.withColumn(f"f_{c}", F.collect_list(c).over(before))
@@ -216,7 +219,7 @@ def contributors(x: DataFrame, peaks: DataFrame, k: int = 4) -> DataFrame:
 
 def frozen(t: DataFrame, column: str) -> DataFrame:
     """How many of the 48 rows before each hold the same value without a break; 12 or more is a stuck sensor."""
-    prior = F.collect_list(F.coalesce(column, F.lit(float("nan")))).over(UNIT.rowsBetween(-48, -1))
+    prior = F.collect_list(F.coalesce(column, F.lit(float("nan")))).over(by_time().rowsBetween(-48, -1))
     step = lambda acc, v: F.struct((acc["on"] & (F.abs(v - F.col(column)) <= 1e-9) & ~F.isnan(v)).alias("on"), (acc["n"] + (acc["on"] & (F.abs(v - F.col(column)) <= 1e-9) & ~F.isnan(v)).cast("int")).alias("n"))
     run = F.aggregate(F.reverse("prior"), F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
     return t.withColumn("prior", prior).withColumn("frozen", F.when(F.col(column).isNull(), 0).otherwise(run)).drop("prior").withColumn("stuck", F.col("frozen") >= 12)
@@ -224,7 +227,7 @@ def frozen(t: DataFrame, column: str) -> DataFrame:
 
 def downsample(t: DataFrame, column: str, buckets: int) -> DataFrame:
     """Mean, least and largest of row buckets of equal size; up to 2 x buckets rows pass through."""
-    n, rn = F.count(F.lit(1)).over(WHOLE), F.row_number().over(UNIT)
+    n, rn = F.count(F.lit(1)).over(by_unit()), F.row_number().over(by_time())
     size = F.when(n <= 2 * buckets, 1).otherwise(F.ceil(n / buckets))
     b = t.withColumn("bucket", F.floor((rn - 1) / size))
     return b.groupBy("equipment_id", "bucket").agg(F.min("ts_ms").alias("ts_ms"), F.avg(column).alias("mean"), F.min(column).alias("lo"), F.max(column).alias("hi"))

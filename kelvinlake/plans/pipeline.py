@@ -18,7 +18,7 @@ def split_by_data(t: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def model_features(z: DataFrame) -> DataFrame:
     """if_x and mlp_x of each row; a measure that is not usable counts as 0."""
-    rows = series.rolling(series.lags(z)).withColumn("rn", F.row_number().over(series.UNIT))
+    rows = series.rolling(series.lags(z)).withColumn("rn", F.row_number().over(series.by_time()))
     rows = rows.withColumns(S.cyclic(F.col("ts_ms")))
     time = [f"{k}_{n}" for k in ("hour", "dow") for n in ("sin", "cos")]
     if_x = F.array(*(F.coalesce(c, F.lit(0.0)) for c in ["z_energy", "z_load", "z_flow", *time, "roll_std", "lag1", "lag48"]))
@@ -38,7 +38,7 @@ def run(t: DataFrame, model: str = "linear", mode: str = "quantile") -> dict[str
         learned = models.score_units(model_features(z))
         r = r.join(learned, ["equipment_id", "row_ord"])
         own = F.col("z_energy") - F.col("predicted")
-        scale = 1.4826 * F.percentile(F.when(F.col("trained"), F.abs(own)), F.lit(0.5)).over(series.WHOLE)
+        scale = 1.4826 * F.percentile(F.when(F.col("trained"), F.abs(own)), F.lit(0.5)).over(series.by_unit())
         r = r.withColumn("resid_z", own / F.when(F.coalesce(scale, F.lit(0.0)) == 0, 1.0).otherwise(scale))
         r = series.raw_scores(r, F.col("forest"))
     else:

@@ -56,7 +56,7 @@ fit AS (SELECT equipment_id, regr_slope(z_energy, z_load) AS a, regr_intercept(z
 y0 AS (SELECT zz.*, a * z_load + b AS pred, z_energy - (a * z_load + b) AS r0, (ts_ms % 86400000) // 3600000 AS hb FROM zz JOIN fit USING (equipment_id)),
 y1 AS (SELECT *, coalesce(median(r0) FILTER (rn > 96) OVER (PARTITION BY equipment_id, hb), 0) AS hm,
   min(pred) FILTER (rn > 96) OVER (PARTITION BY equipment_id) AS lo, max(pred) FILTER (rn > 96) OVER (PARTITION BY equipment_id) AS hi FROM y0),
-y2 AS (SELECT *, least(greatest(floor((pred - lo) / (CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END) * 8), 0), 7) AS bin, CASE WHEN rn > 96 THEN r0 - hm ELSE r0 END AS r1 FROM y1),
+y2 AS (SELECT *, least(greatest(floor((pred - lo) / (CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END) * 8 + 1e-9), 0), 7) AS bin, CASE WHEN rn > 96 THEN r0 - hm ELSE r0 END AS r1 FROM y1),
 y3 AS (SELECT *, coalesce(median(r1) FILTER (rn > 96) OVER (PARTITION BY equipment_id, bin), 0) AS bm FROM y2),
 y4 AS (SELECT *, CASE WHEN rn > 96 THEN r1 - bm ELSE r1 END AS r2 FROM y3),
 y5 AS (SELECT *, 1.4826 * median(abs(r2)) FILTER (rn > 96) OVER (PARTITION BY equipment_id) AS sc FROM y4),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Days of each unit; gap windows (unit, day, slot, rows) at 48 slots a day.
-DAYS = {"CHILLER-01": 129, "CHILLER-02": 263, "CHILLER-03": 209}
+DAYS = {"CHILLER-01": 128, "CHILLER-02": 262, "CHILLER-03": 208}
 GAPS = (("CHILLER-03", 128, 25, 14), ("CHILLER-02", 250, 29, 6), ("CHILLER-03", 9, 6, 16), ("CHILLER-01", 61, 23, 18), ("CHILLER-02", 29, 45, 3), ("CHILLER-03", 68, 7, 12), ("CHILLER-01", 45, 16, 13), ("CHILLER-01", 51, 25, 15))
 
 
@@ -27,7 +27,7 @@ def demo(spark: SparkSession) -> DataFrame:
     day, hour = F.col("slot") / 48, (F.col("slot") % 48) / 2
     load = 260 * (0.58 + 0.42 * F.cos(2 * math.pi * day / 365)) * (0.78 + 0.22 * F.sin(2 * math.pi * (hour - 9) / 24)) * (1 + 0.025 * noise("load"))
     at = lambda unit, a, b: (F.col("equipment_id") == unit) & (day >= a) & (day < b)
-    eff = F.when(at("CHILLER-01", 60, 60.5), 1.85).when(at("CHILLER-01", 88, 91.6), 1.22).when(at("CHILLER-02", 172, 263), 1 + 0.17 * F.least(F.lit(1.0), (day - 172) / 90)).when(at("CHILLER-03", 72, 73.5), 0.82).otherwise(1.0)
+    eff = F.when(at("CHILLER-01", 60, 60.5), 1.85).when(at("CHILLER-01", 88, 91.6), 1.22).when(at("CHILLER-02", 172, 262), 1 + 0.17 * F.least(F.lit(1.0), (day - 172) / 90)).when(at("CHILLER-03", 72, 73.5), 0.82).otherwise(1.0)
     out = rows.withColumn("load", F.greatest(F.lit(1.0), load)).withColumn("flow", (20 + 0.1 * F.col("load") + noise("flow")) * F.when(at("CHILLER-03", 72, 73.5), 0.6).otherwise(1.0))
     ms = F.lit(1566086400000) + F.col("slot").cast("long") * 1_800_000
     out = out.withColumn("energy", F.col("load") * 0.35 * eff * (1 + 0.02 * noise("energy"))).withColumn("ts_ms", ms)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path).withColumn("at", F.col("ts").cast("timestamp"))
+    """New files named events.parquet in the folder (a file source reads folders)."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def deduped(s: DataFrame, delay: str = "1 day") -> DataFrame:
