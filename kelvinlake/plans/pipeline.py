@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,15 @@ from kelvinlake.functions import scalar as S
 from kelvinlake.operators import explain, models, series
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that driver and executors share, and read back: later plans start there."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def split_by_data(t: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(units with MIN_DATA rows or more, the names of the others)."""
     n = t.groupBy("equipment_id").agg(F.count(F.lit(1)).alias("n"))
@@ -32,7 +43,7 @@ def run(t: DataFrame, model: str = "linear", mode: str = "quantile") -> dict[str
     model: `linear` (DataFrame functions only) or `learned` (isolation forest and network in grouped batches).
     """
     enough, few = split_by_data(t)
-    z = series.standardise(series.impute(enough).persist()).filter("z_energy is not null")
+    z = series.standardise(settle(series.impute(enough), "imputed")).filter("z_energy is not null")
     r = series.linear_residual(z)
     if model == "learned":
         learned = models.score_units(model_features(z))
@@ -43,9 +54,9 @@ def run(t: DataFrame, model: str = "linear", mode: str = "quantile") -> dict[str
         r = series.raw_scores(r, F.col("forest"))
     else:
         r = series.raw_scores(r)
-    points = series.scored(r, mode).persist()  # every result below reads it
-    eps = series.episodes(points).persist()
-    top = series.contributors(points, eps).persist()
+    points = settle(series.scored(r, mode), "points")  # every result below reads it
+    eps = settle(series.episodes(points), "episodes")
+    top = settle(series.contributors(points, eps), "contributors")
     days = series.daily(points)
     trend = series.spearman_trend(points)
     units = series.exposure(points).join(trend, "equipment_id").join(series.trend(days), "equipment_id")
