@@ -3,14 +3,16 @@ r"""MinHash near-dedup by a chosen-path set similarity join.
 A document's set holds its distinct word shingles (words [^\x20\x09-\x0D]+, A-Z lower-cased). Texts with equal sets
 form a class, and one document of each class goes on. Each tree starts from all documents and branches recursively: a node
 picks one minwise position (and with chance 1/4 a second, so 1.25 = 1 / 0.8 on average) by a hash of its path, and
-documents with equal minwise values there meet in a child. Children of LEAF documents or fewer are compared
+documents with equal minwise values there meet in a child. Nodes of LEAF documents or fewer are compared
 exhaustively, larger ones branch again, and TREES independent trees bring the chance to miss a pair at 0.8 below one in
-a million. What is linked is confirmed on full sets.
+a million.
 
-Large groups of near copies do not become pairs: every node first compares its members with one pivot only, the one
-with the most support, then with two more at random, and later comparisons are made only between different components. Nodes that are still large after DEPTH
-branchings are compared in full, so no link depends on a cap. Before sets are built, documents that share fewer than
-SHARED nodes with anyone are put aside (a pair at 0.8 shares about 16 of 20).
+Large groups of near copies do not become pairs. Every node first compares its members with the one that has the most
+support, and later comparisons are made only in nodes that still hold several components. Nodes of PAIRED documents or
+fewer become pairs, confirmed on full sets. Larger ones bring the full sets of their members together, count all
+intersections there, and give back a spanning forest of their links, so fewer rows than members. Nodes above LEAF after
+DEPTH branchings are compared in blocks, every two of which meet, so no link depends on a cap. Before sets are built,
+documents that share fewer than SHARED nodes with anyone are put aside (a pair at 0.8 shares about 16 of 20).
 
 Defined cases: a text without words, or null, has 0 shingles and no links; fewer words than a shingle make one
 shingle; rows with the same doc_id are compared like others and carry the id as it is; a null doc_id gets the
@@ -20,6 +22,7 @@ component of its class but is never its representative, and is not kept; an empt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from kelvinlake.llm.common import cut, table, words
 from kelvinlake.llm.graph import connected_components
 
-WIDTH, TREES, LEAF, DEPTH, SHARED, SEEN = 64, 16, 32, 5, 4, 0.5
+WIDTH, TREES, PAIRED, LEAF, DEPTH, SHARED, SEEN = 64, 16, 32, 1024, 3, 4, 0.5
+#: Shingles of all members of a node that meet in one task; FREQUENT: from so many holders on, a shingle is counted by matrix.
+LEAF_SHINGLES, FREQUENT, COLUMNS = 4_000_000, 16, 4096
 SHINGLE, PERCENT = 5, 80
 _KEEP = 500_000
 _known: dict[bytes, int] = {}
@@ -151,6 +156,61 @@ def common_shingles(a: str, b: str) -> Column:
     return F.pandas_udf(run, "long")(a, b)
 
 
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every two sets (above the diagonal): rare shingles pair by pair, others by matrix products."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in sets])
+    shingle = np.concatenate(sets)
+    order = np.argsort(shingle, kind="stable")
+    shingle, owner = shingle[order], owner[order]
+    _, number, holders = np.unique(shingle, return_inverse=True, return_counts=True)
+    rare = (holders < FREQUENT)[number]
+    out = np.zeros(n * n, np.int64)
+    what, who = number[rare], owner[rare].astype(np.int64)
+    for step in range(1, FREQUENT - 1):
+        met = what[step:] == what[:-step]
+        if not met.any():
+            break
+        out += np.bincount(who[:-step][met] * n + who[step:][met], minlength=n * n)
+    column = np.cumsum(holders >= FREQUENT)[number[~rare]] - 1
+    who, cuts = owner[~rare], np.arange(0, int((holders >= FREQUENT).sum()) + COLUMNS, COLUMNS)
+    edges, out = np.searchsorted(column, cuts), out.reshape(n, n)
+    for lo, hi, first in zip(edges[:-1], edges[1:], cuts):
+        held = np.zeros((n, COLUMNS), np.float32)
+        held[who[lo:hi], column[lo:hi] - first] = 1
+        out += np.rint(held @ held.T).astype(np.int64)
+    return np.triu(out, 1)
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric boolean matrix."""
+    fresh, out = np.ones(len(linked), bool), []
+    for root in range(len(linked)):
+        queue = [root] if fresh[root] else []
+        fresh[root] = False
+        while queue:
+            at = queue.pop()
+            found = np.flatnonzero(linked[at] & fresh).tolist()
+            fresh[found] = False
+            out += [(at, x) for x in found]
+            queue += found
+    return out
+
+
+def node_links(percent: int):
+    """For members (rep, comp, shingles) of a node or of two of its blocks: enough links (a, b) to connect what is linked."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [unpacked(x) for x in pdf["shingles"]]
+        size, comp, rep = np.array([len(x) for x in sets]), pdf["comp"].to_numpy(), pdf["rep"].to_numpy()
+        same = intersections(sets)
+        linked = (100 * same >= percent * (size[:, None] + size - same)) & (comp[:, None] != comp)
+        edges = np.array(forest(linked | linked.T), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": rep[edges].min(1), "b": rep[edges].max(1)})
+
+    return run
+
+
 class _Join:
     """The state of one join: class representatives, their sets and the links found so far."""
 
@@ -208,7 +268,10 @@ class _Join:
         full = lambda x: self.sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"set_{x}"), size.cast("long").alias(f"n_{x}"))
         both = near.join(full("a"), ["a", "n_a"]).join(full("b"), ["b", "n_b"])
         same = both.withColumn("same", common_shingles("set_a", "set_b"))
-        links = cut(same.filter(100 * F.col("same") >= p * (F.col("n_a") + F.col("n_b") - F.col("same"))).select("a", "b"), "links")
+        self.add(same.filter(100 * F.col("same") >= p * (F.col("n_a") + F.col("n_b") - F.col("same"))).select("a", "b"))
+
+    def add(self, links: DataFrame) -> None:
+        links = cut(links, "links")
         self.links = links if self.links is None else self.links.unionByName(links)
 
     @staticmethod
@@ -227,53 +290,42 @@ class _Join:
         self.build_sets(nodes)
         self.confirm(self.stars(self.placed(nodes, None), F.col("support")))
         components = self.components()
-        pairs, depth = None, 1
+        small, whole, depth = [], [], 1
         while True:
             at = self.placed(nodes, components)
             members = cut(at.join(self.mixed(at, F.col("support")).select("key", "n"), "key"), "members")
-            small, large = members.filter(F.col("n") <= LEAF), members.filter(F.col("n") > LEAF).select("key", "rep", "support")
-            found = self.exhaustive(small)
-            pairs = found if pairs is None else pairs.unionByName(found)
-            rest = bool(large.limit(1).count())
-            if depth == DEPTH or not rest:
+            small.append(members.filter(F.col("n") <= PAIRED))
+            large = members.filter(F.col("n") > LEAF)
+            rest = depth < DEPTH and bool(large.limit(1).count())
+            whole.append(members.filter(F.col("n") > PAIRED).filter(F.col("n") <= LEAF) if rest else members.filter(F.col("n") > PAIRED))
+            if not rest:
                 break
-            sig = self.reps.select("rep", "sig")
-            below = large.join(sig, "rep").select("rep", "support", F.explode(node_children("key", "sig")).alias("key"))
+            below = large.join(self.reps.select("rep", "sig"), "rep").select("rep", "support", F.explode(node_children("key", "sig")).alias("key"))
             nodes, depth = cut(below.select("key", "rep", "support"), "nodes"), depth + 1
-        self.confirm(pairs)
-        if rest:
-            for pivot in (F.col("support"), F.xxhash64("key", "rep"), F.xxhash64("rep", "key")):
-                self.confirm(self.stars(self.placed(large, self.components()), pivot))
-            at = self.placed(large, self.components())
-            at = cut(at.join(self.mixed(at, F.col("support")).select("key"), "key"), "rest")
-            self.confirm(self.exhaustive(at.join(self.reach(at), "rep"), bounded=self.percent))
+        self.add(self.within(reduce(DataFrame.unionByName, whole)))
+        # what the larger nodes have joined needs no pairs any more
+        components = self.components()
+        at = self.placed(reduce(DataFrame.unionByName, small).drop("comp"), components)
+        self.confirm(self.exhaustive(at.join(self.mixed(at, F.col("support")).select("key"), "key")))
         return self.components()
 
-    def reach(self, at: DataFrame) -> DataFrame:
-        """(rep, n, common): the set's size and how many of its shingles some other document of `at` holds too."""
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                each = [unpacked(x).astype(np.int64) for x in pdf["shingles"]]
-                yield pd.DataFrame({"rep": np.repeat(pdf["rep"].to_numpy(), [len(x) for x in each]), "shingle": np.concatenate(each)})
-
-        held = self.sets.join(at.select("rep").distinct(), "rep", "left_semi").mapInPandas(run, "rep long, shingle long")
-        alone = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).filter("n = 1")
-        own = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-        return self.reps.select("rep", "n").join(own, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    def within(self, members: DataFrame) -> DataFrame:
+        """Links in the nodes of members(key, n, rep, comp). A node with too many documents or shingles for one task is
+        dealt into blocks, and every two of its blocks meet."""
+        sized = members.select("key", "n", "rep", "comp").join(self.reps.select("rep", F.col("n").alias("size")), "rep")
+        heavy = sized.groupBy("key").agg(F.greatest(F.ceil(F.max("n") / LEAF), F.ceil(F.sum("size") / LEAF_SHINGLES)).alias("times"))
+        blocks = F.when(F.col("times") > 1, 2 * F.col("times")).otherwise(1)
+        dealt = sized.join(heavy, "key").select("key", "rep", "comp", "size", blocks.alias("blocks"), F.pmod(F.xxhash64("rep", "key"), blocks).alias("block"))
+        other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("block"))))
+        met = dealt.select("key", "rep", "comp", "size", "block", other.alias("other")).select("key", "rep", "comp", "size", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        sets = self.sets.select("rep", "shingles", (F.length("shingles") / 6).cast("long").alias("size"))
+        return met.join(sets, ["rep", "size"]).groupBy("key", "i", "j").applyInPandas(node_links(self.percent), "a long, b long").distinct()
 
     @staticmethod
-    def exhaustive(members: DataFrame, bounded: int = 0) -> DataFrame:
-        """Pairs (a, b) of members of a node that are in different components.
-
-        bounded: members carry (n, common), and pairs whose intersection, at most the smaller `common`, cannot reach so
-        many percent of the union are left out.
-        """
-        also = ["n", "common"] if bounded else []
-        x, y = (members.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "comp", *also))) for side in ("a", "b"))
+    def exhaustive(members: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members of a node that are in different components."""
+        x, y = (members.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "comp"))) for side in ("a", "b"))
         on = (x["key"] == y["key"]) & (F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b"))
-        if bounded:
-            on &= (100 + bounded) * F.least("common_a", "common_b") >= bounded * (F.col("n_a") + F.col("n_b"))
         return x.join(y, on).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
