@@ -236,3 +236,35 @@ def test_sql(spark):
         c.sql(f"create view {name} as select * from '/root/testdata/sf0.001/{name}.parquet'")
         got, want = q(spark, "/root/testdata/sf0.001").toPandas(), c.sql(sql).df()[lambda x: x.columns]
         assert sorted(got.itertuples(index=False, name=None)) == sorted(want[got.columns].itertuples(index=False, name=None))
+
+
+def test_near_dedup_intersections():
+    rng = np.random.default_rng(4)
+    pool = np.unique(rng.integers(0, 2**48, 6000, dtype=np.uint64))
+    sets = [np.sort(rng.choice(pool[:n], n // 2, replace=False)) for n in [40] * 40 + [len(pool)] * 30 + [2]]
+    same = near_dedup.intersections(sets)
+    assert all(same[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(i + 1, len(sets)))
+
+
+def test_near_dedup_large_nodes(spark, monkeypatch):
+    """Near copies around 0.8 in nodes that branch and are dealt into blocks, against all pairs."""
+    for name, value in {"PAIRED": 4, "LEAF": 12, "DEPTH": 2}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(8)
+    text = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        own = list(text)
+        for _ in range(rng.randint(2, 7)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    sets = [near_dedup.shingle_set(t, 4) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            same = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * same >= 80 * (len(sets[i]) + len(sets[j]) - same):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
+    assert 1 < len(set(root)) < len(rows) and got == dict(enumerate(root))
