@@ -9,8 +9,8 @@ The model's score is over subword ids of the words and an end id. A one-layer at
 ids that overlap by OVERLAP; every id is scored once, in the first window that holds it behind enough context. It
 predicts the id's class (CLASSES classes of about equal mass, neighbours in the alphabet of subwords), and the class
 predicts the id by its count over the training documents. Attention is batched over windows and masked causally.
-Weights are trained on every TRAIN_DOCS-th training document, so the work grows with the corpus: each partition
-trains on its own share, and weights are averaged, weighted by windows, in ROUNDS rounds.
+Weights are trained on every window of every training document, each in one of ROUNDS rounds: each partition trains on
+its own share, and weights are averaged, weighted by windows, after each round.
 
 Training documents are those whose crc32(doc_id as text) mod 7 is not 2. Defined cases: a null or empty text is its
 end alone; a null doc_id is a training document; repeated rows count and are scored like any others; without training
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,8 +33,8 @@ from kelvinlake.llm.packing import VOCABULARY, encoder
 BLOCK_BYTES = 16_000_000
 IDS, END = 50257, 50256
 BUCKETS, CLASSES, DIM, WINDOW, OVERLAP = 2048, 32, 16, 16, 4
-TRAIN_DOCS, TRAIN_WINDOWS, ROUNDS, BATCH, RATE = 8, 4, 2, 64, 0.01
-#: Documents whose ids are scored at once.
+ROUNDS, BATCH, RATE = 2, 128, 0.01
+#: Documents whose ids are trained on or scored at once.
 CHUNK = 256
 
 
@@ -186,37 +185,40 @@ def sequence_scores(m: dict[str, np.ndarray], code: Coding, ids: np.ndarray, siz
     return np.add.reduceat(out, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
 
 
-def sequences(docs: DataFrame) -> DataFrame:
-    """docs(text) -> (ids): each text's subword ids and END, as 16-bit numbers."""
+def share(ids: np.ndarray, sizes: np.ndarray, turn: int) -> np.ndarray:
+    """Which of the windows() of these sequences a round learns from: over all rounds every window once, whatever else lies in the chunk."""
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    start, _, _ = windows(sizes)
+    begins = np.cumsum(sizes) - sizes
+    of = np.searchsorted(begins, start, "right") - 1
+    return np.flatnonzero((np.add.reduceat(ids.astype(np.int64), begins)[of] + (start - begins[of]) // (WINDOW - OVERLAP)) % ROUNDS == turn)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [words(t) for t in pdf["text"].fillna("")]
-            distinct = list(dict.fromkeys(chain.from_iterable(texts)))
-            place = {w: i for i, w in enumerate(distinct)}
-            flat, starts = word_ids(distinct)
-            each = (gathered(flat, starts, np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))) for ws in texts)
-            yield pd.DataFrame({"ids": [np.append(x, END).astype("<u2").tobytes() for x in each]})
 
-    return docs.select("text").mapInPandas(run, "ids binary")
+def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """CHUNK rows of coded() at a time, their ids and how many each has."""
+    for pdf in batches:
+        for lo in range(0, len(pdf), CHUNK):
+            own = pdf.iloc[lo : lo + CHUNK]
+            yield own, np.frombuffer(b"".join(own["ids"]), "<u2"), own["ids"].str.len().to_numpy(np.int64) // 2
 
 
-def train(docs: DataFrame, code: Coding) -> dict[str, np.ndarray]:
-    """docs(ids): the training documents to learn from, of sequences(); a row for each weight and partition meets in a weighted mean."""
-    model = initial()
+def train(docs: DataFrame, code: Coding) -> tuple[dict[str, np.ndarray], int]:
+    """docs(ids): the training documents, of coded(). The weights, and how many windows they have learned from; a row for each weight and partition meets in a weighted mean."""
+    model, seen = initial(), 0
     sizes = {k: v.size for k, v in model.items()}
+    known = docs.sparkSession.sparkContext.broadcast(code)
     for turn in range(ROUNDS):
         now = model
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            code = known.value
             m = {k: v.copy() for k, v in now.items()}
             adam, done = Adam(m), 0
-            for pdf in batches:
-                lens = pdf["ids"].str.len().to_numpy() // 2
-                ids = np.frombuffer(b"".join(pdf["ids"]), "<u2")
+            for _, ids, lens in chunks(batches):
                 buckets, classes = code.bucket[np.concatenate([[END], ids[:-1]])], code.cls[ids]
                 start, size, _ = windows(lens)
-                pick = np.random.default_rng(turn * 1_000_003 + len(ids)).permutation(len(start))[: -(-len(start) // TRAIN_WINDOWS)]
+                pick = np.random.default_rng(turn * 1_000_003 + len(ids)).permutation(share(ids, lens, turn))
                 for lo in range(0, len(pick), BATCH):
                     own = pick[lo : lo + BATCH]
                     x, live = spread(buckets, start[own], size[own])
@@ -227,13 +229,14 @@ def train(docs: DataFrame, code: Coding) -> dict[str, np.ndarray]:
             if done:
                 yield pd.DataFrame({"i": np.arange(sum(sizes.values())), "w": np.concatenate([v.ravel() for v in m.values()]).astype(float), "n": done})
 
-        parts = docs.mapInPandas(run, "i int, w double, n long")
-        rows = parts.groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).toPandas().sort_values("i")
+        parts = docs.select("ids").mapInPandas(run, "i int, w double, n long")
+        rows = parts.groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"), F.sum("n").alias("n")).toPandas().sort_values("i")
         if rows.empty:
-            break
+            continue
+        seen += int(rows["n"].iloc[0])
         cuts = np.split(rows["w"].to_numpy(np.float32), np.cumsum(list(sizes.values()))[:-1])
         model = {k: c.reshape(v.shape) for c, (k, v) in zip(cuts, model.items())}
-    return model
+    return model, seen
 
 
 # --- jobs ------------------------------------------------------------------------------------------------------
@@ -286,8 +289,11 @@ def id_counts(counts: DataFrame) -> np.ndarray:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> SCORES, a row for each row."""
+CODED = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, ids binary"
+
+
+def coded(docs: DataFrame) -> tuple[DataFrame, Coding]:
+    """docs(doc_id, text) -> CODED, a row for each row: base score, and the subword ids and END as 16-bit numbers. Training and scoring read these."""
     spark = docs.sparkSession
     held = held_out(docs["doc_id"])
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count_if(~held).alias("t")).first()
@@ -295,41 +301,48 @@ def score_documents(docs: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
     dealt = docs.select(block.alias("block"), "doc_id", "text", (~held).alias("train"))
 
-    in_blocks = cut(dealt.select("block", "text", "train").groupBy("block").applyInPandas(count_words, "block int, word binary, n long"), "words")
-    counts = cut(with_ids(in_blocks.groupBy("word").agg(F.sum("n").alias("c"))), "counts")
+    in_blocks = cut(dealt.select("block", "text", "train").groupBy("block").applyInPandas(count_words, "block int, word binary, n long"), "words", "zstd")
+    counts = cut(with_ids(in_blocks.groupBy("word").agg(F.sum("n").alias("c"))), "counts", "zstd")
     seen = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_end = total["t"]
     n_train, n_types = seen["n"] + n_end, seen["v"] + (n_end > 0)
 
     ids = id_counts(counts)
     ids[END] += n_end
-    code = Coding(ids)
-    pick = dealt.filter("train").filter(F.coalesce(F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 7) % TRAIN_DOCS == 0, F.lit(True)))
-    shared = spark.sparkContext.broadcast((train(cut(sequences(pick), "sequences"), code), code))
     floor_ = np.log10(n_train + n_types + 1.0)
 
-    def score(pdf: pd.DataFrame, vocab: pd.DataFrame) -> pd.DataFrame:
-        model, code = shared.value
+    def run(pdf: pd.DataFrame, vocab: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
-            return pd.DataFrame({x.split()[0]: [] for x in SCORES.split(", ")})
+            return pd.DataFrame({x.split()[0]: [] for x in CODED.split(", ")})
         place = {w: i for i, w in enumerate(vocab["word"])}
         c = vocab["c"].to_numpy(np.int64) if len(vocab) else np.zeros(0, np.int64)
         flat, starts = joined_ids(vocab["ids"])
         logs = np.log10(c + 1.0)
-        rows, seqs, scores = [], [], []
-        for i, text in enumerate(pdf["text"].fillna("")):
+        rows = []
+        for text in pdf["text"].fillna(""):
             ws = words(text)
             which = np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))
-            rows.append((len(ws) + 1, int((c[which] > 0).sum()) + (n_end > 0), float(logs[which].sum() + np.log10(n_end + 1.0) - (len(ws) + 1) * floor_)))
-            seqs.append(np.append(gathered(flat, starts, which), np.uint16(END)))
-            if len(seqs) == CHUNK or i == len(pdf) - 1:
-                scores.append(sequence_scores(model, code, np.concatenate(seqs), np.array([len(s) for s in seqs])))
-                seqs = []
-        out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score"])
-        return out.assign(doc_id=pdf["doc_id"].values, held_out=~pdf["train"].values, train_tokens=n_train, score=np.concatenate(scores))[[x.split()[0] for x in SCORES.split(", ")]]
+            base = float(logs[which].sum() + np.log10(n_end + 1.0) - (len(ws) + 1) * floor_)
+            rows.append((len(ws) + 1, int((c[which] > 0).sum()) + (n_end > 0), n_train, base, np.append(gathered(flat, starts, which), END).astype("<u2").tobytes()))
+        out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "train_tokens", "base_score", "ids"])
+        return out.assign(doc_id=pdf["doc_id"].values, train=pdf["train"].values)[[x.split()[0] for x in CODED.split(", ")]]
 
     vocab = in_blocks.select("block", "word").join(counts.hint("shuffle_hash"), "word").select("block", "word", "c", "ids")
-    return dealt.groupBy("block").cogroup(vocab.groupBy("block")).applyInPandas(score, SCORES)
+    return cut(dealt.groupBy("block").cogroup(vocab.groupBy("block")).applyInPandas(run, CODED), "sequences", "zstd"), Coding(ids)
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> SCORES, a row for each row."""
+    rows, code = coded(docs)
+    model, _ = train(rows.filter("train"), code)
+    shared = docs.sparkSession.sparkContext.broadcast((model, code))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, code = shared.value
+        for own, ids, sizes in chunks(batches):
+            yield own.assign(held_out=~own["train"], score=sequence_scores(model, code, ids, sizes))[[x.split()[0] for x in SCORES.split(", ")]]
+
+    return rows.mapInPandas(run, SCORES)
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
