@@ -3,8 +3,9 @@
 The rules decide their urls; those decisions are also the labels the trees learn from. Features are lexical: lengths,
 depth, digit and letter ratios, entropy, counts of parameters and marks, and the smoothed share of blocked urls for
 the last one and two labels of the host and for its first label and the first path segment, counted by Spark over all
-labelled urls. The trees are fitted on at most FIT_ROWS labelled urls, in the order of a hash of the url (a documented
-bound); suffix statistics and verdicts cover all rows.
+labelled urls. Shares are a table that every url's four keys are joined to; values of many urls (at most HOT a kind)
+are broadcast, the others are shuffled. The trees are fitted on at most FIT_ROWS labelled urls, in the order of a hash of
+url and page_id (a documented bound); suffix statistics and verdicts cover all rows.
 
 Defined cases: a null url, or one without ://, has empty host and path, no rule and the trees' verdict on empty
 strings; without labelled urls of both kinds the trees allow everything; repeated rows get the same verdict; an empty
@@ -20,11 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelvinlake.llm.common import table
+from kelvinlake.llm.common import cut, table
 
 #: (rule, verdict): host, then path from its slash on.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-FIT_ROWS, MAX_STATS, TREES, DEPTH, BINS, RATE = 20_000, 4096, 40, 3, 32, 0.2
+FIT_ROWS, TREES, DEPTH, BINS, RATE = 20_000, 40, 3, 32, 0.2
+#: A value that one url in HOT has, or more, is joined by broadcast.
+HOT = 256
 STATS = ("tld", "site", "sub", "segment")
 
 
@@ -112,11 +115,33 @@ class Trees:
         return 1 / (1 + np.exp(-(self.base + RATE * sum(self.leaf(t, bins) for t in self.trees))))
 
 
-def design(pdf: pd.DataFrame, stats: dict, base: float) -> np.ndarray:
+SHARES = tuple(f"{k}_share" for k in STATS)
+
+
+def design(pdf: pd.DataFrame) -> np.ndarray:
     """Lexical features, then the block share of each suffix."""
     lex = [lexical(u or "", h, p) for u, h, p in zip(pdf["url"], pdf["host"], pdf["path"])]
-    share = [[stats.get((k, v), base) for k, v in zip(STATS, row)] for row in pdf[list(STATS)].itertuples(index=False)]
-    return np.hstack([np.array(lex, float).reshape(len(pdf), -1), np.array(share, float).reshape(len(pdf), len(STATS))])
+    return np.hstack([np.array(lex, float).reshape(len(pdf), -1), pdf[list(SHARES)].to_numpy(float)])
+
+
+def key_shares(parts: DataFrame, base: float, total: int) -> DataFrame:
+    """parts(STATS, block) -> (kind, value, share, hot): the smoothed share of blocked urls of each value; base where none is labelled."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in STATS))).alias("pair")
+    counted = parts.select("block", pairs).groupBy("pair.kind", "pair.value").agg(F.count(F.lit(1)).alias("urls"), F.count("block").alias("n"), F.coalesce(F.sum("block"), F.lit(0)).alias("blocked"))
+    share = (F.col("blocked") + 5 * base) / (F.col("n") + 5)
+    return cut(counted.select("kind", "value", share.alias("share"), (F.col("urls") * HOT >= total).alias("hot")), "url_shares")
+
+
+def with_shares(parts: DataFrame, shares: DataFrame) -> DataFrame:
+    """parts with SHARES, a column a kind. Rows of hot values are spread over the cold join, where they match nothing."""
+    for k, name in zip(STATS, SHARES):
+        own = shares.filter(F.col("kind") == k)
+        hot = own.filter("hot").select(F.col("value").alias(k), F.col("share").alias("hot_share"))
+        cold = own.filter("not hot").select(F.col("value").alias(k), F.lit(0).alias("salt"), F.col("share").alias("cold_share"))
+        salt = F.when(F.col("hot_share").isNotNull(), 1 + F.pmod(F.xxhash64("url", "page_id"), F.lit(1024)).cast("int")).otherwise(0)
+        parts = parts.join(F.broadcast(hot), k, "left").withColumn("salt", salt).join(cold, [k, "salt"], "left")
+        parts = parts.withColumn(name, F.coalesce("hot_share", "cold_share")).drop("hot_share", "cold_share", "salt")
+    return parts
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -126,27 +151,23 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     parts = parts.withColumn("rule", best_rule(F.col("host"), F.col("path"), rules))
     verdicts = F.create_map(*[F.lit(x) for rule in rules for x in rule])
     parts = parts.withColumn("by_rule", F.try_element_at(verdicts, F.col("rule"))).withColumns(stat_keys(F.col("host"), F.col("path")))
-    labelled = parts.filter("by_rule is not null").withColumn("block", (F.col("by_rule") == "block").cast("int"))
+    parts = parts.withColumn("block", (F.col("by_rule") == "block").cast("int"))
 
-    totals = labelled.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("block"), F.lit(0)).alias("blocked")).first()
+    totals = parts.agg(F.count(F.lit(1)).alias("urls"), F.count("block").alias("n"), F.coalesce(F.sum("block"), F.lit(0)).alias("blocked")).first()
     base = totals["blocked"] / max(1, totals["n"])
-    model, stats = None, {}
     if 0 < totals["blocked"] < totals["n"]:
-        long = labelled.select("block", F.explode(F.create_map(*[x for k in STATS for x in (F.lit(k), F.col(k))])).alias("kind", "value"))
-        counted = long.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("block").alias("blocked"))
-        top = counted.orderBy(F.desc("n"), "kind", "value").limit(MAX_STATS).collect()
-        stats = {(r["kind"], r["value"]): (r["blocked"] + 5 * base) / (r["n"] + 5) for r in top}
-        fit = labelled.orderBy(F.xxhash64("url"), "page_id").limit(FIT_ROWS).toPandas()
-        model = Trees(design(fit, stats, base), fit["block"].to_numpy(float))
-
-    def judge(url: pd.Series, host: pd.Series, path: pd.Series, tld: pd.Series, site: pd.Series, sub: pd.Series, segment: pd.Series) -> pd.Series:
-        if model is None or not len(url):
-            return pd.Series(np.zeros(len(url)))
-        pdf = pd.DataFrame({"url": url, "host": host, "path": path, "tld": tld, "site": site, "sub": sub, "segment": segment})
-        return pd.Series(model.probability(design(pdf, stats, base)))
-
-    p = F.pandas_udf(judge, "double")("url", "host", "path", *STATS)
-    out = parts.withColumn("p_block", p)
+        shares = key_shares(parts, base, totals["urls"])
+        fit = with_shares(parts.filter("block is not null").orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(FIT_ROWS), shares).orderBy(F.xxhash64("url", "page_id"), "url", "page_id").toPandas()
+        model = Trees(design(fit), fit["block"].to_numpy(float))
+
+        def judge(url: pd.Series, host: pd.Series, path: pd.Series, tld: pd.Series, site: pd.Series, sub: pd.Series, segment: pd.Series) -> pd.Series:
+            if not len(url):
+                return pd.Series(np.zeros(0))
+            return pd.Series(model.probability(design(pd.DataFrame(dict(zip(("url", "host", "path", *SHARES), (url, host, path, tld, site, sub, segment)))))))
+
+        out = with_shares(parts, shares).withColumn("p_block", F.pandas_udf(judge, "double")("url", "host", "path", *SHARES))
+    else:
+        out = parts.withColumn("p_block", F.lit(0.0))
     by_trees = F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_trees).alias("verdict"), F.round("p_block", 6).alias("p_block"))
 
