@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,21 @@ def sessions(s: DataFrame, gap: str = "7 hours", delay: str = "2 days") -> DataF
 
 
 def drained(out: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over what is there and returns its result table (tests and queries; a service writes to a sink)."""
-    q = out.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs a stream over what is there into Parquet and returns a read of it. Table and stream state lie in the folder
+    that driver and executors share; a complete result is written anew by each batch, and the last one is read."""
+    spark = out.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    last = [f"{path}/table"]
+    if mode == "complete":
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            last[0] = f"{path}/table-{batch_id}"
+            batch.write.mode("overwrite").parquet(last[0])
+
+        q = writer.foreachBatch(write).start()
+    else:
+        q = writer.format("parquet").option("path", last[0]).start()
     q.awaitTermination()
-    return out.sparkSession.table(name)
+    return spark.read.schema(out.schema).parquet(last[0])
