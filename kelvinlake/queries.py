@@ -207,7 +207,7 @@ def _(spark, d):
 
 @query("fleet_episode_order", f"{T}, {EPS} SELECT id, row_number() OVER (ORDER BY {RANK} DESC, {R6('peak')} DESC, equipment_id, start_ms) AS place FROM eps")
 def fleet_order(spark, d):
-    """Places by counting: episodes of a severity are ranked within it, and offset by the sizes of those above."""
+    """Places by one ordered window over all episodes of the fleet: one task sorts them."""
     e = series.episodes(points(spark, d)).withColumn("rank", series.severity_rank(F.col("severity"))).withColumn("p", r6("peak"))
     place = F.row_number().over(series.Window.orderBy(F.desc("rank"), F.desc("p"), "equipment_id", "start_ms"))
     return e.select("id", place.cast("long").alias("place"))
