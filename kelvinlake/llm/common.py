@@ -47,6 +47,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key that one row in HOT holds, or more, is joined by broadcast: at most HOT keys can.
+HOT = 1024
+
+
+def join_keys(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """rows joined (inner) to a table with one row a key, whose weight column counts the rows of the key.
+
+    Keys with a HOTth of all rows or more are broadcast, so that no task gets the rows of a hot key; the others are
+    shuffled. rows is read twice: pass a table.
+    """
+    hot = per_key.filter(F.col(weight) * HOT >= total)
+    heavy = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(per_key.filter(F.col(weight) * HOT < total), keys)
+    return heavy.unionByName(rest)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone. lower() does the same, faster, where all characters are ASCII."""
     plain = F.octet_length(c) == F.char_length(c)

@@ -5,27 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelvinlake.llm.common import cut
+from kelvinlake.llm.common import cut, join_keys
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of long ids -> (node, component), component the smallest id reachable.
 
     Alternating large-star and small-star: every round links each node's neighbours to the smallest of them,
-    until the edges form stars. Minima are pre-aggregated, so the centre of a large star is no heavy group.
+    until the edges form stars. Minima are pre-aggregated, and the edges of a node that holds a large share of them
+    get its minimum by broadcast, so the centre of a large star is no heavy group.
     Each round is written to the shared folder. Self-loops, repeated and reversed edges are allowed; no edges
     give no rows.
     """
     now = cut(_ordered(edges), "cc")
     while True:
-        small = now.groupBy("hi").agg(F.min("lo").alias("root"))
+        total = now.count()
+        small = now.groupBy("hi").agg(F.min("lo").alias("root"), F.count(F.lit(1)).alias("n"))
         # small star: a node's smaller neighbours move to the smallest of them
-        folded = now.join(small, "hi").select(F.col("lo").alias("a"), F.col("root").alias("b"))
+        folded = join_keys(now, small, ["hi"], "n", total).select(F.col("lo").alias("a"), F.col("root").alias("b"))
         star = _ordered(folded.unionByName(small.select(F.col("hi").alias("a"), F.col("root").alias("b"))))
         # large star: a node's larger neighbours move to the smallest of its neighbours and itself
         both = star.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(star.select(F.col("lo").alias("n"), F.col("lo").alias("m")))
-        least = both.groupBy("n").agg(F.min("m").alias("least"))
-        moved = star.join(least, star["lo"] == least["n"]).select(F.col("hi").alias("a"), F.col("least").alias("b"))
+        least = both.groupBy("n").agg(F.min("m").alias("least"), F.count(F.lit(1)).alias("edges")).withColumnRenamed("n", "lo")
+        moved = join_keys(star, least, ["lo"], "edges", total).select(F.col("hi").alias("a"), F.col("least").alias("b"))
         after = cut(_ordered(moved), "cc")
         # finished when every edge is of a star: nobody has two roots and no root has a root
         loose = after.groupBy("hi").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()

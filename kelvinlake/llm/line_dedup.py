@@ -4,8 +4,9 @@ A line's key is the line with blanks [\x20\x09-\x0D] stripped at both ends and A
 min_chars code points found in at least min_docs documents lose all their lines except in the largest doc_id
 that holds them. Rows (key hash, document, position) are dealt out by range over (hash, document), so that a line
 which a third of all documents hold spreads over many tasks; a secondary sort by position streams the first
-occurrence in each document, and counts and maxima are pre-aggregated before they meet. The operator returns
-bitmaps, not text.
+occurrence in each document, and counts and maxima are pre-aggregated before they meet. Lines that hold a large share
+of all rows (1,024 at most) are broadcast to theirs, the others are shuffled. The operator returns bitmaps, not text; a
+bitmap is spread into an array before it meets its text, so a text of many lines is read in one pass.
 
 Defined cases: a null or empty text is one empty line; rows with the same doc_id count as one document, and each
 distinct text of it gets its own bitmap; a null doc_id is a document below all ids; an empty table gives no rows.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kelvinlake.llm.common import BLANKS, NO_ID, UPPER, ascii_lower, cut, partitions, table
+from kelvinlake.llm.common import BLANKS, NO_ID, UPPER, ascii_lower, cut, join_keys, partitions, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -44,11 +45,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     rows = cut(rows, "lines")
 
     dealt = rows.select("h1", "h2", "doc_key", "pos").repartitionByRange(partitions(docs.sparkSession), "h1", "h2", "doc_key")
-    in_doc = Window.partitionBy("h1", "h2", "doc_key").orderBy("pos")
-    firsts = dealt.withColumn("nth", F.row_number().over(in_doc)).filter("nth = 1")
-    shared = firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_key").alias("keeper")).filter(F.col("n_docs") >= min_docs)
+    in_doc = Window.partitionBy("h1", "h2", "doc_key")
+    firsts = dealt.withColumns({"nth": F.row_number().over(in_doc.orderBy("pos")), "times": F.count(F.lit(1)).over(in_doc)}).filter("nth = 1")
+    per_line = firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("times").alias("n_rows"), F.max("doc_key").alias("keeper"))
+    shared = cut(per_line.filter(F.col("n_docs") >= min_docs).select("h1", "h2", "n_rows", "keeper"), "shared")
 
-    lost = rows.join(shared, ["h1", "h2"]).filter(F.col("doc_key") != F.col("keeper"))
+    lost = join_keys(rows, shared, ["h1", "h2"], "n_rows", rows.count()).filter(F.col("doc_key") != F.col("keeper"))
     bit = F.expr("shiftleft(1L, cast(pos % 64 as int))")
     by_word = lost.groupBy("doc_key", "text_key", F.expr("cast(pos div 64 as int)").alias("word")).agg(F.bit_or(bit).alias("gone"))
     return by_word.groupBy("doc_key", "text_key").agg(
@@ -57,21 +59,25 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     )
 
 
-def kept_lines(text: Column, keep: Column) -> Column:
-    """The lines of text whose bits are set."""
-    words = F.map_from_entries(keep)
-    stays = lambda _, i: F.coalesce(F.getbit(F.try_element_at(words, F.floor(i / 64).cast("int")), i % 64), F.lit(1)) == 1
-    return F.filter(text_lines(text), stays)
+def spread(keep: Column) -> Column:
+    """The words of a bitmap by their number, all bits set where the bitmap holds none."""
+    since = lambda i: F.when(i == 0, -1).otherwise(F.element_at(keep, F.greatest(i, F.lit(1)))["word"])
+    return F.flatten(F.transform(keep, lambda x, i: F.concat(F.array_repeat(F.lit(-1).cast("long"), x["word"] - since(i) - 1), F.array(x["bits"]))))
+
+
+def kept_lines(text: Column, words: Column) -> Column:
+    """The lines of text whose bits are set in the spread() bitmap."""
+    return F.filter(text_lines(text), lambda _, i: F.coalesce(F.getbit(F.get(words, F.floor(i / 64).cast("int")), i % 64), F.lit(1)) == 1)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs as struct `row`, with the text after dedup as `kept_text` and the count `n_dropped`."""
     doc, text = _ident(docs)
-    maps = keep_bitmaps(docs, min_chars, min_docs).hint("shuffle_hash")
+    maps = keep_bitmaps(docs, min_chars, min_docs).select("doc_key", "text_key", "n_dropped", spread(F.col("keep")).alias("words")).hint("shuffle_hash")
     full = docs.select(F.struct(*docs.columns).alias("row"), doc.alias("doc_key"), text.alias("text_key"))
     joined = full.join(maps, ["doc_key", "text_key"], "left")
     body = F.col("row.text")
-    new = F.when(F.col("keep").isNull(), body).otherwise(F.array_join(kept_lines(body, F.col("keep")), "\n"))
+    new = F.when(F.col("words").isNull(), body).otherwise(F.array_join(kept_lines(body, F.col("words")), "\n"))
     return joined.select("row", new.alias("kept_text"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
 
 

@@ -268,3 +268,14 @@ def test_near_dedup_large_nodes(spark, monkeypatch):
                 root = [a if r == b else r for r in root]
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
     assert 1 < len(set(root)) < len(rows) and got == dict(enumerate(root))
+
+
+def test_line_dedup_very_long_and_hot(spark):
+    """Texts of 60,000 lines in linear time; a line that most rows repeat, which is broadcast to its rows."""
+    n = 60_000
+    long = [(i, "\n".join(f"shared line with number {j}" if j % 2 else f"own {i} {j}" for j in range(n))) for i in range(3)]
+    hot = [(100 + i, "\n".join(["this line stands in every document"] * 3 + [f"and this one only in {i:05}"])) for i in range(50)]
+    got = {r["row"]["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(long + hot, "doc_id long, text string")).collect()}
+    assert [got[i]["n_dropped"] for i in range(3)] == [n // 2, n // 2, 0]
+    assert got[0]["kept_text"] == "\n".join(f"own 0 {j}" for j in range(0, n, 2)) and got[2]["kept_text"] == long[2][1]
+    assert all(got[100 + i]["n_dropped"] == 3 and got[100 + i]["kept_text"] == f"and this one only in {i:05}" for i in range(49)) and got[149]["n_dropped"] == 0
