@@ -11,12 +11,14 @@ Large groups of near copies do not become pairs. Every node first compares its m
 support, and later comparisons are made only in nodes that still hold several components. Nodes of PAIRED documents or
 fewer become pairs, confirmed on full sets. Larger ones bring the full sets of their members together, count all
 intersections there, and give back a spanning forest of their links, so fewer rows than members. Nodes above LEAF after
-DEPTH branchings are compared in blocks, every two of which meet, so no link depends on a cap. Before sets are built,
+DEPTH branchings are compared in blocks: those of the largest component meet only blocks of the other members, which
+also meet one another, so no link depends on a cap and an outlier among many copies costs one pass over them. Before sets are built,
 documents that share fewer than SHARED nodes with anyone are put aside (a pair at 0.8 shares about 16 of 20).
 
-Defined cases: a text without words, or null, has 0 shingles and no links; fewer words than a shingle make one
-shingle; rows with the same doc_id are compared like others and carry the id as it is; a null doc_id gets the
-component of its class but is never its representative, and is not kept; an empty table gives no rows.
+Classes are known by a hash of their set, not by a doc_id. Defined cases: a text without words, or null, has 0 shingles
+and no links; fewer words than a shingle make one shingle; rows with the same doc_id are compared like others and carry
+the id as it is; a null doc_id takes part like any other, also as a bridge, but never names a component and is not kept
+(of a component without any doc_id the component is null); an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,13 +32,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelvinlake.llm.common import cut, table, words
+from kelvinlake.llm.common import cut, join_keys, table, words
 from kelvinlake.llm.graph import connected_components
 
 WIDTH, TREES, PAIRED, LEAF, DEPTH, SHARED, SEEN = 64, 16, 32, 1024, 3, 4, 0.5
 #: Shingles of all members of a node that meet in one task; FREQUENT: from so many holders on, a shingle is counted by matrix.
 LEAF_SHINGLES, FREQUENT, COLUMNS = 4_000_000, 16, 4096
 SHINGLE, PERCENT = 5, 80
+#: Stands in for a null doc_id where the least one is sought; above every id in use.
+LAST_ID = 2**63 - 1
 _KEEP = 500_000
 _known: dict[bytes, int] = {}
 
@@ -80,7 +84,7 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, sig): s1 and s2 tell the sets apart, sig holds the minwise values."""
+    """(doc_id, text_key, n_shingles, s1, s2, sig): s1 and s2 tell the sets apart, sig holds the minwise values."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -90,9 +94,9 @@ def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
                 two = mix(x ^ np.uint64(0x5851F42D4C957F2D))
                 rows.append((len(x), int(x.sum(dtype=np.uint64).view(np.int64)), int(two.sum(dtype=np.uint64).view(np.int64)), minwise(x).tobytes() if len(x) else None))
             out = pd.DataFrame(rows, columns=["n_shingles", "s1", "s2", "sig"])
-            yield out.assign(doc_id=pdf["doc_id"].values)[["doc_id", "n_shingles", "s1", "s2", "sig"]]
+            yield out.assign(doc_id=pdf["doc_id"].values, text_key=pdf["text_key"].values)[["doc_id", "text_key", "n_shingles", "s1", "s2", "sig"]]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInPandas(run, "doc_id long, text_key long, n_shingles long, s1 long, s2 long, sig binary")
 
 
 def children(paths: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,15 +215,21 @@ def node_links(percent: int):
     return run
 
 
+CLASS = ["n_shingles", "s1", "s2"]
+
+
 class _Join:
     """The state of one join: class representatives, their sets and the links found so far."""
 
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.docs, self.k, self.percent = docs, k, percent
         self.sketches = cut(sketch_documents(docs, k), "sketches")
-        grouped = self.sketches.filter("n_shingles > 0").groupBy("n_shingles", "s1", "s2")
-        self.classes = cut(grouped.agg(F.min("doc_id").alias("rep"), F.max("sig").alias("sig")), "classes")
-        self.reps = self.classes.filter("rep is not null").select("rep", F.col("n_shingles").alias("n"), "sig")
+        grouped = self.sketches.filter("n_shingles > 0").groupBy(*CLASS)
+        # rep: the class as a node; its text is found by the least (doc_id, text), a null id standing last
+        one = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "text_key")).alias("one")
+        classes = grouped.agg(one, F.max("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
+        self.classes = cut(classes.select(*CLASS, F.xxhash64(*CLASS).alias("rep"), "one.*", "sig", "copies"), "classes")
+        self.reps = self.classes.select("rep", F.col("n_shingles").alias("n"), "sig")
         self.links: DataFrame | None = None
 
     def suspects(self) -> DataFrame:
@@ -230,7 +240,7 @@ class _Join:
         """
         rows = cut(self.reps.select("rep", F.explode(root_children("sig")).alias("key")), "nodes")
         met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        shared = rows.join(met, "key")
+        shared = cut(join_keys(rows, met, ["key"], "n", rows.count()), "shared")
         enough = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("times"), F.sum("n").alias("support")).filter(F.col("times") >= SHARED)
         return cut(shared.select("key", "rep").join(enough.select("rep", "support"), "rep"), "suspects")
 
@@ -238,14 +248,17 @@ class _Join:
         k = self.k
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: set[int] = set()
             for pdf in batches:
-                yield pd.DataFrame({"rep": pdf["doc_id"], "shingles": [packed(shingle_set(t, k)) for t in pdf["text"]]})
+                new = pdf[~pdf["rep"].isin(seen)].drop_duplicates("rep")
+                seen.update(new["rep"].tolist())
+                yield pd.DataFrame({"rep": new["rep"], "shingles": [packed(shingle_set(t, k)) for t in new["text"]]})
 
-        wanted = nodes.select(F.col("rep").alias("doc_id")).distinct()
-        texts = self.docs.select("doc_id", "text").filter("doc_id is not null").join(wanted, "doc_id", "left_semi")
-        sets = texts.mapInPandas(run, "rep long, shingles binary")
-        # rows that repeat a doc_id with other texts: the set of the class that the id represents is told by its size
-        self.sets = cut(sets, "sets")
+        wanted = self.classes.join(nodes.select("rep").distinct(), "rep", "left_semi").select("id", "text_key", "rep")
+        texts = self.docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("text_key"), "text")
+        # rows that repeat both id and text give a set for each task at most, and one of them is kept
+        found = texts.join(wanted, ["id", "text_key"]).select("rep", "text").mapInPandas(run, "rep long, shingles binary")
+        self.sets = cut(found.groupBy("rep").agg(F.first("shingles").alias("shingles")), "sets")
 
     def components(self) -> DataFrame | None:
         return None if self.links is None else cut(connected_components(self.links), "components")
@@ -264,9 +277,8 @@ class _Join:
         near = near.filter(100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
         near = near.filter(equal_values("sig_a", "sig_b") >= int(SEEN * WIDTH)).select("a", "b", "n_a", "n_b")
         near = cut(near, "near")
-        size = F.length("shingles") / 6
-        full = lambda x: self.sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"set_{x}"), size.cast("long").alias(f"n_{x}"))
-        both = near.join(full("a"), ["a", "n_a"]).join(full("b"), ["b", "n_b"])
+        full = lambda x: self.sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"set_{x}"))
+        both = near.join(full("a"), "a").join(full("b"), "b")
         same = both.withColumn("same", common_shingles("set_a", "set_b"))
         self.add(same.filter(100 * F.col("same") >= p * (F.col("n_a") + F.col("n_b") - F.col("same"))).select("a", "b"))
 
@@ -283,7 +295,7 @@ class _Join:
 
     def stars(self, at: DataFrame, pivot: Column) -> DataFrame:
         """Pairs of each mixed node's pivot with the members of other components."""
-        return at.join(self.mixed(at, pivot), "key").filter("comp <> pivot_comp").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+        return join_keys(at, self.mixed(at, pivot), ["key"], "n", at.count()).filter("comp <> pivot_comp").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
 
     def run(self) -> DataFrame:
         nodes = self.suspects()
@@ -292,8 +304,9 @@ class _Join:
         components = self.components()
         small, whole, depth = [], [], 1
         while True:
-            at = self.placed(nodes, components)
-            members = cut(at.join(self.mixed(at, F.col("support")).select("key", "n"), "key"), "members")
+            at = cut(self.placed(nodes, components), "placed")
+            mixed = cut(self.mixed(at, F.col("support")).select("key", "n"), "mixed")
+            members = cut(join_keys(at, mixed, ["key"], "n", nodes.count()), "members")
             small.append(members.filter(F.col("n") <= PAIRED))
             large = members.filter(F.col("n") > LEAF)
             rest = depth < DEPTH and bool(large.limit(1).count())
@@ -311,15 +324,25 @@ class _Join:
 
     def within(self, members: DataFrame) -> DataFrame:
         """Links in the nodes of members(key, n, rep, comp). A node with too many documents or shingles for one task is
-        dealt into blocks, and every two of its blocks meet."""
-        sized = members.select("key", "n", "rep", "comp").join(self.reps.select("rep", F.col("n").alias("size")), "rep")
-        heavy = sized.groupBy("key").agg(F.greatest(F.ceil(F.max("n") / LEAF), F.ceil(F.sum("size") / LEAF_SHINGLES)).alias("times"))
-        blocks = F.when(F.col("times") > 1, 2 * F.col("times")).otherwise(1)
-        dealt = sized.join(heavy, "key").select("key", "rep", "comp", "size", blocks.alias("blocks"), F.pmod(F.xxhash64("rep", "key"), blocks).alias("block"))
-        other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("block"))))
-        met = dealt.select("key", "rep", "comp", "size", "block", other.alias("other")).select("key", "rep", "comp", "size", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        sets = self.sets.select("rep", "shingles", (F.length("shingles") / 6).cast("long").alias("size"))
-        return met.join(sets, ["rep", "size"]).groupBy("key", "i", "j").applyInPandas(node_links(self.percent), "a long, b long").distinct()
+        dealt into blocks of its largest component and blocks of the others; every two of the latter meet, and each
+        of them meets every one of the former, whose own links are known."""
+        sized = cut(members.select("key", "rep", "comp").join(self.reps.select("rep", F.col("n").alias("size")), "rep"), "sized")
+        total = sized.count()
+        own = sized.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+        blocks = lambda n, shingles: F.greatest(F.ceil(2 * n / LEAF), F.ceil(2 * shingles / LEAF_SHINGLES), F.lit(1))
+        nodes = own.groupBy("key").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "shingles", "comp")).alias("main"))
+        single = (F.col("n") <= LEAF) & (F.col("shingles") <= LEAF_SHINGLES)
+        others = blocks(F.col("n") - F.col("main.n"), F.col("shingles") - F.col("main.shingles"))
+        nodes = nodes.select("key", "n", F.col("main.comp").alias("main"), F.when(single, 1).otherwise(others).alias("others"), F.when(single, 0).otherwise(blocks(F.col("main.n"), F.col("main.shingles"))).alias("mains"))
+        dealt = join_keys(sized, cut(nodes, "large"), ["key"], "n", total)
+        # blocks from 0 on hold the others (or all members, where one block is enough), those behind them the main component
+        main = (F.col("comp") == F.col("main")) & (F.col("mains") > 0)
+        place = F.xxhash64("rep", "key")
+        dealt = dealt.withColumn("block", F.when(main, F.col("others") + F.pmod(place, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(place, F.col("others"))))
+        upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+        meets = F.when(F.col("mains") == 0, F.array(F.lit(0).cast("long"))).when(main, upto(F.col("others"))).otherwise(F.filter(upto(F.col("others") + F.col("mains")), lambda x: x != F.col("block")))
+        met = dealt.select("key", "rep", "comp", "block", F.explode(meets).alias("other")).select("key", "rep", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        return met.join(self.sets, "rep").groupBy("key", "i", "j").applyInPandas(node_links(self.percent), "a long, b long").distinct()
 
     @staticmethod
     def exhaustive(members: DataFrame) -> DataFrame:
@@ -329,14 +352,28 @@ class _Join:
         return x.join(y, on).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, n_shingles, component_id, kept), a row for each row."""
+def clustered(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, text_key, n_shingles, component_id, first_key), a row for each row. first_key is the
+    text_key of the least (doc_id, text_key) of the component, whose row stays where one row is to stay."""
     join = _Join(docs, shingle, percent)
     components = join.run()
-    with_rep = join.sketches.join(join.classes.select("n_shingles", "s1", "s2", "rep"), ["n_shingles", "s1", "s2"], "left")
-    out = with_rep.join(components, with_rep["rep"] == components["node"], "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    grouped = join.classes.join(components, join.classes["rep"] == components["node"], "left").select(*CLASS, "copies", "id", "text_key", F.coalesce("component", "rep").alias("group"))
+    grouped = cut(grouped, "grouped")
+    first = grouped.groupBy("group").agg(F.min(F.struct("id", "text_key")).alias("first"), F.count(F.lit(1)).alias("n"))
+    named = join_keys(grouped, first, ["group"], "n", grouped.count())
+    named = named.select(*CLASS, "copies", F.nullif(F.col("first.id"), F.lit(LAST_ID)).alias("component_id"), F.col("first.text_key").alias("first_key"))
+    rows = join.sketches.select("doc_id", "text_key", *CLASS)
+    with_words = join_keys(rows.filter("n_shingles > 0"), cut(named, "named"), CLASS, "copies", rows.count())
+    # rows without words stand for themselves
+    alone = rows.filter("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "first_key": F.col("text_key")})
+    columns = ["doc_id", "text_key", "n_shingles", "component_id", "first_key"]
+    return with_words.select(*columns).unionByName(alone.select(*columns))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, n_shingles, component_id, kept), a row for each row."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return clustered(docs, shingle, percent).select("doc_id", "n_shingles", "component_id", kept)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,3 +279,12 @@ def test_line_dedup_very_long_and_hot(spark):
     assert [got[i]["n_dropped"] for i in range(3)] == [n // 2, n // 2, 0]
     assert got[0]["kept_text"] == "\n".join(f"own 0 {j}" for j in range(0, n, 2)) and got[2]["kept_text"] == long[2][1]
     assert all(got[100 + i]["n_dropped"] == 3 and got[100 + i]["kept_text"] == f"and this one only in {i:05}" for i in range(49)) and got[149]["n_dropped"] == 0
+
+
+def test_near_dedup_without_ids(spark):
+    """Rows without doc_id link and bridge like others; rows that share an id and not a text stay apart."""
+    words = [f"w{i}" for i in range(60)]
+    near = lambda *at: " ".join(f"x{i}" if i in at else w for i, w in enumerate(words))
+    rows = [(1, near()), (None, near(59)), (None, near(0, 59)), (2, near(0, 1, 59)), (3, "another text " + " ".join(f"y{i}" for i in range(50))), (3, near(58, 59)), (None, " ".join(f"z{i}" for i in range(40))), (None, " ".join(f"z{i}" for i in range(40)))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    assert sorted(((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got)) == [(0, 0, False), (0, 0, False), (0, 1, False), (0, 1, False), (1, 1, True), (2, 1, False), (3, 1, False), (3, 3, True)]
