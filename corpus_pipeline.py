@@ -3,6 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result to the shared folder and
 reads it back as the next stage's docs. All but the last return the columns they were given, with n_chars kept in step
 with the text. Rows with null columns pass through; a null text stays null until packing, where it is its end id.
+Other columns, whatever their names, pass through all but the last stage: stages work beside a struct of the row. An
+empty table, or one of empty texts, passes all stages; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kelvinlake.llm.common import cut, ship, table
 from kelvinlake.llm.line_dedup import dedup_lines
-from kelvinlake.llm.near_dedup import near_duplicates
+from kelvinlake.llm.near_dedup import LAST_ID, clustered
 from kelvinlake.llm.packing import pack_documents
 from kelvinlake.llm.secret_scan import masked
 from kelvinlake.llm.toxicity import fit_toxicity, grade_toxicity
@@ -28,7 +30,7 @@ def _with_text(rows: DataFrame, columns: list[str], text) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose chance to be of grade 1 or more reaches TOXIC_AT."""
-    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    model = fit_toxicity(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     rows = grade_toxicity(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
     return rows.filter(F.col("toxicity.p_toxic") < TOXIC_AT).select("row.*")
 
@@ -39,11 +41,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays; of repeated rows one. Rows without doc_id stay."""
+    """Of each group of near duplicates the row of the least (doc_id, text) stays, a null doc_id standing last; of rows
+    that repeat both, one. Rows without words are duplicates of nothing but such rows."""
     ship(spark)
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return named.unionByName(docs.filter("doc_id is null"))
+    key = [F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), F.xxhash64("text").alias("_text")]
+    found = clustered(docs)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key"))
+    kept = found.filter(first).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), F.col("text_key").alias("_text")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *key)
+    return rows.join(kept, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
