@@ -2,11 +2,16 @@ r"""Secret scans: patterns, then structural confirmation of encoded candidates.
 
 Base kinds are found by pattern: `assign` (a key word, a separator and a value of 6 characters or more), `access`
 (AKIA identifiers of 20 characters or more) and `hex` (24 digits or more). Further kinds are reported only when
-their bytes parse: a base64 or hex run is decoded and must be a key whose nested lengths add up (`der`, `ssh`),
-a token must carry a JSON header that names its algorithm (`jwt`), and an armoured block must hold such a key (`pem`).
+their bytes parse: a base64 run (one line, or lines of equal width with a shorter last one), or a hex run of either case,
+is decoded and must be a key whose nested lengths add up (`der`, `ssh`), a token must carry a JSON header that names its
+algorithm (`jwt`), and an armoured block must hold such a key (`pem`); its lines may end in newlines or in the two
+characters backslash and n, and header lines (as of encrypted keys) may stand before its body. The body of an encrypted
+armour is no key before it is decrypted, so there the header alone confirms it.
 
 Spans are in code points, end exclusive. Defined cases: a null or empty text has no spans; every row is scanned by
-itself, so repeated rows give repeated results and an empty table none; texts are scanned whole.
+itself, so repeated rows give repeated results and an empty table none; texts are scanned whole; spans of several kinds
+may overlap or tie, and are ordered by start, then by kind as listed, then by end; a column of the same name as the
+result is replaced, other columns pass through.
 """
 
 from __future__ import annotations
@@ -28,9 +33,14 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
+ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{40,}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Lines of one width from 48 on, each but the last full; checked by wrapped().
+LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{48,}(?:\r?\n[A-Za-z0-9+/_-]+(?==*(?:\r?\n|\Z)))+={0,2}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{12,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----", re.A)
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:\s|\\[nr])*(?:[A-Za-z-]+: [^\n\\]*(?:\n|\\n))*(?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----", re.A)
+HEADER = re.compile(r"^[A-Za-z-]+: .*$", re.M)
+SSH_FILE = b"openssh-key-v1\0"
 SSH_TYPE = re.compile(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d+|sk-[a-z0-9@.-]+)\Z")
 
 
@@ -61,33 +71,55 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return items
 
 
+def is_algorithm(data: bytes) -> bool:
+    """An object identifier, and at most one parameter behind it."""
+    items = der_items(data)
+    return bool(items) and items[0][0] == 0x06 and len(items) <= 2
+
+
 def is_der_key(data: bytes) -> bool:
-    """One SEQUENCE that is laid out as a PKCS#1, PKCS#8, SEC1 or public key, with all nested lengths right."""
+    """One SEQUENCE that is laid out as a PKCS#1, PKCS#8 (plain or encrypted), SEC1 or public key, with all nested lengths right."""
     outer = der_items(data) if data[:1] == b"\x30" else None
     if not outer or len(outer) != 1 or not (inner := der_items(outer[0][1])):
         return False
-    tags = [tag for tag, _ in inner]
-    if tags[:2] == [0x30, 0x03]:  # algorithm, bit string
-        return (der_items(inner[0][1]) or [(0, b"")])[0][0] == 0x06
-    if tags[:3] == [0x02, 0x30, 0x04]:  # version, algorithm, wrapped key
-        return (der_items(inner[1][1]) or [(0, b"")])[0][0] == 0x06
-    if tags[:2] == [0x02, 0x04]:  # version, private value
-        return inner[0][1] == b"\x01"
-    return len(tags) in (2, 6, 9) and set(tags) == {0x02} and max(len(x) for _, x in inner) >= 16
+    tags, parts = [tag for tag, _ in inner], [x for _, x in inner]
+    if tags == [0x30, 0x03]:  # algorithm, bit string with its count of unused bits
+        return is_algorithm(parts[0]) and len(parts[1]) > 1 and parts[1][0] < 8
+    if tags == [0x30, 0x04]:  # encryption algorithm, encrypted key in whole blocks
+        return is_algorithm(parts[0]) and len(parts[1]) >= 16 and len(parts[1]) % 8 == 0
+    if tags[:3] == [0x02, 0x30, 0x04]:  # version, algorithm, a key that is DER itself
+        return parts[0] in (b"\0", b"\1") and is_algorithm(parts[1]) and bool(der_items(parts[2]))
+    if tags[:2] == [0x02, 0x04]:  # version, private value, curve and public key in tags 0 and 1
+        return parts[0] == b"\1" and set(tags[2:]) <= {0xA0, 0xA1} and all(der_items(x) for x in parts[2:])
+    return len(tags) in (2, 6, 9) and set(tags) == {0x02} and max(map(len, parts)) >= 16
+
+
+def ssh_strings(data: bytes) -> list[bytes] | None:
+    """The strings with 32-bit lengths that data consists of; None if a length is wrong."""
+    parts, at = [], 0
+    while at < len(data):
+        end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+        if at + 4 > len(data) or end > len(data):
+            return None
+        parts.append(data[at + 4 : end])
+        at = end
+    return parts
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """A private key file body, or strings with 32-bit lengths of which the first names a key type."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    parts, at = [], 0
-    while at + 4 <= len(data):
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
-            return False
-        parts.append(data[at + 4 : at + 4 + size])
-        at += 4 + size
-    return at == len(data) and len(parts) >= 2 and bool(SSH_TYPE.match(parts[0]))
+    """A private key file body, with its keys counted and nested, or strings of which the first names a key type."""
+    if data.startswith(SSH_FILE):
+        parts, at = [], len(SSH_FILE)
+        for _ in range(3):  # cipher, key derivation and its options
+            end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+            if end > len(data):
+                return False
+            parts.append(data[at + 4 : end])
+            at = end
+        n, rest = int.from_bytes(data[at : at + 4], "big"), ssh_strings(data[at + 4 :])
+        return n >= 1 and bool(parts[0]) and rest is not None and len(rest) in (n + 1, n + 2) and all(is_ssh_key(x) for x in rest[:n])
+    parts = ssh_strings(data)
+    return bool(parts) and len(parts) >= 2 and bool(SSH_TYPE.match(parts[0]))
 
 
 def is_token_head(segment: str) -> bool:
@@ -107,20 +139,31 @@ def _key_kind(data: bytes | None) -> str | None:
     return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
 
 
+def wrapped(run: str) -> str | None:
+    """The base64 of lines of one width, the last of which may be shorter, joined."""
+    lines = run.split()
+    return "".join(lines) if len({len(x) for x in lines[:-1]}) == 1 and len(lines[-1]) <= len(lines[0]) else None
+
+
+def armoured_key(body: str) -> bool:
+    text = body.replace("\\r", "\r").replace("\\n", "\n")
+    data = decode64("".join(HEADER.sub("", text).split()))
+    locked = any("ENCRYPTED" in h for h in HEADER.findall(text))
+    return bool(data) and (_key_kind(data) is not None or (locked and len(data) % 8 == 0))
+
+
 def find_spans(text: str) -> list[dict]:
     """All spans of one text, by start and then kind as listed."""
-    found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    for m in HEX.finditer(text):
-        found.append(("hex", *m.span()))
-        if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0]))):
-            found.append((kind, *m.span()))
-    found += [(kind, *m.span()) for m in BASE64.finditer(text) if (kind := _key_kind(decode64(m[0])))]
-    found += [("jwt", *m.span()) for m in TOKEN.finditer(text) if is_token_head(m[1])]
+    found = {("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6}
+    found |= {("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20}
+    found |= {("hex", *m.span()) for m in HEX.finditer(text)}
+    found |= {(kind, *m.span()) for m in ANY_HEX.finditer(text) if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0])))}
+    found |= {(kind, *m.span()) for m in BASE64.finditer(text) if (kind := _key_kind(decode64(m[0])))}
+    found |= {(kind, *m.span()) for m in LINES.finditer(text) if (kind := _key_kind(decode64(wrapped(m[0]) or "")))}
+    found |= {("jwt", *m.span()) for m in TOKEN.finditer(text) if is_token_head(m[1])}
     if "-----BEGIN " in text:
-        found += [("pem", *m.span()) for m in ARMOUR.finditer(text) if _key_kind(decode64("".join(m[2].split())))]
-    found.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
-    return [{"kind": k, "start": a, "end": b} for k, a, b in found]
+        found |= {("pem", *m.span()) for m in ARMOUR.finditer(text) if armoured_key(m[2])}
+    return [{"kind": k, "start": a, "end": b} for k, a, b in sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))]
 
 
 def secret_spans(text: str) -> Column:
