@@ -6,11 +6,13 @@ document's verdict is its pattern's posterior probability of being good. Pattern
 documents; there are at most 3^rules of them, which bounds what reaches the driver and is sent back.
 
 Words are [^\x20\x09-\x0D]+, as written. Defined cases: a null or empty text has no words and fails the base rule;
-rows are judged each by itself, so repeated rows get the same verdict; an empty table gives no rows.
+texts are read whole; rows are judged each by itself, so repeated rows get the same verdict, as do rows whose votes tie;
+a null doc_id is kept as it is; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 
 import numpy as np
@@ -32,6 +34,16 @@ PLAIN = regex.compile(r"[\"'(]?[\p{L}\p{M}'’-]+[.,;:?!)\"']?")
 MARKED = regex.compile(r".*[^\p{L}\p{M}\p{N}]{2,}", regex.S)
 
 
+@functools.lru_cache(200_000)
+def plain(word: str) -> bool:
+    return bool(PLAIN.fullmatch(word))
+
+
+@functools.lru_cache(200_000)
+def marked(word: str) -> bool:
+    return bool(MARKED.fullmatch(word))
+
+
 def repeat_words(ids: np.ndarray) -> int:
     """How many words lie in 3-word windows that occur twice or more."""
     if len(ids) < 4:
@@ -48,8 +60,10 @@ def repeat_words(ids: np.ndarray) -> int:
 def text_stats(text: str | None) -> tuple[int, ...]:
     text = text or ""
     words = [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
-    number: dict[str, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    times = Counter(words)
+    number = {w: i for i, w in enumerate(times)}
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    of = lambda holds: sum(n for w, n in times.items() if holds(w))
     lines = Counter(x for x in text.split("\n") if x.encode("utf-8", "surrogatepass").strip())
     return (
         len(words),
@@ -57,9 +71,9 @@ def text_stats(text: str | None) -> tuple[int, ...]:
         sum(text.count(c) for c in SYMBOLS),
         sum(n - 1 for n in lines.values()),
         repeat_words(ids),
-        sum(1 for w in words if len(w) > 1 and w.isupper()),
-        sum(1 for w in words if PLAIN.fullmatch(w)),
-        sum(1 for w in words if MARKED.fullmatch(w)),
+        of(lambda w: len(w) > 1 and w.isupper()),
+        of(plain),
+        of(marked),
         len(number),
     )
 
