@@ -7,7 +7,8 @@ when the vocabulary is loaded), so one pass over the ranks is enough. The vocabu
 every worker reads it once.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; the special token's string in a text
-becomes its one id; ids are decoded as bytes, ill-formed UTF-8 by the replacement character.
+becomes its one id; ids are decoded as bytes, ill-formed UTF-8 by the replacement character; repeated rows are encoded
+like any others and null doc_ids kept as they are; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from kelvinlake.llm.common import table
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Pre-tokens whose ids a worker keeps from one batch to the next.
 KEEP_WORDS = 400_000
+#: Longer ones are not kept.
+KEEP_CHARS = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -150,7 +153,11 @@ class Bpe:
         fresh = list(set().union(*cut).difference(known)) if cut else []
         if fresh:
             known.update(zip(fresh, self.encode_distinct(fresh)))
-        return [[known[w] for w in ws] for ws in cut]
+        out = [[known[w] for w in ws] for ws in cut]
+        for w in fresh:
+            if len(w) > KEEP_CHARS:
+                del known[w]
+        return out
 
     def decode(self, ids) -> str:
         return b"".join([self.bytes[i] for i in ids]).decode("utf-8", "replace")
@@ -207,6 +214,9 @@ def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 shown = ",".join([listed[w] for w in ws])
                 text = b"".join([back[w] for w in ws]).decode("utf-8", "replace")
                 rows.append((shown.count(",") + bool(ws), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+            for w in fresh:
+                if len(w) > KEEP_CHARS:
+                    del listed[w], back[w]
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             yield out.assign(doc_id=pdf["doc_id"].values)[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
 
