@@ -2,15 +2,17 @@
 
 The model is fitted on at most fit_rows labelled documents, taken in the order of a hash of doc_id (a documented bound,
 which also makes their labels small enough to broadcast, so that no text is shuffled). Features are words and word
-beginnings (4 to 6 letters), present or not. Spark counts how many toxic and clean ones of them hold each feature; of those that are over-represented in toxic ones (log-odds over 1, MIN_Z standard errors) the max_terms with the most
-weight make up the model's vocabulary. The table's label is binary, so severity grades come from the dose: clean rows are grade 0, toxic rows
+beginnings (4 to 6 letters), present or not. Spark counts how many toxic and clean ones of them hold each feature; all that
+are over-represented in toxic ones (log-odds over 1, MIN_Z standard errors, MIN_DOCS documents) make up the model's
+vocabulary, which the bound on fitted rows bounds too. The table's label is binary, so severity grades come from the dose: clean rows are grade 0, toxic rows
 1, 2 or 3 by how many distinct words of theirs hold a term with log-odds of at least 2 (up to 2, 3 to 4, more). One weight vector is
 shared by the ordered thresholds: P(grade > k) = sigmoid(w.x - theta_k). Every document is graded; the output is
 the expected grade and P(grade > 0); a document is toxic from P >= 0.5.
 
 Defined cases: a null or empty text has no features; without labels, or with labels of one class only, no document
 is toxic and expected severity is 0; null labels or ids are left out of the fit; repeated rows get the same grade;
-repeated labels of one doc_id count as toxic if any is.
+repeated labels of one doc_id count as toxic if any is; texts are read whole; an empty table gives no rows; a column of
+the result's name is replaced, other columns pass through.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kelvinlake.llm.common import cut, ship, table
 
-MAX_TERMS, FIT_ROWS, MIN_DOCS, MIN_Z = 2000, 20_000, 4, 2.8
+FIT_ROWS, MIN_DOCS, MIN_Z = 20_000, 4, 2.8
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -89,7 +91,7 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_terms: int, rounds:
     return x[:n_terms], x[n_terms:]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_terms: int = MAX_TERMS, fit_rows: int = FIT_ROWS) -> Model:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     known = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     labelled = cut(docs.select("doc_id", "text").join(F.broadcast(cut(picked, "picked")), "doc_id").select("toxic", "text"), "labelled")
@@ -100,7 +102,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_terms: int = MAX_TERMS,
     odds = F.log(((F.col("n_toxic") + 0.5) / (n_of[1] + 1)) / ((F.col("n_clean") + 0.5) / (n_of[0] + 1)))
     z = F.col("odds") / F.sqrt(1 / (F.col("n_toxic") + 0.5) + 1 / (F.col("n_clean") + 0.5))
     terms = count_terms(labelled).withColumn("odds", odds).filter((F.col("n_toxic") >= MIN_DOCS) & (F.col("odds") > 1) & (z >= MIN_Z))
-    top = terms.orderBy((F.col("n_toxic") * F.col("odds")).desc(), "term").limit(max_terms).collect()
+    top = terms.select("term", "odds").orderBy("term").collect()  # words of at most fit_rows documents, MIN_DOCS of them each
     if not top:
         return model
     model = Model({r["term"]: i for i, r in enumerate(top)}, {r["term"] for r in top if r["odds"] >= 2})
@@ -120,7 +122,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_terms: int = MAX_TERMS,
 def grade_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """docs with `p_toxic` (P(grade > 0)) and `severity` (the expected grade)."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_terms terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded as its terms are
 
     def grades(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
