@@ -1,15 +1,17 @@
 """Hierarchical multi-length packing of documents into training windows.
 
 Every document's ids (with an end id) are cut into whole 2048-token windows; what remains is routed to the
-context-size tier that just holds it. Tiers are packed from the longest to the shortest: each window opens with a
-piece of its own tier, its gap is filled with whole pieces of shorter tiers, longest first, and at last with the
-head of a cut piece, whose tail is routed again. So every window is full, at a power-of-two size that needs no
+context-size tier that just holds it. Pieces wait in a pool of up to POOL; a full pool is packed tier by tier, from the
+longest to the shortest: each window opens with the longest piece of its own tier, its gap is filled with whole pieces,
+the best fitting (longest that goes in) first, found by an index of lengths, and only where none goes in with the head of
+a cut piece, whose tail is routed again. So every window is full, at a power-of-two size that needs no
 padding, but for one a task. Windows of one tier are dealt to step groups in serpentine order of their number of
 pieces, so the steps of a tier hold alike many documents.
 
-Packing needs no shuffle: each partition streams through its own rows and holds one batch of ids and the pieces of
-one open window. Sequence ids carry the partition's number. Defined cases: a null or empty text is its end id
-alone; repeated rows are packed like any others; an empty table gives no rows.
+Packing needs no shuffle: each partition streams through its own rows and holds one batch of ids and the pool, POOL pieces
+of less than the longest tier. Sequence ids carry the partition's number. Defined cases: a null or empty text is its end
+id alone; a text of any length is packed whole; repeated rows, ties in length and null doc_ids are packed like any others
+(of pieces of one length the first to come goes first); an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ SPECIAL = {"<|endoftext|>": 50256}
 END_ID = 1
 TIERS = (2048, 1024, 512, 256)
 GROUP = 32
+POOL = 8192
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -45,49 +48,60 @@ def encoder(path: str) -> tiktoken.Encoding:
 
 
 class Packer:
-    """Packs pieces (document, ids, start, length, document's tokens); windows come out as lists of pieces."""
+    """Packs pieces (document, its ids from start on, start, document's tokens); windows come out as lists of pieces."""
 
     def __init__(self, tiers: tuple[int, ...]):
         self.tiers = tiers
-        self.queues: dict[int, deque] = {t: deque() for t in tiers}
-
-    def route(self, piece: tuple) -> None:
-        tier = next(t for t in reversed(self.tiers) if piece[3] <= t)
-        self.queues[tier].append(piece)
+        self.of_size: list[deque] = [deque() for _ in range(tiers[0] + 1)]
+        #: Bit n is set where a piece of n ids waits.
+        self.sizes, self.waiting = 0, 0
+
+    def put(self, piece: tuple) -> None:
+        self.of_size[len(piece[1])].append(piece)
+        self.sizes |= 1 << len(piece[1])
+        self.waiting += 1
+
+    def take(self, size: int) -> tuple:
+        piece = self.of_size[size].popleft()
+        if not self.of_size[size]:
+            self.sizes ^= 1 << size
+        self.waiting -= 1
+        return piece
 
     def add(self, doc, ids: np.ndarray) -> Iterator[tuple[int, list[tuple]]]:
-        """Whole windows of the document at once; the rest waits in its tier."""
+        """Whole windows of the document at once; the rest waits."""
         longest, n = self.tiers[0], len(ids)
         whole = n - n % longest
         for at in range(0, whole, longest):
-            yield longest, [(doc, ids, at, longest, n)]
+            yield longest, [(doc, ids[at : at + longest], at, n)]
         if whole < n:
-            self.route((doc, ids, whole, n - whole, n))
-
-    def _filler(self, gap: int) -> tuple | None:
-        """A piece of at most gap tokens: whole from the longest tier that has one at its head, or else cut."""
-        for t in self.tiers:
-            if self.queues[t] and self.queues[t][0][3] <= gap:
-                return self.queues[t].popleft()
-        for t in reversed(self.tiers):
-            if self.queues[t]:
-                doc, ids, at, size, n = self.queues[t].popleft()
-                self.route((doc, ids, at + gap, size - gap, n))
-                return doc, ids, at, gap, n
-        return None
+            self.put((doc, ids[whole:].copy(), whole, n))
+
+    def longest(self, limit: int) -> int:
+        """The length of the longest piece of at most limit ids; 0 if there is none."""
+        return max(0, (self.sizes & ((2 << limit) - 1)).bit_length() - 1)
+
+    def filler(self, gap: int) -> tuple | None:
+        """The longest piece that fits into the gap, or else the head of the shortest that waits."""
+        if size := self.longest(gap):
+            return self.take(size)
+        if not self.sizes:
+            return None
+        doc, ids, at, n = self.take((self.sizes & -self.sizes).bit_length() - 1)
+        self.put((doc, ids[gap:], at + gap, n))
+        return doc, ids[:gap], at, n
 
     def windows(self, last: bool) -> Iterator[tuple[int, list[tuple]]]:
-        """Full windows of all tiers; the pieces of the one that stays open wait for more, unless this is the last call."""
-        for tier in self.tiers:
-            while self.queues[tier]:
-                pieces = [self.queues[tier].popleft()]
-                gap = tier - pieces[0][3]
-                while gap and (piece := self._filler(gap)):
+        """Windows of all tiers from the pool; the pieces of one that stays open wait for more, unless this is the last call."""
+        for tier, below in zip(self.tiers, (*self.tiers[1:], 0)):
+            while (size := self.longest(tier)) > below:
+                pieces, gap = [self.take(size)], tier - size
+                while gap and (piece := self.filler(gap)):
                     pieces.append(piece)
-                    gap -= piece[3]
+                    gap -= len(piece[1])
                 if gap and not last:  # nothing is left but these
                     for piece in pieces:
-                        self.route(piece)
+                        self.put(piece)
                     return
                 yield tier, pieces
 
@@ -118,9 +132,9 @@ def pack_documents(docs: DataFrame, path: str = VOCABULARY, tiers: tuple[int, ..
             groups = step_groups([(t, len(ps)) for t, ps in windows])
             for (tier, pieces), group in zip(windows, groups):
                 offset = 0
-                for doc, ids, at, size, n in pieces:
-                    rows.append((doc, at, size, zlib.crc32(ids[at : at + size]), n, base + n_windows, offset, tier, base + (n_batches << 16) + (levels[tier] << 12) + group))
-                    offset += size
+                for doc, ids, at, n in pieces:
+                    rows.append((doc, at, len(ids), zlib.crc32(ids), n, base + n_windows, offset, tier, base + (n_batches << 16) + (levels[tier] << 12) + group))
+                    offset += len(ids)
                 n_windows += 1
             n_batches += 1
             return pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
@@ -131,7 +145,8 @@ def pack_documents(docs: DataFrame, path: str = VOCABULARY, tiers: tuple[int, ..
             for doc, text in zip(ids_of, pdf["text"].fillna("")):
                 ids = np.array(enc.encode(text, allowed_special="all") + [END_ID], dtype="<u4")
                 out += packer.add(None if doc is None else int(doc), ids)
-            out += packer.windows(last=False)
+                if packer.waiting >= POOL:
+                    out += packer.windows(last=False)
             if out:
                 yield shown(out)
         if out := list(packer.windows(last=True)):
