@@ -288,3 +288,196 @@ def test_near_dedup_without_ids(spark):
     rows = [(1, near()), (None, near(59)), (None, near(0, 59)), (2, near(0, 1, 59)), (3, "another text " + " ".join(f"y{i}" for i in range(50))), (3, near(58, 59)), (None, " ".join(f"z{i}" for i in range(40))), (None, " ".join(f"z{i}" for i in range(40)))]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
     assert sorted(((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got)) == [(0, 0, False), (0, 0, False), (0, 1, False), (0, 1, False), (1, 1, True), (2, 1, False), (3, 1, False), (3, 3, True)]
+
+
+# --- against plain, independent forms -----------------------------------------------------------------------------
+
+
+def der(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else b"\x82" + n.to_bytes(2, "big")) + body
+
+
+def ssh(body):
+    return len(body).to_bytes(4, "big") + body
+
+
+def keys():
+    algorithm = der(0x30, der(6, b"\x2b\x65\x70"))
+    public = ssh(b"ssh-ed25519") + ssh(bytes(32))
+    return {
+        "pkcs8": ("der", der(0x30, der(2, b"\0") + algorithm + der(4, der(4, bytes(range(32)))))),
+        "encrypted": ("der", der(0x30, algorithm + der(4, bytes(range(48))))),
+        "rsa": ("der", der(0x30, b"".join(der(2, b"\1" * n) for n in (1, 128, 3, 128, 64, 64, 64, 64, 64)))),
+        "sec1": ("der", der(0x30, der(2, b"\1") + der(4, bytes(32)) + der(0xA0, der(6, b"\x2a\x86")))),
+        "ssh": ("ssh", public),
+        "file": ("ssh", b"openssh-key-v1\0" + ssh(b"none") + ssh(b"none") + ssh(b"") + (1).to_bytes(4, "big") + ssh(public) + ssh(bytes(100))),
+    }
+
+
+@pytest.mark.parametrize("name", list(keys()))
+def test_keys_in_every_writing(name):
+    kind, data = keys()[name]
+    kinds = lambda text: {s["kind"] for s in secret_scan.find_spans(text)} - {"hex", "assign"}
+    text = base64.b64encode(data).decode()
+    rows = lambda end: end.join(text[i : i + 64] for i in range(0, len(text), 64))
+    assert kinds(text) == kinds(data.hex()) == kinds(data.hex().upper()) == {kind}
+    assert kind in kinds("see\n" + rows("\n") + "\nand more words")
+    for end in ("\n", "\\n"):
+        assert "pem" in kinds(f"-----BEGIN SOME KEY-----{end}Comment: mine{end}{end}{rows(end)}{end}-----END SOME KEY-----")
+    for bad in (data[:-3], data + b"\0", data[:1] + b"\x7f" + data[2:]):
+        assert not kinds(base64.b64encode(bad).decode()) and not kinds(bad.hex())
+    assert not kinds("-----BEGIN SOME KEY-----\n" + base64.b64encode(bytes(300)).decode() + "\n-----END SOME KEY-----")
+
+
+def plain_spans(text):
+    """The base kinds by a scan of characters, without patterns."""
+    out, n, low = [], len(text), text.lower()
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    i = 0
+    while i < n:
+        hit = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word, i) and text[i : i + len(word)].isascii():
+                j = i + len(word)
+                j += j < n and text[j] in "\"'"
+                while j < n and text[j] == " ":
+                    j += 1
+                if j < n and text[j] in ":=":
+                    j += 1
+                    while j < n and text[j] == " ":
+                        j += 1
+                    k = j + (j < n and text[j] in "\"'")
+                    end = k
+                    while end < n and text[end] in value:
+                        end += 1
+                    if end > k:
+                        hit = (end, end - k >= 6)
+                break
+        if hit:
+            out += [(i, 0, "assign", hit[0])] * hit[1]
+        i = hit[0] if hit else i + 1
+    for kind, rank, first, rest, least in (("access", 1, "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), ("hex", 2, "", "0123456789abcdef", 24)):
+        i = 0
+        while i < n:
+            end = i + len(first)
+            if text.startswith(first, i):
+                while end < n and text[end] in rest:
+                    end += 1
+            if text.startswith(first, i) and end > i + len(first):
+                out += [(i, rank, kind, end)] * (end - i >= least)
+                i = end
+            else:
+                i += 1
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(out))
+
+
+def test_secret_query_by_brute_force(spark, tmp_path):
+    rng = random.Random(11)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", " ", "=", ":", '"', "'", "AKIA", "ABCDEFGH12345678", "0a1b2c3d4e5f", "deadbeef" * 3, "é", "\n", "x", "value1", "-", "ſecret"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(60)))) for i in range(400)] + [(None, "token=abcdef"), (900, None), (901, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r["doc_id"] or -1, r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in secret_scan.op4_secret_scan(spark, str(tmp_path)).collect()))
+    want = []
+    for i, text in rows:
+        spans = plain_spans(text or "")
+        want.append((i or -1, spans.count("assign:"), spans.count("access:"), spans.count("hex:"), hashlib.sha256(spans.encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_packing_query_by_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "of", "<|endoftext|>"]) for _ in range(int(rng.lognormvariate(5, 1))))) for i in range(600)] + [(None, "no id"), (700, None), (701, "words " * 9000)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = packing.op10_packing(spark, str(tmp_path)).toPandas().sort_values(["sequence_id", "offset"])
+    t = Tokenizer.from_file(packing.public_tokenizers.path("byte_bpe_50k.json"))
+    ids_of = {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in rows}
+    for i, own in out[out["doc_id"].notna()].groupby("doc_id"):
+        own = own.sort_values("start")
+        assert own["start"].tolist() == [0, *own["length"].cumsum().tolist()[:-1]] and own["length"].sum() == len(ids_of[i])
+        assert all(n == len(ids_of[i]) and zlib.crc32(np.array(ids_of[i][a : a + k], "<u4")) == c for a, k, c, n in zip(own["start"], own["length"], own["ids_crc32"], own["doc_tokens"]))
+    sizes = out.groupby("sequence_id")["length"].sum()
+    assert set(sizes[:-1]) <= {2048, 1024, 512, 256} and len(sizes) > 60 and len(set(sizes)) > 2
+    assert all(s["offset"].tolist() == [0, *s["length"].cumsum().tolist()[:-1]] for _, s in out.groupby("sequence_id"))
+    cut = out[out["doc_tokens"] <= 2048].groupby("doc_id").size()
+    assert (cut > 1).mean() < 0.2
+
+
+def test_quality_query_by_brute_force(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice(["one", "two", "THREE", "fo#ur", " ", "\n", "\t", "é", "$%", "one two\none two\n", "\x0b"]) for _ in range(rng.randrange(200)))) for i in range(120)] + [(None, "a b c a b c"), (500, None), (501, ""), (502, "x " * 30_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        three = Counter(zip(w, w[1:], w[2:]))
+        cover = {k + j for k in range(len(w) - 2) for j in range(3) if three[tuple(w[k : k + 3])] > 1}
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        failed = len(w) < 50 or 100 * len(cover) > 50 * len(w)
+        want.append((i or -1, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(cover), failed))
+    out = quality.op7_quality(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or -1, r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in out) == sorted(want)
+    assert not any(r["kept"] and r["base_failed"] for r in out)
+
+
+def test_url_query_by_brute_force(spark, tmp_path):
+    rng = random.Random(7)
+    bits = ["http", "://", "example", ".", "org", "com", "/", "es", "en", "fr", "de", "1", "?", "#", "É", "EXAMPLE", "net"]
+    urls = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(300)] + [f"x://{h}{p}" for h in ("org", "a.org", "example.org", "b.example.org", "com", "a.com", "aorg") for p in ("", "/", "/es/1", "/en/1", "/en/2", "/fr/x", "/de/y?q#f")] + [None, ""]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    for r in url_filter.op1_url_filter(spark, str(tmp_path)).collect():
+        rest = (urls[r["page_id"]] or "").partition("://")[2]
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        fits = [(rule, verdict) for rule, verdict in url_filter.RULES for name, _, tail in [rule.partition("/")] if (host == name or host.endswith("." + name)) and path.startswith("/" + tail)]
+        rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, None))
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] == (verdict or r["verdict"]) and r["verdict"] in ("allow", "block")
+
+
+def test_toxicity_by_brute_force(spark, tmp_path):
+    """The grades of the query from sigmoids over each text's own terms; and the fit against its loss at other weights."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(4))
+    rows = [(i, " ".join(word() for _ in range(20)) + " vilely" * (i % 4 == 0) + " Scum-like fools" * (i % 8 == 0)) for i in range(300)] + [(None, "vilely"), (900, None), (901, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(240)] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = toxicity.fit_toxicity(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert {"vilely", "vile*", "scum", "fools", "fool*"} <= set(model.terms) and (np.diff(model.thresholds) >= 0).all()
+    for r in toxicity.op9_toxicity(spark, str(tmp_path)).collect():
+        text = next(t for i, t in rows if i == r["doc_id"]) or ""
+        ws = {w for w in re.findall(r"[^\W\d_]+", text.lower())}
+        held = {t for w in ws for t in [w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) > k)]} & set(model.terms)
+        above = 1 / (1 + np.exp(model.thresholds - sum(model.weights[model.terms[t]] for t in held)))
+        assert abs(r["p_toxic"] - above[0]) < 1e-5 and abs(r["severity"] - above.sum()) < 1e-5 and r["toxic"] == (above[0] >= 0.5)
+        assert r["grade"] == int(np.floor(above.sum() + 0.5)) and (r["doc_id"] is None or r["toxic"] == (text != "" and r["doc_id"] % 4 == 0))
+
+
+def test_embeddings_keep_their_precision(spark):
+    """Double vectors whose cosine differs from the threshold beyond single precision; labels beyond 32 bits."""
+    angle = np.arccos(0.98)
+    pairs = [(float(np.cos(angle * k)), float(np.sin(angle * k))) for k in (1 - 1e-9, 1 + 1e-9)]
+    rows = [(0, [1.0, 0.0], 2**40), (1, list(pairs[0]), 2**40), (2, [1.0, 0.0], 2**41), (3, list(pairs[1]), 2**41), (4, [1.0, 0.0], 7)]
+    got = embedding_dedup.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {0: (1, 0), 1: (1, 0), 2: (0, 2), 3: (0, 3), 4: (0, 4)}
+
+
+def test_embedding_tiles(spark, monkeypatch):
+    """Dense cells of several tiles, in few dimensions, against all pairs."""
+    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    monkeypatch.setattr(embedding_dedup, "STRIP", 7)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 4)).astype(np.float32)
+    rows = [(i, [float(c) for c in v], "ab"[i % 2]) for i, v in enumerate(x)]
+    v = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (v @ v.T >= 0.98) & (np.arange(400)[:, None] % 2 == np.arange(400) % 2) & ~np.eye(400, dtype=bool)
+    root = np.arange(400)
+    for _ in range(400):
+        least = np.array([root[[i, *np.flatnonzero(links[i])]].min() for i in range(400)])
+        if (least == root).all():
+            break
+        root = least
+    got = {r["vec_id"]: r for r in embedding_dedup.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
+    assert [got[i]["n_links"] for i in range(400)] == links.sum(1).tolist() and [got[i]["component_id"] for i in range(400)] == root.tolist()
