@@ -54,13 +54,18 @@ HOT = 1024
 def join_keys(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
     """rows joined (inner) to a table with one row a key, whose weight column counts the rows of the key.
 
-    Keys with a HOTth of all rows or more are broadcast, so that no task gets the rows of a hot key; the others are
-    shuffled. rows is read twice: pass a table.
+    Keys with a HOTth of all rows or more are broadcast. Their rows are spread over the join with the other keys, where
+    they match nothing, so no task gets all rows of a key.
     """
-    hot = per_key.filter(F.col(weight) * HOT >= total)
-    heavy = rows.join(F.broadcast(hot), keys)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(per_key.filter(F.col(weight) * HOT < total), keys)
-    return heavy.unionByName(rest)
+    heavy = F.col(weight) * HOT >= total
+    rest = F.struct(*(c for c in per_key.columns if c not in keys))
+    hot = per_key.filter(heavy).select(*keys, rest.alias("_hot"))
+    cold = per_key.filter(~heavy).select(*keys, F.lit(0).alias("_salt"), rest.alias("_cold"))
+    plain = [f.name for f in rows.schema if f.dataType.typeName() not in ("array", "binary", "struct", "map")]
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*plain), F.lit(HOT)).cast("int"))
+    both = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).join(cold, [*keys, "_salt"], "left")
+    found = F.coalesce("_hot", "_cold")
+    return both.filter(found.isNotNull()).select(*rows.columns, found.alias("_found")).select(*rows.columns, "_found.*")
 
 
 def ascii_lower(c: Column) -> Column:

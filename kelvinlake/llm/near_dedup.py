@@ -240,7 +240,7 @@ class _Join:
         """
         rows = cut(self.reps.select("rep", F.explode(root_children("sig")).alias("key")), "nodes")
         met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        shared = cut(join_keys(rows, met, ["key"], "n", rows.count()), "shared")
+        shared = join_keys(rows, met, ["key"], "n", rows.count())
         enough = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("times"), F.sum("n").alias("support")).filter(F.col("times") >= SHARED)
         return cut(shared.select("key", "rep").join(enough.select("rep", "support"), "rep"), "suspects")
 
@@ -304,9 +304,8 @@ class _Join:
         components = self.components()
         small, whole, depth = [], [], 1
         while True:
-            at = cut(self.placed(nodes, components), "placed")
-            mixed = cut(self.mixed(at, F.col("support")).select("key", "n"), "mixed")
-            members = cut(join_keys(at, mixed, ["key"], "n", nodes.count()), "members")
+            at = self.placed(nodes, components)
+            members = cut(join_keys(at, self.mixed(at, F.col("support")).select("key", "n"), ["key"], "n", nodes.count()), "members")
             small.append(members.filter(F.col("n") <= PAIRED))
             large = members.filter(F.col("n") > LEAF)
             rest = depth < DEPTH and bool(large.limit(1).count())
@@ -334,7 +333,7 @@ class _Join:
         single = (F.col("n") <= LEAF) & (F.col("shingles") <= LEAF_SHINGLES)
         others = blocks(F.col("n") - F.col("main.n"), F.col("shingles") - F.col("main.shingles"))
         nodes = nodes.select("key", "n", F.col("main.comp").alias("main"), F.when(single, 1).otherwise(others).alias("others"), F.when(single, 0).otherwise(blocks(F.col("main.n"), F.col("main.shingles"))).alias("mains"))
-        dealt = join_keys(sized, cut(nodes, "large"), ["key"], "n", total)
+        dealt = join_keys(sized, nodes, ["key"], "n", total)
         # blocks from 0 on hold the others (or all members, where one block is enough), those behind them the main component
         main = (F.col("comp") == F.col("main")) & (F.col("mains") > 0)
         place = F.xxhash64("rep", "key")
@@ -363,7 +362,7 @@ def clustered(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
     named = join_keys(grouped, first, ["group"], "n", grouped.count())
     named = named.select(*CLASS, "copies", F.nullif(F.col("first.id"), F.lit(LAST_ID)).alias("component_id"), F.col("first.text_key").alias("first_key"))
     rows = join.sketches.select("doc_id", "text_key", *CLASS)
-    with_words = join_keys(rows.filter("n_shingles > 0"), cut(named, "named"), CLASS, "copies", rows.count())
+    with_words = join_keys(rows.filter("n_shingles > 0"), named, CLASS, "copies", rows.count())
     # rows without words stand for themselves
     alone = rows.filter("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "first_key": F.col("text_key")})
     columns = ["doc_id", "text_key", "n_shingles", "component_id", "first_key"]
