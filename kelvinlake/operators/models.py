@@ -1,20 +1,30 @@
-"""The two models of each unit, trained and applied in grouped Arrow batches: isolation forest and residual network.
+"""The two learned models of each unit: an isolation forest and a residual network.
 
-A unit's rows are one group: training samples at most SAMPLE rows a tree, and the network's epochs are bounded, but the
-group itself is one unit's series. Seeds depend on the unit's name, so a retried task gives the same model.
+Fitting is bounded, scoring is not. A tree learns from SAMPLE rows of its unit that Spark draws and joins by row number, so
+trees grow in groups of one tree each; the network learns from at most FIT_ROWS rows of its unit (all rows of shorter
+series), in the order of a hash. Scoring deals each unit's rows into shards of SHARD rows, each of which meets the unit's
+models in a cogroup, so a long series is many tasks. Seeds and draws depend on the unit's name, so a retried task gives
+the same model.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kelvinlake.functions.scalar import WARMUP
 
 TREES, SAMPLE, HIDDEN, EPOCHS, BATCH, PATIENCE = 80, 256, 24, 130, 48, 22
+FIT_ROWS, SHARD = 200_000, 100_000
+HYPER = {"trees": TREES, "sample": SAMPLE, "hidden": HIDDEN, "epochs": EPOCHS, "batch": BATCH, "patience": PATIENCE}
+
+
+# --- isolation forest ---------------------------------------------------------------------------------------------
 
 
 def path_norm(n: int) -> float:
@@ -22,14 +32,20 @@ def path_norm(n: int) -> float:
     return 1.0 if n <= 1 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
+def depth_limit(m: int) -> int:
+    return int(np.ceil(np.log2(max(2, m)))) + 2
+
+
 def grow(x: np.ndarray, depth: int, rng: np.random.Generator):
+    """A tree: the number of its points, or (feature, cut, tree below the cut, tree from it on). One feature is drawn a
+    node, and up to eight cuts until both sides hold points."""
     if depth == 0 or len(x) <= 1:
         return len(x)
+    f = int(rng.integers(x.shape[1]))
+    lo, hi = x[:, f].min(), x[:, f].max()
+    if hi - lo < 1e-12:
+        return len(x)
     for _ in range(8):
-        f = int(rng.integers(x.shape[1]))
-        lo, hi = x[:, f].min(), x[:, f].max()
-        if hi - lo < 1e-12:
-            continue
         cut = rng.uniform(lo, hi)
         left = x[:, f] < cut
         if left.any() and not left.all():
@@ -38,8 +54,9 @@ def grow(x: np.ndarray, depth: int, rng: np.random.Generator):
 
 
 def lengths(tree, x: np.ndarray, depth: int = 0) -> np.ndarray:
+    """Path length of each row: its leaf's depth and what the leaf's points would still need."""
     if isinstance(tree, int):
-        return np.full(len(x), depth + (path_norm(tree) if tree > 1 else 0.0))
+        return np.full(len(x), depth + path_norm(tree))
     f, cut, low, high = tree
     left = x[:, f] < cut
     out = np.empty(len(x))
@@ -47,57 +64,102 @@ def lengths(tree, x: np.ndarray, depth: int = 0) -> np.ndarray:
     return out
 
 
-def forest_scores(x: np.ndarray, trained: np.ndarray, seed: int) -> np.ndarray:
-    """2^(-mean path / expected path) for all rows; trained: rows the trees may sample, with replacement."""
-    if not trained.any():
+def forest_scores(trees: list, m: int, x: np.ndarray) -> np.ndarray:
+    """2^(-mean path / expected path); 0 without trees. m: rows a tree was grown from."""
+    if not trees:
         return np.zeros(len(x))
-    rng, pool = np.random.default_rng(seed), x[trained]
-    m = min(SAMPLE, len(pool))
-    depth = int(np.ceil(np.log2(max(2, m)))) + 2
-    total = sum(lengths(grow(pool[rng.integers(len(pool), size=m)], depth, rng), x) for _ in range(TREES))
-    return 2.0 ** (-total / TREES / path_norm(m))
+    return 2.0 ** (-np.mean([lengths(t, x) for t in trees], axis=0) / path_norm(m))
 
 
-def network_predictions(x: np.ndarray, y: np.ndarray, trained: np.ndarray, seed: int) -> np.ndarray:
-    """One hidden layer of ReLUs, momentum descent, a tenth of the training rows held back to stop early."""
+# --- residual network ---------------------------------------------------------------------------------------------
+
+
+def fit_network(x: np.ndarray, y: np.ndarray, seed: int) -> list[np.ndarray] | None:
+    """One hidden layer of ReLUs, momentum descent, a tenth of the rows held back to stop early; None for under 20 rows."""
     rng = np.random.default_rng(seed)
-    rows = rng.permutation(np.flatnonzero(trained))
-    if len(rows) < 20:
-        return np.zeros(len(x))
+    if len(x) < 20:
+        return None
+    rows = rng.permutation(len(x))
     held, rows = rows[: len(rows) // 10], rows[len(rows) // 10 :]
     w = [rng.normal(0, (2 / x.shape[1]) ** 0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
     v = [np.zeros_like(p) for p in w]
-    hidden = lambda z: np.maximum(0, z @ w[0] + w[1])
     best, kept, waited = np.inf, [p.copy() for p in w], 0
     for _ in range(EPOCHS):
         rng.shuffle(rows)
         for at in range(0, len(rows), BATCH):
             b = rows[at : at + BATCH]
-            h = hidden(x[b])
+            h = np.maximum(0, x[b] @ w[0] + w[1])
             err = (h @ w[2] + w[3] - y[b]) / len(b)
             back = np.outer(err, w[2]) * (h > 0)
             for p, m, g in zip(w, v, (x[b].T @ back, back.sum(0), h.T @ err, np.array([err.sum()]))):
                 m *= 0.9
                 m -= 0.02 * np.clip(g, -40, 40)
                 p += m
-        loss = float(((hidden(x[held]) @ w[2] + w[3] - y[held]) ** 2).mean())
+        loss = float(((predict(w, x[held]) - y[held]) ** 2).mean())
         waited += 1
         if loss < best - 1e-4:
             best, kept, waited = loss, [p.copy() for p in w], 0
         if waited >= PATIENCE:
             break
-    w[:] = kept
-    return hidden(x) @ w[2] + w[3]
+    return kept
+
+
+def predict(w: list[np.ndarray] | None, x: np.ndarray) -> np.ndarray:
+    return np.zeros(len(x)) if w is None else np.maximum(0, x @ w[0] + w[1]) @ w[2] + w[3]
+
+
+# --- jobs ---------------------------------------------------------------------------------------------------------
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 0))
+
+
+def fit_units(features: DataFrame) -> DataFrame:
+    """features(equipment_id, rn, if_x, mlp_x, y), rn from 1 on without gaps -> (equipment_id, part, model): TREES rows with
+    a tree each and one (part -1) with the network. Rows of the warm-up are not learned from."""
+    trained = features.filter(F.col("rn") > WARMUP)
+    sizes = trained.groupBy("equipment_id").agg(F.count(F.lit(1)).alias("n"))
+    m = F.least(F.lit(SAMPLE), F.greatest(F.lit(2), F.col("n"))).cast("int")
+    # SAMPLE draws a tree, with replacement: each a hash of (unit, tree, draw)
+    draws = sizes.select("equipment_id", "n", m.alias("m"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("part"))
+    draws = draws.select("equipment_id", "n", "m", "part", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("draw"))
+    drawn = draws.select("equipment_id", "part", "m", "draw", (F.pmod(F.xxhash64("equipment_id", "part", "draw"), F.col("n")) + WARMUP + 1).cast("int").alias("rn"))
+    samples = drawn.join(trained.select("equipment_id", F.col("rn").cast("int").alias("rn"), "if_x"), ["equipment_id", "rn"])
+
+    def one_tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("draw")
+        seed = [zlib.crc32(str(pdf["equipment_id"].iloc[0]).encode()), int(pdf["part"].iloc[0])]
+        tree = grow(_matrix(pdf["if_x"]), depth_limit(len(pdf)), np.random.default_rng(seed))
+        return pd.DataFrame({"equipment_id": pdf["equipment_id"].iloc[:1], "part": pdf["part"].iloc[:1], "model": [pickle.dumps((len(pdf), tree))]})
+
+    picked = trained.join(sizes, "equipment_id").withColumn("share", F.pmod(F.xxhash64("equipment_id", "rn"), F.col("n"))).filter(F.col("share") < FIT_ROWS)
+
+    def one_network(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        w = fit_network(_matrix(pdf["mlp_x"]), pdf["y"].to_numpy(float), zlib.crc32(str(pdf["equipment_id"].iloc[0]).encode()) + 1)
+        return pd.DataFrame({"equipment_id": pdf["equipment_id"].iloc[:1], "part": -1, "model": [pickle.dumps(w)]})
+
+    schema = "equipment_id string, part int, model binary"
+    forest = samples.select("equipment_id", "part", "draw", "if_x").groupBy("equipment_id", "part").applyInPandas(one_tree, schema)
+    return forest.unionByName(picked.select("equipment_id", "rn", "mlp_x", "y").groupBy("equipment_id").applyInPandas(one_network, schema))
 
 
-def score_units(features: DataFrame) -> DataFrame:
-    """features(equipment_id, row_ord, rn, if_x, mlp_x, y) -> (equipment_id, row_ord, forest, predicted)."""
+def score_units(features: DataFrame, fitted: DataFrame) -> DataFrame:
+    """features of fit_units(), its result -> (equipment_id, rn, forest, pred) for every row."""
+    shard = F.floor((F.col("rn") - 1) / SHARD)
+    dealt = features.select("equipment_id", "rn", "if_x", "mlp_x", shard.alias("shard"))
+    shards = features.groupBy("equipment_id").agg(F.max(shard).alias("last"))
+    models = fitted.join(shards, "equipment_id").select("equipment_id", "part", "model", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("shard"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seed = zlib.crc32(str(pdf["equipment_id"].iloc[0]).encode())
-        trained = (pdf["rn"] > WARMUP).to_numpy()
-        x, z = (np.nan_to_num(np.stack(pdf[c].to_numpy()).astype(float)) for c in ("if_x", "mlp_x"))
-        y = np.nan_to_num(pdf["y"].to_numpy(float))
-        return pd.DataFrame({"equipment_id": pdf["equipment_id"], "row_ord": pdf["row_ord"], "forest": forest_scores(x, trained, seed), "predicted": network_predictions(z, y, trained, seed + 1)})
+    def run(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame({"equipment_id": [], "rn": [], "forest": [], "pred": []})
+        own = own.sort_values("part")
+        loaded = [(p, pickle.loads(b)) for p, b in zip(own["part"], own["model"])]
+        grown = [x for p, x in loaded if p >= 0]
+        network = next((x for p, x in loaded if p < 0), None)
+        scores = forest_scores([t for _, t in grown], grown[0][0] if grown else 0, _matrix(pdf["if_x"]))
+        return pd.DataFrame({"equipment_id": pdf["equipment_id"], "rn": pdf["rn"], "forest": scores, "pred": predict(network, _matrix(pdf["mlp_x"]))})
 
-    return features.groupBy("equipment_id").applyInPandas(run, "equipment_id string, row_ord long, forest double, predicted double")
+    return dealt.groupBy("equipment_id", "shard").cogroup(models.groupBy("equipment_id", "shard")).applyInPandas(run, "equipment_id string, rn int, forest double, pred double")

@@ -1,7 +1,9 @@
 """Per-unit time-series operators: quality, imputation, robust statistics, features, scores, episodes and roll-ups.
 
-All windows of a unit share the partitioning and order (equipment_id, ts), so Spark shuffles a series once. Inputs
-follow sources.contract.telemetry(): equipment_id, ts, row_ord, ts_ms, energy, load, flow; null means missing.
+All windows of a unit share the partitioning and order (equipment_id, ts_ms), so Spark shuffles a series once. Inputs
+follow sources.contract: equipment_id, row_ord, ts_ms, hour, dow and any of its measures; null means missing. Medians and
+quantiles of what the models make, which has as many values as rows, are taken from ranks, whose sorts spill; those of
+measured values by percentile(), which holds a count for each distinct value of a unit.
 """
 
 from __future__ import annotations
@@ -10,23 +12,32 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kelvinlake.functions import scalar as S
+from kelvinlake.sources.contract import MEASURES
 
-MEASURES = ("energy", "load", "flow")
+TARGET, LOAD = "energy", "load"
 
 
 def by_time() -> WindowSpec:
-    return Window.partitionBy("equipment_id").orderBy("ts", "row_ord")
+    return Window.partitionBy("equipment_id").orderBy("ts_ms", "row_ord")
 
 
 def backwards() -> WindowSpec:
     """The same series backwards: what follows a row is what precedes it here, in one pass."""
-    return Window.partitionBy("equipment_id").orderBy(F.desc("ts"), F.desc("row_ord"))
+    return Window.partitionBy("equipment_id").orderBy(F.desc("ts_ms"), F.desc("row_ord"))
 
 
 def by_unit() -> WindowSpec:
     return Window.partitionBy("equipment_id")
 
 
+def measures(t: DataFrame) -> list[str]:
+    """Those of the contract's measures that t has, in contract order."""
+    return [m for m in MEASURES if m in t.columns]
+
+
+# --- quality ------------------------------------------------------------------------------------------------------
+
+
 def intervals(t: DataFrame) -> DataFrame:
     return t.withColumn("gap", F.col("ts_ms") - F.lag("ts_ms").over(by_time()))
 
@@ -40,107 +51,183 @@ def interval_median(t: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def gap_report(t: DataFrame) -> DataFrame:
-    """(median_ms, gaps, longest_h): a gap is longer than 1.5 medians and an hour."""
-    med = interval_median(t, [])
+    """(median_ms, gaps, longest_h): a gap is longer than 1.5 medians and an hour; half an hour is the median of none."""
+    med = interval_median(t, []).agg(F.coalesce(F.min("median_ms"), F.lit(1_800_000)).alias("median_ms"))
     g = intervals(t).join(F.broadcast(med), F.lit(True))  # one row
     gap = F.col("gap") > F.greatest(1.5 * F.col("median_ms"), F.lit(3_600_000))
     return g.groupBy("median_ms").agg(F.count_if(gap).alias("gaps"), F.coalesce(S.half_up(F.max(F.when(gap, F.col("gap"))) / 3_600_000, 1), F.lit(0.0)).alias("longest_h"))
 
 
 def nominal_minutes(t: DataFrame) -> DataFrame:
-    """One row: the upper median interval of the first unit, in minutes, 1 at least."""
+    """One row: the upper median interval of the first unit, in minutes, 1 at least; 30 where it has one row."""
     first = t.join(F.broadcast(t.agg(F.min("equipment_id").alias("equipment_id"))), "equipment_id")
-    return interval_median(first, ["equipment_id"]).select(F.greatest(F.lit(1.0), F.floor(F.col("median_ms") / 60000 + 0.5)).alias("nominal"))
+    return interval_median(first, ["equipment_id"]).agg(F.greatest(F.lit(1.0), F.floor(F.coalesce(F.min("median_ms"), F.lit(1_800_000)) / 60000 + 0.5)).alias("nominal"))
+
+
+def missing_counts(t: DataFrame) -> DataFrame:
+    """(column, n): missing cells of each measure that has any; a measure that is missing everywhere is told apart."""
+    one = t.agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col(m).isNull()).alias(m) for m in measures(t)))
+    long = one.unpivot(["rows"], measures(t), "column", "n")
+    return long.filter("n > 0").select("column", "n", (F.col("n") == F.col("rows")).alias("absent"))
+
+
+def quality(t: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row: the quality report of clean()'s series and counts."""
+    by_column = F.struct("column", "n", "absent")
+    miss = missing_counts(t).agg(F.array_sort(F.collect_list(by_column)).alias("m"))  # nine at most
+    miss = miss.select(F.map_from_entries(F.transform(F.filter("m", lambda x: ~x["absent"]), lambda x: F.struct(x["column"], x["n"]))).alias("missing_by_column"), F.transform(F.filter("m", lambda x: x["absent"]), lambda x: x["column"]).alias("missing_columns"))
+    span = t.agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct("equipment_id").alias("equipment_count"), F.min("ts_ms").alias("period_start"), F.max("ts_ms").alias("period_end"))
+    out = span
+    for one in (miss, gap_report(t).select("gaps", "longest_h"), counts.select("bad_rows", "duplicates")):
+        out = out.join(F.broadcast(one), F.lit(True))  # one row each
+    return out
 
 
-def impute(t: DataFrame) -> DataFrame:
+# --- imputation and features --------------------------------------------------------------------------------------
+
+
+def impute(t: DataFrame, nominal: DataFrame | None = None) -> DataFrame:
     """Interpolates over spans of at most four nominal intervals, else carries forward, else back."""
-    out = t.join(F.broadcast(nominal_minutes(t)), F.lit(True))  # one row
+    out = t.join(F.broadcast(nominal_minutes(t) if nominal is None else nominal), F.lit(True))  # one row
     before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (by_time(), backwards()))
-    for c in MEASURES:
-        have = F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("ts_ms").alias("at")))
-        out = out.withColumn(f"p_{c}", F.last(have, True).over(before)).withColumn(f"n_{c}", F.last(have, True).over(after))
-    for c in MEASURES:
+    have = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("ts_ms").alias("at"))) for c in measures(t)}
+    out = out.withColumns({f"p_{c}": F.last(h, True).over(before) for c, h in have.items()})
+    out = out.withColumns({f"n_{c}": F.last(h, True).over(after) for c, h in have.items()})
+    filled = {}
+    for c in have:
         p, n = F.col(f"p_{c}"), F.col(f"n_{c}")
         near = p.isNotNull() & n.isNotNull() & (n["at"] - p["at"] <= 4 * F.col("nominal") * 60000)
-        line = p["v"] + (n["v"] - p["v"]) * (F.col("ts_ms") - p["at"]) / (n["at"] - p["at"])
-        out = out.withColumn(c, F.coalesce(c, F.when(near, line), p["v"], n["v"]))
-    return out.select(*t.columns)
+        line = p["v"] + (n["v"] - p["v"]) * ((F.col("ts_ms") - p["at"]) / (n["at"] - p["at"]))
+        filled[c] = F.coalesce(c, F.when(near, line), p["v"], n["v"])
+    return out.withColumns(filled).select(*t.columns)
+
+
+def unit_stats(t: DataFrame) -> DataFrame:
+    """One row a unit: median m_<measure> and scaled MAD s_<measure> of each measure."""
+    cols = measures(t)
+    mid = t.groupBy("equipment_id").agg(*(F.median(c).alias(f"m_{c}") for c in cols))
+    spread = t.join(mid, "equipment_id").groupBy("equipment_id").agg(*(F.first(f"m_{c}").alias(f"m_{c}") for c in cols), *((1.4826 * F.median(F.abs(F.col(c) - F.col(f"m_{c}")))).alias(f"s_{c}") for c in cols))
+    return spread
+
+
+def usable(c: str) -> Column:
+    """Of a row with unit_stats(): the measure has values that vary."""
+    return F.coalesce(F.col(f"s_{c}") > 1e-9, F.lit(False))
 
 
 def robust_stats(t: DataFrame) -> DataFrame:
-    """(equipment_id, column, m, s): median and scaled MAD; constant columns are not usable."""
-    long = t.unpivot(["equipment_id"], list(MEASURES), "column", "x").filter("x is not null")
-    m = long.groupBy("equipment_id", "column").agg(F.median("x").alias("m"))
-    dev = long.join(m, ["equipment_id", "column"]).groupBy("equipment_id", "column", "m").agg((1.4826 * F.median(F.abs(F.col("x") - F.col("m")))).alias("s"))
-    return dev.withColumn("usable", F.col("s") > 1e-9)
+    """(equipment_id, column, m, s, usable): median and scaled MAD; constant columns are not usable, those without values left out."""
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"m_{c}").alias("m"), F.col(f"s_{c}").alias("s"), usable(c).alias("usable")) for c in measures(t)))).alias("c")
+    return unit_stats(t).select("equipment_id", cells).select("equipment_id", "c.*").filter("m is not null")
 
 
 def standardise(t: DataFrame) -> DataFrame:
-    """Robust z of each measure, clamped to 6 either way; null where the column is not usable."""
-    wide = robust_stats(t).filter("usable").groupBy("equipment_id").pivot("column", list(MEASURES)).agg(F.first(F.struct("m", "s")))
-    wide = wide.select("equipment_id", *(F.col(c).alias(f"st_{c}") for c in MEASURES))
-    out = t.join(wide, "equipment_id", "left")
-    return out.select(*t.columns, *(S.clamp((F.col(c) - F.col(f"st_{c}.m")) / F.col(f"st_{c}.s"), -6.0, 6.0).alias(f"z_{c}") for c in MEASURES))
+    """t with unit_stats() and the robust z of each measure, clamped to 6 either way; null where the measure is missing or not usable."""
+    out = t.join(unit_stats(t), "equipment_id")
+    return out.withColumns({f"z_{c}": F.when(usable(c), S.clamp((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}"), -6.0, 6.0)) for c in measures(t)})
 
 
 def lags(z: DataFrame) -> DataFrame:
-    return z.withColumns({f"lag{n}": F.coalesce(F.lag("z_energy", n).over(by_time()), F.lit(0.0)) for n in (1, 48)})
+    return z.withColumns({f"lag{n}": F.coalesce(F.lag(f"z_{TARGET}", n).over(by_time()), F.lit(0.0)) for n in (1, 48)})
+
+
+def trailing_mean(c: str, n: int) -> Column:
+    """Mean of the n rows before each."""
+    return F.avg(c).over(by_time().rowsBetween(-n, -1))
 
 
 def rolling(t: DataFrame, n: int = 48) -> DataFrame:
-    """Mean and population deviation of the last n rows, the current one included; before row n the own value and 0."""
+    """Means of energy and load and population deviation of energy over the last n rows, the current one included;
+    before row n the own value and 0."""
     w, rn = by_time().rowsBetween(1 - n, 0), F.row_number().over(by_time())
-    return t.withColumns({"roll_mean": F.when(rn >= n, F.avg("energy").over(w)).otherwise(F.col("energy")), "roll_std": F.when(rn >= n, F.stddev_pop("energy").over(w)).otherwise(0.0)})
+    mean = lambda c: F.when(rn >= n, F.avg(c).over(w)).otherwise(F.col(c))
+    out = {"roll_mean": mean(TARGET), "roll_std": F.when(rn >= n, F.stddev_pop(TARGET).over(w)).otherwise(0.0)}
+    return t.withColumns(out | ({"roll_load": mean(LOAD)} if LOAD in t.columns else {}))
+
+
+# --- scores -------------------------------------------------------------------------------------------------------
+
+
+def with_median(t: DataFrame, value: str, out: str, keys: list[str]) -> DataFrame:
+    """t with the median of value over its rows of the same keys, by rank; null where there is none."""
+    w, order = Window.partitionBy("equipment_id", *keys), F.asc_nulls_last(value)
+    ranked = t.withColumns({"_k": F.row_number().over(w.orderBy(order)), "_n": F.count(value).over(w)})
+    middle = F.when((F.col("_k") == F.expr("(_n + 1) div 2")) | (F.col("_k") == F.expr("_n div 2 + 1")), F.col(value))
+    return ranked.withColumn(out, F.avg(middle).over(w)).drop("_k", "_n")
+
+
+def with_upper_median(t: DataFrame, value: str, out: str) -> DataFrame:
+    """t with the value of rank n div 2 (from 0) of each unit, by rank."""
+    w = by_unit()
+    ranked = t.withColumns({"_k": F.row_number().over(w.orderBy(F.asc_nulls_last(value))), "_n": F.count(value).over(w)})
+    return ranked.withColumn(out, F.max(F.when(F.col("_k") == F.expr("_n div 2 + 1"), F.col(value))).over(w)).drop("_k", "_n")
+
+
+def quantiles(t: DataFrame, value: str, at: dict[str, float]) -> DataFrame:
+    """(equipment_id, a column for each name): linearly interpolated quantiles by rank."""
+    return _positions(t.withColumn("_k", F.row_number().over(by_unit().orderBy(value)) - 1), value, at)
+
+
+def _positions(ranked: DataFrame, value: str, at: dict[str, float]) -> DataFrame:
+    """As quantiles(), for rows whose place is _k."""
+    n = ranked.withColumn("_n", F.count(F.lit(1)).over(by_unit()))
+    part = lambda p: F.sum(F.col(value) * F.greatest(F.lit(0.0), 1 - F.abs(F.col("_k") - p * (F.col("_n") - 1))))
+    return n.groupBy("equipment_id").agg(*(part(p).alias(name) for name, p in at.items()))
+
+
+def linear_prediction(z: DataFrame) -> DataFrame:
+    """z with `pred`: z_energy by least squares on z_load of the unit, 0 where load is not usable."""
+    fit = z.groupBy("equipment_id").agg(F.regr_slope(f"z_{TARGET}", f"z_{LOAD}").alias("a"), F.regr_intercept(f"z_{TARGET}", f"z_{LOAD}").alias("b"))
+    return z.join(fit, "equipment_id").withColumn("pred", F.coalesce(F.col("a") * F.col(f"z_{LOAD}") + F.col("b"), F.lit(0.0))).drop("a", "b")
+
+
+def calibrated(y: DataFrame) -> DataFrame:
+    """y(z_energy, pred) with rn, bin, hour_med, bin_med and resid_z: the residual, less the hour's and the prediction
+    bin's median over trained rows, over its robust scale. Rows of the warm-up are scaled only."""
+    y = y.withColumns({"rn": F.row_number().over(by_time()), "hour_bucket": F.least(F.lit(23), F.floor("hour").cast("int")), "r0": F.col(f"z_{TARGET}") - F.col("pred")})
+    own = lambda c: F.when(F.col("rn") > S.WARMUP, F.col(c))
+    less = lambda c, m: F.when(F.col("rn") > S.WARMUP, F.col(c) - F.col(m)).otherwise(F.col(c))
+    y = with_median(y.withColumn("_v", own("r0")), "_v", "hour_med", ["hour_bucket"]).withColumn("hour_med", F.coalesce("hour_med", F.lit(0.0)))
+    lo, hi = (f(own("pred")).over(by_unit()) for f in (F.min, F.max))
+    y = y.withColumns({"bin": S.bin8(F.col("pred"), lo, hi), "r1": less("r0", "hour_med")})
+    y = with_median(y.withColumn("_v", own("r1")), "_v", "bin_med", ["bin"]).withColumn("bin_med", F.coalesce("bin_med", F.lit(0.0)))
+    y = y.withColumn("r2", less("r1", "bin_med"))
+    y = with_upper_median(y.withColumn("_v", F.abs(own("r2"))), "_v", "scale")
+    scale = F.coalesce(F.nullif(1.4826 * F.col("scale"), F.lit(0.0)), F.lit(1.0))
+    return y.withColumn("resid_z", F.col("r2") / scale).drop("_v", "scale", "r0", "r1", "r2")
 
 
 def linear_residual(z: DataFrame) -> DataFrame:
-    """residual of z_energy on z_load, less the hour's and the prediction bin's median, over the robust scale."""
-    fit = z.filter("z_energy is not null and z_load is not null").groupBy("equipment_id").agg(F.regr_slope("z_energy", "z_load").alias("a"), F.regr_intercept("z_energy", "z_load").alias("b"))
-    y = z.join(fit, "equipment_id").withColumn("rn", F.row_number().over(by_time())).withColumn("pred", F.col("a") * F.col("z_load") + F.col("b"))
-    y = y.withColumn("hour_bucket", F.floor(F.pmod("ts_ms", F.lit(S.DAY_MS)) / 3600000).cast("int")).withColumn("trained", F.col("rn") > S.WARMUP)
-    own = F.when(F.col("trained"), F.col("z_energy") - F.col("pred"))
-    y = y.withColumn("r0", F.col("z_energy") - F.col("pred"))
-    y = y.withColumn("hour_med", F.coalesce(F.percentile(own, F.lit(0.5)).over(Window.partitionBy("equipment_id", "hour_bucket")), F.lit(0.0)))
-    lo, hi = (f(F.when(F.col("trained"), F.col("pred"))).over(by_unit()) for f in (F.min, F.max))
-    y = y.withColumn("bin", S.bin8(F.col("pred"), lo, hi)).withColumn("r1", F.when(F.col("trained"), F.col("r0") - F.col("hour_med")).otherwise(F.col("r0")))
-    y = y.withColumn("bin_med", F.coalesce(F.percentile(F.when(F.col("trained"), F.col("r1")), F.lit(0.5)).over(Window.partitionBy("equipment_id", "bin")), F.lit(0.0)))
-    y = y.withColumn("r2", F.when(F.col("trained"), F.col("r1") - F.col("bin_med")).otherwise(F.col("r1")))
-    scale = 1.4826 * F.percentile(F.when(F.col("trained"), F.abs("r2")), F.lit(0.5)).over(by_unit())
-    return y.withColumn("resid_z", F.col("r2") / F.when(F.coalesce(scale, F.lit(0.0)) == 0, 1.0).otherwise(scale))
-
-
-def raw_scores(r: DataFrame, forest: Column | None = None) -> DataFrame:
-    return r.withColumn("raw", S.fuse(forest if forest is not None else F.lit(0.0), F.coalesce("resid_z", F.lit(0.0))))
-
-
-def thresholds(r: DataFrame, mode: str = "quantile") -> DataFrame:
+    return calibrated(linear_prediction(z))
+
+
+def raw_scores(r: DataFrame, forest: Column | None = None, forest_weight: float = 0.25, residual_weight: float = 0.75) -> DataFrame:
+    return r.withColumn("raw", S.fuse(forest if forest is not None else F.lit(0.0), F.coalesce("resid_z", F.lit(0.0)), forest_weight, residual_weight))
+
+
+def thresholds(r: DataFrame, mode: str = "quantile", quantile: float = 0.975) -> DataFrame:
     """(equipment_id, threshold, rescue). positional: the value at that share of the active rows in time order."""
     active = r.filter(f"rn > {S.WARMUP} and raw > 1e-9")
-    if mode == "quantile":
-        q = active.groupBy("equipment_id").agg(F.percentile("raw", F.lit(0.975)).alias("t"), F.percentile("raw", F.lit(0.99)).alias("g"))
-    else:
-        k = active.withColumn("k", F.row_number().over(by_time()) - 1).withColumn("n", F.count(F.lit(1)).over(by_unit()))
-        at = lambda p: F.sum(F.col("raw") * F.greatest(F.lit(0.0), 1 - F.abs(F.col("k") - p * (F.col("n") - 1))))
-        q = k.groupBy("equipment_id").agg(at(0.975).alias("t"), at(0.99).alias("g"))
+    order = "raw" if mode == "quantile" else "rn"
+    q = _positions(active.withColumn("_k", F.row_number().over(by_unit().orderBy(order)) - 1), "raw", {"t": quantile, "g": 0.99})
     units = r.select("equipment_id").distinct()
-    return units.join(q, "equipment_id", "left").select("equipment_id", F.coalesce(F.greatest(F.lit(0.35), "t"), F.lit(0.6)).alias("threshold"), F.coalesce("g", F.lit(0.9)).alias("rescue"))
+    return units.join(q, "equipment_id", "left").select("equipment_id", F.coalesce(F.when(F.col("t").isNotNull(), F.greatest(F.lit(0.35), "t")), F.lit(0.6)).alias("threshold"), F.coalesce("g", F.lit(0.9)).alias("rescue"))
 
 
-def islands(r: DataFrame, mode: str = "quantile") -> DataFrame:
-    """Runs of candidates joined over up to JOIN_WINDOW rows: (equipment_id, s, e); single rows only above rescue."""
-    c = r.join(thresholds(r, mode), "equipment_id").filter(f"rn > {S.WARMUP} and raw > threshold")
-    c = c.withColumn("new", F.when(F.col("rn") - F.lag("rn").over(by_time()) > S.JOIN_WINDOW + 1, 1).otherwise(0))
+def islands(r: DataFrame, limits: DataFrame, join_window: int = S.JOIN_WINDOW) -> DataFrame:
+    """Runs of candidates joined over up to join_window rows: (equipment_id, s, e); single rows only above rescue."""
+    c = r.select("equipment_id", "ts_ms", "row_ord", "rn", "raw").join(limits, "equipment_id").filter(f"rn > {S.WARMUP} and raw > threshold")
+    c = c.withColumn("new", F.when(F.col("rn") - F.lag("rn").over(by_time()) > join_window + 1, 1).otherwise(0))
     c = c.withColumn("island", F.sum("new").over(by_time()))
     runs = c.groupBy("equipment_id", "island").agg(F.min("rn").alias("s"), F.max("rn").alias("e"), F.min_by("raw", "rn").alias("first_raw"), F.first("rescue").alias("rescue"))
     return runs.filter("e - s >= 1 or first_raw > rescue").select("equipment_id", "s", "e")
 
 
-def scored(r: DataFrame, mode: str = "quantile") -> DataFrame:
+def scored(r: DataFrame, runs: DataFrame) -> DataFrame:
     """r with run bounds s and e (null outside), score with the run's boost; warm-up rows score 0."""
-    runs = islands(r, mode).withColumnRenamed("equipment_id", "unit")
     # a run's start is carried forward to its rows, in place of a range join
-    marked = r.join(runs, (r["equipment_id"] == runs["unit"]) & (r["rn"] == runs["s"]), "left").withColumn("run", F.last(F.when(F.col("s").isNotNull(), F.struct("s", "e")), True).over(by_time()))
+    starts = runs.select("equipment_id", F.col("s").alias("rn"), F.struct("s", "e").alias("run"))
+    marked = r.join(starts, ["equipment_id", "rn"], "left").withColumn("run", F.last("run", True).over(by_time()))
     inside = F.col("rn") <= F.col("run.e")
     out = marked.select(*r.columns, F.when(inside, F.col("run.s")).alias("s"), F.when(inside, F.col("run.e")).alias("e"))
     boost = 0.03 * F.least(F.lit(1.0), (F.col("e") - F.col("s") + 1) / 10)
@@ -150,15 +237,28 @@ def scored(r: DataFrame, mode: str = "quantile") -> DataFrame:
 def episodes(x: DataFrame) -> DataFrame:
     """One row for each run of scored(): times, duration, peak (first of equals) and severity relative to the unit."""
     runs = x.filter("s is not null").groupBy("equipment_id", "s", "e").agg(
-        F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.max("score").alias("peak"), F.max_by("rn", F.struct("score", -F.col("rn"))).alias("peak_rn")
+        F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.max("score").alias("top"), F.max_by(F.struct("rn", "ts_ms", "hour", "resid_z"), F.struct("score", -F.col("rn"))).alias("at")
     )
-    floor = lambda base, q: F.greatest(F.lit(base), F.percentile("peak", F.lit(q)).over(by_unit()))
-    runs = runs.withColumn("severity", F.when(F.col("peak") >= floor(0.8, 0.9), "action").when(F.col("peak") >= floor(0.7, 0.6), "alert").otherwise("watch"))
-    return runs.withColumns({"id": F.concat_ws("-", "equipment_id", "start_ms"), "hours": S.half_up((F.col("end_ms") - F.col("start_ms")) / 3_600_000, 1)})
+    runs = runs.select("equipment_id", "s", "e", "start_ms", "end_ms", "top", F.col("at.rn").alias("peak_rn"), F.col("at.ts_ms").alias("peak_ms"), F.col("at.hour").alias("peak_hour"), F.col("at.resid_z").alias("peak_resid_z"))
+    floors = quantiles(runs, "top", {"high": 0.9, "mid": 0.6})
+    runs = runs.join(floors, "equipment_id")
+    severity = F.when(F.col("top") >= F.greatest(F.lit(0.8), "high"), "action").when(F.col("top") >= F.greatest(F.lit(0.7), "mid"), "alert").otherwise("watch")
+    out = runs.withColumns({"severity": severity, "id": F.concat_ws("-", "equipment_id", "start_ms"), "hours": S.half_up((F.col("end_ms") - F.col("start_ms")) / 3_600_000, 1), "peak": S.half_up(F.col("top"), 3)})
+    return out.drop("high", "mid")
+
+
+def row_severity(x: DataFrame, eps: DataFrame) -> DataFrame:
+    """x with `flagged` and `severity` of each row: that of its run, else normal."""
+    out = x.join(eps.select("equipment_id", "s", "severity"), ["equipment_id", "s"], "left")
+    return out.withColumns({"flagged": F.col("severity").isNotNull(), "severity": F.coalesce("severity", F.lit("normal"))})
+
+
+# --- roll-ups -----------------------------------------------------------------------------------------------------
 
 
-def severity_rank(c: Column) -> Column:
-    return F.when(c == "action", 3).when(c == "alert", 2).when(c == "watch", 1).otherwise(0)
+def energy_stats(t: DataFrame) -> DataFrame:
+    """Total and mean of energy as measured, rounded; 0 where there is none."""
+    return t.groupBy("equipment_id").agg(S.half_up(F.coalesce(F.sum(TARGET), F.lit(0.0))).alias("total"), S.half_up(F.coalesce(F.avg(TARGET), F.lit(0.0)), 1).alias("mean"))
 
 
 def exposure(x: DataFrame) -> DataFrame:
@@ -168,7 +268,8 @@ def exposure(x: DataFrame) -> DataFrame:
 
 
 def daily(x: DataFrame) -> DataFrame:
-    return x.groupBy("equipment_id", F.floor(F.col("ts_ms") / S.DAY_MS).alias("day")).agg(F.avg("energy").alias("energy"), F.avg("resid_z").alias("resid_z"))
+    """Means of imputed energy and of the residual by epoch day."""
+    return x.groupBy("equipment_id", F.floor(F.col("ts_ms") / S.DAY_MS).alias("day")).agg(F.avg(TARGET).alias("energy"), F.avg("resid_z").alias("resid_z"))
 
 
 def seasonal(d: DataFrame) -> DataFrame:
@@ -185,68 +286,173 @@ def trend(d: DataFrame) -> DataFrame:
 
 
 def spearman_trend(x: DataFrame) -> DataFrame:
-    """Rank correlation of every 4th residual of the last 4320 rows with time; 0 for under 240 rows."""
+    """(equipment_id, n, trend): rank correlation of every 4th residual of the last 4320 rows with time; 0 for under 240 rows."""
     n = F.count(F.lit(1)).over(by_unit())
     v = x.withColumn("n", n).filter(F.col("rn") > F.col("n") - F.least("n", F.lit(4320)))
-    v = v.withColumn("k", F.col("rn") - (F.col("n") - F.least("n", F.lit(4320))) - 1).filter("k % 4 = 0 and resid_z is not null")
+    v = v.withColumn("k", F.col("rn") - (F.col("n") - F.least("n", F.lit(4320))) - 1).filter("k % 4 = 0")
     tie = Window.partitionBy("equipment_id", "resid_z")
-    v = v.withColumn("rank", F.rank().over(Window.partitionBy("equipment_id").orderBy("resid_z")) + (F.count(F.lit(1)).over(tie) - 1) / 2)
+    v = v.withColumn("rank", F.rank().over(by_unit().orderBy("resid_z")) + (F.count(F.lit(1)).over(tie) - 1) / 2)
     r = v.groupBy("equipment_id").agg(F.corr("rank", F.col("k").cast("double")).alias("r"), F.max("n").alias("n"))
-    return r.select("equipment_id", F.when(F.col("n") < 240, 0.0).otherwise(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0))).alias("trend"))
+    return r.select("equipment_id", "n", F.when(F.col("n") < 240, 0.0).otherwise(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0))).alias("trend"))
+
+
+def unit_reports(x: DataFrame, d: DataFrame) -> DataFrame:
+    """(equipment_id, n, exposure, trend, slope, drift, health, maintenance, horizon_days) from scored() points and daily()."""
+    u = exposure(x).join(spearman_trend(x), "equipment_id").join(trend(d), "equipment_id")
+    u = u.withColumn("health", S.health(F.col("exposure"), F.col("trend"), F.col("n")))
+    return u.withColumns({"maintenance": S.maintenance(F.col("health"), F.col("slope"), F.col("drift")), "horizon_days": S.horizon_days(F.col("slope"))})
+
+
+def fleet_kpis(units: DataFrame, energy: DataFrame) -> DataFrame:
+    """One row: sum of rounded totals of all units, mean health of those that have one (0 for none), units below 60."""
+    u = energy.join(units.select("equipment_id", "health"), "equipment_id", "left")
+    return u.agg(F.sum("total").alias("total"), S.half_up(F.coalesce(F.avg("health"), F.lit(0.0))).alias("health"), F.count_if(F.col("health") < 60).alias("at_risk"))
+
+
+def ordered(rows: DataFrame, order: list[Column], settle) -> DataFrame:
+    """rows with `place`, their number from 1 on in an order over all of them, without gathering them in one task: dealt out
+    by range, numbered within each part, moved on by the sizes of the parts before. settle(df, name) writes a table and
+    reads it, so that both steps see the same parts."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = settle(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ordered")
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a part
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = parts.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    return within.join(F.broadcast(before), "part").withColumn("place", F.col("k") + F.col("before")).drop("part", "k", "before")
+
 
+# --- explanation --------------------------------------------------------------------------------------------------
 
-def contributors(x: DataFrame, peaks: DataFrame, k: int = 4) -> DataFrame:
-    """The k measures that stand out most at each peak, against the 24 rows before it (the current one excluded)."""
-    before = by_time().rowsBetween(-24, -1)
-    frames = x
-    for c in MEASURES:
-        frames = frames.withColumn(f"f_{c}", F.collect_list(c).over(before))
-    at = frames.join(peaks.select("equipment_id", F.col("peak_rn").alias("rn"), "id"), ["equipment_id", "rn"])
-    stats = robust_stats(x.select("equipment_id", *MEASURES))
 
-    def middle(a: Column) -> Column:
-        s, n = F.array_sort(a), F.size(a)
-        return (F.try_element_at(s, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(s, F.floor(n / 2).cast("int") + 1)) / 2
+def around(x: DataFrame, eps: DataFrame, back: int = 48) -> DataFrame:
+    """(id, rows): the rows of x at each episode's peak (back 0) and up to `back` before it, latest first.
 
-    cells = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(c).alias("column"), F.col(c).alias("value"), F.col(f"f_{c}").alias("frame")) for i, c in enumerate(MEASURES)))
-    long = at.select("equipment_id", "id", F.explode(cells).alias("c")).select("equipment_id", "id", "c.*").filter(F.col("value").isNotNull() & (F.size("frame") > 0))
-    long = long.withColumn("base", middle(F.col("frame")))
-    long = long.withColumn("mad", 1.4826 * middle(F.transform("frame", lambda v: F.abs(v - F.col("base"))))).join(stats.filter("usable"), ["equipment_id", "column"])
-    long = long.withColumn("z", (F.col("value") - F.col("base")) / F.when(F.col("mad") > 1e-9, F.col("mad")).otherwise(F.col("s")))
-    top = long.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.abs("z")), "place"))).filter(F.col("nth") <= k)
-    return top.select("id", "nth", "column", F.col("value"), "base", "z", F.when(F.col("z") > 0, "high").otherwise("low").alias("direction"))
+    Found by an equi-join on (unit, row number), so nothing is held for the rows that are no neighbours of a peak.
+    """
+    wanted = eps.select("id", "equipment_id", "peak_rn", F.explode(F.sequence(F.lit(0), F.lit(back))).alias("back"))
+    wanted = wanted.select("id", "equipment_id", (F.col("peak_rn") - F.col("back")).alias("rn"), "back")
+    cols = measures(x)
+    near = x.select("equipment_id", "rn", *cols).join(wanted, ["equipment_id", "rn"])
+    return near.groupBy("id", "equipment_id").agg(F.array_sort(F.collect_list(F.struct("back", *cols))).alias("rows"))
 
 
-def frozen(t: DataFrame, column: str) -> DataFrame:
-    """How many of the 48 rows before each hold the same value without a break; 12 or more is a stuck sensor."""
-    prior = F.collect_list(F.coalesce(column, F.lit(float("nan")))).over(by_time().rowsBetween(-48, -1))
-    step = lambda acc, v: F.struct((acc["on"] & (F.abs(v - F.col(column)) <= 1e-9) & ~F.isnan(v)).alias("on"), (acc["n"] + (acc["on"] & (F.abs(v - F.col(column)) <= 1e-9) & ~F.isnan(v)).cast("int")).alias("n"))
-    run = F.aggregate(F.reverse("prior"), F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
-    return t.withColumn("prior", prior).withColumn("frozen", F.when(F.col(column).isNull(), 0).otherwise(run)).drop("prior").withColumn("stuck", F.col("frozen") >= 12)
+def middle(a: Column) -> Column:
+    """Median of an array without nulls."""
+    s, n = F.array_sort(a), F.size(a)
+    return (F.try_element_at(s, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(s, F.floor(n / 2).cast("int") + 1)) / 2
+
+
+def deviations(near: DataFrame, stats: DataFrame, cols: list[str], trail: int = 24) -> DataFrame:
+    """(id, equipment_id, column, nth, z, value, base, direction, weight, n_frozen, stuck): every measure at each peak.
+
+    z: against the median and scaled MAD of the `trail` rows before (the unit's own scale where that is 0), 2 decimals;
+    nth: place by |z|, ties in contract order; weight: |z| over the largest; n_frozen: rows up to the peak that hold its
+    value; measures that are missing at the peak are left out. stats: unit_stats() of the imputed series.
+    """
+    now = F.element_at("rows", 1)
+    prior = lambda c: F.filter(F.transform(F.filter("rows", lambda r: r["back"].between(1, trail)), lambda r: r[c]), lambda v: v.isNotNull())
+    # the first row that differs from the peak's value ends the frozen run
+    differs = lambda c: F.filter("rows", lambda r: F.coalesce(F.abs(r[c] - now[c]) >= 1e-9, F.lit(True)))
+    span = F.element_at("rows", -1)["back"] + 1
+    cells = F.array(*(F.struct(F.lit(i).alias("order"), F.lit(c).alias("column"), now[c].alias("value"), prior(c).alias("prior"), F.coalesce(F.try_element_at(differs(c), F.lit(1))["back"], span).alias("n_frozen"), F.coalesce(F.nullif(F.col(f"s_{c}"), F.lit(0.0)), F.lit(1e-9)).alias("own")) for i, c in enumerate(cols)))
+    long = near.join(stats, "equipment_id").select("id", "equipment_id", F.explode(cells).alias("c")).select("id", "equipment_id", "c.*").filter(F.col("value").isNotNull())
+    long = long.withColumn("base", middle(F.col("prior"))).filter("base is not null")
+    long = long.withColumn("mad", 1.4826 * middle(F.transform("prior", lambda v: F.abs(v - F.col("base")))))
+    exact = (F.col("value") - F.col("base")) / F.when(F.col("mad") > 1e-9, F.col("mad")).otherwise(F.col("own"))
+    long = long.withColumn("exact", exact).withColumns({"z": S.half_up(F.col("exact"), 2), "stuck": (F.col("n_frozen") >= 12) & (F.col("own") > 1e-9)})
+    w = Window.partitionBy("id")
+    long = long.withColumns({"nth": F.row_number().over(w.orderBy(F.desc(F.abs("z")), "order")), "weight": S.half_up(F.abs("z") / F.greatest(F.lit(1e-9), F.max(F.abs("z")).over(w)), 2)})
+    return long.select("id", "equipment_id", "column", "nth", "z", S.half_up(F.col("value"), 2).alias("value"), S.half_up(F.col("base"), 2).alias("base"), F.when(F.col("exact") > 0, "high").otherwise("low").alias("direction"), "weight", "n_frozen", "stuck")
+
+
+def frozen(t: DataFrame, column: str, back: int = 48) -> DataFrame:
+    """How many rows up to each hold its value without a break, itself included, back + 1 at most; 12 or more is a stuck sensor."""
+    moved = F.coalesce(F.abs(F.col(column) - F.lag(column).over(by_time())) >= 1e-9, F.lit(True)).cast("int")
+    runs = t.withColumn("_moved", moved).withColumn("_run", F.sum("_moved").over(by_time()))
+    n = F.row_number().over(Window.partitionBy("equipment_id", "_run").orderBy("ts_ms", "row_ord"))
+    out = runs.withColumn("frozen", F.when(F.col(column).isNull(), 0).otherwise(F.least(n, F.lit(back + 1))))
+    return out.withColumn("stuck", F.col("frozen") >= 12).drop("_run", "_moved")
+
+
+# --- views --------------------------------------------------------------------------------------------------------
 
 
 def downsample(t: DataFrame, column: str, buckets: int) -> DataFrame:
-    """Mean, least and largest of row buckets of equal size; up to 2 x buckets rows pass through."""
+    """Mean, least and largest of row buckets of equal size, without those that hold no value; up to 2 x buckets rows pass through."""
     n, rn = F.count(F.lit(1)).over(by_unit()), F.row_number().over(by_time())
     size = F.when(n <= 2 * buckets, 1).otherwise(F.ceil(n / buckets))
     b = t.withColumn("bucket", F.floor((rn - 1) / size))
-    return b.groupBy("equipment_id", "bucket").agg(F.min("ts_ms").alias("ts_ms"), F.avg(column).alias("mean"), F.min(column).alias("lo"), F.max(column).alias("hi"))
+    out = b.groupBy("equipment_id", "bucket").agg(F.min("ts_ms").alias("ts_ms"), F.avg(column).alias("mean"), F.min(column).alias("lo"), F.max(column).alias("hi"))
+    return out.filter("mean is not null")
+
+
+def smoothed(b: DataFrame, value: str = "mean", order: str = "bucket") -> DataFrame:
+    """b with value' = (value' before + 2 value) / 3 along each unit's buckets (a few hundred, held as an array)."""
+    rest = [c for c in b.columns if c != "equipment_id"]
+    series_ = b.groupBy("equipment_id").agg(F.array_sort(F.collect_list(F.struct(order, *(c for c in rest if c != order)))).alias("a"))
+    step = lambda acc, x: F.concat(acc, F.array(F.coalesce((F.element_at(acc, -1) + 2 * x[value]) / 3, x[value])))
+    soft = F.when(F.size("a") > 0, F.aggregate(F.slice("a", 2, F.size("a")), F.array(F.element_at("a", 1)[value]), step))
+    return series_.select("equipment_id", F.explode(F.arrays_zip("a", soft.alias("soft"))).alias("z")).select("equipment_id", "z.a.*", F.col("z.soft").alias("soft"))
+
+
+def domain(b: DataFrame) -> DataFrame:
+    """(equipment_id, lo, hi): the least and largest of buckets, 0 and 1 for none, with 8 % of the range added either way."""
+    d = b.groupBy("equipment_id").agg(F.coalesce(F.min("lo"), F.lit(0.0)).alias("lo"), F.coalesce(F.max("hi"), F.lit(1.0)).alias("hi"))
+    pad = 0.08 * F.when(F.col("hi") == F.col("lo"), 1.0).otherwise(F.col("hi") - F.col("lo"))
+    return d.select("equipment_id", (F.col("lo") - pad).alias("lo"), (F.col("hi") + pad).alias("hi"))
+
+
+def degrade_view(d: DataFrame, width: int = 260) -> DataFrame:
+    """Daily rows of seasonal() in at most `width` strides: smoothed mean, least and largest energy and mean seasonal level."""
+    size = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(by_unit()) / width))
+    b = d.withColumn("bucket", F.floor((F.row_number().over(by_unit().orderBy("day")) - 1) / size))
+    out = b.groupBy("equipment_id", "bucket").agg(F.min("day").alias("day"), F.avg("energy").alias("mean"), F.min("energy").alias("lo"), F.max("energy").alias("hi"), F.avg("seasonal").alias("seasonal"))
+    return smoothed(out.filter("mean is not null"))
 
 
 def nearest(t: DataFrame, asked: DataFrame) -> DataFrame:
-    """For each (equipment_id, at_ms) asked, the row nearest in time; of two as near the later."""
-    marks = asked.select("equipment_id", F.col("at_ms").alias("ts_ms"), F.lit(True).alias("asked"))
-    both = t.select("equipment_id", "ts_ms", F.lit(False).alias("asked"), F.struct("ts_ms", "row_ord").alias("hit")).unionByName(marks.withColumn("hit", F.lit(None).cast("struct<ts_ms:bigint,row_ord:bigint>")))
-    w, back = Window.partitionBy("equipment_id").orderBy("ts_ms", "asked"), Window.partitionBy("equipment_id").orderBy(F.desc("ts_ms"), F.desc("asked"))
-    seen = both.withColumn("before", F.last("hit", True).over(w)).withColumn("after", F.last("hit", True).over(back)).filter("asked")
-    later = F.col("before").isNull() | (F.col("after.ts_ms") - F.col("ts_ms") <= F.col("ts_ms") - F.col("before.ts_ms"))
-    return seen.select("equipment_id", F.col("ts_ms").alias("at_ms"), F.when(F.col("after").isNotNull() & later, F.col("after")).otherwise(F.col("before")).alias("hit")).select("equipment_id", "at_ms", F.col("hit.row_ord").alias("row_ord"))
+    """For each asked (equipment_id, at_ms) the row_ord nearest in time, the later one of equals: two as-of passes in one window."""
+    rows = t.select("equipment_id", F.col("ts_ms").alias("at"), "row_ord", F.lit(0).alias("ask"))
+    both = rows.unionByName(asked.select("equipment_id", F.col("at_ms").alias("at"), F.lit(None).cast("long").alias("row_ord"), F.lit(1).alias("ask")))
+    have = F.when(F.col("ask") == 0, F.struct("at", "row_ord"))
+    up = Window.partitionBy("equipment_id").orderBy("at", "ask", "row_ord")
+    down = Window.partitionBy("equipment_id").orderBy(F.desc("at"), "ask", F.desc("row_ord"))
+    near = both.withColumns({"p": F.last(have, True).over(up), "n": F.last(have, True).over(down)}).filter("ask = 1")
+    later = F.col("p").isNull() | (F.col("n.at") - F.col("at") <= F.col("at") - F.col("p.at"))
+    return near.select("equipment_id", F.col("at").alias("at_ms"), F.when(F.col("n").isNotNull() & later, F.col("n.row_ord")).otherwise(F.col("p.row_ord")).alias("row_ord"))
+
+
+def _days(lo: Column, hi: Column) -> Column:
+    return F.explode(F.sequence(F.floor(lo / S.DAY_MS), F.floor(hi / S.DAY_MS)))
 
 
 def overlapping(eps: DataFrame, windows: DataFrame) -> DataFrame:
-    """Pairs of episodes and windows (equipment_id, name, from_ms, to_ms) of a unit that overlap, met by day."""
-    days = lambda a, b: F.explode(F.sequence(F.floor(a / S.DAY_MS), F.floor(b / S.DAY_MS))).alias("day")
-    e = eps.select("equipment_id", "id", "start_ms", "end_ms", days(F.col("start_ms"), F.col("end_ms")))
-    w = windows.select("equipment_id", "name", "from_ms", "to_ms", days(F.col("from_ms"), F.col("to_ms")))
-    met = e.join(w, ["equipment_id", "day"]).filter("start_ms < to_ms and end_ms > from_ms")
-    return met.select("equipment_id", "name", "id").distinct()
+    """(equipment_id, name, id) of episodes that overlap windows(equipment_id, name, from_ms, to_ms); both meet by unit and day."""
+    a = eps.select("equipment_id", "id", "start_ms", "end_ms", _days(F.col("start_ms"), F.col("end_ms")).alias("day"))
+    b = windows.withColumn("day", _days(F.col("from_ms"), F.col("to_ms")))
+    return a.join(b, ["equipment_id", "day"]).filter("start_ms < to_ms and end_ms > from_ms").select("equipment_id", "name", "id").distinct()
+
+
+def nearby(eps: DataFrame, windows: DataFrame, days: int = 3) -> DataFrame:
+    """(equipment_id, name, id) of episodes that start or end within `days` of windows; they meet by unit and day."""
+    edges = eps.select("equipment_id", "id", F.explode(F.array("start_ms", "end_ms")).alias("at")).withColumn("day", F.floor(F.col("at") / S.DAY_MS))
+    wide = windows.select("equipment_id", "name", (F.col("from_ms") - days * S.DAY_MS).alias("lo"), (F.col("to_ms") + days * S.DAY_MS).alias("hi"))
+    wide = wide.withColumn("day", _days(F.col("lo"), F.col("hi")))
+    return edges.join(wide, ["equipment_id", "day"]).filter("at between lo and hi").select("equipment_id", "name", "id").distinct()
+
+
+def containing(asked: DataFrame, eps: DataFrame) -> DataFrame:
+    """(equipment_id, at_ms, id): for each asked time the first episode that holds it, ends included."""
+    a = asked.select("equipment_id", "at_ms", F.floor(F.col("at_ms") / S.DAY_MS).alias("day"))
+    b = eps.select("equipment_id", "id", "start_ms", "end_ms", _days(F.col("start_ms"), F.col("end_ms")).alias("day"))
+    return a.join(b, ["equipment_id", "day"]).filter("at_ms between start_ms and end_ms").groupBy("equipment_id", "at_ms").agg(F.min_by("id", "start_ms").alias("id"))
+
+
+def window_means(t: DataFrame, windows: DataFrame, column: str = TARGET) -> DataFrame:
+    """(equipment_id, name, inside, n, before): mean of a column within each window, rows there, and its mean on the day that
+    begins three days before it. The windows are few and given by hand."""
+    j = t.join(F.broadcast(windows), "equipment_id")
+    inside = (F.col("ts_ms") >= F.col("from_ms")) & (F.col("ts_ms") < F.col("to_ms"))
+    start = F.col("from_ms") - 3 * S.DAY_MS
+    base = (F.col("ts_ms") >= start) & (F.col("ts_ms") < start + S.DAY_MS)
+    return j.filter(inside | base).groupBy("equipment_id", "name").agg(F.avg(F.when(inside, F.col(column))).alias("inside"), F.count_if(inside).alias("n"), F.avg(F.when(base, F.col(column))).alias("before"))

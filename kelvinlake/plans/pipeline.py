@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
+import logging
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelvinlake.functions import scalar as S
 from kelvinlake.operators import explain, models, series
+from kelvinlake.sources import contract
+from kelvinlake.sources.contract import DatasetError, ship
+
+log = logging.getLogger(__name__)
+
+
+@dataclass(frozen=True)
+class Options:
+    """model: `linear` (DataFrame functions only) or `learned` (isolation forest and network). threshold: `quantile`, or
+    `positional` (the value at that place of the active rows in time order)."""
+
+    model: str = "linear"
+    threshold: str = "quantile"
+    threshold_quantile: float = 0.975
+    forest_weight: float = 0.25
+    residual_weight: float = 0.75
+    join_window: int = S.JOIN_WINDOW
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that driver and executors share, and read back: later plans start there."""
+    """df written to the folder that driver and executors share, and read back: later plans start there. Tables stay for
+    as long as results that read them; each run has its own names, and who owns the folder clears it."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     path = f"{root}/{name}-{uuid.uuid4().hex}"
@@ -21,55 +41,128 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 
 def split_by_data(t: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(units with MIN_DATA rows or more, the names of the others)."""
+    """(units with MIN_DATA rows or more, (equipment_id, n, reason) of the others)."""
     n = t.groupBy("equipment_id").agg(F.count(F.lit(1)).alias("n"))
-    few = n.filter(F.col("n") < S.MIN_DATA)
+    few = n.filter(F.col("n") < S.MIN_DATA).withColumn("reason", F.concat(F.lit("only "), F.col("n").cast("string"), F.lit(f" observations, {S.MIN_DATA} are needed")))
     return t.join(few, "equipment_id", "left_anti"), few
 
 
+def prepared(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(imputed and standardised series of the units that can be analysed, reports of the others). t: a series as measured;
+    the nominal interval is that of its first unit, whether or not that can be analysed."""
+    enough, few = split_by_data(t)
+    z = settle(series.standardise(series.impute(enough, series.nominal_minutes(t))), "standardised")
+    no_energy = z.filter(~series.usable(series.TARGET)).groupBy("equipment_id").agg(F.count(F.lit(1)).alias("n")).withColumn("reason", F.lit("no energy values that vary"))
+    return z.filter(series.usable(series.TARGET)), few.unionByName(no_energy)
+
+
+def feature_names(cols: list[str]) -> tuple[list[str], list[str]]:
+    """Names of the forest's and the network's inputs where all of cols are usable."""
+    cyclic = [f"{k}_{n}" for k in ("hour", "dow", "doy") for n in ("sin", "cos")]
+    dynamics = [c for c in (("roll_mean_z", "roll_std_z", "lag1", "lag48") if series.TARGET in cols else ())]
+    forest = [f"z_{c}" for c in cols] + cyclic[:4] + dynamics + (["roll_load_z"] if series.LOAD in cols else [])
+    network = [f"z_{c}" for c in cols if c != series.TARGET] + cyclic + dynamics[2:]
+    return forest, network
+
+
 def model_features(z: DataFrame) -> DataFrame:
-    """if_x and mlp_x of each row; a measure that is not usable counts as 0."""
-    rows = series.rolling(series.lags(z)).withColumn("rn", F.row_number().over(series.by_time()))
-    rows = rows.withColumns(S.cyclic(F.col("ts_ms")))
-    time = [f"{k}_{n}" for k in ("hour", "dow") for n in ("sin", "cos")]
-    if_x = F.array(*(F.coalesce(c, F.lit(0.0)) for c in ["z_energy", "z_load", "z_flow", *time, "roll_std", "lag1", "lag48"]))
-    mlp_x = F.array(*(F.coalesce(c, F.lit(0.0)) for c in ["z_load", "z_flow", *time, "doy_sin", "doy_cos", "lag1", "lag48"]))
-    return rows.select("equipment_id", "row_ord", "rn", if_x.alias("if_x"), mlp_x.alias("mlp_x"), F.col("z_energy").alias("y"))
+    """if_x, mlp_x and y of each row of prepared(); width_if and width_mlp count the inputs that the unit's measures allow.
+    An input of a measure that the unit cannot use is 0 in all its rows, so the models learn nothing from it."""
+    cols = series.measures(z)
+    rows = series.rolling(series.lags(z)).withColumn("rn", F.row_number().over(series.by_time())).withColumns(S.cyclic(F.col("ts_ms"), F.col("hour")))
+    e, ld = series.TARGET, series.LOAD
+    rolled = {"roll_mean_z": S.clamp((F.col("roll_mean") - F.col(f"m_{e}")) / F.col(f"s_{e}"), -6.0, 6.0), "roll_std_z": S.clamp(F.col("roll_std") / F.col(f"s_{e}"), -6.0, 6.0)}
+    if ld in cols:
+        rolled["roll_load_z"] = F.when(series.usable(ld), S.clamp((F.col("roll_load") - F.col(f"m_{ld}")) / F.col(f"s_{ld}"), -6.0, 6.0))
+    rows = rows.withColumns(rolled)
+    if_x, mlp_x = (F.array(*(F.coalesce(c, F.lit(0.0)) for c in names)) for names in feature_names(cols))
+    n = sum((series.usable(c).cast("int") for c in cols), F.lit(0))
+    load = series.usable(ld).cast("int") if ld in cols else F.lit(0)
+    return rows.select("equipment_id", "rn", if_x.alias("if_x"), mlp_x.alias("mlp_x"), F.col(f"z_{e}").alias("y"), (n + 8 + load).alias("width_if"), (n - 1 + 8).alias("width_mlp"))
 
 
-def run(t: DataFrame, model: str = "linear", mode: str = "quantile") -> dict[str, DataFrame]:
-    """points, episodes, units (health and maintenance), contributors, recommendations and narratives.
+def score(z: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+    """(points with score and run bounds, thresholds) of prepared()."""
+    if options.model == "learned":
+        features = settle(model_features(z), "features")
+        learned = settle(models.score_units(features, settle(models.fit_units(features), "models")), "learned")
+        rows = z.withColumn("rn", F.row_number().over(series.by_time())).join(learned, ["equipment_id", "rn"])
+        r = series.raw_scores(series.calibrated(rows), F.col("forest"), options.forest_weight, options.residual_weight)
+    else:
+        r = series.raw_scores(series.linear_residual(z), None, options.forest_weight, options.residual_weight)
+    keep = [c for c in r.columns if c[:2] not in ("m_", "s_")]
+    r = settle(r.select(*keep), "raw")
+    limits = settle(series.thresholds(r, options.threshold, options.threshold_quantile), "thresholds")
+    return series.scored(r, series.islands(r, limits, options.join_window)), limits
+
 
-    model: `linear` (DataFrame functions only) or `learned` (isolation forest and network in grouped batches).
+def run(t: DataFrame, options: Options = Options()) -> dict[str, DataFrame]:
+    """The catalog of results of a series as measured:
+
+    points, episodes (with tags), units (a report for every unit, the insufficient ones included), daily, degrade,
+    contributors, evidence, recommendations, narratives, fleet (one row), metadata (one row).
     """
-    enough, few = split_by_data(t)
-    z = series.standardise(settle(series.impute(enough), "imputed")).filter("z_energy is not null")
-    r = series.linear_residual(z)
-    if model == "learned":
-        learned = models.score_units(model_features(z))
-        r = r.join(learned, ["equipment_id", "row_ord"])
-        own = F.col("z_energy") - F.col("predicted")
-        scale = 1.4826 * F.percentile(F.when(F.col("trained"), F.abs(own)), F.lit(0.5)).over(series.by_unit())
-        r = r.withColumn("resid_z", own / F.when(F.coalesce(scale, F.lit(0.0)) == 0, 1.0).otherwise(scale))
-        r = series.raw_scores(r, F.col("forest"))
-    else:
-        r = series.raw_scores(r)
-    points = settle(series.scored(r, mode), "points")  # every result below reads it
+    ship(t.sparkSession)
+    log.info("imputation and features")
+    z, insufficient = prepared(t)
+    insufficient = settle(insufficient, "insufficient")
+    if z.isEmpty():
+        reasons = "; ".join(f"{r['equipment_id']}: {r['reason']}" for r in insufficient.orderBy("equipment_id").limit(20).collect())
+        raise DatasetError(f"no unit could be analysed ({reasons})")
+    log.info("scores")
+    x, limits = score(z, options)
+    points = settle(x, "points")  # every result below reads it
     eps = settle(series.episodes(points), "episodes")
-    top = settle(series.contributors(points, eps), "contributors")
-    days = series.daily(points)
-    trend = series.spearman_trend(points)
-    units = series.exposure(points).join(trend, "equipment_id").join(series.trend(days), "equipment_id")
-    units = units.withColumn("health", S.health(F.col("exposure"), F.col("trend"))).withColumns({"maintenance": S.maintenance(F.col("health"), F.col("slope"), F.col("drift")), "horizon_days": S.horizon_days(F.col("slope"))})
-    wide = top.groupBy("id").pivot("column", list(series.MEASURES)).agg(F.first("z"))
-    stuck = series.frozen(points.select("equipment_id", "ts", "row_ord", "rn", "flow"), "flow").select("equipment_id", "rn", "stuck")
-    peak = eps.join(points.select("equipment_id", F.col("rn").alias("peak_rn"), "ts_ms", "resid_z"), ["equipment_id", "peak_rn"]).join(stuck.withColumnRenamed("rn", "peak_rn"), ["equipment_id", "peak_rn"])
-    size = points.groupBy("equipment_id").agg(F.max("rn").alias("n"))
-    peak = peak.join(wide, "id", "left").join(trend, "equipment_id").join(size, "equipment_id")
-    hour = F.pmod("ts_ms", F.lit(S.DAY_MS)) / 3_600_000
-    tags = explain.pattern_tags(F.col("energy"), F.col("load"), F.col("flow"), F.lit(None).cast("double"), F.col("resid_z"), F.col("e") - F.col("s") + 1, hour, F.col("trend"), F.col("peak_rn") / F.col("n"), F.col("stuck"))
-    eps = peak.select(*eps.columns, tags.alias("tags"))
+    days = settle(series.seasonal(series.daily(points)), "daily")
+    reports = settle(series.unit_reports(points, days), "units")
+    log.info("explanation")
+    # explanation is of the cells as measured, with scales of the imputed series
+    cols = series.measures(t)
+    raw = t.select("equipment_id", "ts_ms", "row_ord", *cols).join(points.select("equipment_id", "ts_ms", "row_ord", "rn"), ["equipment_id", "ts_ms", "row_ord"])
+    stats = z.groupBy("equipment_id").agg(*(F.first(f"s_{c}").alias(f"s_{c}") for c in cols))
+    dev = settle(series.deviations(series.around(raw, eps), stats, cols), "deviations")
+    top = dev.filter("nth <= 4")
+    eps = settle(explain.tag_episodes(eps, dev, reports), "tagged")
+    energy = series.energy_stats(t)
+    units = energy.join(reports, "equipment_id", "left").join(limits.select("equipment_id", "threshold"), "equipment_id", "left").join(insufficient.select("equipment_id", F.col("n").alias("_n"), "reason"), "equipment_id", "left")
+    units = units.withColumns({"n": F.coalesce("n", "_n"), "threshold": F.coalesce("threshold", F.lit(0.0)), "trend": S.half_up(F.coalesce("trend", F.lit(0.0)), 3), "slope": S.half_up(F.col("slope"), 3), "drift": S.half_up(F.col("drift"), 2), "insufficient": F.col("reason").isNotNull()}).drop("_n")
+    fleet = series.fleet_kpis(reports, energy)
+    severities = eps.agg(*(F.count_if(F.col("severity") == s).alias(s) for s in ("watch", "alert", "action")))
+    n_if, n_mlp = (len(x) for x in feature_names(cols))
+    if options.model == "learned":
+        widths = model_features(z).agg(F.max("width_if").alias("forest_features"), F.max("width_mlp").alias("network_features"))
+    else:
+        widths = t.sparkSession.createDataFrame([(n_if, n_mlp)], "forest_features int, network_features int")
+    fixed = {**models.HYPER, **{k: getattr(options, k) for k in ("forest_weight", "residual_weight", "threshold_quantile", "join_window", "model")}}
     return {
-        "points": points, "episodes": eps, "units": units, "daily": series.seasonal(days), "insufficient": few,
-        "contributors": top, "recommendations": explain.recommend(eps), "narratives": explain.narrate(eps, top),
+        "points": points, "episodes": eps, "units": units, "daily": days, "degrade": series.degrade_view(days), "contributors": top,
+        "evidence": explain.evidence(top), "recommendations": explain.recommend(eps), "narratives": explain.narrate(eps, top),
+        "fleet": fleet.join(F.broadcast(severities), F.lit(True)), "metadata": widths.withColumns({k: F.lit(v) for k, v in fixed.items()}), "thresholds": limits,
     }
+
+
+def run_csv(spark: SparkSession, path: str, options: Options = Options(), multiline: bool = False) -> dict[str, DataFrame]:
+    """run() of a contract CSV, with its quality report (one row) added."""
+    t, counts = contract.load(spark, path, multiline)
+    t = settle(t, "series")
+    return {"quality": series.quality(t, counts), **run(t, options)}
+
+
+def integrity(result: dict[str, DataFrame]) -> DataFrame:
+    """One row: points without a finite score, and episodes without a finite peak, narrative, recommendation or contributor."""
+    finite = lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False))
+    points = result["points"].agg(F.count_if(~finite("score")).alias("bad_points"))
+    has = {k: result[k].select("id").distinct().withColumn(f"_{k}", F.lit(True)) for k in ("recommendations", "contributors")}
+    eps = result["episodes"].join(result["narratives"], "id", "left")
+    for h in has.values():
+        eps = eps.join(h, "id", "left")
+    bad = ~finite("peak") | (F.coalesce(F.length("narrative"), F.lit(0)) == 0) | F.col("_recommendations").isNull() | F.col("_contributors").isNull()
+    return points.join(F.broadcast(eps.agg(F.count_if(bad).alias("bad_episodes"))), F.lit(True))  # one row each
+
+
+def report(result: dict[str, DataFrame], k: int = 8) -> list[str]:
+    """Lines of a console report: units, and the first k episodes of each in time order."""
+    lines = [f"{r['equipment_id']}: health {r['health']}, trend {r['trend']}, threshold {r['threshold']:.3f}" if not r["insufficient"] else f"{r['equipment_id']}: {r['reason']}" for r in result["units"].orderBy("equipment_id").limit(1000).collect()]
+    nth = F.row_number().over(series.Window.partitionBy("equipment_id").orderBy("start_ms"))
+    first = result["episodes"].withColumn("nth", nth).filter(F.col("nth") <= k).orderBy("equipment_id", "nth").limit(1000)
+    return lines + [f"  {r['severity']:6} {r['id']} {r['hours']} h, peak {r['peak']} [{', '.join(r['tags'])}]" for r in first.collect()]

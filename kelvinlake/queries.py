@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelvinlake.functions import scalar as S
-from kelvinlake.operators import series
+from kelvinlake.functions import text
+from kelvinlake.operators import explain, series
 from kelvinlake.plans import pipeline
-from kelvinlake.sources.contract import TELEMETRY_SQL, safe_double, telemetry, timestamp_parts
-from kelvinlake.sources.demo import demo
+from kelvinlake.sources.contract import MEASURES, NAME_OF, TELEMETRY_SQL, UNITS, clean, observed, safe_double, telemetry, timestamp_parts, units_dimension
+from kelvinlake.sources.demo import MISSING, demo, fault_windows
 from kelvinlake.streaming import stream
 
 QUERIES: dict = {}
@@ -30,37 +31,78 @@ def r6(c: Column | str, digits: int = 6) -> Column:
     return S.half_up(F.col(c) if isinstance(c, str) else c, digits)
 
 
-def points(spark: SparkSession, sf_dir: str, mode: str = "quantile") -> DataFrame:
-    z = series.standardise(telemetry(spark, sf_dir)).filter("z_energy is not null")
-    return series.scored(series.raw_scores(series.linear_residual(z)), mode)
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.prepared(telemetry(spark, sf_dir))[0]
+
+
+def raws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw scores of the linear model, as a table: thresholds, runs and points read it."""
+    r = series.raw_scores(series.linear_residual(prepared(spark, sf_dir)))
+    return pipeline.settle(r.select("equipment_id", "row_ord", "ts_ms", "hour", *MEASURES, "rn", "resid_z", "raw"), "raw")
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = raws(spark, sf_dir)
+    return series.scored(r, series.islands(r, series.thresholds(r)))
+
+
+def explained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points, episodes, deviations at their peaks)."""
+    t = telemetry(spark, sf_dir)
+    x = pipeline.settle(points(spark, sf_dir), "points")
+    eps = pipeline.settle(series.episodes(x), "episodes")
+    raw = t.select("equipment_id", "row_ord", *MEASURES).join(x.select("equipment_id", "row_ord", "rn"), ["equipment_id", "row_ord"])
+    stats = series.unit_stats(x).select("equipment_id", *(f"s_{c}" for c in MEASURES))
+    return x, eps, pipeline.settle(series.deviations(series.around(raw, eps), stats, list(MEASURES)), "deviations")
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(episodes with tags, deviations)."""
+    x, eps, dev = explained(spark, sf_dir)
+    return explain.tag_episodes(eps, dev, series.spearman_trend(x)), dev
 
 
 # --- SQL pieces ---------------------------------------------------------------------------------------------------
 
-W = "PARTITION BY equipment_id ORDER BY ts, row_ord"
-R6 = "floor({} * 1e6 + 0.5) / 1e6".format
+W = "PARTITION BY equipment_id ORDER BY ts_ms, row_ord"
+R6 = "floor(({}) * 1e6 + 0.5) / 1e6".format
+R2 = "floor(({}) * 100 + 0.5) / 100".format
 T = f"WITH {TELEMETRY_SQL}"
-LONG = "long AS (SELECT equipment_id, 'energy' AS col, energy AS x FROM t UNION ALL SELECT equipment_id, 'load', load FROM t UNION ALL SELECT equipment_id, 'flow', flow FROM t)"
-STATS = f"""{LONG}, med AS (SELECT equipment_id, col, median(x) AS m FROM long WHERE x IS NOT NULL GROUP BY ALL),
-stats AS (SELECT l.equipment_id, l.col, m, 1.4826 * median(abs(x - m)) AS s FROM long l JOIN med USING (equipment_id, col) WHERE x IS NOT NULL GROUP BY ALL)"""
+NOMINAL = f"""g AS (SELECT equipment_id, ts_ms - lag(ts_ms) OVER ({W}) AS gap FROM t),
+nom AS (SELECT greatest(1, floor(list_sort(list(gap))[count(*) // 2 + 1] / 60000 + 0.5)) AS nominal FROM g WHERE gap IS NOT NULL AND equipment_id = (SELECT min(equipment_id) FROM t))"""
+
 
+def _near(c: str) -> str:
+    have = f"CASE WHEN {c} IS NOT NULL THEN struct_pack(v := {c}, at := ts_ms) END"
+    return f"last_value({have} IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p_{c}, first_value({have} IGNORE NULLS) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n_{c}"
 
-def _z(c: str) -> str:
-    return f"least(greatest((t.{c} - {c[0]}.m) / {c[0]}.s, -6.0), 6.0) AS z_{c}"
 
+def _filled(c: str) -> str:
+    return f"coalesce({c}, CASE WHEN n_{c}.at - p_{c}.at <= 4 * nominal * 60000 THEN p_{c}.v + (n_{c}.v - p_{c}.v) * ((ts_ms - p_{c}.at) / (n_{c}.at - p_{c}.at)) END, p_{c}.v, n_{c}.v) AS {c}"
 
-Z = f"""{STATS}, z AS (SELECT t.*, {", ".join(_z(c) for c in series.MEASURES)} FROM t
-{" ".join(f"LEFT JOIN (SELECT * FROM stats WHERE col = '{c}' AND s > 1e-9) {c[0]} ON t.equipment_id = {c[0]}.equipment_id" for c in series.MEASURES)})"""
-RES = f"""{Z}, zz AS (SELECT *, row_number() OVER ({W}) AS rn FROM z WHERE z_energy IS NOT NULL),
+
+#: Imputed series of the units with enough rows.
+IMP = f"""{NOMINAL}, big AS (SELECT * FROM t WHERE equipment_id IN (SELECT equipment_id FROM t GROUP BY 1 HAVING count(*) >= {S.MIN_DATA})),
+near AS (SELECT big.*, nominal, {", ".join(map(_near, MEASURES))} FROM big, nom),
+imp AS (SELECT equipment_id, row_ord, ts_ms, hour, {", ".join(map(_filled, MEASURES))} FROM near)"""
+
+
+def _stats(source: str) -> str:
+    return f"""med AS (SELECT equipment_id, {", ".join(f"median({c}) AS m_{c}" for c in MEASURES)} FROM {source} GROUP BY ALL),
+stats AS (SELECT equipment_id, {", ".join(f"any_value(m_{c}) AS m_{c}, 1.4826 * median(abs({c} - m_{c})) AS s_{c}" for c in MEASURES)} FROM {source} JOIN med USING (equipment_id) GROUP BY ALL)"""
+
+
+Z = f"""{IMP}, {_stats("imp")}, z AS (SELECT imp.*, stats.* EXCLUDE (equipment_id), {", ".join(f"CASE WHEN s_{c} > 1e-9 AND {c} IS NOT NULL THEN least(greatest(({c} - m_{c}) / s_{c}, -6.0), 6.0) END AS z_{c}" for c in MEASURES)} FROM imp JOIN stats USING (equipment_id) WHERE s_energy > 1e-9)"""
+RES = f"""{Z}, zz AS (SELECT *, row_number() OVER ({W}) AS rn FROM z),
 fit AS (SELECT equipment_id, regr_slope(z_energy, z_load) AS a, regr_intercept(z_energy, z_load) AS b FROM zz GROUP BY ALL),
-y0 AS (SELECT zz.*, a * z_load + b AS pred, z_energy - (a * z_load + b) AS r0, (ts_ms % 86400000) // 3600000 AS hb FROM zz JOIN fit USING (equipment_id)),
+y0 AS (SELECT zz.*, coalesce(a * z_load + b, 0) AS pred, z_energy - coalesce(a * z_load + b, 0) AS r0, least(23, floor(hour)) AS hb FROM zz JOIN fit USING (equipment_id)),
 y1 AS (SELECT *, coalesce(median(r0) FILTER (rn > 96) OVER (PARTITION BY equipment_id, hb), 0) AS hm,
   min(pred) FILTER (rn > 96) OVER (PARTITION BY equipment_id) AS lo, max(pred) FILTER (rn > 96) OVER (PARTITION BY equipment_id) AS hi FROM y0),
-y2 AS (SELECT *, least(greatest(floor((pred - lo) / (CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END) * 8 + 1e-9), 0), 7) AS bin, CASE WHEN rn > 96 THEN r0 - hm ELSE r0 END AS r1 FROM y1),
+y2 AS (SELECT *, least(greatest(floor((pred - lo) / (CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END) * 8), 0), 7) AS bin, CASE WHEN rn > 96 THEN r0 - hm ELSE r0 END AS r1 FROM y1),
 y3 AS (SELECT *, coalesce(median(r1) FILTER (rn > 96) OVER (PARTITION BY equipment_id, bin), 0) AS bm FROM y2),
 y4 AS (SELECT *, CASE WHEN rn > 96 THEN r1 - bm ELSE r1 END AS r2 FROM y3),
-y5 AS (SELECT *, 1.4826 * median(abs(r2)) FILTER (rn > 96) OVER (PARTITION BY equipment_id) AS sc FROM y4),
-res AS (SELECT *, r2 / (CASE WHEN coalesce(sc, 0) = 0 THEN 1.0 ELSE sc END) AS resid_z FROM y5)"""
+sc AS (SELECT equipment_id, 1.4826 * list_sort(list(abs(r2)))[count(*) // 2 + 1] AS sc FROM y4 WHERE rn > 96 GROUP BY ALL),
+res AS (SELECT y4.*, r2 / (CASE WHEN coalesce(sc, 0) = 0 THEN 1.0 ELSE sc END) AS resid_z FROM y4 LEFT JOIN sc USING (equipment_id))"""
 RAW = f"{RES}, raws AS (SELECT *, least(greatest(0.75 * (1 - exp(-0.5 * pow(coalesce(resid_z, 0) / 1.8, 2))), 0.0), 1.0) AS raw FROM res)"
 THR = f"""{RAW}, act AS (SELECT *, row_number() OVER ({W}) - 1 AS k, count(*) OVER (PARTITION BY equipment_id) AS n FROM raws WHERE rn > 96 AND raw > 1e-9),
 thr AS (SELECT u.equipment_id, coalesce(greatest(0.35, q.t), 0.6) AS threshold, coalesce(q.g, 0.9) AS rescue FROM (SELECT DISTINCT equipment_id FROM raws) u
@@ -73,29 +115,60 @@ SCORED = f"""{RUNS}, pts AS (SELECT raws.*, runs.s, runs.e,
   FROM raws LEFT JOIN runs ON raws.equipment_id = runs.equipment_id AND rn BETWEEN runs.s AND runs.e)"""
 EPS = f"""{SCORED}, ep0 AS (SELECT equipment_id, s, e, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, max(score) AS peak FROM pts WHERE s IS NOT NULL GROUP BY ALL),
 fl AS (SELECT equipment_id, greatest(0.8, quantile_cont(peak, 0.9)) AS hi, greatest(0.7, quantile_cont(peak, 0.6)) AS mid FROM ep0 GROUP BY ALL),
-eps AS (SELECT ep0.*, CASE WHEN peak >= hi THEN 'action' WHEN peak >= mid THEN 'alert' ELSE 'watch' END AS severity, equipment_id || '-' || start_ms AS id,
+eps AS (SELECT ep0.* REPLACE (floor(peak * 1000 + 0.5) / 1000 AS peak), CASE WHEN peak >= hi THEN 'action' WHEN peak >= mid THEN 'alert' ELSE 'watch' END AS severity, equipment_id || '-' || start_ms AS id,
   floor((end_ms - start_ms) / 3600000 * 10 + 0.5) / 10 AS hours FROM ep0 JOIN fl USING (equipment_id))"""
 DAILY = f"{SCORED}, daily AS (SELECT equipment_id, ts_ms // 86400000 AS day, avg(energy) AS energy, avg(resid_z) AS resid_z FROM pts GROUP BY ALL)"
 TREND = f"""{DAILY}, back AS (SELECT *, row_number() OVER (PARTITION BY equipment_id ORDER BY day DESC) AS b FROM daily),
 trend AS (SELECT equipment_id, coalesce(CASE WHEN count(*) < 14 THEN 0.0 ELSE regr_slope(resid_z, 90 - b) END, 0.0) AS slope, coalesce(avg(resid_z) FILTER (b <= 30), 0.0) AS drift FROM back WHERE b <= 90 GROUP BY ALL)"""
 SPEAR = f"""sp0 AS (SELECT *, count(*) OVER (PARTITION BY equipment_id) AS n FROM pts),
 sp1 AS (SELECT equipment_id, n, resid_z, rn - (n - least(n, 4320)) - 1 AS k FROM sp0 WHERE rn > n - least(n, 4320)),
-sp2 AS (SELECT *, rank() OVER (PARTITION BY equipment_id ORDER BY resid_z) + (count(*) OVER (PARTITION BY equipment_id, resid_z) - 1) / 2.0 AS rk FROM sp1 WHERE k % 4 = 0 AND resid_z IS NOT NULL),
-spear AS (SELECT equipment_id, CASE WHEN max(n) < 240 THEN 0.0 ELSE coalesce(corr(rk, k::DOUBLE), 0.0) END AS trend FROM sp2 GROUP BY ALL)"""
+sp2 AS (SELECT *, rank() OVER (PARTITION BY equipment_id ORDER BY resid_z) + (count(*) OVER (PARTITION BY equipment_id, resid_z) - 1) / 2.0 AS rk FROM sp1 WHERE k % 4 = 0),
+spear AS (SELECT equipment_id, max(n) AS n, CASE WHEN max(n) < 240 THEN 0.0 ELSE coalesce(corr(rk, k::DOUBLE), 0.0) END AS trend FROM sp2 GROUP BY ALL)"""
 EXPO = """expo AS (SELECT equipment_id, avg(CASE WHEN score >= 0.7 THEN 1 ELSE 0 END) AS exposure FROM (SELECT *, max(ts_ms) OVER (PARTITION BY equipment_id) AS last FROM pts) WHERE ts_ms >= last - 30 * 86400000::BIGINT GROUP BY ALL)"""
-UNITS = f"""{TREND}, {SPEAR}, {EXPO}, hl AS (SELECT *, CAST(least(greatest(floor(100 - (55 * exposure + 30 * greatest(trend, 0.0)) + 0.5), 5), 100) AS INT) AS health FROM expo JOIN spear USING (equipment_id) JOIN trend USING (equipment_id)),
+UNITS_SQL = f"""{TREND}, {SPEAR}, {EXPO}, hl AS (SELECT *, CASE WHEN n < 96 THEN 100 ELSE CAST(least(greatest(floor(100 - (55 * exposure + 30 * greatest(trend, 0.0)) + 0.5), 5), 100) AS INT) END AS health FROM expo JOIN spear USING (equipment_id) JOIN trend USING (equipment_id)),
 units AS (SELECT *, CASE WHEN health < 70 OR drift > 1.2 OR slope > 0.015 THEN 'due' WHEN drift > 0.7 OR slope > 0.008 THEN 'recommended' WHEN slope > 0.003 OR drift > 0.3 THEN 'plan' ELSE 'ok' END AS maintenance,
   CAST(CASE WHEN slope > 0 THEN least(greatest(floor(1.5 / slope), 7), 365) ELSE 365 END AS INT) AS horizon_days FROM hl)"""
 RANK = "CASE severity WHEN 'action' THEN 3 WHEN 'alert' THEN 2 WHEN 'watch' THEN 1 ELSE 0 END"
 
+#: Peaks, what the measures were before them, and how they deviate.
+DEV = f"""{EPS}, rawn AS (SELECT t.*, rn FROM t JOIN raws USING (equipment_id, row_ord)),
+peaks AS (SELECT eps.id, eps.equipment_id, eps.e - eps.s + 1 AS len, pts.rn AS prn, pts.hour AS phour, pts.resid_z AS prz FROM eps JOIN (SELECT * FROM pts WHERE s IS NOT NULL QUALIFY row_number() OVER (PARTITION BY equipment_id, s ORDER BY score DESC, rn) = 1) pts USING (equipment_id, s)),
+lng AS ({" UNION ALL ".join(f"SELECT equipment_id, rn, {i} AS ord, '{c}' AS col, {c} AS x FROM rawn" for i, c in enumerate(MEASURES))}),
+own AS ({" UNION ALL ".join(f"SELECT equipment_id, '{c}' AS col, CASE WHEN coalesce(s_{c}, 0) = 0 THEN 1e-9 ELSE s_{c} END AS own FROM stats" for c in MEASURES)}),
+cur AS (SELECT p.*, ord, col, x AS v FROM peaks p JOIN lng l ON p.equipment_id = l.equipment_id AND p.prn = l.rn WHERE x IS NOT NULL),
+base AS (SELECT id, col, median(x) AS base FROM cur JOIN lng USING (equipment_id, col) WHERE rn BETWEEN prn - 24 AND prn - 1 AND x IS NOT NULL GROUP BY ALL),
+mads AS (SELECT id, col, 1.4826 * median(abs(x - base)) AS mad FROM cur JOIN base USING (id, col) JOIN lng USING (equipment_id, col) WHERE rn BETWEEN prn - 24 AND prn - 1 AND x IS NOT NULL GROUP BY ALL),
+froz AS (SELECT id, col, prn - coalesce(max(rn) FILTER (x IS NULL OR abs(x - v) >= 1e-9), greatest(prn - 49, 0)) AS n_frozen FROM cur JOIN lng USING (equipment_id, col) WHERE rn BETWEEN prn - 48 AND prn GROUP BY id, col, prn),
+dev0 AS (SELECT cur.*, base, (v - base) / CASE WHEN mad > 1e-9 THEN mad ELSE own END AS exact, n_frozen, n_frozen >= 12 AND own > 1e-9 AS stuck FROM cur JOIN base USING (id, col) JOIN mads USING (id, col) JOIN froz USING (id, col) JOIN own USING (equipment_id, col)),
+dev AS (SELECT *, {R2("exact")} AS z, row_number() OVER (PARTITION BY id ORDER BY abs({R2("exact")}) DESC, ord) AS nth, CASE WHEN exact > 0 THEN 'high' ELSE 'low' END AS direction FROM dev0),
+devw AS (SELECT *, {R2("abs(z) / greatest(1e-9, max(abs(z)) OVER (PARTITION BY id))")} AS weight FROM dev)"""
+_PICK = ", ".join(f"max(z) FILTER (col = '{c}' AND nth <= 4) AS {a}" for c, a in (("energy", "en"), ("load", "ld"), ("flow", "cwr"), ("cooling", "cwt")))
+#: A row for each tag of each episode, in order.
+TAGS = f"""{DEV}, {SPEAR}, ctx AS (SELECT p.id, p.len, p.prn, p.phour, p.prz, sp.n, sp.trend, {_PICK}, bool_or(stuck) AS stuck FROM peaks p LEFT JOIN dev USING (id) JOIN spear sp ON sp.equipment_id = p.equipment_id GROUP BY ALL),
+tags AS (SELECT id, unnest([1, 2, 3, 4, 5, 6, 7, 8, 9]) AS place_of, unnest(['sensor_stuck', 'high_consumption_low_load', 'cooling_water_drift', 'flow_imbalance', 'transient_spike', 'offhours_standby', 'degradation_trend', 'concurrent_context_shift', 'contextual_energy_spike']) AS tag,
+  unnest([stuck, en > 2.2 AND abs(ld) < 1.2, cwt > 1.8 AND prz > 1.8 AND len >= 8, abs(cwr) > 1.8 AND (ld IS NULL OR abs(ld) < 1.5), len <= 2 AND en > 3.5, (phour >= 22 OR phour < 6) AND en > 1.6 AND (ld IS NULL OR ld < 0.4),
+  trend > 0.35 AND prn - 1 > 0.4 * n, prz > 2 AND (abs(ld) > 2 OR abs(cwr) > 2 OR abs(cwt) > 2), en > 2.2 AND NOT coalesce(en > 2.2 AND abs(ld) < 1.2, false)]) AS holds FROM ctx)"""
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_ADVICE = ", ".join(f"({i}, {_quoted(t)}, {_quoted(p)}, {_quoted(a)})" for i, (t, p, a, _) in enumerate(explain.ADVICE))
+RECS = f"""{TAGS}, advice(place, tag, priority, action) AS (VALUES {_ADVICE}),
+recs AS (SELECT id, place_of, place, priority, action FROM tags JOIN advice USING (tag) WHERE holds
+  UNION ALL SELECT id, 1000, 0, {_quoted(explain.ESCALATE[0])}, {_quoted(explain.ESCALATE[1])} FROM eps WHERE severity = 'action'
+  UNION ALL SELECT id, 0, 0, {_quoted(explain.FALLBACK[0])}, {_quoted(explain.FALLBACK[1])} FROM eps WHERE severity <> 'action' AND id NOT IN (SELECT id FROM tags WHERE holds)),
+once AS (SELECT * FROM recs QUALIFY row_number() OVER (PARTITION BY id, action ORDER BY place_of, place) = 1)"""
+
 # --- ingest and quality -------------------------------------------------------------------------------------------
 
 
-@query("ts_parse_fields", "SELECT event_id, epoch_us(date_trunc('second', ts)) // 1000 AS ts_ms, floor((hour(ts) + minute(ts) / 60) * 1e6 + 0.5) / 1e6 AS hour, CAST(dayofweek(ts) AS INT) AS dow FROM events")
+@query("ts_parse_fields", "SELECT event_id, epoch_us(date_trunc('second', ts)) // 1000 AS ts_ms, floor((hour(ts) + minute(ts) / 60 + (event_id % 1000) / 3600000) * 1e9 + 0.5) / 1e9 AS hour, CAST(dayofweek(ts) AS INT) AS dow FROM events")
 def _(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
-    p = timestamp_parts(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    return e.select("event_id", p["ts_ms"].alias("ts_ms"), r6(p["hour"]).alias("hour"), p["dow"].alias("dow"))
+    p = timestamp_parts(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"), F.lit("Z")))
+    return e.select("event_id", p["ts_ms"].alias("ts_ms"), r6(p["hour"], 9).alias("hour"), p["dow"].alias("dow"))
 
 
 @query("safe_double", "SELECT event_id, TRY_CAST(CASE WHEN event_id % 5 <> 0 THEN CAST(user_id AS VARCHAR) END AS DOUBLE) AS x FROM events")
@@ -105,6 +178,27 @@ def _(spark, d):
     return e.select("event_id", safe_double(cell).alias("x"))
 
 
+def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as the strings of a contract CSV: some without a valid timestamp, some without a unit, some twice."""
+    t = telemetry(spark, sf_dir)
+    at = F.date_format(F.timestamp_millis("ts_ms").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss")
+    cells = t.select("row_ord", F.when(F.col("row_ord") % 13 == 0, "n/a").otherwise(at).alias("timestamp"), F.when(F.col("row_ord") % 31 == 0, " ").otherwise(F.concat(F.lit(" "), "equipment_id")).alias("equipment_id"), *(F.col(m).cast("string").alias(n) for m, n in NAME_OF.items()))
+    return cells.unionByName(cells.filter("row_ord % 7 = 0").withColumn("row_ord", F.col("row_ord") + 1_000_000_000))
+
+
+CELLS = f"{T}, c0 AS (SELECT *, ts_ms // 1000 * 1000 AS ms FROM t), c AS (SELECT * FROM c0 UNION ALL SELECT * REPLACE (row_ord + 1000000000 AS row_ord) FROM c0 WHERE row_ord % 7 = 0), ok AS (SELECT *, (row_ord % 1000000000) % 13 <> 0 AND (row_ord % 1000000000) % 31 <> 0 AS good FROM c)"
+
+
+@query("ingest_clean", f"{CELLS} SELECT equipment_id, row_ord, ms AS ts_ms, dow, flow, load, energy, wind FROM ok WHERE good QUALIFY row_number() OVER (PARTITION BY equipment_id, ms ORDER BY row_ord) = 1")
+def _(spark, d):
+    return clean(raw_cells(spark, d))[0].select("equipment_id", "row_ord", "ts_ms", "dow", "flow", "load", "energy", "wind")
+
+
+@query("ingest_bad_rows", f"{CELLS}, k AS (SELECT DISTINCT equipment_id, ms FROM ok WHERE good) SELECT count(*) FILTER (NOT good) AS bad_rows, (SELECT count(*) FROM k) AS rows, count(*) FILTER (good) - (SELECT count(*) FROM k) AS duplicates FROM ok")
+def _(spark, d):
+    return clean(raw_cells(spark, d))[1]
+
+
 @query("ingest_dedupe_first", f"{T}, u AS (SELECT * FROM t UNION ALL SELECT * REPLACE (row_ord + 1000000000 AS row_ord, load + 1 AS load) FROM t WHERE load > 50) SELECT equipment_id, ts_ms, row_ord, load FROM u QUALIFY row_number() OVER (PARTITION BY equipment_id, ts_ms ORDER BY row_ord) = 1")
 def _(spark, d):
     t = telemetry(spark, d)
@@ -113,9 +207,22 @@ def _(spark, d):
     return u.withColumn("nth", nth).filter("nth = 1").select("equipment_id", "ts_ms", "row_ord", "load")
 
 
-@query("quality_missing", f"{T} SELECT equipment_id, count(*) AS n_rows, count(*) FILTER (energy IS NULL) AS energy, count(*) FILTER (load IS NULL) AS load, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM t GROUP BY ALL")
+@query("observed_cells", f"{T} SELECT equipment_id, {', '.join(f'count(*) FILTER ({m} IS NOT NULL) AS {m}' for m in MEASURES)} FROM t GROUP BY ALL")
 def _(spark, d):
-    return telemetry(spark, d).groupBy("equipment_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("energy").isNull()).alias("energy"), F.count_if(F.col("load").isNull()).alias("load"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
+    return observed(telemetry(spark, d)).groupBy("equipment_id").agg(*(F.count_if(f"o_{m}").alias(m) for m in MEASURES))
+
+
+@query("quality_missing", f"{T}, n AS ({' UNION ALL '.join(f'''SELECT '{m}' AS "column", count(*) FILTER ({m} IS NULL) AS n, count(*) AS rows FROM t''' for m in MEASURES)}) SELECT \"column\", n, n = rows AS absent, floor(100.0::DOUBLE * n / rows * 1000 + 0.5) / 1000 AS percent FROM n WHERE n > 0")
+def _(spark, d):
+    t = telemetry(spark, d)
+    rows = t.agg(F.count(F.lit(1)).alias("rows"))
+    return series.missing_counts(t).join(F.broadcast(rows), F.lit(True)).select("column", "n", "absent", text.missing_share(F.col("n"), F.col("rows")).alias("percent"))
+
+
+@query("quality_period", f"{T} SELECT count(*) AS row_count, count(DISTINCT equipment_id) AS equipment_count, min(ts_ms) AS period_start, max(ts_ms) AS period_end FROM t")
+def _(spark, d):
+    t = telemetry(spark, d)
+    return series.quality(t, clean(raw_cells(spark, d))[1]).select("row_count", "equipment_count", "period_start", "period_end")
 
 
 GAPS = f"{T}, g AS (SELECT ts_ms - lag(ts_ms) OVER ({W}) AS gap FROM t), m AS (SELECT list_sort(list(gap))[count(*) // 2 + 1] AS median_ms FROM g WHERE gap IS NOT NULL)"
@@ -131,26 +238,36 @@ def _(spark, d):
     return series.interval_median(telemetry(spark, d), ["equipment_id"])
 
 
-NOMINAL = f"g AS (SELECT equipment_id, ts_ms - lag(ts_ms) OVER ({W}) AS gap FROM t), nom AS (SELECT greatest(1, floor(list_sort(list(gap))[count(*) // 2 + 1] / 60000 + 0.5)) AS nominal FROM g WHERE gap IS NOT NULL AND equipment_id = (SELECT min(equipment_id) FROM t))"
-NEAR = ", ".join(f"last_value(CASE WHEN energy IS NOT NULL THEN {v} END IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p_{a}, first_value(CASE WHEN energy IS NOT NULL THEN {v} END IGNORE NULLS) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n_{a}" for v, a in (("energy", "v"), ("ts_ms", "at")))
+@query("insufficient_units", f"{T}, b AS (SELECT equipment_id, CASE WHEN row_ord % 2000 < 1500 OR equipment_id <> 'click' THEN 1 END AS keep FROM t), u AS (SELECT equipment_id, count(*) AS n FROM t WHERE equipment_id <> 'view' OR row_ord % 400 = 0 GROUP BY ALL) SELECT equipment_id, n FROM u WHERE n < 120")
+def _(spark, d):
+    t = telemetry(spark, d).filter("equipment_id <> 'view' or row_ord % 400 = 0")
+    return pipeline.split_by_data(t)[1].select("equipment_id", "n")
 
 
-@query("impute_linear_ffill", f"{T}, {NOMINAL}, near AS (SELECT *, {NEAR} FROM t, nom) SELECT equipment_id, row_ord, {R6('coalesce(energy, CASE WHEN n_at - p_at <= 4 * nominal * 60000 THEN p_v + (n_v - p_v) * (ts_ms - p_at) / (n_at - p_at) END, p_v, n_v)')} AS energy FROM near")
+@query("impute_linear_ffill", f"{T}, {IMP} SELECT equipment_id, row_ord, {R6('energy')} AS energy, {R6('wind')} AS wind, dew FROM imp")
 def _(spark, d):
-    return series.impute(telemetry(spark, d)).select("equipment_id", "row_ord", r6("energy").alias("energy"))
+    return series.impute(telemetry(spark, d)).select("equipment_id", "row_ord", r6("energy").alias("energy"), r6("wind").alias("wind"), "dew")
 
 
 # --- statistics and features --------------------------------------------------------------------------------------
 
 
-@query("robust_stats", f"{T}, {STATS} SELECT equipment_id, col AS \"column\", {R6('m')} AS m, {R6('s')} AS s, s > 1e-9 AS usable FROM stats")
+_STAT_ROWS = " UNION ALL ".join(f"SELECT equipment_id, '{c}' AS \"column\", {R6(f'm_{c}')} AS m, {R6(f's_{c}')} AS s, coalesce(s_{c} > 1e-9, false) AS usable FROM stats WHERE m_{c} IS NOT NULL" for c in MEASURES)
+
+
+@query("robust_stats", f"{T}, {_stats('t')} {_STAT_ROWS}")
 def _(spark, d):
     return series.robust_stats(telemetry(spark, d)).select("equipment_id", "column", r6("m").alias("m"), r6("s").alias("s"), "usable")
 
 
-@query("robust_z", f"{T}, {Z} SELECT equipment_id, row_ord, {R6('z_energy')} AS z_energy, {R6('z_load')} AS z_load, {R6('z_flow')} AS z_flow FROM z")
+@query("usable_columns", f"{T}, {_stats('t')}, u AS ({_STAT_ROWS}) SELECT equipment_id, count(*) FILTER (usable) AS n FROM u GROUP BY ALL")
 def _(spark, d):
-    return series.standardise(telemetry(spark, d)).select("equipment_id", "row_ord", *(r6(f"z_{c}").alias(f"z_{c}") for c in series.MEASURES))
+    return series.robust_stats(telemetry(spark, d)).groupBy("equipment_id").agg(F.count_if("usable").alias("n"))
+
+
+@query("robust_z", f"{T}, {Z} SELECT equipment_id, row_ord, {', '.join(f'{R6(f'z_{c}')} AS z_{c}' for c in MEASURES)} FROM z")
+def _(spark, d):
+    return prepared(spark, d).select("equipment_id", "row_ord", *(r6(f"z_{c}").alias(f"z_{c}") for c in MEASURES))
 
 
 @query("cyclic_time", f"{T} SELECT row_ord, " + ", ".join(f"{R6(f'{f}({a} * 2 * pi())')} AS {n}_{f}" for n, a in (("hour", "(ts_ms % 86400000) / 3600000 / 24"), ("dow", "((ts_ms // 86400000 + 4) % 7) / 7"), ("doy", "(ts_ms % 31557600000) / 31557600000")) for f in ("sin", "cos")) + " FROM t")
@@ -160,21 +277,38 @@ def _(spark, d):
 
 @query("lags", f"{T}, {Z} SELECT equipment_id, row_ord, {R6(f'coalesce(lag(z_energy, 1) OVER ({W}), 0)')} AS lag1, {R6(f'coalesce(lag(z_energy, 48) OVER ({W}), 0)')} AS lag48 FROM z")
 def _(spark, d):
-    return series.lags(series.standardise(telemetry(spark, d))).select("equipment_id", "row_ord", r6("lag1").alias("lag1"), r6("lag48").alias("lag48"))
+    return series.lags(prepared(spark, d)).select("equipment_id", "row_ord", r6("lag1").alias("lag1"), r6("lag48").alias("lag48"))
 
 
 ROLL = f"OVER ({W} ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)"
+ROLLED = f"""row_number() OVER ({W}) AS rn, avg(energy) {ROLL} AS m48, stddev_pop(energy) {ROLL} AS d48, avg(load) {ROLL} AS l48"""
 
 
-@query("rolling_48", f"{T} SELECT equipment_id, row_ord, {R6(f'CASE WHEN row_number() OVER ({W}) >= 48 THEN avg(energy) {ROLL} ELSE energy END')} AS roll_mean, {R6(f'CASE WHEN row_number() OVER ({W}) >= 48 THEN stddev_pop(energy) {ROLL} ELSE 0.0 END')} AS roll_std FROM t")
+@query("rolling_48", f"{T}, {IMP}, ro AS (SELECT *, {ROLLED}, avg(energy) OVER ({W} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS before FROM imp) SELECT equipment_id, row_ord, {R6('CASE WHEN rn >= 48 THEN m48 ELSE energy END')} AS roll_mean, {R6('CASE WHEN rn >= 48 THEN d48 ELSE 0 END')} AS roll_std, {R6('CASE WHEN rn >= 48 THEN l48 ELSE load END')} AS roll_load, {R6('before')} AS before FROM ro")
 def _(spark, d):
-    return series.rolling(telemetry(spark, d)).select("equipment_id", "row_ord", r6("roll_mean").alias("roll_mean"), r6("roll_std").alias("roll_std"))
+    out = series.rolling(series.impute(telemetry(spark, d))).withColumn("before", series.trailing_mean("energy", 12))
+    return out.select("equipment_id", "row_ord", *(r6(c).alias(c) for c in ("roll_mean", "roll_std", "roll_load", "before")))
+
 
+_CLAMPED = "CASE WHEN {0} IS NOT NULL THEN least(greatest({0}, -6.0), 6.0) END".format
 
-@query("residual_linear", f"{T}, {RES} SELECT equipment_id, row_ord, hb AS hour_bucket, CAST(bin AS INT) AS bin, {R6('hm')} AS hour_med, {R6('bm')} AS bin_med, {R6('resid_z')} AS resid_z FROM res")
+
+@query("model_inputs", f"{T}, {Z}, ro AS (SELECT *, {ROLLED}, coalesce(lag(z_energy, 48) OVER ({W}), 0) AS lag48 FROM z) SELECT equipment_id, rn, {R6(_CLAMPED('((CASE WHEN rn >= 48 THEN m48 ELSE energy END - m_energy) / s_energy)'))} AS roll_mean_z, {R6(_CLAMPED('(CASE WHEN rn >= 48 THEN d48 ELSE 0 END / s_energy)'))} AS roll_std_z, {R6(_CLAMPED('((CASE WHEN rn >= 48 THEN l48 ELSE load END - m_load) / s_load)'))} AS roll_load_z, {R6('lag48')} AS lag48, {R6('coalesce(z_cooling, 0)')} AS z_cooling, 18 AS n_if, 16 AS n_mlp FROM ro")
 def _(spark, d):
-    z = series.standardise(telemetry(spark, d)).filter("z_energy is not null")
-    return series.linear_residual(z).select("equipment_id", "row_ord", F.col("hour_bucket").cast("long").alias("hour_bucket"), "bin", r6("hour_med").alias("hour_med"), r6("bin_med").alias("bin_med"), r6("resid_z").alias("resid_z"))
+    """The forest's inputs by their places; 18 and 16 inputs in all."""
+    f = pipeline.model_features(prepared(spark, d))
+    at = {n: i for i, n in enumerate(pipeline.feature_names(list(MEASURES))[0])}
+    return f.select("equipment_id", F.col("rn").cast("long").alias("rn"), *(r6(F.col("if_x")[at[c]]).alias(c) for c in ("roll_mean_z", "roll_std_z", "roll_load_z", "lag48", "z_cooling")), F.size("if_x").alias("n_if"), F.size("mlp_x").alias("n_mlp"))
+
+
+@query("feature_counts", f"{T}, {Z}, u AS (SELECT {' + '.join(f'any_value(coalesce(s_{c} > 1e-9, false)::INT)' for c in MEASURES)} AS n, any_value(coalesce(s_load > 1e-9, false)::INT) AS l FROM z GROUP BY equipment_id) SELECT CAST(max(n + 8 + l) AS INT) AS forest, CAST(max(n - 1 + 8) AS INT) AS network FROM u")
+def _(spark, d):
+    return pipeline.model_features(prepared(spark, d)).agg(F.max("width_if").alias("forest"), F.max("width_mlp").alias("network"))
+
+
+@query("residual_linear", f"{T}, {RES} SELECT equipment_id, row_ord, CAST(hb AS INT) AS hour_bucket, CAST(bin AS INT) AS bin, {R6('hm')} AS hour_med, {R6('bm')} AS bin_med, {R6('resid_z')} AS resid_z FROM res")
+def _(spark, d):
+    return series.linear_residual(prepared(spark, d)).select("equipment_id", "row_ord", "hour_bucket", "bin", r6("hour_med").alias("hour_med"), r6("bin_med").alias("bin_med"), r6("resid_z").alias("resid_z"))
 
 
 # --- scores and episodes ------------------------------------------------------------------------------------------
@@ -187,30 +321,48 @@ def _(spark, d):
 
 @query("score_threshold", f"{T}, {THR} SELECT equipment_id, {R6('threshold')} AS threshold, {R6('rescue')} AS rescue FROM thr")
 def _(spark, d):
-    return series.thresholds(points(spark, d)).select("equipment_id", r6("threshold").alias("threshold"), r6("rescue").alias("rescue"))
+    return series.thresholds(raws(spark, d)).select("equipment_id", r6("threshold").alias("threshold"), r6("rescue").alias("rescue"))
 
 
 @query("threshold_positional", f"{T}, {THR} SELECT equipment_id, {R6('greatest(0.35, sum(raw * greatest(0.0, 1 - abs(k - 0.975 * (n - 1)))))')} AS threshold, {R6('sum(raw * greatest(0.0, 1 - abs(k - 0.99 * (n - 1))))')} AS rescue FROM act GROUP BY equipment_id")
 def _(spark, d):
-    return series.thresholds(points(spark, d), "positional").select("equipment_id", r6("threshold").alias("threshold"), r6("rescue").alias("rescue"))
+    return series.thresholds(raws(spark, d), "positional").select("equipment_id", r6("threshold").alias("threshold"), r6("rescue").alias("rescue"))
 
 
 @query("runs_islands", f"{T}, {RUNS} SELECT * FROM runs")
 def _(spark, d):
-    return series.islands(points(spark, d).drop("s", "e")).select("equipment_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
+    r = raws(spark, d)
+    return series.islands(r, series.thresholds(r)).select("equipment_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
 
 
-@query("episodes", f"{T}, {EPS} SELECT id, equipment_id, start_ms, end_ms, hours, severity, {R6('peak')} AS peak FROM eps")
+@query("episodes", f"{T}, {DEV} SELECT eps.id, eps.equipment_id, start_ms, end_ms, hours, severity, {R6('peak')} AS peak, prn AS peak_rn FROM eps JOIN peaks USING (id)")
 def _(spark, d):
-    return series.episodes(points(spark, d)).select("id", "equipment_id", "start_ms", "end_ms", "hours", "severity", r6("peak").alias("peak"))
+    return series.episodes(points(spark, d)).select("id", "equipment_id", "start_ms", "end_ms", "hours", "severity", r6("peak").alias("peak"), F.col("peak_rn").cast("long").alias("peak_rn"))
+
 
+@query("episode_by_id", f"{T}, {EPS} SELECT id, severity, {R6('peak')} AS peak FROM eps WHERE id = (SELECT max(id) FROM eps)")
+def _(spark, d):
+    e = pipeline.settle(series.episodes(points(spark, d)), "episodes")
+    wanted = e.agg(F.max("id")).first()[0]
+    return e.filter(F.col("id") == wanted).select("id", "severity", r6("peak").alias("peak"))
 
-@query("fleet_episode_order", f"{T}, {EPS} SELECT id, row_number() OVER (ORDER BY {RANK} DESC, {R6('peak')} DESC, equipment_id, start_ms) AS place FROM eps")
-def fleet_order(spark, d):
-    """Places by one ordered window over all episodes of the fleet: one task sorts them."""
-    e = series.episodes(points(spark, d)).withColumn("rank", series.severity_rank(F.col("severity"))).withColumn("p", r6("peak"))
-    place = F.row_number().over(series.Window.orderBy(F.desc("rank"), F.desc("p"), "equipment_id", "start_ms"))
-    return e.select("id", place.cast("long").alias("place"))
+
+@query("row_severity", f"{T}, {EPS} SELECT pts.equipment_id, coalesce(severity, 'normal') AS severity, count(*) AS n FROM pts LEFT JOIN eps USING (equipment_id, s) GROUP BY ALL")
+def _(spark, d):
+    x = pipeline.settle(points(spark, d), "points")
+    return series.row_severity(x, series.episodes(x)).groupBy("equipment_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+ORDER = f"{RANK} DESC, peak DESC, equipment_id, start_ms"
+
+
+def _fleet_order() -> list[Column]:
+    return [F.desc(S.severity_rank(F.col("severity"))), F.desc("peak"), F.col("equipment_id"), F.col("start_ms")]
+
+
+@query("fleet_episode_order", f"{T}, {EPS} SELECT id, row_number() OVER (ORDER BY {ORDER}) AS place FROM eps")
+def _(spark, d):
+    return series.ordered(series.episodes(points(spark, d)), _fleet_order(), pipeline.settle).select("id", F.col("place").cast("long").alias("place"))
 
 
 @query("severity_counts", f"{T}, {EPS} SELECT severity, count(*) AS n FROM eps GROUP BY ALL")
@@ -218,37 +370,61 @@ def _(spark, d):
     return series.episodes(points(spark, d)).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("severity_filter", f"{T}, {EPS} SELECT id, {R6('peak')} AS peak FROM eps WHERE severity = 'action'")
+@query("severity_filter", f"{T}, {EPS} SELECT id, {R6('peak')} AS peak FROM eps WHERE severity = 'watch'")
 def _(spark, d):
-    return series.episodes(points(spark, d)).filter("severity = 'action'").select("id", r6("peak").alias("peak"))
+    return series.episodes(points(spark, d)).filter("severity = 'watch'").select("id", r6("peak").alias("peak"))
 
 
-@query("priority_queue", f"{T}, {EPS} SELECT id, severity FROM eps ORDER BY severity = 'watch', {RANK} DESC, {R6('peak')} DESC, equipment_id, start_ms LIMIT 7")
+@query("priority_queue", f"{T}, {EPS} SELECT id, severity FROM eps ORDER BY severity = 'watch', {ORDER} LIMIT 7")
 def _(spark, d):
-    e = series.episodes(points(spark, d))
-    return e.orderBy(F.col("severity") == "watch", F.desc(series.severity_rank(F.col("severity"))), F.desc(r6("peak")), "equipment_id", "start_ms").limit(7).select("id", "severity")
+    return series.episodes(points(spark, d)).orderBy(F.col("severity") == "watch", *_fleet_order()).limit(7).select("id", "severity")
+
+
+@query("unit_top8", f"{T}, {EPS} SELECT equipment_id, id, row_number() OVER (PARTITION BY equipment_id ORDER BY start_ms) AS nth FROM eps QUALIFY nth <= 8")
+def _(spark, d):
+    nth = F.row_number().over(series.by_unit().orderBy("start_ms"))
+    return series.episodes(points(spark, d)).withColumn("nth", nth).filter("nth <= 8").select("equipment_id", "id", F.col("nth").cast("long").alias("nth"))
+
+
+@query("unit_first_episode", f"{T}, {EPS} SELECT equipment_id, arg_min(id, start_ms) AS first, arg_max(id, struct_pack(a := {RANK}, b := peak, c := -start_ms)) AS worst FROM eps GROUP BY ALL")
+def _(spark, d):
+    """The card of a unit: its first episode, and the one that is worst."""
+    order = F.struct(S.severity_rank(F.col("severity")).alias("a"), F.col("peak").alias("b"), (-F.col("start_ms")).alias("c"))
+    return series.episodes(points(spark, d)).groupBy("equipment_id").agg(F.min_by("id", "start_ms").alias("first"), F.max_by("id", order).alias("worst"))
 
 
 # --- units and fleet ----------------------------------------------------------------------------------------------
 
 
-@query("energy_stats", f"{T} SELECT equipment_id, floor(sum(energy) + 0.5) AS total, floor(avg(energy) * 10 + 0.5) / 10 AS mean FROM t GROUP BY ALL")
-def energy_stats(spark, d):
-    return telemetry(spark, d).groupBy("equipment_id").agg(S.half_up(F.sum("energy")).alias("total"), S.half_up(F.avg("energy"), 1).alias("mean"))
+@query("energy_stats", f"{T} SELECT equipment_id, floor(coalesce(sum(energy), 0) + 0.5) AS total, floor(coalesce(avg(energy), 0) * 10 + 0.5) / 10 AS mean FROM t GROUP BY ALL")
+def _(spark, d):
+    return series.energy_stats(telemetry(spark, d))
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pipeline.settle(points(spark, sf_dir), "points")
+    return series.unit_reports(p, series.daily(p))
 
 
-@query("health_maintenance", f"{T}, {UNITS} SELECT equipment_id, {R6('exposure')} AS exposure, {R6('trend')} AS trend, {R6('slope')} AS slope, {R6('drift')} AS drift, health, maintenance, horizon_days FROM units")
-def units(spark, d):
-    p = points(spark, d)
-    u = series.exposure(p).join(series.spearman_trend(p), "equipment_id").join(series.trend(series.daily(p)), "equipment_id")
-    u = u.withColumn("health", S.health(F.col("exposure"), F.col("trend")))
-    return u.select("equipment_id", *(r6(c).alias(c) for c in ("exposure", "trend", "slope", "drift")), "health", S.maintenance(F.col("health"), F.col("slope"), F.col("drift")).alias("maintenance"), S.horizon_days(F.col("slope")).alias("horizon_days"))
+@query("health_maintenance", f"{T}, {UNITS_SQL} SELECT equipment_id, {R6('exposure')} AS exposure, {R6('trend')} AS trend, {R6('slope')} AS slope, {R6('drift')} AS drift, health, maintenance, horizon_days FROM units")
+def _(spark, d):
+    return reports(spark, d).select("equipment_id", *(r6(c).alias(c) for c in ("exposure", "trend", "slope", "drift")), "health", "maintenance", "horizon_days")
 
 
-@query("fleet_kpis", f"{T}, {UNITS}, en AS (SELECT equipment_id, floor(sum(energy) + 0.5) AS total FROM t GROUP BY ALL) SELECT sum(total) AS total, floor(avg(health) + 0.5) AS health, count(*) FILTER (health < 60) AS at_risk FROM units JOIN en USING (equipment_id)")
+@query("fleet_kpis", f"{T}, {UNITS_SQL}, en AS (SELECT equipment_id, floor(sum(energy) + 0.5) AS total FROM t GROUP BY ALL) SELECT sum(total) AS total, floor(avg(health) + 0.5) AS health, count(*) FILTER (health < 60) AS at_risk FROM en LEFT JOIN units USING (equipment_id)")
 def _(spark, d):
-    u = units(spark, d).join(energy_stats(spark, d), "equipment_id")
-    return u.agg(F.sum("total").alias("total"), S.half_up(F.avg("health")).alias("health"), F.count_if(F.col("health") < 60).alias("at_risk"))
+    return series.fleet_kpis(reports(spark, d), series.energy_stats(telemetry(spark, d)))
+
+
+@query("unit_labels", f"{T}, {UNITS_SQL} SELECT equipment_id, CASE WHEN maintenance = 'ok' THEN 'PM: on track' ELSE 'PM: ' || maintenance || ' · ~' || greatest(1, ceil(horizon_days / 7)::INT) || 'w' END AS label, CASE WHEN health >= 75 THEN 'ok' WHEN health >= 55 THEN 'warn' ELSE 'danger' END AS band FROM units")
+def _(spark, d):
+    return reports(spark, d).select("equipment_id", text.maintenance_label(F.col("maintenance"), F.col("horizon_days")).alias("label"), text.health_band(F.col("health")).alias("band"))
+
+
+@query("episode_labels", f"{T}, {EPS} SELECT id, strftime(make_timestamp(start_ms * 1000), '%d %b %Y, %H:%M') AS at, strftime(make_timestamp(start_ms * 1000), '%b %y') AS axis, upper(severity[1]) || severity[2:] AS severity, CASE WHEN hours < 1 THEN floor(hours * 60 + 0.5)::INT || ' min' WHEN hours < 48 THEN regexp_replace(printf('%.1f', hours), '\\.0$', '') || ' h' ELSE regexp_replace(printf('%.1f', round(hours / 24, 1)), '\\.0$', '') || ' d' END AS duration FROM eps")
+def _(spark, d):
+    e = series.episodes(points(spark, d))
+    return e.select("id", text.time_label(F.col("start_ms")).alias("at"), text.axis_label(F.col("start_ms")).alias("axis"), text.severity_label(F.col("severity")).alias("severity"), text.duration_label(F.col("hours")).alias("duration"))
 
 
 @query("daily_rollup", f"{T}, {DAILY} SELECT equipment_id, day, {R6('energy')} AS energy, {R6('resid_z')} AS resid_z, {R6('quantile_cont(energy, 0.5) OVER (PARTITION BY equipment_id ORDER BY day ROWS BETWEEN 22 PRECEDING AND 22 FOLLOWING)')} AS seasonal FROM daily")
@@ -259,59 +435,152 @@ def _(spark, d):
 # --- explanation --------------------------------------------------------------------------------------------------
 
 
-@query("contributors_top4")
+@query("contributors_top4", f"{T}, {DEV} SELECT id, nth, col AS \"column\", direction, z, {R2('v')} AS value, {R2('base')} AS base, weight FROM devw WHERE nth <= 4")
+def _(spark, d):
+    return explained(spark, d)[2].filter("nth <= 4").select("id", F.col("nth").cast("long").alias("nth"), "column", "direction", "z", "value", "base", "weight")
+
+
+@query("evidence_top3", f"{T}, {DEV}, dim(col, unit) AS (VALUES {', '.join(f'({_quoted(m)}, {_quoted(UNITS[n])})' for m, n in NAME_OF.items())}) SELECT id, nth, col AS \"column\", {R2('v')} AS observed, {R2('base')} AS expected, unit, z FROM dev JOIN dim USING (col) WHERE nth <= 3")
 def _(spark, d):
-    p = points(spark, d)
-    return series.contributors(p, series.episodes(p)).select("id", "nth", "column", "direction", r6("z").alias("z"))
+    return explain.evidence(explained(spark, d)[2]).withColumn("nth", F.col("nth").cast("long"))
 
 
-@query("sensor_stuck")
+@query("column_units", f"SELECT * FROM (VALUES {', '.join(f'({_quoted(m)}, {_quoted(n)}, {_quoted(UNITS[n])}, {_quoted(n.replace(' ', '_').lower())})' for m, n in NAME_OF.items())}) AS x(\"column\", name, unit, slug)")
 def _(spark, d):
-    return series.frozen(telemetry(spark, d), "flow").select("equipment_id", "row_ord", "frozen", "stuck")
+    return units_dimension(spark).withColumn("slug", text.slug(F.col("name")))
 
 
-for _name, _part in (("pattern_tags", "episodes"), ("recommendations_top4", "recommendations"), ("narrative", "narratives")):
-    query(_name)(lambda spark, d, part=_part: pipeline.run(telemetry(spark, d))[part])
+@query("sensor_stuck", f"{T}, m AS (SELECT *, coalesce(abs(cooling - lag(cooling) OVER ({W})) >= 1e-9, true)::INT AS moved FROM t), r AS (SELECT *, sum(moved) OVER ({W}) AS run FROM m) SELECT equipment_id, row_ord, CAST(CASE WHEN cooling IS NULL THEN 0 ELSE least(49, row_number() OVER (PARTITION BY equipment_id, run ORDER BY ts_ms, row_ord)) END AS INT) AS frozen FROM r")
+def _(spark, d):
+    return series.frozen(telemetry(spark, d), "cooling").select("equipment_id", "row_ord", "frozen")
+
+
+@query("pattern_tags", f"{T}, {TAGS} SELECT id, row_number() OVER (PARTITION BY id ORDER BY place_of) AS nth, tag FROM tags WHERE holds UNION ALL SELECT id, 1, 'unclassified' FROM eps WHERE id NOT IN (SELECT id FROM tags WHERE holds)")
+def _(spark, d):
+    eps = tagged(spark, d)[0]
+    return eps.select("id", F.posexplode(explain.shown_tags(F.col("tags"))).alias("at", "tag")).select("id", (F.col("at") + 1).cast("long").alias("nth"), "tag")
+
+
+@query("recommendations_top4", f"{T}, {RECS} SELECT id, row_number() OVER (PARTITION BY id ORDER BY place_of, place) AS nth, priority, action FROM once QUALIFY nth <= 4")
+def _(spark, d):
+    return explain.recommend(tagged(spark, d)[0]).select("id", F.col("nth").cast("long").alias("nth"), "priority", "action")
+
+
+@query("narrative")
+def _(spark, d):
+    eps, dev = tagged(spark, d)
+    return explain.narrate(eps, dev.filter("nth <= 4"))
 
 
 @query("learned_units")
 def _(spark, d):
-    return pipeline.run(telemetry(spark, d), model="learned")["units"]
+    return pipeline.run(telemetry(spark, d), pipeline.Options(model="learned"))["units"]
+
+
+@query("learned_episodes")
+def _(spark, d):
+    return pipeline.run(telemetry(spark, d), pipeline.Options(model="learned"))["episodes"].select("id", "severity", "peak", "hours", "tags")
+
+
+# --- the fixture --------------------------------------------------------------------------------------------------
+
+
+@query("demo_rows", "SELECT * FROM (VALUES ('CHILLER-01', 6098), ('CHILLER-02', 12567), ('CHILLER-03', 9942)) AS x(equipment_id, n)")
+def _(spark, d):
+    return demo(spark).groupBy("equipment_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("demo_missing", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', {n}::BIGINT)" for m, n in MISSING.items()) + ') AS x("column", n)')
+def _(spark, d):
+    return series.missing_counts(demo(spark)).select("column", "n")
 
 
-@query("demo_rows")
+@query("demo_windows")
 def _(spark, d):
-    return demo(spark).groupBy("equipment_id").agg(F.count(F.lit(1)).alias("n"))
+    """Energy within the fixture's faults, and three days before each."""
+    return series.window_means(demo(spark), fault_windows(spark)).select("equipment_id", "name", r6("inside", 1).alias("inside"), "n", r6("before", 1).alias("before"))
 
 
 # --- views --------------------------------------------------------------------------------------------------------
 
+DOWN = f"b AS (SELECT *, (row_number() OVER ({W}) - 1) // (CASE WHEN count(*) OVER (PARTITION BY equipment_id) <= 520 THEN 1 ELSE ceil(count(*) OVER (PARTITION BY equipment_id) / 260) END)::BIGINT AS bucket FROM t), down AS (SELECT equipment_id, bucket, min(ts_ms) AS ts_ms, avg(energy) AS mean, min(energy) AS lo, max(energy) AS hi FROM b GROUP BY equipment_id, bucket HAVING avg(energy) IS NOT NULL)"
+
 
-@query("downsample_bucket", f"{T}, b AS (SELECT *, (row_number() OVER ({W}) - 1) // (CASE WHEN count(*) OVER (PARTITION BY equipment_id) <= 520 THEN 1 ELSE ceil(count(*) OVER (PARTITION BY equipment_id) / 260) END)::BIGINT AS bucket FROM t) SELECT equipment_id, bucket, min(ts_ms) AS ts_ms, {R6('avg(energy)')} AS mean, min(energy) AS lo, max(energy) AS hi FROM b GROUP BY equipment_id, bucket")
+@query("downsample_bucket", f"{T}, {DOWN} SELECT equipment_id, bucket, ts_ms, {R6('mean')} AS mean, lo, hi FROM down")
 def _(spark, d):
     return series.downsample(telemetry(spark, d), "energy", 260).select("equipment_id", "bucket", "ts_ms", r6("mean").alias("mean"), "lo", "hi")
 
 
-@query("range_query", f"{T} SELECT equipment_id, row_ord, energy FROM t WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12' AND equipment_id = 'click'")
+@query("range_after_downsample", f"{T}, {DOWN} SELECT equipment_id, bucket, {R6('mean')} AS mean FROM down WHERE make_timestamp(ts_ms * 1000) BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'")
+def _(spark, d):
+    at = F.timestamp_millis("ts_ms").cast("timestamp_ntz")
+    return series.downsample(telemetry(spark, d), "energy", 260).filter(at.between(F.expr("timestamp_ntz'2024-01-05'"), F.expr("timestamp_ntz'2024-01-12'"))).select("equipment_id", "bucket", r6("mean").alias("mean"))
+
+
+@query("smoothed_sparkline", f"{T}, {DOWN}, k AS (SELECT *, row_number() OVER (PARTITION BY equipment_id ORDER BY bucket) - 1 AS k FROM down) SELECT a.equipment_id, a.bucket, {R6('sum(b.mean * CASE WHEN b.k = 0 THEN 1 ELSE 2 / 3::DOUBLE END * pow(1 / 3::DOUBLE, a.k - b.k))')} AS soft FROM k a JOIN k b ON a.equipment_id = b.equipment_id AND b.k <= a.k GROUP BY ALL")
 def _(spark, d):
-    return telemetry(spark, d).filter("ts between timestamp_ntz'2024-01-05' and timestamp_ntz'2024-01-12' and equipment_id = 'click'").select("equipment_id", "row_ord", "energy")
+    return series.smoothed(series.downsample(telemetry(spark, d), "energy", 260)).select("equipment_id", "bucket", r6("soft").alias("soft"))
+
+
+@query("degrade_view", f"{T}, {DAILY}, se AS (SELECT *, quantile_cont(energy, 0.5) OVER (PARTITION BY equipment_id ORDER BY day ROWS BETWEEN 22 PRECEDING AND 22 FOLLOWING) AS seasonal FROM daily), de AS (SELECT *, (row_number() OVER (PARTITION BY equipment_id ORDER BY day) - 1) // greatest(1, ceil(count(*) OVER (PARTITION BY equipment_id) / 12))::BIGINT AS bucket FROM se), dg AS (SELECT equipment_id, bucket, min(day) AS day, avg(energy) AS mean, min(energy) AS lo, max(energy) AS hi, avg(seasonal) AS seasonal FROM de GROUP BY ALL), kk AS (SELECT *, row_number() OVER (PARTITION BY equipment_id ORDER BY bucket) - 1 AS k FROM dg), so AS (SELECT a.equipment_id, a.bucket, sum(b.mean * CASE WHEN b.k = 0 THEN 1 ELSE 2 / 3::DOUBLE END * pow(1 / 3::DOUBLE, a.k - b.k)) AS soft FROM kk a JOIN kk b ON a.equipment_id = b.equipment_id AND b.k <= a.k GROUP BY ALL) SELECT equipment_id, day, {R6('soft')} AS soft, {R6('lo')} AS lo, {R6('hi')} AS hi, {R6('seasonal')} AS seasonal FROM dg JOIN so USING (equipment_id, bucket)")
+def _(spark, d):
+    v = series.degrade_view(series.seasonal(series.daily(points(spark, d))), 12)
+    return v.select("equipment_id", "day", *(r6(c).alias(c) for c in ("soft", "lo", "hi", "seasonal")))
+
+
+@query("y_domain", f"{T}, {DOWN}, dm AS (SELECT equipment_id, min(lo) AS lo, max(hi) AS hi FROM down GROUP BY ALL) SELECT equipment_id, {R6('lo - 0.08 * (hi - lo)')} AS lo, {R6('hi + 0.08 * (hi - lo)')} AS hi FROM dm")
+def _(spark, d):
+    return series.domain(series.downsample(telemetry(spark, d), "energy", 260)).select("equipment_id", r6("lo").alias("lo"), r6("hi").alias("hi"))
+
+
+@query("range_query", f"{T} SELECT equipment_id, row_ord, energy FROM t WHERE make_timestamp(ts_ms * 1000) BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12' AND equipment_id = 'click'")
+def _(spark, d):
+    lo, hi = (F.expr(f"timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01', timestamp_ntz'{x}')") for x in ("2024-01-05", "2024-01-12"))
+    return telemetry(spark, d).filter(F.col("ts_ms").between(lo, hi) & (F.col("equipment_id") == "click")).select("equipment_id", "row_ord", "energy")
 
 
 ASKED = "asked AS (SELECT DISTINCT equipment_id, (ts_ms // 86400000) * 86400000 + 43200000 AS at_ms FROM t)"
 
 
+def asked(t: DataFrame) -> DataFrame:
+    return t.select("equipment_id", (F.floor(F.col("ts_ms") / S.DAY_MS) * S.DAY_MS + 43_200_000).alias("at_ms")).distinct()
+
+
 @query("nearest_ts", f"{T}, {ASKED} SELECT equipment_id, at_ms, arg_min(row_ord, struct_pack(a := abs(ts_ms - at_ms), b := -ts_ms, c := -row_ord)) AS row_ord FROM asked JOIN t USING (equipment_id) GROUP BY equipment_id, at_ms")
 def _(spark, d):
     t = telemetry(spark, d)
-    asked = t.select("equipment_id", (F.floor(F.col("ts_ms") / S.DAY_MS) * S.DAY_MS + 43_200_000).alias("at_ms")).distinct()
-    return series.nearest(t, asked)
+    return series.nearest(t, asked(t))
 
 
-@query("band_overlap", f"{T}, {EPS}, w AS (SELECT equipment_id, 'week' || (day // 7) AS name, day * 86400000 AS from_ms, (day + 3) * 86400000 AS to_ms FROM (SELECT DISTINCT equipment_id, ts_ms // 86400000 AS day FROM t) WHERE day % 7 = 0) SELECT eps.equipment_id, name, id FROM eps JOIN w ON eps.equipment_id = w.equipment_id AND start_ms < to_ms AND end_ms > from_ms")
+@query("point_in_band", f"{T}, {EPS}, {ASKED.replace('asked AS (SELECT DISTINCT equipment_id, (ts_ms // 86400000) * 86400000 + 43200000', 'asked AS (SELECT DISTINCT equipment_id, ts_ms // 3600000 * 3600000')} SELECT equipment_id, at_ms, arg_min(id, start_ms) AS id FROM asked JOIN eps USING (equipment_id) WHERE at_ms BETWEEN start_ms AND end_ms GROUP BY ALL")
 def _(spark, d):
-    days = telemetry(spark, d).select("equipment_id", F.floor(F.col("ts_ms") / S.DAY_MS).alias("day")).distinct().filter("day % 7 = 0")
-    w = days.select("equipment_id", F.concat(F.lit("week"), F.expr("day div 7")).alias("name"), (F.col("day") * S.DAY_MS).alias("from_ms"), ((F.col("day") + 3) * S.DAY_MS).alias("to_ms"))
-    return series.overlapping(series.episodes(points(spark, d)), w)
+    hours = telemetry(spark, d).select("equipment_id", (F.floor(F.col("ts_ms") / 3_600_000) * 3_600_000).alias("at_ms")).distinct()
+    return series.containing(hours, series.episodes(points(spark, d)))
+
+
+BANDS = "w AS (SELECT equipment_id, 'week' || (day // 7) AS name, day * 86400000 AS from_ms, (day + 1) * 86400000 AS to_ms FROM (SELECT DISTINCT equipment_id, ts_ms // 86400000 AS day FROM t) WHERE day % 7 = 0)"
+
+
+def bands(t: DataFrame) -> DataFrame:
+    days = t.select("equipment_id", F.floor(F.col("ts_ms") / S.DAY_MS).alias("day")).distinct().filter("day % 7 = 0")
+    return days.select("equipment_id", F.concat(F.lit("week"), F.expr("day div 7")).alias("name"), (F.col("day") * S.DAY_MS).alias("from_ms"), ((F.col("day") + 1) * S.DAY_MS).alias("to_ms"))
+
+
+@query("band_overlap", f"{T}, {EPS}, {BANDS} SELECT eps.equipment_id, name, id FROM eps JOIN w ON eps.equipment_id = w.equipment_id AND start_ms < to_ms AND end_ms > from_ms")
+def _(spark, d):
+    return series.overlapping(series.episodes(points(spark, d)), bands(telemetry(spark, d)))
+
+
+@query("nearby_episodes", f"{T}, {EPS}, {BANDS} SELECT eps.equipment_id, name, id FROM eps JOIN w ON eps.equipment_id = w.equipment_id AND (start_ms BETWEEN from_ms - 259200000 AND to_ms + 259200000 OR end_ms BETWEEN from_ms - 259200000 AND to_ms + 259200000)")
+def _(spark, d):
+    return series.nearby(series.episodes(points(spark, d)), bands(telemetry(spark, d)))
+
+
+@query("window_means", f"{T}, w AS (SELECT DISTINCT equipment_id, 'mid' AS name, 1705276800000 AS from_ms, 1705536000000 AS to_ms FROM t) SELECT equipment_id, name, {R6('avg(energy) FILTER (ts_ms >= from_ms AND ts_ms < to_ms)')} AS inside, count(*) FILTER (ts_ms >= from_ms AND ts_ms < to_ms) AS n, {R6('avg(energy) FILTER (ts_ms >= from_ms - 259200000 AND ts_ms < from_ms - 172800000)')} AS before FROM t JOIN w USING (equipment_id) GROUP BY ALL")
+def _(spark, d):
+    t = telemetry(spark, d)
+    w = t.select("equipment_id").distinct().select("equipment_id", F.lit("mid").alias("name"), F.lit(1705276800000).alias("from_ms"), F.lit(1705536000000).alias("to_ms"))
+    return series.window_means(t, w).select("equipment_id", "name", r6("inside").alias("inside"), "n", r6("before").alias("before"))
 
 
 # --- streams ------------------------------------------------------------------------------------------------------
@@ -329,4 +598,13 @@ def _(spark, d):
 
 @query("stream_dedupe", "SELECT event_id, event_type FROM events")
 def _(spark, d):
-    return stream.drained(stream.deduped(stream.event_stream(spark, d)).select("event_id", "event_type"), "stream_dedupe", "append")
+    """A stream in which every event arrives twice."""
+    s = stream.event_stream(spark, d)
+    return stream.drained(stream.deduped(s.unionByName(s)).select("event_id", "event_type"), "stream_dedupe", "append")
+
+
+@query("stream_features", f"""{T}, f AS (SELECT *, last_value(energy IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM t)
+SELECT equipment_id, row_ord, {R6('filled')} AS filled, {R6(f'lag(filled, 1) OVER ({W})')} AS lag1, {R6(f'lag(filled, 48) OVER ({W})')} AS lag48, {R6(f'CASE WHEN row_number() OVER ({W}) >= 48 THEN avg(filled) {ROLL} END')} AS roll_mean FROM f""")
+def _(spark, d):
+    out = stream.features(stream.telemetry_stream(spark, d))
+    return stream.drained(out, "stream_features", "append").select("equipment_id", "row_ord", *(r6(c).alias(c) for c in ("filled", "lag1", "lag48", "roll_mean")))

@@ -1,11 +1,17 @@
-"""Structured Streaming: deduplication, daily roll-up and sessions of a telemetry stream."""
+"""Structured Streaming: deduplication, daily roll-up, sessions and trailing features of a telemetry stream."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from kelvinlake.sources import contract
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +35,43 @@ def sessions(s: DataFrame, gap: str = "7 hours", delay: str = "2 days") -> DataF
     return w.select("event_type", F.unix_millis(F.col("session_window.start")).alias("start_ms"), "n")
 
 
+def telemetry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of (equipment_id, ts_ms, row_ord, energy)."""
+    batch = contract.telemetry(spark, sf_dir)  # what it derives from an event is the same on a stream
+    e = event_stream(spark, sf_dir)
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    energy = F.when(F.col("event_id") % 17 != 0, F.col("value")).cast(batch.schema["energy"].dataType)
+    return e.select(F.col("event_type").alias("equipment_id"), ms.alias("ts_ms"), F.col("event_id").alias("row_ord"), energy.alias("energy"))
+
+
+FEATURES = "equipment_id string, ts_ms long, row_ord long, filled double, lag1 double, lag48 double, roll_mean double"
+
+
+def features(s: DataFrame, window: int = 48) -> DataFrame:
+    """FEATURES of each row as it comes: energy carried forward over missing cells, its lags by 1 and `window` rows and
+    its mean over the last `window`, null before there are as many. A unit's state is its last value, its last time and
+    `window` values. Rows older than the unit's last are late and left out; what follows a gap is not known yet, so
+    nothing is interpolated."""
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last_ms, ring = state.get if state.exists else (-(2**62), [])
+        rows = pd.concat(list(batches)).sort_values(["ts_ms", "row_ord"])
+        rows = rows[rows["ts_ms"] > last_ms]
+        if rows.empty:
+            return
+        before = np.array([np.nan if v is None else v for v in ring], float)
+        filled = pd.Series(np.concatenate([before, rows["energy"].to_numpy(float)])).ffill()
+        n = len(before)
+        out = rows[["ts_ms", "row_ord"]].assign(equipment_id=key[0], filled=filled[n:].to_numpy(), lag1=filled.shift(1)[n:].to_numpy(), lag48=filled.shift(window)[n:].to_numpy(), roll_mean=filled.rolling(window, min_periods=1).mean()[n:].to_numpy())
+        out.loc[np.arange(n, n + len(out)) < window - 1, "roll_mean"] = np.nan
+        kept = [None if np.isnan(v) else float(v) for v in filled[-window:]]
+        state.update((int(rows["ts_ms"].iloc[-1]), kept))
+        yield out[[c.split()[0] for c in FEATURES.split(", ")]]
+
+    out = s.groupBy("equipment_id").applyInPandasWithState(update, FEATURES, "last_ms long, ring array<double>", "append", GroupStateTimeout.NoTimeout)
+    return out.select("equipment_id", "ts_ms", "row_ord", *(F.nullif(F.nanvl(c, F.lit(None).cast("double")), F.lit(None).cast("double")).alias(c) for c in ("filled", "lag1", "lag48", "roll_mean")))
+
+
 def drained(out: DataFrame, name: str, mode: str) -> DataFrame:
     """Runs a stream over what is there into Parquet and returns a read of it. Table and stream state lie in the folder
     that driver and executors share; a complete result is written anew by each batch, and the last one is read."""
