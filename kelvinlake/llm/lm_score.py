@@ -7,10 +7,12 @@ only, so no table of all words is ever held in one place.
 
 The model's score is over subword ids of the words and an end id. A one-layer attention model reads windows of WINDOW
 ids that overlap by OVERLAP; every id is scored once, in the first window that holds it behind enough context. It
-predicts the id's class (CLASSES classes of about equal mass, neighbours in the alphabet of subwords), and the class
-predicts the id by its count over the training documents. Attention is batched over windows and masked causally.
-Weights are trained on every window of every training document, each in one of ROUNDS rounds: each partition trains on
-its own share, and weights are averaged, weighted by windows, after each round.
+predicts the id's class and then, from the same hidden state, the id's leaf within the class: CLASSES x LEAVES leaves, of
+which the most frequent ids have one each (over 99 % of all ids in a corpus of a few languages) and the others share the
+last of each class by their counts. Attention is batched over windows and masked causally.
+Weights are trained on every window of every training document (there without overlap), each in one of ROUNDS rounds:
+each partition trains on its own share, and weights are averaged, weighted by windows, after each round. A corpus of fewer
+than LEAST windows is gone through several times, PASSES at most.
 
 Training documents are those whose crc32(doc_id as text) mod 7 is not 2. Defined cases: a null or empty text is its
 end alone; a null doc_id is a training document; repeated rows count and are scored like any others; without training
@@ -19,6 +21,8 @@ documents all counts are 0 and the classes are uniform; an empty table gives no
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,8 +36,8 @@ from kelvinlake.llm.packing import VOCABULARY, encoder
 
 BLOCK_BYTES = 16_000_000
 IDS, END = 50257, 50256
-BUCKETS, CLASSES, DIM, WINDOW, OVERLAP = 2048, 32, 16, 16, 4
-ROUNDS, BATCH, RATE = 2, 128, 0.01
+BUCKETS, CLASSES, LEAVES, DIM, WINDOW, OVERLAP = 2048, 32, 32, 16, 24, 6
+ROUNDS, BATCH, RATE, SPREAD, LEAST, PASSES = 2, 128, 0.01, 0.2, 200_000, 8
 #: Documents whose ids are trained on or scored at once.
 CHUNK = 256
 
@@ -64,75 +68,140 @@ def gathered(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndar
 # --- the model -------------------------------------------------------------------------------------------------
 
 
+@functools.cache
+def keep_freed_memory() -> None:
+    """Let this worker's C library keep up to 64 MB of freed arrays: numpy frees and takes the same few again all the time."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-1, 64 << 20), libc.mallopt(-3, 16 << 20)  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 class Coding:
-    """Buckets (input) and classes (output) of the ids, from their counts in the training documents."""
+    """Buckets (input), classes and leaves (output) of the ids, from their counts in the training documents.
+
+    The CLASSES * LEAVES - CLASSES most frequent ids have a class and a leaf of their own, neighbours in the alphabet of subwords
+    sharing a class; each class's last leaf is dealt the other ids, which share it by their counts.
+    """
 
     def __init__(self, counts: np.ndarray):
         rank = np.empty(IDS, np.int64)
         rank[np.argsort(-counts, kind="stable")] = np.arange(IDS)
         half = BUCKETS // 2
-        self.bucket = np.where(rank < half, rank, half + np.arange(IDS) % half).astype(np.int32)
+        self.bucket = np.where(rank < half, rank, half + np.arange(IDS) % half).astype(np.uint16)
+        own = LEAVES - 1
         enc = encoder(VOCABULARY)
-        order = sorted(range(IDS), key=lambda i: enc.decode_single_token_bytes(i))
-        mass = np.cumsum((counts + 1.0)[order])
-        self.cls = np.empty(IDS, np.int32)
-        self.cls[order] = np.minimum((mass - (counts + 1.0)[order] / 2) / mass[-1] * CLASSES, CLASSES - 1).astype(np.int64)
-        total = np.bincount(self.cls, counts + 1.0, CLASSES)
-        self.within = np.log10((counts + 1.0) / total[self.cls])
-
-
-def initial() -> dict[str, np.ndarray]:
+        order = sorted(np.flatnonzero(rank < CLASSES * own).tolist(), key=lambda i: enc.decode_single_token_bytes(i))
+        self.cls, self.leaf = (np.arange(IDS) % CLASSES).astype(np.uint8), np.full(IDS, own, np.uint8)
+        self.cls[order], self.leaf[order] = np.divmod(np.arange(len(order)), own)
+        rest = self.leaf == own
+        total = np.bincount(self.cls[rest], counts[rest] + 1.0, CLASSES)
+        #: Natural logarithms of what the classes hold, and of their leaves' shares: where the model's output starts.
+        mass = np.bincount(self.cls.astype(np.int64) * LEAVES + self.leaf, counts + 0.01, CLASSES * LEAVES).reshape(CLASSES, LEAVES) + 1e-3
+        self.start = np.log(mass.sum(1) / mass.sum()), np.log(mass / mass.sum(1, keepdims=True))
+        self.within = np.where(rest, np.log10((counts + 1.0) / np.maximum(total[self.cls], 1.0)), 0.0)
+
+
+def initial(start: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
+    """e, p: embeddings of buckets and places; a: queries, keys and values; o: from context back; c, b: classes; w, l: leaves
+    of each class. b and l start from the ids' counts."""
     rng = np.random.default_rng(11)
-    shapes = {"e": (BUCKETS, DIM), "p": (WINDOW, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "c": (DIM, CLASSES), "b": (CLASSES,)}
-    return {n: (rng.normal(0, 0.3 if n != "b" else 0, s)).astype(np.float32) for n, s in shapes.items()}
+    shapes = {"e": (BUCKETS, DIM), "p": (WINDOW, DIM), "a": (DIM, 3 * DIM), "o": (DIM, DIM), "c": (DIM, CLASSES), "b": (CLASSES,), "w": (CLASSES, DIM, LEAVES), "l": (CLASSES, LEAVES)}
+    m = {n: (rng.normal(0, SPREAD if n not in "bl" else 0, s)).astype(np.float32) for n, s in shapes.items()}
+    return m | {"b": start[0].astype(np.float32), "l": start[1].astype(np.float32)}
 
 
 LOG10_E = np.float32(1 / np.log(10))
 PAST = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-#: Attention and class scores are held within this, so their exponentials need no maximum taken off.
+#: Attention and output scores are held below this, so their exponentials need no maximum taken off.
 BOUND = np.float32(40)
 
 
-def forward(m: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
-    """x: buckets, windows x WINDOW. Position i predicts the class of what follows x[i] from x[:i + 1]; e, odds: exponentials and their sums."""
+def forward(m: dict[str, np.ndarray], x: np.ndarray, cls: np.ndarray) -> dict[str, np.ndarray]:
+    """x: buckets, windows x WINDOW; cls: the classes that follow, by window and position. Position i predicts what follows
+    x[i] from x[:i + 1]. Positions are flat in the results but for the attention a; z, wz: scores of the classes, and of the
+    leaves of the class that follows, in the order `by` of classes; e, we and odds, wodds: their exponentials and sums."""
     n = len(x)
-    by = lambda t, w: (t.reshape(n * WINDOW, -1) @ w).reshape(n, WINDOW, -1)
-    h = m["e"][x] + m["p"]
-    q, k, v = by(h, m["q"] / np.float32(DIM**0.5)), by(h, m["k"]), by(h, m["v"])
-    a = q @ k.transpose(0, 2, 1)
-    np.clip(a, -BOUND, BOUND, out=a)
+    h = (m["e"][x] + m["p"]).reshape(n * WINDOW, DIM)
+    qkv = (h @ m["a"]).reshape(n, WINDOW, 3 * DIM)
+    a = qkv[..., :DIM] @ qkv[..., DIM : 2 * DIM].transpose(0, 2, 1)
+    np.minimum(a, BOUND, out=a)
     np.exp(a, out=a)
     a *= PAST
-    seen = by(a, np.ones((WINDOW, 1), np.float32))
-    ctx = (a @ v) / seen
-    top = h + by(ctx, m["o"])
-    z = by(top, m["c"]) + m["b"]
-    np.clip(z, -BOUND, BOUND, out=z)
+    seen = a.reshape(n * WINDOW, WINDOW) @ np.ones(WINDOW, a.dtype)
+    ctx = (a @ qkv[..., 2 * DIM :]).reshape(n * WINDOW, DIM)
+    ctx /= seen[:, None]
+    top = h + ctx @ m["o"]
+    z = top @ m["c"]
+    z += m["b"]
+    np.minimum(z, BOUND, out=z)
     e = np.exp(z)
-    return {"h": h, "q": q, "k": k, "v": v, "a": a, "seen": seen, "ctx": ctx, "top": top, "z": z, "e": e, "odds": by(e, np.ones((CLASSES, 1), np.float32))[..., 0]}
-
-
-def gradients(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, live: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-    """Of the mean log-loss over the live positions; y: classes."""
-    f = forward(m, x)
-    p = f["e"] / f["odds"][..., None]
-    a = f["a"] / f["seen"]
-    n = max(1, live.sum())
-    at = np.take_along_axis(p, y[..., None], 2)[..., 0]
-    loss = float(-(np.log(at + 1e-12) * live).sum() / n)
-    p -= np.eye(CLASSES, dtype=np.float32)[y]
-    dz = p * (live[..., None] & (np.abs(f["z"]) < BOUND)) / np.float32(n)
-    flat = lambda t: t.reshape(-1, t.shape[-1])
+    flat = cls.ravel()
+    by = np.argsort(flat, kind="stable")
+    ends = np.cumsum(np.bincount(flat, minlength=CLASSES)).tolist()
+    sorted_top, sorted_cls = top[by], flat[by]
+    wz = m["l"][sorted_cls]
+    for c, (lo, hi) in enumerate(zip([0, *ends], ends)):
+        if hi > lo:
+            wz[lo:hi] += sorted_top[lo:hi] @ m["w"][c]
+    np.minimum(wz, BOUND, out=wz)
+    we = np.exp(wz)
+    one = lambda t: t @ np.ones(t.shape[1], t.dtype)
+    return {"h": h, "qkv": qkv, "a": a, "seen": seen, "ctx": ctx, "top": top, "z": z, "e": e, "odds": one(e), "by": by, "ends": ends, "sorted_top": sorted_top, "wz": wz, "we": we, "wodds": one(we)}
+
+
+def log_odds(f: dict[str, np.ndarray], cls: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """Natural log-probability of class and leaf at each position."""
+    at = np.arange(cls.size)
+    out = f["z"][at, cls.ravel()] - np.log(f["odds"])
+    out[f["by"]] += f["wz"][at, leaf.ravel()[f["by"]]] - np.log(f["wodds"])
+    return out
+
+
+def gradients(m: dict[str, np.ndarray], x: np.ndarray, cls: np.ndarray, leaf: np.ndarray, live: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+    """Of the mean log-loss over the live positions."""
+    f = forward(m, x, cls)
+    n, k = len(x), cls.size
+    share = (live.ravel() / max(1, live.sum())).astype(f["z"].dtype)
+    loss = -float((log_odds(f, cls, leaf) * share).sum())
+    at, by = np.arange(k), f["by"]
+
+    def off(e: np.ndarray, odds: np.ndarray, z: np.ndarray, right: np.ndarray, w: np.ndarray) -> np.ndarray:
+        e *= (w / odds)[:, None]
+        e[at, right] -= w
+        e *= z < BOUND
+        return e
+
+    dz = off(f["e"], f["odds"], f["z"], cls.ravel(), share)
+    dw = off(f["we"], f["wodds"], f["wz"], leaf.ravel()[by], share[by])
+    g = {"c": f["top"].T @ dz, "b": dz.sum(0), "w": np.zeros_like(m["w"]), "l": np.zeros_like(m["l"])}
+    back = np.empty_like(f["sorted_top"])
+    for c, (lo, hi) in enumerate(zip([0, *f["ends"]], f["ends"])):
+        if hi > lo:
+            g["w"][c] = f["sorted_top"][lo:hi].T @ dw[lo:hi]
+            g["l"][c] = dw[lo:hi].sum(0)
+            np.matmul(dw[lo:hi], m["w"][c].T, out=back[lo:hi])
     dtop = dz @ m["c"].T
-    dctx = dtop @ m["o"].T
-    da = dctx @ f["v"].transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    dq, dk, dv = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"], a.transpose(0, 2, 1) @ dctx
-    scale = np.float32(DIM**0.5)
-    dh = dtop + dq @ m["q"].T / scale + dk @ m["k"].T + dv @ m["v"].T
-    h = flat(f["h"])
-    g = {"c": flat(f["top"]).T @ flat(dz), "b": flat(dz).sum(0), "o": flat(f["ctx"]).T @ flat(dtop), "q": h.T @ flat(dq) / scale, "k": h.T @ flat(dk), "v": h.T @ flat(dv), "p": dh.sum(0)}
-    g["e"] = np.bincount((x.reshape(-1, 1) * DIM + np.arange(DIM)).ravel(), dh.ravel(), m["e"].size).astype(m["e"].dtype).reshape(m["e"].shape)
+    dtop[by] += back
+    g["o"] = f["ctx"].T @ dtop
+    q, key, v = (f["qkv"][..., i * DIM : (i + 1) * DIM] for i in range(3))
+    a = f["a"] / f["seen"].reshape(n, WINDOW, 1)
+    dctx = (dtop @ m["o"].T).reshape(n, WINDOW, DIM)
+    da = dctx @ v.transpose(0, 2, 1)
+    da -= (f["ctx"].reshape(n, WINDOW, DIM) * dctx).sum(2, keepdims=True)
+    da *= a
+    dqkv = np.empty_like(f["qkv"])
+    dqkv[..., :DIM], dqkv[..., DIM : 2 * DIM], dqkv[..., 2 * DIM :] = da @ key, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dctx
+    dqkv = dqkv.reshape(k, 3 * DIM)
+    g["a"] = f["h"].T @ dqkv
+    dh = dtop + dqkv @ m["a"].T
+    g["p"] = dh.reshape(n, WINDOW, DIM).sum(0)
+    order = np.argsort(x.ravel(), kind="stable")
+    held = x.ravel()[order]
+    first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+    g["e"] = np.zeros_like(m["e"])
+    g["e"][held[first]] = np.add.reduceat(dh[order], first, axis=0)
     return g, loss
 
 
@@ -143,56 +212,58 @@ class Adam:
 
     def step(self, g: dict[str, np.ndarray]) -> None:
         self.n += 1
+        rate = np.float32(RATE * np.sqrt(1 - 0.999**self.n) / (1 - 0.9**self.n))
         for k, v in self.m.items():
-            self.first[k] += 0.1 * (g[k] - self.first[k])
-            self.second[k] += 0.001 * (g[k] ** 2 - self.second[k])
-            v -= np.float32(RATE) * (self.first[k] / (1 - 0.9**self.n)) / (np.sqrt(self.second[k] / (1 - 0.999**self.n)) + np.float32(1e-6))
+            first, second = self.first[k], self.second[k]
+            first += np.float32(0.1) * (g[k] - first)
+            second += np.float32(0.001) * (g[k] * g[k] - second)
+            v -= rate * first / (np.sqrt(second) + np.float32(1e-7))
 
 
-def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(sizes: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For sequences of these sizes, one behind another: each window's first place, its size, and its scored part's start."""
-    stride = WINDOW - OVERLAP
+    stride = WINDOW - overlap
     begins = np.cumsum(sizes) - sizes
-    n = np.maximum(1, -(-(sizes - OVERLAP) // stride))
+    n = np.maximum(1, -(-(sizes - overlap) // stride))
     within = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride
     start = np.repeat(begins, n) + within
-    return start, np.minimum(WINDOW, np.repeat(sizes, n) - within), np.where(within == 0, 0, OVERLAP)
+    return start, np.minimum(WINDOW, np.repeat(sizes, n) - within), np.where(within == 0, 0, overlap)
 
 
-def spread(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """values by window and position, and which positions exist."""
-    at = np.arange(WINDOW)
+def placed(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of each window's positions, and which positions exist (the others stand at its start)."""
+    at = np.arange(WINDOW, dtype=np.int64)
     live = at < size[:, None]
-    return values[np.where(live, start[:, None] + at, start[:, None])], live
+    return np.where(live, start[:, None] + at, start[:, None]), live
+
+
+def preceding(code: Coding, ids: np.ndarray) -> np.ndarray:
+    """The bucket of what stands before each id: at a sequence's start the END before it."""
+    return np.concatenate([code.bucket[[END]], code.bucket[ids[:-1]]])
 
 
 def sequence_scores(m: dict[str, np.ndarray], code: Coding, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log10 probability of each sequence; ids: the sequences, each closed by END, one behind another."""
-    x, y = code.bucket[ids], code.cls[ids]
-    given = np.concatenate([code.bucket[[END]], x[:-1]])  # what stands before each id: at a sequence's start the END before it
+    given, cls, leaf = preceding(code, ids), code.cls[ids], code.leaf[ids]
     out = code.within[ids]
     start, size, scored = windows(sizes)
-    at = np.arange(WINDOW, dtype=np.int32)
-    for lo in range(0, len(start), 512):
-        s, n, k = (v[lo : lo + 512].astype(np.int32)[:, None] for v in (start, size, scored))
-        place = s + at
-        live = at < n
-        place = np.where(live, place, s)
-        f = forward(m, given[place])
-        got = np.take_along_axis(f["z"], y[place][..., None], 2)[..., 0] - np.log(f["odds"])
-        live &= at >= k
+    at = np.arange(WINDOW)
+    for lo in range(0, len(start), BATCH):
+        place, live = placed(start[lo : lo + BATCH], size[lo : lo + BATCH])
+        got = log_odds(forward(m, given[place], cls[place]), cls[place], leaf[place]).reshape(place.shape)
+        live &= at >= scored[lo : lo + BATCH, None]
         out[place[live]] += got[live] * LOG10_E
     return np.add.reduceat(out, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
 
 
 def share(ids: np.ndarray, sizes: np.ndarray, turn: int) -> np.ndarray:
-    """Which of the windows() of these sequences a round learns from: over all rounds every window once, whatever else lies in the chunk."""
+    """Which of the windows(sizes, 0) of these sequences a round learns from: over all rounds every window once, whatever else lies in the chunk."""
     if not len(sizes):
         return np.zeros(0, np.int64)
-    start, _, _ = windows(sizes)
+    start, _, _ = windows(sizes, 0)
     begins = np.cumsum(sizes) - sizes
     of = np.searchsorted(begins, start, "right") - 1
-    return np.flatnonzero((np.add.reduceat(ids.astype(np.int64), begins)[of] + (start - begins[of]) // (WINDOW - OVERLAP)) % ROUNDS == turn)
+    return np.flatnonzero((np.add.reduceat(ids.astype(np.int64), begins)[of] + (start - begins[of]) // WINDOW) % ROUNDS == turn)
 
 
 def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
@@ -205,25 +276,26 @@ def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.n
 
 def train(docs: DataFrame, code: Coding) -> tuple[dict[str, np.ndarray], int]:
     """docs(ids): the training documents, of coded(). The weights, and how many windows they have learned from; a row for each weight and partition meets in a weighted mean."""
-    model, seen = initial(), 0
+    model, seen = initial(code.start), 0
     sizes = {k: v.size for k, v in model.items()}
     known = docs.sparkSession.sparkContext.broadcast(code)
-    for turn in range(ROUNDS):
-        now = model
+    each = F.greatest(F.lit(1), F.ceil(F.octet_length("ids") / (2 * WINDOW)))
+    n = docs.agg(F.coalesce(F.sum(each), F.lit(0)).alias("n")).first()["n"]
+    for step in range(ROUNDS * min(PASSES, max(1, -(-LEAST // max(1, n))))):
+        now, turn = model, step % ROUNDS
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            keep_freed_memory()
             code = known.value
             m = {k: v.copy() for k, v in now.items()}
             adam, done = Adam(m), 0
             for _, ids, lens in chunks(batches):
-                buckets, classes = code.bucket[np.concatenate([[END], ids[:-1]])], code.cls[ids]
-                start, size, _ = windows(lens)
-                pick = np.random.default_rng(turn * 1_000_003 + len(ids)).permutation(share(ids, lens, turn))
+                given, cls, leaf = preceding(code, ids), code.cls[ids], code.leaf[ids]
+                start, size, _ = windows(lens, 0)
+                pick = np.random.default_rng(step * 1_000_003 + len(ids)).permutation(share(ids, lens, turn))
                 for lo in range(0, len(pick), BATCH):
-                    own = pick[lo : lo + BATCH]
-                    x, live = spread(buckets, start[own], size[own])
-                    y, _ = spread(classes, start[own], size[own])
-                    g, _ = gradients(m, x, y, live)
+                    place, live = placed(start[pick[lo : lo + BATCH]], size[pick[lo : lo + BATCH]])
+                    g, _ = gradients(m, given[place], cls[place], leaf[place], live)
                     adam.step(g)
                 done += len(pick)
             if done:
@@ -338,6 +410,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model, code))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_freed_memory()
         model, code = shared.value
         for own, ids, sizes in chunks(batches):
             yield own.assign(held_out=~own["train"], score=sequence_scores(model, code, ids, sizes))[[x.split()[0] for x in SCORES.split(", ")]]

@@ -117,24 +117,68 @@ def test_lm_base_score_and_windows(spark, docs, none):
     want = sorted(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in (t or "").lower().split() + ["<end>"]) for _, t, *_ in ROWS)
     assert np.allclose(sorted(got["base_score"]), want) and (got["train_tokens"] == n).all() and np.isfinite(got["score"]).all()
     assert lm_score.score_documents(none).count() == 0
-    start, size, scored = lm_score.windows(np.array([1, 16, 17, 40]))
-    assert sum(np.minimum(size, lm_score.WINDOW) - scored) == 1 + 16 + 17 + 40
+    start, size, scored = lm_score.windows(np.array([1, 24, 25, 60]))
+    assert sum(size - scored) == 1 + 24 + 25 + 60 and max(size) == lm_score.WINDOW
+
+
+def lm_setting(seed=0):
+    rng = np.random.default_rng(seed)
+    code = lm_score.Coding(np.bincount(rng.zipf(1.4, 20_000) % 3000, minlength=lm_score.IDS).astype(float))
+    m = {k: v.astype(float) for k, v in lm_score.initial(code.start).items()}
+    return rng, code, m
 
 
 def test_lm_gradients():
-    m = {k: v.astype(float) for k, v in lm_score.initial().items()}
-    rng = np.random.default_rng(0)
-    x, y, live = rng.integers(0, lm_score.BUCKETS, (4, 16)), rng.integers(0, lm_score.CLASSES, (4, 16)), np.ones((4, 16), bool)
-    g, _ = lm_score.gradients(m, x, y, live)
-    for k, at in (("q", (1, 2)), ("v", (3, 4)), ("o", (0, 5)), ("c", (2, 2)), ("e", (x[0, 0], 1))):
+    rng, code, m = lm_setting()
+    ids = rng.zipf(1.4, (4, lm_score.WINDOW)) % 3000
+    x, cls, leaf, live = rng.integers(0, lm_score.BUCKETS, ids.shape), code.cls[ids], code.leaf[ids], rng.random(ids.shape) < 0.8
+    g, _ = lm_score.gradients(m, x, cls, leaf, live)
+    for k, at in (("a", (1, 2)), ("a", (1, 20)), ("a", (3, 40)), ("o", (0, 5)), ("c", (2, 2)), ("b", (3,)), ("e", (x[0, 0], 1)), ("p", (2, 3)), ("w", (cls[0, 0], 2, 1)), ("l", (cls[0, 0], leaf[0, 0]))):
         m[k][at] += 1e-5
-        up = lm_score.gradients(m, x, y, live)[1]
+        up = lm_score.gradients(m, x, cls, leaf, live)[1]
         m[k][at] -= 2e-5
-        down = lm_score.gradients(m, x, y, live)[1]
+        down = lm_score.gradients(m, x, cls, leaf, live)[1]
         m[k][at] += 1e-5
         assert abs(g[k][at] - (up - down) / 2e-5) < 1e-6
 
 
+def plain_score(m, code, ids):
+    """One sequence by loops over its ids: each from the window that scores it, attention and both softmaxes written out."""
+    size, total = lm_score.DIM, 0.0
+    stride = lm_score.WINDOW - lm_score.OVERLAP
+    given = [lm_score.END, *ids[:-1]]
+    for t, i in enumerate(ids):
+        first = 0 if t < lm_score.WINDOW else (t - lm_score.OVERLAP) // stride * stride
+        h = [m["e"][code.bucket[x]] + m["p"][k] for k, x in enumerate(given[first : t + 1])]
+        q, keys, values = h[-1] @ m["a"][:, :size], [x @ m["a"][:, size : 2 * size] for x in h], [x @ m["a"][:, 2 * size :] for x in h]
+        weights = np.exp([q @ k for k in keys])
+        top = h[-1] + (weights / weights.sum() @ np.array(values)) @ m["o"]
+        z, c = top @ m["c"] + m["b"], code.cls[i]
+        w = top @ m["w"][c] + m["l"][c]
+        total += z[c] - np.log(np.exp(z).sum()) + w[code.leaf[i]] - np.log(np.exp(w).sum()) + code.within[i] * np.log(10)
+    return total / np.log(10)
+
+
+def test_lm_score_by_brute_force():
+    rng, code, m = lm_setting(3)
+    # one id's chance: classes, leaves and shares of a leaf add up to one
+    assert abs(sum(10 ** code.within[(code.cls == 5) & (code.leaf == lm_score.LEAVES - 1)]) - 1) < 1e-9
+    sizes = np.array([1, 5, lm_score.WINDOW, lm_score.WINDOW + 1, 100])
+    seqs = [np.append(rng.zipf(1.4, n - 1) % 3000, lm_score.END) for n in sizes]
+    got = lm_score.sequence_scores(m, code, np.concatenate(seqs), sizes)
+    assert np.allclose(got, [plain_score(m, code, s.tolist()) for s in seqs])
+
+
+def test_lm_beats_the_unigram_where_context_tells(spark):
+    """Held-out texts that keep to one of four sets of syllables: the model's score is above the base score."""
+    rng = random.Random(1)
+    sets = [("na", "ter"), ("ing", "lo"), ("che", "ver"), ("und", "est")]
+    word = lambda s: "".join(rng.choice(s) for _ in range(rng.randint(4, 6)))
+    rows = [(i, " ".join(word(s) for _ in range(120))) for i in range(400) for s in [rng.choice(sets)]]
+    out = lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert out["sum(score)"] > out["sum(base_score)"]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(20, 24))

@@ -13,11 +13,11 @@ def test_lm_learns_from_all_training_windows(spark):
     train = table.filter("train")
     sizes = train.selectExpr("octet_length(ids) div 2 as n").toPandas()["n"].to_numpy(np.int64)
     _, seen = lm_score.train(train, code)
-    assert seen == len(lm_score.windows(sizes)[0]) > len(sizes) > 200
+    assert seen == lm_score.PASSES * len(lm_score.windows(sizes, 0)[0]) > len(sizes) > 200
 
     ids, sizes = np.arange(400) % 7, np.array([1, 4, 200, 15, 180])
     turns = [lm_score.share(ids, sizes, k).tolist() for k in range(lm_score.ROUNDS)]
-    assert sorted(sum(turns, [])) == list(range(len(lm_score.windows(sizes)[0]))) and all(turns)
+    assert sorted(sum(turns, [])) == list(range(len(lm_score.windows(sizes, 0)[0]))) and all(turns)
 
 
 URLS = "page_id long, url string"
