@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelvinlake.sources.contract import ship
+
 #: Characters of the class [\x20\x09-\x0D]: what ends a word and what is stripped from a line.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -16,14 +16,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NO_ID = -(2**63)
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed (local mode, tests)."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,7 +52,9 @@ def join_keys(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str,
     heavy = F.col(weight) * HOT >= total
     rest = F.struct(*(c for c in per_key.columns if c not in keys))
     hot = per_key.filter(heavy).select(*keys, rest.alias("_hot"))
-    cold = per_key.filter(~heavy).select(*keys, F.lit(0).alias("_salt"), rest.alias("_cold"))
+    # 0 for every key, but no literal: the optimizer would take that out of the join's keys, and the salt with it
+    zero = F.when(F.col(weight) < 0, 1).otherwise(0)
+    cold = per_key.filter(~heavy).select(*keys, zero.alias("_salt"), rest.alias("_cold"))
     plain = [f.name for f in rows.schema if f.dataType.typeName() not in ("array", "binary", "struct", "map")]
     salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*plain), F.lit(HOT)).cast("int"))
     both = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).join(cold, [*keys, "_salt"], "left")

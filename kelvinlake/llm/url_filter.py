@@ -8,8 +8,8 @@ are broadcast, the others are shuffled. The trees are fitted on at most FIT_ROWS
 url and page_id (a documented bound); suffix statistics and verdicts cover all rows.
 
 Defined cases: a null url, or one without ://, has empty host and path, no rule and the trees' verdict on empty
-strings; without labelled urls of both kinds the trees allow everything; repeated rows get the same verdict; an empty
-table gives no rows.
+strings; without labelled urls of both kinds the trees allow everything; repeated rows get the same verdict (of ties in
+the fit's order the url decides); urls are read whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -137,7 +137,9 @@ def with_shares(parts: DataFrame, shares: DataFrame) -> DataFrame:
     for k, name in zip(STATS, SHARES):
         own = shares.filter(F.col("kind") == k)
         hot = own.filter("hot").select(F.col("value").alias(k), F.col("share").alias("hot_share"))
-        cold = own.filter("not hot").select(F.col("value").alias(k), F.lit(0).alias("salt"), F.col("share").alias("cold_share"))
+        # no literal, which the optimizer would take out of the join's keys
+        zero = F.when(F.col("share") < 0, 1).otherwise(0)
+        cold = own.filter("not hot").select(F.col("value").alias(k), zero.alias("salt"), F.col("share").alias("cold_share"))
         salt = F.when(F.col("hot_share").isNotNull(), 1 + F.pmod(F.xxhash64("url", "page_id"), F.lit(1024)).cast("int")).otherwise(0)
         parts = parts.join(F.broadcast(hot), k, "left").withColumn("salt", salt).join(cold, [k, "salt"], "left")
         parts = parts.withColumn(name, F.coalesce("hot_share", "cold_share")).drop("hot_share", "cold_share", "salt")
