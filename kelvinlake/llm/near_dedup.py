@@ -377,3 +377,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
+def op2_sql(shingle: int = 4, percent: int = PERCENT) -> str:
+    """DuckDB SQL for op2_near_dedup(): all pairs that share a shingle, then what each document reaches."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {shingle} THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - {shingle - 2}), lambda i: array_to_string(list_slice(w, i, i + {shingle - 1}), ' '))) END AS s FROM w),
+e AS (SELECT doc_id, hash(x) AS x FROM (SELECT doc_id, unnest(s) AS x FROM s)),
+same AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+near AS (SELECT a, b FROM same JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * n >= {percent} * (len(p.s) + len(q.s) - n)),
+links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least ON doc_id = a
+"""

@@ -146,3 +146,27 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & (F.col("p_good") >= KEEP_AT)).alias("kept"), "p_good",
     )
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op7_quality() the counts of the base rule."""
+    return op7_quality(spark, sf_dir).select("doc_id", *COUNTS)
+
+
+QUALITY_COUNTS_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
+dup AS (SELECT doc_id, sum(n - 1) AS n FROM l GROUP BY ALL),
+x AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
+t AS (SELECT doc_id, i, w AS a, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) > 1 AND c IS NOT NULL AS again FROM t),
+cover AS (SELECT doc_id, again OR lag(again, 1, false) OVER o OR lag(again, 2, false) OVER o AS held FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+rep AS (SELECT doc_id, count(*) FILTER (held) AS n FROM cover GROUP BY ALL)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0)::BIGINT AS word_chars,
+       length(regexp_replace(text, '[^{SYMBOLS}]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+       len(w) < {MIN_WORDS} OR 100 * coalesce(rep.n, 0) > 50 * len(w) AS base_failed
+FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)
+"""

@@ -17,8 +17,17 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_packing": packing.op10_packing,
     "pipeline": corpus_pipeline.run,
+    # those columns of two operators that SQL can express
+    "url_rules": url_filter.url_rules,
+    "quality_counts": quality.quality_counts,
 }
 
-ORACLES = {"op3_line_dedup": line_dedup.OP3_SQL, "op6_embedding_dedup": embedding_dedup.OP6_SQL}
+ORACLES = {
+    "op2_near_dedup": near_dedup.op2_sql(),
+    "op3_line_dedup": line_dedup.OP3_SQL,
+    "op6_embedding_dedup": embedding_dedup.OP6_SQL,
+    "url_rules": url_filter.URL_RULES_SQL,
+    "quality_counts": quality.QUALITY_COUNTS_SQL,
+}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

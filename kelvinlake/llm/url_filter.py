@@ -176,3 +176,18 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op1_url_filter() what the rules alone decide."""
+    return op1_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+_FITS = ", ".join(f"('{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{verdict}')" for rule, verdict in RULES)
+URL_RULES_SQL = rf"""
+WITH p AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)\A.*?://([^/?#]*)([^?#]*)', ['host', 'path']) AS x FROM pages),
+u AS (SELECT page_id, translate(x.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, x.path AS path FROM p),
+rules(rule, name, start, verdict) AS (VALUES {_FITS}),
+fits AS (SELECT u.page_id, rule, verdict FROM u JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) QUALIFY row_number() OVER (PARTITION BY u.page_id ORDER BY length(rule) DESC) = 1)
+SELECT page_id, host, path, rule, verdict FROM u LEFT JOIN fits USING (page_id)
+"""

@@ -261,25 +261,82 @@ def test_trees_learn():
     assert ((url_filter.Trees(x[:1500], y[:1500]).probability(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
 
 
-def test_pipeline_stages(spark, tmp_path):
-    d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet").selectExpr("*", "doc_id as row", "lang as keep")
-    before = docs.count()
+CLASHING = DOCS + ", row string, toxicity string, secret_spans int, _id long, text_key long, kept boolean, keep string"
+
+
+def clashing(rows):
+    return [(*r, "r", "t", 1, 2, 3, True, "k") for r in rows]
+
+
+@pytest.mark.parametrize("rows", [[], ROWS, [(1, None, None, None, None), (1, "", "", "", 0), (None, None, None, None, None)]], ids=["empty", "mixed", "blank"])
+def test_pipeline_stages_on_odd_tables(spark, tmp_path, rows):
+    spark.createDataFrame([(1, 1, 0), (2, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(clashing(rows), CLASHING)
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, d)
+        out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns
         out.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
-    assert 0.5 * before < docs.count() <= before
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, d).select("doc_id").distinct().count() == docs.count()
+    kept = docs.collect()
+    assert len(kept) <= len(rows) and all((r["row"], r["_id"], r["kept"]) == ("r", 2, True) for r in kept)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.filter("start = 0").count() == len(kept)
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """run() against plain forms of its stages: what stays, and that the windows hold the masked texts' ids."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    shared = "this very line is found in many documents of the corpus"
+    rows = []
+    for i in range(160):
+        text = " ".join(word() for _ in range(60))
+        if i % 5 == 1 and (i - 1) % 8:
+            ws = rows[-1][1].split("\n")[0].split()
+            ws[rng.randrange(len(ws))] = "changed"
+            text = " ".join(ws)
+        text += f"\n{shared}" * (i % 3 == 0) + " vilely scum" * (i % 8 == 0) + f"\npassword = hunter{i:04}" * (i % 7 == 2)
+        rows.append((i, text))
+    rows += [(None, rows[3][1]), (300, rows[5][1]), (301, None)]
+    labels = [(i, 1, int(i % 8 == 0)) for i in range(0, 120)]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "cast(length(text) as long) n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    docs = [(i, t) for i, t in rows if "vilely" not in (t or "")]
+    holders = {}
+    for i, t in docs:
+        for x in (t or "").split("\n"):
+            k = x.strip(" \t\n\x0b\x0c\r").lower()
+            if len(k) >= 20:
+                holders.setdefault(k, set()).add(-1 if i is None else i)
+    gone = lambda x, i: len(h := holders.get(x.strip().lower(), ())) >= 3 and max(h) != i
+    docs = [(i, t if t is None else "\n".join(x for x in t.split("\n") if not gone(x, i))) for i, t in docs]
+    order = sorted(range(len(docs)), key=lambda k: (docs[k][0] is None, docs[k][0] or 0))
+    docs = [docs[k] for k in order]
+    _, root = components([t for _, t in docs], 5)
+    docs = [d for k, d in enumerate(docs) if root[k] == k]
+    t = Tokenizer.from_file(packing.public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: np.array(t.encode(secret_scan.mask(x) or "", add_special_tokens=False).ids + [1], "<u4") for i, x in docs}
+    assert len(want) < 130 and any("[SECRET]" in (secret_scan.mask(x) or "") for _, x in docs)
+
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} == set(want)
+    assert all(zlib.crc32(want[r["doc_id"]][r["start"] : r["start"] + r["length"]]) == r["ids_crc32"] and r["doc_tokens"] == len(want[r["doc_id"]]) for r in out)
+    assert sum(r["length"] for r in out) == sum(map(len, want.values()))
+
 
+@pytest.mark.parametrize("name", ["op2_near_dedup", "op3_line_dedup", "op6_embedding_dedup", "url_rules", "quality_counts"])
+def test_sql(spark, name):
+    from kelvinlake.llm.queries import ORACLES, QUERIES
 
-def test_sql(spark):
     c = duckdb.connect()
-    for name, q, sql in (("documents", line_dedup.op3_line_dedup, line_dedup.OP3_SQL), ("embeddings", embedding_dedup.op6_embedding_dedup, embedding_dedup.OP6_SQL)):
-        c.sql(f"create view {name} as select * from '/root/testdata/sf0.001/{name}.parquet'")
-        got, want = q(spark, "/root/testdata/sf0.001").toPandas(), c.sql(sql).df()[lambda x: x.columns]
-        assert sorted(got.itertuples(index=False, name=None)) == sorted(want[got.columns].itertuples(index=False, name=None))
+    for table in ("documents", "embeddings", "pages"):
+        c.sql(f"create view {table} as select * from '/root/testdata/sf0.001/{table}.parquet'")
+    got, want = QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), c.sql(ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(got.astype(str).itertuples(index=False, name=None)) == sorted(want[got.columns].astype(str).itertuples(index=False, name=None))
 
 
 def test_near_dedup_intersections():
