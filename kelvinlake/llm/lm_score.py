@@ -1,9 +1,9 @@
 r"""LM scoring with a causal self-attention model trained in numpy on subword ids.
 
 Two scores for each document. The base score is an add-one unigram over words [^\x20\x09-\x0D]+ (A-Z lower-cased) and
-an end: exact counts over all training documents. Documents are dealt into blocks of about BLOCK_BYTES; each block
-counts its distinct words once, Spark sums the counts by word, and each block gets back the counts of its own words
-only, so no table of all words is ever held in one place.
+an end: exact counts over all training documents. Each partition cuts its rows into blocks of about BLOCK_BYTES, whatever
+ids they carry; each block counts its distinct words once, Spark sums the counts by word, and each block gets back the
+counts of its own words only, so no table of all words is ever held in one place.
 
 The model's score is over subword ids of the words and an end id. A one-layer attention model reads windows of WINDOW
 ids that overlap by OVERLAP; every id is scored once, in the first window that holds it behind enough context. It
@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelvinlake.llm.common import cut, partitions, table, words
+from kelvinlake.llm.common import cut, table, words
 from kelvinlake.llm.packing import VOCABULARY, encoder
 
 BLOCK_BYTES = 16_000_000
@@ -314,12 +315,34 @@ def train(docs: DataFrame, code: Coding) -> tuple[dict[str, np.ndarray], int]:
 # --- jobs ------------------------------------------------------------------------------------------------------
 
 
-def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The distinct words of a block with their counts in training documents (0 for those of held-out ones alone)."""
-    n: Counter[bytes] = Counter()
-    for text, train_doc in zip(pdf["text"].fillna(""), pdf["train"]):
-        n.update(words(text) if train_doc else dict.fromkeys(words(text), 0))
-    return pd.DataFrame({"block": pdf["block"].iloc[0], "word": list(n), "n": list(n.values())})
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> (block, doc_id, text, train): the rows of a partition in blocks of about BLOCK_BYTES, one behind another."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, before = TaskContext.get().partitionId() << 24, 0
+        for pdf in batches:
+            upto = before + pdf["text"].str.len().fillna(0).to_numpy(np.int64).cumsum()
+            yield pdf.assign(block=first + upto // BLOCK_BYTES)[["block", "doc_id", "text", "train"]]
+            before = int(upto[-1]) if len(upto) else before
+
+    train = (~held_out(docs["doc_id"])).alias("train")
+    return docs.select("doc_id", "text", train).mapInPandas(run, "block long, doc_id long, text string, train boolean")
+
+
+def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(block, word, n): the distinct words of each block with their counts in training documents (0 for those of held-out
+    ones alone). A block that two tasks read in parts has rows from both."""
+    now, n = None, Counter()
+    for pdf in batches:
+        for block, own in pdf.groupby("block", sort=False):
+            if block != now and n:
+                yield pd.DataFrame({"block": now, "word": list(n), "n": list(n.values())})
+                n = Counter()
+            now = block
+            for text, train_doc in zip(own["text"].fillna(""), own["train"]):
+                n.update(words(text) if train_doc else dict.fromkeys(words(text), 0))
+    if n:
+        yield pd.DataFrame({"block": now, "word": list(n), "n": list(n.values())})
 
 
 def with_ids(counts: DataFrame) -> DataFrame:
@@ -366,17 +389,11 @@ CODED = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens l
 
 def coded(docs: DataFrame) -> tuple[DataFrame, Coding]:
     """docs(doc_id, text) -> CODED, a row for each row: base score, and the subword ids and END as 16-bit numbers. Training and scoring read these."""
-    spark = docs.sparkSession
-    held = held_out(docs["doc_id"])
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count_if(~held).alias("t")).first()
-    n_blocks = max(partitions(spark), -(-total["b"] // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
-    dealt = docs.select(block.alias("block"), "doc_id", "text", (~held).alias("train"))
-
-    in_blocks = cut(dealt.select("block", "text", "train").groupBy("block").applyInPandas(count_words, "block int, word binary, n long"), "words", "zstd")
-    counts = cut(with_ids(in_blocks.groupBy("word").agg(F.sum("n").alias("c"))), "counts", "zstd")
+    dealt = cut(in_blocks(docs), "blocks", "zstd")
+    each = cut(dealt.select("block", "text", "train").mapInPandas(count_words, "block long, word binary, n long"), "words", "zstd")
+    counts = cut(with_ids(each.groupBy("word").agg(F.sum("n").alias("c"))), "counts", "zstd")
     seen = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    n_end = total["t"]
+    n_end = dealt.filter("train").count()
     n_train, n_types = seen["n"] + n_end, seen["v"] + (n_end > 0)
 
     ids = id_counts(counts)
@@ -399,7 +416,7 @@ def coded(docs: DataFrame) -> tuple[DataFrame, Coding]:
         out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "train_tokens", "base_score", "ids"])
         return out.assign(doc_id=pdf["doc_id"].values, train=pdf["train"].values)[[x.split()[0] for x in CODED.split(", ")]]
 
-    vocab = in_blocks.select("block", "word").join(counts.hint("shuffle_hash"), "word").select("block", "word", "c", "ids")
+    vocab = each.select("block", "word").join(counts.hint("shuffle_hash"), "word").select("block", "word", "c", "ids")
     return cut(dealt.groupBy("block").cogroup(vocab.groupBy("block")).applyInPandas(run, CODED), "sequences", "zstd"), Coding(ids)
 
 
