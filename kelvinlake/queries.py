@@ -238,10 +238,11 @@ def _(spark, d):
     return series.interval_median(telemetry(spark, d), ["equipment_id"])
 
 
-@query("insufficient_units", f"{T}, b AS (SELECT equipment_id, CASE WHEN row_ord % 2000 < 1500 OR equipment_id <> 'click' THEN 1 END AS keep FROM t), u AS (SELECT equipment_id, count(*) AS n FROM t WHERE equipment_id <> 'view' OR row_ord % 400 = 0 GROUP BY ALL) SELECT equipment_id, n FROM u WHERE n < 120")
+@query("insufficient_units", f"{T}, d AS (SELECT equipment_id || '-' || (ts_ms // 86400000 % 31) AS equipment_id FROM t) SELECT equipment_id, count(*) AS n FROM d GROUP BY ALL HAVING n < 120")
 def _(spark, d):
-    t = telemetry(spark, d).filter("equipment_id <> 'view' or row_ord % 400 = 0")
-    return pipeline.split_by_data(t)[1].select("equipment_id", "n")
+    """Each day of a unit as a unit of its own."""
+    name = F.concat_ws("-", "equipment_id", F.expr("ts_ms div 86400000 % 31"))
+    return pipeline.split_by_data(telemetry(spark, d).withColumn("equipment_id", name))[1].select("equipment_id", "n")
 
 
 @query("impute_linear_ffill", f"{T}, {IMP} SELECT equipment_id, row_ord, {R6('energy')} AS energy, {R6('wind')} AS wind, dew FROM imp")
@@ -284,10 +285,13 @@ ROLL = f"OVER ({W} ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)"
 ROLLED = f"""row_number() OVER ({W}) AS rn, avg(energy) {ROLL} AS m48, stddev_pop(energy) {ROLL} AS d48, avg(load) {ROLL} AS l48"""
 
 
-@query("rolling_48", f"{T}, {IMP}, ro AS (SELECT *, {ROLLED}, avg(energy) OVER ({W} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS before FROM imp) SELECT equipment_id, row_ord, {R6('CASE WHEN rn >= 48 THEN m48 ELSE energy END')} AS roll_mean, {R6('CASE WHEN rn >= 48 THEN d48 ELSE 0 END')} AS roll_std, {R6('CASE WHEN rn >= 48 THEN l48 ELSE load END')} AS roll_load, {R6('before')} AS before FROM ro")
+R9 = "floor(({}) * 1e9 + 0.5) / 1e9".format  # means over 48 and 12 rows lie on no half of this
+
+
+@query("rolling_48", f"{T}, {IMP}, ro AS (SELECT *, {ROLLED}, avg(energy) OVER ({W} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS before FROM imp) SELECT equipment_id, row_ord, {R9('CASE WHEN rn >= 48 THEN m48 ELSE energy END')} AS roll_mean, {R6('CASE WHEN rn >= 48 THEN d48 ELSE 0 END')} AS roll_std, {R9('CASE WHEN rn >= 48 THEN l48 ELSE load END')} AS roll_load, {R9('before')} AS before FROM ro")
 def _(spark, d):
     out = series.rolling(series.impute(telemetry(spark, d))).withColumn("before", series.trailing_mean("energy", 12))
-    return out.select("equipment_id", "row_ord", *(r6(c).alias(c) for c in ("roll_mean", "roll_std", "roll_load", "before")))
+    return out.select("equipment_id", "row_ord", r6("roll_std").alias("roll_std"), *(r6(c, 9).alias(c) for c in ("roll_mean", "roll_load", "before")))
 
 
 _CLAMPED = "CASE WHEN {0} IS NOT NULL THEN least(greatest({0}, -6.0), 6.0) END".format
@@ -472,6 +476,11 @@ def _(spark, d):
     return explain.narrate(eps, dev.filter("nth <= 4"))
 
 
+@query("integrity", "SELECT 0::BIGINT AS bad_points, 0::BIGINT AS bad_episodes")
+def _(spark, d):
+    return pipeline.integrity(pipeline.run(telemetry(spark, d)))
+
+
 @query("learned_units")
 def _(spark, d):
     return pipeline.run(telemetry(spark, d), pipeline.Options(model="learned"))["units"]
