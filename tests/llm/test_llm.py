@@ -582,3 +582,14 @@ def test_embedding_tiles(spark, monkeypatch):
         root = least
     got = {r["vec_id"]: r for r in embedding_dedup.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
     assert [got[i]["n_links"] for i in range(400)] == links.sum(1).tolist() and [got[i]["component_id"] for i in range(400)] == root.tolist()
+
+
+def test_join_keys_is_an_inner_join(spark):
+    """A hot key (half of all rows), rare keys, keys without a partner on either side."""
+    from kelvinlake.llm.common import join_keys
+
+    rows = spark.createDataFrame([(i, 0 if i % 2 else i, b"x") for i in range(4000)], "id int, k int, raw binary")
+    per_key = rows.groupBy("k").count().withColumnRenamed("count", "n").filter("k % 3 = 0 or k = 2").unionByName(spark.createDataFrame([(-5, 1)], "k int, n long"))
+    got = join_keys(rows, per_key, ["k"], "n", 4000)
+    assert got.columns == ["id", "k", "raw", "n"]
+    assert sorted(map(tuple, got.select("id", "k", "n").collect())) == sorted(map(tuple, rows.join(per_key, "k").select("id", "k", "n").collect()))
