@@ -46,20 +46,17 @@ HOT = 1024
 def join_keys(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
     """rows joined (inner) to a table with one row a key, whose weight column counts the rows of the key.
 
-    Keys with a HOTth of all rows or more are broadcast. Their rows are spread over the join with the other keys, where
-    they match nothing, so no task gets all rows of a key.
+    Keys with a HOTth of all rows or more (so a bounded number, whose hashes are fetched) are joined by broadcast, so
+    that no task gets all rows of a key; the others are shuffled. Each row passes one of the two joins.
     """
-    heavy = F.col(weight) * HOT >= total
-    rest = F.struct(*(c for c in per_key.columns if c not in keys))
-    hot = per_key.filter(heavy).select(*keys, rest.alias("_hot"))
-    # 0 for every key, but no literal: the optimizer would take that out of the join's keys, and the salt with it
-    zero = F.when(F.col(weight) < 0, 1).otherwise(0)
-    cold = per_key.filter(~heavy).select(*keys, zero.alias("_salt"), rest.alias("_cold"))
-    plain = [f.name for f in rows.schema if f.dataType.typeName() not in ("array", "binary", "struct", "map")]
-    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*plain), F.lit(HOT)).cast("int"))
-    both = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).join(cold, [*keys, "_salt"], "left")
-    found = F.coalesce("_hot", "_cold")
-    return both.filter(found.isNotNull()).select(*rows.columns, found.alias("_found")).select(*rows.columns, "_found.*")
+    code = F.xxhash64(*keys)
+    found = [r[0] for r in per_key.filter(F.col(weight) * HOT >= total).select(code).collect()]
+    columns = [*rows.columns, *(c for c in per_key.columns if c not in keys)]
+    if not found:
+        return rows.join(per_key, keys).select(*columns)
+    hot = code.isin(found)
+    heavy = rows.filter(hot).join(F.broadcast(per_key.filter(hot)), keys)
+    return heavy.unionByName(rows.filter(~hot).join(per_key.filter(~hot), keys)).select(*columns)
 
 
 def ascii_lower(c: Column) -> Column:
