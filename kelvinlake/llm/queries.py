@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from kelvinlake.llm import bpe, conversation_repair, embedding_dedup, line_dedup, lm_score, near_dedup, packing, quality, secret_scan, toxicity, url_filter
+from kelvinlake.llm import bpe, conversation_repair, embedding_dedup, line_dedup, lm_score, near_dedup, packing, quality, secret_scan, token_alignment, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_packing": packing.op10_packing,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
     "pipeline": corpus_pipeline.run,
     # those columns of two operators that SQL can express
     "url_rules": url_filter.url_rules,
