@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from kelvinlake.llm import bpe, conversation_repair, embedding_dedup, line_dedup, lm_score, near_dedup, packing, quality, secret_scan, token_alignment, toxicity, url_filter
+from kelvinlake.llm import bpe, conversation_repair, embedding_dedup, fingerprint, line_dedup, lm_score, near_dedup, packing, quality, secret_scan, token_alignment, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -18,8 +18,10 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_token_alignment": token_alignment.op12_token_alignment,
+    "op13_fingerprint": fingerprint.op13_fingerprint,
     "pipeline": corpus_pipeline.run,
-    # those columns of two operators that SQL can express
+    # those columns of three operators that SQL can express
+    "fingerprint_edits": fingerprint.fingerprint_edits,
     "url_rules": url_filter.url_rules,
     "quality_counts": quality.quality_counts,
 }
@@ -28,6 +30,7 @@ ORACLES = {
     "op2_near_dedup": near_dedup.op2_sql(),
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op6_embedding_dedup": embedding_dedup.OP6_SQL,
+    "fingerprint_edits": fingerprint.EDITS_SQL,
     "url_rules": url_filter.URL_RULES_SQL,
     "quality_counts": quality.QUALITY_COUNTS_SQL,
 }
