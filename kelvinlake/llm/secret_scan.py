@@ -35,12 +35,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{40,}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-#: Lines of one width from 48 on, each but the last full; checked by wrapped().
-LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{48,}(?:\r?\n[A-Za-z0-9+/_-]+(?==*(?:\r?\n|\Z)))+={0,2}")
+#: What may be a line of wrapped base64: it ends where its line does.
+LINE = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]++)={0,2}+(?=\r?(?:\n|\Z))")
+#: The least width of wrapped lines, and the largest wrapped key (RSA with 65,536 bits takes 37,000 bytes).
+WIDTH, LARGEST = 48, 1 << 16
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{12,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:\s|\\[nr])*(?:[A-Za-z-]+: [^\n\\]*(?:\n|\\n))*(?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----", re.A)
-HEADER = re.compile(r"^[A-Za-z-]+: .*$", re.M)
+MARKER = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]+)-----")
+HEADER = re.compile(r"[A-Za-z-]+: ")
+PLAIN = re.compile(r"[A-Za-z0-9+/]+=*")
 SSH_FILE = b"openssh-key-v1\0"
+SSH_HEAD = re.compile(rb"ssh-|ecdsa-|sk-")
 SSH_TYPE = re.compile(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d+|sk-[a-z0-9@.-]+)\Z")
 
 
@@ -139,17 +143,77 @@ def _key_kind(data: bytes | None) -> str | None:
     return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
 
 
-def wrapped(run: str) -> str | None:
-    """The base64 of lines of one width, the last of which may be shorter, joined."""
-    lines = run.split()
-    return "".join(lines) if len({len(x) for x in lines[:-1]}) == 1 and len(lines[-1]) <= len(lines[0]) else None
+def der_length(head: bytes) -> int | None:
+    """How many bytes the SEQUENCE that head begins takes; None if it is none."""
+    if len(head) < 6 or head[0] != 0x30:
+        return None
+    if head[1] < 0x80:
+        return 2 + head[1]
+    n = head[1] & 0x7F
+    return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else None
+
+
+def wrapped_keys(text: str) -> list[tuple[str, int, int]]:
+    """Keys in base64 whose lines have one width, but for a shorter last one. A key may begin at any line that what went before
+    does not belong to: its own lengths tell where a SEQUENCE ends, a shorter line where other keys do."""
+    runs: list[list[re.Match]] = []
+    for m in LINE.finditer(text):
+        if runs and m.start() == (last := runs[-1][-1].end()) + (2 if text.startswith("\r\n", last) else 1):
+            runs[-1].append(m)
+        elif len(m[1]) >= WIDTH:
+            runs.append([m])
+    found = []
+    for run in runs:
+        sizes = [len(m[1]) for m in run]
+        same = [1] * len(run)  # lines from each on that are as wide
+        for i in range(len(run) - 2, -1, -1):
+            if sizes[i] == sizes[i + 1]:
+                same[i] += same[i + 1]
+        i = 0
+        while i < len(run):
+            end = _wrapped_end(run, sizes, same, i) if sizes[i] >= WIDTH else None
+            if end:
+                found.append((end[0], run[i].start(), run[end[1] - 1].end()))
+            i = end[1] if end else i + 1
+    return found
+
+
+def _wrapped_end(run: list[re.Match], sizes: list[int], same: list[int], i: int) -> tuple[str, int] | None:
+    """(kind, the line behind it) of the key of two lines or more that begins at line i."""
+    width, full = sizes[i], i + same[i]
+    head = decode64(run[i][1][:48]) or b""
+    if (size := der_length(head)) is not None:
+        whole, rest = divmod(-(-size * 4 // 3), width)
+        ends = [i + whole + (rest > 0)] if i + whole <= full and (not rest or i + whole < len(run) and sizes[i + whole] == rest) else []
+    elif head.startswith(SSH_FILE) or (head[:2] == b"\0\0" and SSH_HEAD.match(head, 4)):
+        ends = [full + 1] * (full < len(run) and sizes[full] < width) + [full]
+    else:
+        return None
+    for end in ends:
+        if end - i >= 2 and (end - i) * width <= LARGEST * 4 // 3 + width and (kind := _key_kind(decode64("".join(m[1] for m in run[i:end])))):
+            return kind, end
+    return None
 
 
 def armoured_key(body: str) -> bool:
-    text = body.replace("\\r", "\r").replace("\\n", "\n")
-    data = decode64("".join(HEADER.sub("", text).split()))
-    locked = any("ENCRYPTED" in h for h in HEADER.findall(text))
-    return bool(data) and (_key_kind(data) is not None or (locked and len(data) % 8 == 0))
+    """body, between the markers of an armour, is header lines and then the base64 of a key."""
+    lines = [x.strip() for x in body.replace("\\r", "\r").replace("\\n", "\n").strip().split("\n")]
+    at = next((i for i, x in enumerate(lines) if x and not HEADER.match(x)), len(lines))
+    code = "".join("".join(lines[at:]).split())
+    if not code or not PLAIN.fullmatch(code):
+        return False
+    data = decode64(code)
+    return bool(data) and (_key_kind(data) is not None or (len(data) % 8 == 0 and any("ENCRYPTED" in x for x in lines[:at])))
+
+
+def armours(text: str) -> list[tuple[str, int, int]]:
+    """Blocks from a BEGIN marker to the END marker that comes next, of the same name, that hold a key."""
+    found, begun = [], None
+    for m in MARKER.finditer(text):
+        if m[1] == "END" and begun and m[2] == begun[2] and armoured_key(text[begun.end() : m.start()]):
+            found.append(("pem", begun.start(), m.end()))
+        begun = m if m[1] == "BEGIN" else None
+    return found
 
 
 def find_spans(text: str) -> list[dict]:
@@ -159,10 +223,10 @@ def find_spans(text: str) -> list[dict]:
     found |= {("hex", *m.span()) for m in HEX.finditer(text)}
     found |= {(kind, *m.span()) for m in ANY_HEX.finditer(text) if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0])))}
     found |= {(kind, *m.span()) for m in BASE64.finditer(text) if (kind := _key_kind(decode64(m[0])))}
-    found |= {(kind, *m.span()) for m in LINES.finditer(text) if (kind := _key_kind(decode64(wrapped(m[0]) or "")))}
+    found.update(wrapped_keys(text))
     found |= {("jwt", *m.span()) for m in TOKEN.finditer(text) if is_token_head(m[1])}
     if "-----BEGIN " in text:
-        found |= {("pem", *m.span()) for m in ARMOUR.finditer(text) if armoured_key(m[2])}
+        found.update(armours(text))
     return [{"kind": k, "start": a, "end": b} for k, a, b in sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))]
 
 
