@@ -120,23 +120,24 @@ def step_groups(sizes: list[tuple[int, int]]) -> list[int]:
 
 def pack_documents(docs: DataFrame, path: str = VOCABULARY, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """docs(doc_id, text) -> a row for each piece (SCHEMA); pieces of a sequence lie gapless from offset 0."""
-    levels = {t: i for i, t in enumerate(tiers)}
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, packer = encoder(path), Packer(tiers)
-        base, n_windows, n_batches = TaskContext.get().partitionId() << 36, 0, 0
+        base, n_windows, n_groups = TaskContext.get().partitionId() << 36, 0, 0
 
         def shown(windows: list) -> pd.DataFrame:
-            nonlocal n_windows, n_batches
+            nonlocal n_windows, n_groups
             rows = []
             groups = step_groups([(t, len(ps)) for t, ps in windows])
+            first = {}  # the number of each tier's first group
+            for tier in sorted({t for t, _ in windows}):
+                first[tier] = n_groups
+                n_groups += 1 + max(g for g, (t, _) in zip(groups, windows) if t == tier)
             for (tier, pieces), group in zip(windows, groups):
                 offset = 0
                 for doc, ids, at, n in pieces:
-                    rows.append((doc, at, len(ids), zlib.crc32(ids), n, base + n_windows, offset, tier, base + (n_batches << 16) + (levels[tier] << 12) + group))
+                    rows.append((doc, at, len(ids), zlib.crc32(ids), n, base + n_windows, offset, tier, base + first[tier] + group))
                     offset += len(ids)
                 n_windows += 1
-            n_batches += 1
             return pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
 
         for pdf in batches:

@@ -94,7 +94,10 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_terms: int, rounds:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     known = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    labelled = cut(docs.select("doc_id", "text").join(F.broadcast(cut(picked, "picked")), "doc_id").select("toxic", "text"), "labelled")
+    found = docs.select("doc_id", "text").join(F.broadcast(cut(picked, "picked")), "doc_id")
+    # of a doc_id that repeats one text counts, so at most fit_rows rows are fetched below
+    one = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("code"), "text")).alias("first"))
+    labelled = cut(one.select("toxic", "first.text"), "labelled")
     n_of = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     model = Model({}, set())
     if len(n_of) < 2:
