@@ -49,7 +49,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key"))
     kept = found.filter(first).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), F.col("text_key").alias("_text")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("row"), *key)
-    return rows.join(kept, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select("row.*")
+    # repeats go before the join, within each task first, so a key that many rows share is no heavy one
+    return rows.dropDuplicates(["_id", "_text"]).join(kept, ["_id", "_text"], "left_semi").select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
