@@ -42,38 +42,13 @@ ROWS = -(-IDS_A // STRIPES)
 #: A chunk of documents ends at either.
 CHUNK_CHARS, CHUNK_DOCS = 4_000_000, 4096
 #: Words that a worker keeps from one chunk to the next.
-KEEP_WORDS, KEEP_CHARS = 300_000, 30_000_000
+KEEP_WORDS, KEEP_CHARS = 400_000, 60_000_000
 #: Partial counts that a task holds before it passes them on.
 HOLD = 4_000_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-class Aligner:
-    def __init__(self, path_a: str, path_b: str):
-        self.a = encoder(path_a)
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_a = [self.a.decode_single_token_bytes(i) for i in range(self.a.max_token_value + 1)]
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-
-    def groups(self, text: str) -> list[tuple[list[int], list[int]]] | None:
-        """Groups of blank + text as (A ids, B ids); None where a side does not give the bytes back."""
-        whole = (" " + text).encode("utf-8", "surrogatepass")
-        a, b = self.a.encode_ordinary(" " + text), self.b.encode(text)
-        if b"".join([self.bytes_a[i] for i in a]) != whole or b"".join([self.bytes_b[i] for i in b]) != whole:
-            return None
-        if len(a) == len(b) == 1:
-            return [(a, b)]
-        ends_a, ends_b = (np.cumsum([len(of[i]) for i in ids]) for of, ids in ((self.bytes_a, a), (self.bytes_b, b)))
-        _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        out, i, j = [], 0, 0
-        for p, q in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-            out.append((a[i:p], b[j:q]))
-            i, j = p, q
-        return out
-
-
 def striped(a: np.ndarray) -> np.ndarray:
     """A's ids in an order in which those of a stripe lie together."""
     return a % STRIPES * ROWS + a // STRIPES
@@ -83,21 +58,6 @@ def unstriped(place: np.ndarray) -> np.ndarray:
     return place % ROWS * STRIPES + place // ROWS
 
 
-def linked(groups: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs (striped place of A x IDS_B + B) of all groups, and how many links each has."""
-    codes, times = [], []
-    for a, b in groups:
-        if len(a) == len(b) == 1:
-            codes.append(np.array([a[0] % STRIPES * ROWS + a[0] // STRIPES]) * IDS_B + b[0])
-            times.append(np.ones(1, np.int64))
-            continue
-        ua, na = np.unique(np.array(a, np.int64), return_counts=True)
-        ub, nb = np.unique(np.array(b, np.int64), return_counts=True)
-        codes.append((striped(ua)[:, None] * IDS_B + ub[None, :]).ravel())
-        times.append((na[:, None] * nb[None, :]).ravel())
-    return summed(np.concatenate(codes), np.concatenate(times)) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sums of their values."""
     if not len(keys):
@@ -108,53 +68,129 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(values, first)
 
 
-def shown(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join([f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups])
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each of the sizes, one behind another."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
-class Words(dict):
-    """word -> its number; facts of each word by number. A word that is not given back has n_a of -1."""
+class Aligner:
+    def __init__(self, path_a: str, path_b: str):
+        self.a = encoder(path_a)
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.bytes_a = [self.a.decode_single_token_bytes(i) for i in range(self.a.max_token_value + 1)]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        # an id with what stands behind it: of A within and at the end of a group, of B within a group, at its end, and at the last end
+        na, nb = len(self.bytes_a), len(self.bytes_b)
+        self.shown = [f"{i}{end}" for n, end in ((na, ","), (na, "|"), (nb, ","), (nb, ";"), (nb, "")) for i in range(n)]
+        self.shown_b = 2 * na
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+        """A's ids of blank + text, B's of text, and whether both give the bytes back."""
+        a = [self.a.encode_ordinary(" " + t) for t in texts]
+        b = self.b.encode(texts, num_threads=1) if texts else []
+        of_a, of_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        whole = [(" " + t).encode("utf-8", "surrogatepass") for t in texts]
+        good = [w == b"".join(map(of_a, x)) and w == b"".join(map(of_b, y)) for w, x, y in zip(whole, a, b)]
+        return a, b, np.array(good, bool)
+
+    def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: (n_a, n_b, n_groups, n_links; n_a is -1 where a side does not give the bytes back), its groups as a string,
+        how many distinct links it has; and the links of all texts, one behind another, as (striped place of A x IDS_B + B, times)."""
+        a, b, good = self.encode(texts)
+        a, b = [x if g else [] for x, g in zip(a, good)], [x if g else [] for x, g in zip(b, good)]
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(texts)) for x in (a, b))
+        ids_a, ids_b = (np.fromiter((i for ids in x for i in ids), np.int64, int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
+        facts = np.stack([np.where(good, n_a, -1), n_b, np.zeros_like(n_a), np.zeros_like(n_a)], axis=1)
+        if not len(ids_a):
+            none = np.zeros(0, np.int64)
+            return facts, [""] * len(texts), np.zeros(len(texts), np.int64), none, none
+        ends_a, ends_b = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b])
+        last_a, last_b = ends_b[np.searchsorted(ends_b, ends_a)] == ends_a, ends_a[np.searchsorted(ends_a, ends_b)] == ends_b
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        in_a, in_b = np.bincount(group_a), np.bincount(group_b)
+        text_of = np.repeat(np.arange(len(texts)), n_a)[last_a]  # of each group
+        facts[:, 2] = np.bincount(text_of, minlength=len(texts))
+        np.add.at(facts[:, 3], text_of, in_a * in_b)
+        # ids in order, A's of a group before B's
+        final = np.zeros(len(ids_b), bool)
+        final[(np.cumsum(n_b) - 1)[n_b > 0]] = True
+        code = np.r_[ids_a + last_a * len(self.bytes_a), self.shown_b + ids_b + (last_b.astype(np.int64) + final) * len(self.bytes_b)]
+        parts = list(map(self.shown.__getitem__, code[np.argsort(np.r_[group_a * 2, group_b * 2 + 1], kind="stable")].tolist()))
+        upto = np.cumsum(n_a + n_b).tolist()
+        shown = ["".join(parts[lo:hi]) for lo, hi in zip([0, *upto[:-1]], upto)]
+        return facts, shown, *self._links(ids_a, ids_b, in_a, in_b, text_of, len(texts))
+
+    def _links(self, ids_a: np.ndarray, ids_b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, text_of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        from_a, from_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        place = striped(ids_a)
+        space = STRIPES * ROWS * IDS_B
+        large = in_a * in_b > 65_536  # these by their distinct ids
+        size = np.where(large, 0, in_a * in_b)
+        at = ragged(np.zeros_like(size), size)
+        wide = np.repeat(in_b, size)
+        keys = [np.repeat(text_of, size) * space + place[np.repeat(from_a, size) + at // wide] * IDS_B + ids_b[np.repeat(from_b, size) + at % wide]]
+        times = [np.ones(len(at), np.int64)]
+        for g in np.flatnonzero(large).tolist():
+            ua, na = np.unique(place[from_a[g] : from_a[g] + in_a[g]], return_counts=True)
+            ub, nb = np.unique(ids_b[from_b[g] : from_b[g] + in_b[g]], return_counts=True)
+            keys.append((text_of[g] * space + ua[:, None] * IDS_B + ub[None, :]).ravel())
+            times.append((na[:, None] * nb[None, :]).ravel())
+        keys, times = summed(np.concatenate(keys), np.concatenate(times))
+        return np.bincount(keys // space, minlength=n), keys % space, times
+
+
+class Words:
+    """Distinct words by number, with the facts, groups and links of each; whole texts that words can't align have numbers too."""
 
     def __init__(self, aligner: Aligner):
-        super().__init__()
         self.aligner = aligner
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
-        self.facts: list[tuple[int, int, int, int]] = []
-        self.shown: list[str] = []
-        self.codes: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
+        none = np.zeros(0, np.int64)
+        self.number: dict[str, int] = {}
+        self.facts, self.shown = np.zeros((0, 4), np.int64), []
+        self.first, self.width, self.codes, self.times = none, none, none, none
         self.chars = 0
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self.facts)
-        self.add(word, self.aligner.groups(word))
-        return n
-
-    def add(self, word: str, groups: list | None) -> None:
-        codes, times = linked(groups or [])
-        n_a, n_b = (sum(len(g[k]) for g in groups or []) for k in (0, 1))
-        self.facts.append((n_a if groups is not None else -1, n_b, len(groups or []), int(times.sum())))
-        self.shown.append(shown(groups or []))
-        self.codes.append(codes)
-        self.times.append(times)
-        self.chars += len(word) + len(self.shown[-1])
-
-    def of(self, text: str) -> list[int]:
-        """The numbers of a text's words."""
-        parts = text.split(" ")
-        if "" in parts or any(p[-1].isspace() or p[0].isspace() for p in set(parts)):
-            parts = _CUT.split(" " + text)
-            parts[0] = parts[0][1:]
-        numbers = [self[p] for p in parts]
-        if any(self.facts[n][0] < 0 for n in set(numbers)):  # the whole text decides; it is a word that nothing else is
-            numbers = [len(self.facts)]
-            self.add(text, self.aligner.groups(text))
+    def add(self, texts: list[str]) -> None:
+        """Numbers for texts, ascending from those given."""
+        facts, shown, width, codes, times = self.aligner.align(texts)
+        self.first = np.r_[self.first, len(self.codes) + np.cumsum(width) - width]
+        self.width, self.codes, self.times = np.r_[self.width, width], np.r_[self.codes, codes], np.r_[self.times, times]
+        self.facts = np.concatenate([self.facts, facts])
+        self.shown += shown
+        self.chars += sum(map(len, texts)) + sum(map(len, shown))
+
+    def of(self, texts: list[str]) -> list[list[int]]:
+        """The numbers of each text's words."""
+        cut = [pieces(t) for t in texts]
+        fresh = list(set().union(*cut).difference(self.number))
+        self.number.update(zip(fresh, range(len(self.shown), len(self.shown) + len(fresh))))
+        self.add(fresh)
+        numbers = [list(map(self.number.__getitem__, parts)) for parts in cut]
+        bad = set(np.flatnonzero(self.facts[:, 0] < 0).tolist())
+        if bad:  # the whole text decides
+            odd = [k for k, ns in enumerate(numbers) if not bad.isdisjoint(ns)]
+            for i, k in enumerate(odd, len(self.shown)):
+                numbers[k] = [i]
+            self.add([texts[k] for k in odd])
         return numbers
 
 
+def pieces(text: str) -> list[str]:
+    """The words of blank + text, each without its first blank; empty for an empty text."""
+    if not text:
+        return []
+    parts = text.split(" ")
+    if "" in parts or any(p[-1].isspace() or p[0].isspace() for p in set(parts)):
+        parts = _CUT.split(" " + text)
+        parts[0] = parts[0][1:]
+    return parts
+
+
 @functools.cache
 def words(path_a: str, path_b: str) -> Words:
     return Words(Aligner(path_a, path_b))
@@ -171,36 +207,30 @@ def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.List
 
 
 def _chunk(number: int, ids: list, texts: list[str | None], known: Words) -> Iterator[pa.RecordBatch]:
-    if len(known.facts) > KEEP_WORDS or known.chars > KEEP_CHARS:
+    if len(known.shown) > KEEP_WORDS or known.chars > KEEP_CHARS:
         known.reset()
-    numbers = [known.of(t) if t else [] for t in texts]
+    numbers = known.of([t or "" for t in texts])
     sizes = np.fromiter(map(len, numbers), np.int64, len(numbers))
     flat = np.fromiter((n for ns in numbers for n in ns), np.int64, int(sizes.sum()))
     doc = np.repeat(np.arange(len(texts)), sizes)
-    facts = np.array(known.facts, np.int64).reshape(-1, 4)
-    facts[:, 0] = np.maximum(facts[:, 0], 0)
+    facts = np.maximum(known.facts, 0)
     sums = np.zeros((len(texts), 4), np.int64)
     if len(flat):
         full = np.flatnonzero(sizes)
         sums[full] = np.add.reduceat(facts[flat], (np.cumsum(sizes) - sizes)[full], axis=0)
-    text_of = known.shown
-    shas = [hashlib.sha256(";".join([text_of[n] for n in ns]).encode()).hexdigest() if total else "" for ns, total in zip(numbers, sums[:, 0].tolist())]
+    text_of = known.shown.__getitem__
+    shas = [hashlib.sha256(";".join(map(text_of, ns)).encode()).hexdigest() if total else "" for ns, total in zip(numbers, sums[:, 0].tolist())]
     rows = [dict(zip(("doc_id", "n_a", "n_b", "n_groups", "n_links", "sha"), (i, *s, sha))) for i, s, sha in zip(ids, sums.tolist(), shas)]
     yield pa.RecordBatch.from_pylist([{"chunk": number, "stripe": -1, "facts": rows}], _LINKS)
-    # words of each document, then pairs of each word
-    n = len(known.facts)
+    # words of each document, then links of each word
+    n = max(1, len(known.shown))
     keys, times = np.unique(doc * n + flat, return_counts=True)
-    doc, word = keys // max(n, 1), keys % max(n, 1)
-    used, word = np.unique(word, return_inverse=True)
-    codes = [known.codes[w] for w in used.tolist()]
-    width = np.fromiter(map(len, codes), np.int64, len(codes))
-    start = np.cumsum(width) - width
-    many = width[word]
+    doc, word = keys // n, keys % n
+    many = known.width[word]
     if not many.sum():
         return
-    at = np.repeat(start[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    codes, weight = np.concatenate(codes), np.concatenate([known.times[w] for w in used.tolist()])
-    links, total = summed(codes[at] * len(texts) + np.repeat(doc, many), weight[at] * np.repeat(times, many))
+    at = ragged(known.first[word], many)
+    links, total = summed(known.codes[at] * len(texts) + np.repeat(doc, many), known.times[at] * np.repeat(times, many))
     doc, code = (links % len(texts)).astype(np.int32), links // len(texts)
     stripe = code // (ROWS * IDS_B)
     there, first = np.unique(stripe, return_index=True)
