@@ -1,9 +1,8 @@
 """Per-unit time-series operators: quality, imputation, robust statistics, features, scores, episodes and roll-ups.
 
-All windows of a unit share the partitioning and order (equipment_id, ts_ms), so Spark shuffles a series once. Inputs
-follow sources.contract: equipment_id, row_ord, ts_ms, hour, dow and any of its measures; null means missing. Medians and
-quantiles of what the models make, which has as many values as rows, are taken from ranks, whose sorts spill; those of
-measured values by percentile(), which holds a count for each distinct value of a unit.
+Windows over a unit's whole series go by slabs of its time (operators.slabs), medians and quantiles by refined histograms
+(operators.selection), so a unit of any size is many tasks. Inputs follow sources.contract: equipment_id, row_ord, ts_ms,
+hour, dow and any of its measures; null means missing.
 """
 
 from __future__ import annotations
@@ -12,20 +11,14 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kelvinlake.functions import scalar as S
+from kelvinlake.operators import slabs
+from kelvinlake.operators.selection import exact
 from kelvinlake.sources.contract import MEASURES
+from kelvinlake.tables import settle
 
 TARGET, LOAD = "energy", "load"
 
 
-def by_time() -> WindowSpec:
-    return Window.partitionBy("equipment_id").orderBy("ts_ms", "row_ord")
-
-
-def backwards() -> WindowSpec:
-    """The same series backwards: what follows a row is what precedes it here, in one pass."""
-    return Window.partitionBy("equipment_id").orderBy(F.desc("ts_ms"), F.desc("row_ord"))
-
-
 def by_unit() -> WindowSpec:
     return Window.partitionBy("equipment_id")
 
@@ -39,15 +32,14 @@ def measures(t: DataFrame) -> list[str]:
 
 
 def intervals(t: DataFrame) -> DataFrame:
-    return t.withColumn("gap", F.col("ts_ms") - F.lag("ts_ms").over(by_time()))
+    """t with `gap`, the time since the unit's row before; null for its first."""
+    rows = slabs.scan(slabs.slabbed(t), before={"_prev": F.col("ts_ms")})
+    return rows.withColumn("gap", F.col("ts_ms") - F.col("_prev")).drop("_prev", "slab")
 
 
 def interval_median(t: DataFrame, keys: list[str]) -> DataFrame:
-    """Upper median of the intervals, from counts of the distinct intervals, so that no group is collected whole."""
-    counts = intervals(t).filter("gap is not null").groupBy(*keys, "gap").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    at = counts.withColumn("upto", F.sum("n").over(w.orderBy("gap"))).withColumn("total", F.sum("n").over(w))
-    return at.filter("upto > total div 2").groupBy(*keys).agg(F.min("gap").alias("median_ms"))
+    """(keys, median_ms): the upper median of the intervals."""
+    return exact(intervals(t), keys, F.col("gap"), {"median_ms": ("upper", 0.5)}).withColumn("median_ms", F.col("median_ms").cast("long"))
 
 
 def gap_report(t: DataFrame) -> DataFrame:
@@ -87,27 +79,33 @@ def quality(t: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def impute(t: DataFrame, nominal: DataFrame | None = None) -> DataFrame:
-    """Interpolates over spans of at most four nominal intervals, else carries forward, else back."""
-    out = t.join(F.broadcast(nominal_minutes(t) if nominal is None else nominal), F.lit(True))  # one row
-    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (by_time(), backwards()))
+    """t with rn (each row's place in its unit's time, from 1 on) and its gaps filled: interpolated over spans of at most four
+    nominal intervals, else carried forward, else back."""
     have = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("ts_ms").alias("at"))) for c in measures(t)}
-    out = out.withColumns({f"p_{c}": F.last(h, True).over(before) for c, h in have.items()})
-    out = out.withColumns({f"n_{c}": F.last(h, True).over(after) for c, h in have.items()})
+    out = slabs.scan(slabs.slabbed(t), {f"p_{c}": h for c, h in have.items()}, {f"n_{c}": h for c, h in have.items()}, {"rn": F.lit(1)})
+    out = out.join(F.broadcast(nominal_minutes(t) if nominal is None else nominal), F.lit(True))  # one row
     filled = {}
     for c in have:
         p, n = F.col(f"p_{c}"), F.col(f"n_{c}")
         near = p.isNotNull() & n.isNotNull() & (n["at"] - p["at"] <= 4 * F.col("nominal") * 60000)
         line = p["v"] + (n["v"] - p["v"]) * ((F.col("ts_ms") - p["at"]) / (n["at"] - p["at"]))
         filled[c] = F.coalesce(c, F.when(near, line), p["v"], n["v"])
-    return out.withColumns(filled).select(*t.columns)
+    return out.withColumns(filled | {"rn": F.col("rn").cast("int")}).select(*(c for c in t.columns if c != "rn"), "rn")
 
 
 def unit_stats(t: DataFrame) -> DataFrame:
-    """One row a unit: median m_<measure> and scaled MAD s_<measure> of each measure."""
+    """One row a unit: median m_<measure> and scaled MAD s_<measure> of each measure; null where it has no values. t is read
+    several times: make it a table if it is dear."""
     cols = measures(t)
-    mid = t.groupBy("equipment_id").agg(*(F.median(c).alias(f"m_{c}") for c in cols))
-    spread = t.join(mid, "equipment_id").groupBy("equipment_id").agg(*(F.first(f"m_{c}").alias(f"m_{c}") for c in cols), *((1.4826 * F.median(F.abs(F.col(c) - F.col(f"m_{c}")))).alias(f"s_{c}") for c in cols))
-    return spread
+    cells = lambda of: t.select("equipment_id", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in of))).alias("c")).select("equipment_id", "c.*")
+    half = {"m": ("linear", 0.5)}
+    mid = exact(cells(cols), ["equipment_id", "column"], F.col("x"), half)
+    away = cells(cols).join(mid, ["equipment_id", "column"])
+    spread = exact(away, ["equipment_id", "column"], F.abs(F.col("x") - F.col("m")), half).select("equipment_id", "column", (1.4826 * F.col("m")).alias("s"))
+    both = mid.join(spread, ["equipment_id", "column"])
+    pick = lambda c, v: F.max(F.when(F.col("column") == c, F.col(v))).alias(f"{v}_{c}")
+    units = t.select("equipment_id").distinct()
+    return settle(units.join(both.groupBy("equipment_id").agg(*(pick(c, v) for v in ("m", "s") for c in cols)), "equipment_id", "left"), "stats")
 
 
 def usable(c: str) -> Column:
@@ -127,52 +125,39 @@ def standardise(t: DataFrame) -> DataFrame:
     return out.withColumns({f"z_{c}": F.when(usable(c), S.clamp((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}"), -6.0, 6.0)) for c in measures(t)})
 
 
+def placed(t: DataFrame) -> DataFrame:
+    """t with rn, the place of each row in its unit's time, where it has none."""
+    return t if "rn" in t.columns else slabs.numbered(t)
+
+
 def lags(z: DataFrame) -> DataFrame:
-    return z.withColumns({f"lag{n}": F.coalesce(F.lag(f"z_{TARGET}", n).over(by_time()), F.lit(0.0)) for n in (1, 48)})
+    return slabs.framed(placed(z), 48, lambda w: {f"lag{n}": F.coalesce(F.lag(f"z_{TARGET}", n).over(w), F.lit(0.0)) for n in (1, 48)})
 
 
-def trailing_mean(c: str, n: int) -> Column:
-    """Mean of the n rows before each."""
-    return F.avg(c).over(by_time().rowsBetween(-n, -1))
+def trailing_mean(t: DataFrame, column: str, n: int, name: str) -> DataFrame:
+    """t with the mean of a column over the n rows before each."""
+    return slabs.framed(placed(t), n, lambda w: {name: F.avg(column).over(w.rowsBetween(-n, -1))})
 
 
 def rolling(t: DataFrame, n: int = 48) -> DataFrame:
     """Means of energy and load and population deviation of energy over the last n rows, the current one included;
     before row n the own value and 0."""
-    w, rn = by_time().rowsBetween(1 - n, 0), F.row_number().over(by_time())
-    mean = lambda c: F.when(rn >= n, F.avg(c).over(w)).otherwise(F.col(c))
-    out = {"roll_mean": mean(TARGET), "roll_std": F.when(rn >= n, F.stddev_pop(TARGET).over(w)).otherwise(0.0)}
-    return t.withColumns(out | ({"roll_load": mean(LOAD)} if LOAD in t.columns else {}))
 
+    def columns(w: WindowSpec) -> dict[str, Column]:
+        w, rn = w.rowsBetween(1 - n, 0), F.col("rn")
+        mean = lambda c: F.when(rn >= n, F.avg(c).over(w)).otherwise(F.col(c))
+        out = {"roll_mean": mean(TARGET), "roll_std": F.when(rn >= n, F.stddev_pop(TARGET).over(w)).otherwise(0.0)}
+        return out | ({"roll_load": mean(LOAD)} if LOAD in t.columns else {})
 
-# --- scores -------------------------------------------------------------------------------------------------------
-
-
-def with_median(t: DataFrame, value: str, out: str, keys: list[str]) -> DataFrame:
-    """t with the median of value over its rows of the same keys, by rank; null where there is none."""
-    w, order = Window.partitionBy("equipment_id", *keys), F.asc_nulls_last(value)
-    ranked = t.withColumns({"_k": F.row_number().over(w.orderBy(order)), "_n": F.count(value).over(w)})
-    middle = F.when((F.col("_k") == F.expr("(_n + 1) div 2")) | (F.col("_k") == F.expr("_n div 2 + 1")), F.col(value))
-    return ranked.withColumn(out, F.avg(middle).over(w)).drop("_k", "_n")
+    return slabs.framed(placed(t), n, columns)
 
 
-def with_upper_median(t: DataFrame, value: str, out: str) -> DataFrame:
-    """t with the value of rank n div 2 (from 0) of each unit, by rank."""
-    w = by_unit()
-    ranked = t.withColumns({"_k": F.row_number().over(w.orderBy(F.asc_nulls_last(value))), "_n": F.count(value).over(w)})
-    return ranked.withColumn(out, F.max(F.when(F.col("_k") == F.expr("_n div 2 + 1"), F.col(value))).over(w)).drop("_k", "_n")
+# --- scores -------------------------------------------------------------------------------------------------------
 
 
 def quantiles(t: DataFrame, value: str, at: dict[str, float]) -> DataFrame:
-    """(equipment_id, a column for each name): linearly interpolated quantiles by rank."""
-    return _positions(t.withColumn("_k", F.row_number().over(by_unit().orderBy(value)) - 1), value, at)
-
-
-def _positions(ranked: DataFrame, value: str, at: dict[str, float]) -> DataFrame:
-    """As quantiles(), for rows whose place is _k."""
-    n = ranked.withColumn("_n", F.count(F.lit(1)).over(by_unit()))
-    part = lambda p: F.sum(F.col(value) * F.greatest(F.lit(0.0), 1 - F.abs(F.col("_k") - p * (F.col("_n") - 1))))
-    return n.groupBy("equipment_id").agg(*(part(p).alias(name) for name, p in at.items()))
+    """(equipment_id, a column for each name): linearly interpolated quantiles."""
+    return exact(t, ["equipment_id"], F.col(value), {k: ("linear", p) for k, p in at.items()})
 
 
 def linear_prediction(z: DataFrame) -> DataFrame:
@@ -184,17 +169,19 @@ def linear_prediction(z: DataFrame) -> DataFrame:
 def calibrated(y: DataFrame) -> DataFrame:
     """y(z_energy, pred) with rn, bin, hour_med, bin_med and resid_z: the residual, less the hour's and the prediction
     bin's median over trained rows, over its robust scale. Rows of the warm-up are scaled only."""
-    y = y.withColumns({"rn": F.row_number().over(by_time()), "hour_bucket": F.least(F.lit(23), F.floor("hour").cast("int")), "r0": F.col(f"z_{TARGET}") - F.col("pred")})
-    own = lambda c: F.when(F.col("rn") > S.WARMUP, F.col(c))
-    less = lambda c, m: F.when(F.col("rn") > S.WARMUP, F.col(c) - F.col(m)).otherwise(F.col(c))
-    y = with_median(y.withColumn("_v", own("r0")), "_v", "hour_med", ["hour_bucket"]).withColumn("hour_med", F.coalesce("hour_med", F.lit(0.0)))
-    lo, hi = (f(own("pred")).over(by_unit()) for f in (F.min, F.max))
-    y = y.withColumns({"bin": S.bin8(F.col("pred"), lo, hi), "r1": less("r0", "hour_med")})
-    y = with_median(y.withColumn("_v", own("r1")), "_v", "bin_med", ["bin"]).withColumn("bin_med", F.coalesce("bin_med", F.lit(0.0)))
-    y = y.withColumn("r2", less("r1", "bin_med"))
-    y = with_upper_median(y.withColumn("_v", F.abs(own("r2"))), "_v", "scale")
-    scale = F.coalesce(F.nullif(1.4826 * F.col("scale"), F.lit(0.0)), F.lit(1.0))
-    return y.withColumn("resid_z", F.col("r2") / scale).drop("_v", "scale", "r0", "r1", "r2")
+    y = placed(y).withColumns({"hour_bucket": F.least(F.lit(23), F.floor("hour").cast("int")), "r0": F.col(f"z_{TARGET}") - F.col("pred")})
+    learned = F.col("rn") > S.WARMUP
+    range_ = y.groupBy("equipment_id").agg(F.min(F.when(learned, F.col("pred"))).alias("_lo"), F.max(F.when(learned, F.col("pred"))).alias("_hi"))
+    y = y.join(range_, "equipment_id").withColumn("bin", S.bin8(F.col("pred"), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    y = settle(y, "residuals")
+    for value, key, name, less in (("r0", "hour_bucket", "hour_med", "r1"), ("r1", "bin", "bin_med", "r2")):
+        med = settle(exact(y.filter(learned), ["equipment_id", key], F.col(value), {name: ("linear", 0.5)}), "medians")
+        y = y.join(med, ["equipment_id", key], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+        y = y.withColumn(less, F.when(learned, F.col(value) - F.col(name)).otherwise(F.col(value)))
+    scale = settle(exact(y.filter(learned), ["equipment_id"], F.abs("r2"), {"scale": ("upper", 0.5)}), "scales")
+    y = y.join(scale, "equipment_id", "left")
+    by = F.coalesce(F.nullif(1.4826 * F.col("scale"), F.lit(0.0)), F.lit(1.0))
+    return y.withColumn("resid_z", F.col("r2") / by).drop("scale", "r0", "r1", "r2")
 
 
 def linear_residual(z: DataFrame) -> DataFrame:
@@ -208,8 +195,14 @@ def raw_scores(r: DataFrame, forest: Column | None = None, forest_weight: float
 def thresholds(r: DataFrame, mode: str = "quantile", quantile: float = 0.975) -> DataFrame:
     """(equipment_id, threshold, rescue). positional: the value at that share of the active rows in time order."""
     active = r.filter(f"rn > {S.WARMUP} and raw > 1e-9")
-    order = "raw" if mode == "quantile" else "rn"
-    q = _positions(active.withColumn("_k", F.row_number().over(by_unit().orderBy(order)) - 1), "raw", {"t": quantile, "g": 0.99})
+    at = {"t": quantile, "g": 0.99}
+    if mode == "quantile":
+        q = quantiles(active, "raw", at)
+    else:
+        n = active.groupBy("equipment_id").agg(F.count(F.lit(1)).alias("_n"))
+        k = slabs.scan(slabs.by_number(active), upto={"_k": F.lit(1)}, order=("rn",)).join(n, "equipment_id")
+        near = lambda p: F.greatest(F.lit(0.0), 1 - F.abs(F.col("_k") - 1 - p * (F.col("_n") - 1)))
+        q = k.groupBy("equipment_id").agg(*(F.sum(F.col("raw") * near(p)).alias(name) for name, p in at.items()))
     units = r.select("equipment_id").distinct()
     return units.join(q, "equipment_id", "left").select("equipment_id", F.coalesce(F.when(F.col("t").isNotNull(), F.greatest(F.lit(0.35), "t")), F.lit(0.6)).alias("threshold"), F.coalesce("g", F.lit(0.9)).alias("rescue"))
 
@@ -217,8 +210,9 @@ def thresholds(r: DataFrame, mode: str = "quantile", quantile: float = 0.975) ->
 def islands(r: DataFrame, limits: DataFrame, join_window: int = S.JOIN_WINDOW) -> DataFrame:
     """Runs of candidates joined over up to join_window rows: (equipment_id, s, e); single rows only above rescue."""
     c = r.select("equipment_id", "ts_ms", "row_ord", "rn", "raw").join(limits, "equipment_id").filter(f"rn > {S.WARMUP} and raw > threshold")
-    c = c.withColumn("new", F.when(F.col("rn") - F.lag("rn").over(by_time()) > join_window + 1, 1).otherwise(0))
-    c = c.withColumn("island", F.sum("new").over(by_time()))
+    c = slabs.scan(slabs.by_number(c), before={"_prev": F.col("rn")}, order=("rn",))
+    c = c.withColumn("new", F.when(F.col("rn") - F.col("_prev") > join_window + 1, 1).otherwise(0))
+    c = slabs.scan(c, upto={"island": F.col("new")}, order=("rn",))
     runs = c.groupBy("equipment_id", "island").agg(F.min("rn").alias("s"), F.max("rn").alias("e"), F.min_by("raw", "rn").alias("first_raw"), F.first("rescue").alias("rescue"))
     return runs.filter("e - s >= 1 or first_raw > rescue").select("equipment_id", "s", "e")
 
@@ -227,7 +221,7 @@ def scored(r: DataFrame, runs: DataFrame) -> DataFrame:
     """r with run bounds s and e (null outside), score with the run's boost; warm-up rows score 0."""
     # a run's start is carried forward to its rows, in place of a range join
     starts = runs.select("equipment_id", F.col("s").alias("rn"), F.struct("s", "e").alias("run"))
-    marked = r.join(starts, ["equipment_id", "rn"], "left").withColumn("run", F.last("run", True).over(by_time()))
+    marked = slabs.scan(slabs.by_number(r.join(starts, ["equipment_id", "rn"], "left")), before={"_open": F.col("run")}, order=("rn",)).withColumn("run", F.coalesce("run", "_open"))
     inside = F.col("rn") <= F.col("run.e")
     out = marked.select(*r.columns, F.when(inside, F.col("run.s")).alias("s"), F.when(inside, F.col("run.e")).alias("e"))
     boost = 0.03 * F.least(F.lit(1.0), (F.col("e") - F.col("s") + 1) / 10)
@@ -263,7 +257,8 @@ def energy_stats(t: DataFrame) -> DataFrame:
 
 def exposure(x: DataFrame) -> DataFrame:
     """Share of the unit's last 30 days of rows with a score of 0.7 or more."""
-    recent = x.withColumn("last", F.max("ts_ms").over(by_unit())).filter(F.col("ts_ms") >= F.col("last") - 30 * S.DAY_MS)
+    last = x.groupBy("equipment_id").agg(F.max("ts_ms").alias("last"))
+    recent = x.join(last, "equipment_id").filter(F.col("ts_ms") >= F.col("last") - 30 * S.DAY_MS)
     return recent.groupBy("equipment_id").agg(F.avg((F.col("score") >= 0.7).cast("int")).alias("exposure"))
 
 
@@ -287,8 +282,8 @@ def trend(d: DataFrame) -> DataFrame:
 
 def spearman_trend(x: DataFrame) -> DataFrame:
     """(equipment_id, n, trend): rank correlation of every 4th residual of the last 4320 rows with time; 0 for under 240 rows."""
-    n = F.count(F.lit(1)).over(by_unit())
-    v = x.withColumn("n", n).filter(F.col("rn") > F.col("n") - F.least("n", F.lit(4320)))
+    n = x.groupBy("equipment_id").agg(F.count(F.lit(1)).alias("n"))
+    v = x.join(n, "equipment_id").filter(F.col("rn") > F.col("n") - F.least("n", F.lit(4320)))
     v = v.withColumn("k", F.col("rn") - (F.col("n") - F.least("n", F.lit(4320))) - 1).filter("k % 4 = 0")
     tie = Window.partitionBy("equipment_id", "resid_z")
     v = v.withColumn("rank", F.rank().over(by_unit().orderBy("resid_z")) + (F.count(F.lit(1)).over(tie) - 1) / 2)
@@ -367,11 +362,12 @@ def deviations(near: DataFrame, stats: DataFrame, cols: list[str], trail: int =
 
 def frozen(t: DataFrame, column: str, back: int = 48) -> DataFrame:
     """How many rows up to each hold its value without a break, itself included, back + 1 at most; 12 or more is a stuck sensor."""
-    moved = F.coalesce(F.abs(F.col(column) - F.lag(column).over(by_time())) >= 1e-9, F.lit(True)).cast("int")
-    runs = t.withColumn("_moved", moved).withColumn("_run", F.sum("_moved").over(by_time()))
-    n = F.row_number().over(Window.partitionBy("equipment_id", "_run").orderBy("ts_ms", "row_ord"))
+    rows = slabs.framed(placed(t), 1, lambda w: {"_moved": F.coalesce(F.abs(F.col(column) - F.lag(column).over(w)) >= 1e-9, F.lit(True))})
+    start = F.when(F.col("_moved"), F.col("rn"))
+    runs = slabs.scan(slabs.by_number(rows), before={"_start": start}, order=("rn",))
+    n = F.col("rn") - F.coalesce(start, F.col("_start")) + 1
     out = runs.withColumn("frozen", F.when(F.col(column).isNull(), 0).otherwise(F.least(n, F.lit(back + 1))))
-    return out.withColumn("stuck", F.col("frozen") >= 12).drop("_run", "_moved")
+    return out.withColumn("stuck", F.col("frozen") >= 12).drop("_start", "_moved", "slab")
 
 
 # --- views --------------------------------------------------------------------------------------------------------
@@ -379,9 +375,10 @@ def frozen(t: DataFrame, column: str, back: int = 48) -> DataFrame:
 
 def downsample(t: DataFrame, column: str, buckets: int) -> DataFrame:
     """Mean, least and largest of row buckets of equal size, without those that hold no value; up to 2 x buckets rows pass through."""
-    n, rn = F.count(F.lit(1)).over(by_unit()), F.row_number().over(by_time())
+    n = F.col("_n")
     size = F.when(n <= 2 * buckets, 1).otherwise(F.ceil(n / buckets))
-    b = t.withColumn("bucket", F.floor((rn - 1) / size))
+    sizes = t.groupBy("equipment_id").agg(F.count(F.lit(1)).alias("_n"))
+    b = placed(t).join(sizes, "equipment_id").withColumn("bucket", F.floor((F.col("rn") - 1) / size))
     out = b.groupBy("equipment_id", "bucket").agg(F.min("ts_ms").alias("ts_ms"), F.avg(column).alias("mean"), F.min(column).alias("lo"), F.max(column).alias("hi"))
     return out.filter("mean is not null")
 
@@ -414,10 +411,11 @@ def nearest(t: DataFrame, asked: DataFrame) -> DataFrame:
     """For each asked (equipment_id, at_ms) the row_ord nearest in time, the later one of equals: two as-of passes in one window."""
     rows = t.select("equipment_id", F.col("ts_ms").alias("at"), "row_ord", F.lit(0).alias("ask"))
     both = rows.unionByName(asked.select("equipment_id", F.col("at_ms").alias("at"), F.lit(None).cast("long").alias("row_ord"), F.lit(1).alias("ask")))
+    both = slabs.slabbed(both, at="at")
     have = F.when(F.col("ask") == 0, F.struct("at", "row_ord"))
-    up = Window.partitionBy("equipment_id").orderBy("at", "ask", "row_ord")
-    down = Window.partitionBy("equipment_id").orderBy(F.desc("at"), "ask", F.desc("row_ord"))
-    near = both.withColumns({"p": F.last(have, True).over(up), "n": F.last(have, True).over(down)}).filter("ask = 1")
+    # rows at the asked time stand before it on the way up, and behind it on the way down
+    both = slabs.scan(both, before={"p": have}, order=("at", "ask", "row_ord"))
+    near = slabs.scan(both, after={"n": have}, order=("at", -F.col("ask"), "row_ord")).filter("ask = 1")
     later = F.col("p").isNull() | (F.col("n.at") - F.col("at") <= F.col("at") - F.col("p.at"))
     return near.select("equipment_id", F.col("at").alias("at_ms"), F.when(F.col("n").isNotNull() & later, F.col("n.row_ord")).otherwise(F.col("p.row_ord")).alias("row_ord"))
 

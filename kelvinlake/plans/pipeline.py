@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from kelvinlake.functions import scalar as S
 from kelvinlake.operators import explain, models, series
 from kelvinlake.sources import contract
 from kelvinlake.sources.contract import DatasetError, ship
+from kelvinlake.tables import settle
 
 log = logging.getLogger(__name__)
 
@@ -30,16 +30,6 @@ class Options:
     join_window: int = S.JOIN_WINDOW
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that driver and executors share, and read back: later plans start there. Tables stay for
-    as long as results that read them; each run has its own names, and who owns the folder clears it."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def split_by_data(t: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(units with MIN_DATA rows or more, (equipment_id, n, reason) of the others)."""
     n = t.groupBy("equipment_id").agg(F.count(F.lit(1)).alias("n"))
@@ -51,7 +41,8 @@ def prepared(t: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(imputed and standardised series of the units that can be analysed, reports of the others). t: a series as measured;
     the nominal interval is that of its first unit, whether or not that can be analysed."""
     enough, few = split_by_data(t)
-    z = settle(series.standardise(series.impute(enough, series.nominal_minutes(t))), "standardised")
+    filled = settle(series.impute(enough, series.nominal_minutes(t)), "imputed")
+    z = settle(series.standardise(filled), "standardised")
     no_energy = z.filter(~series.usable(series.TARGET)).groupBy("equipment_id").agg(F.count(F.lit(1)).alias("n")).withColumn("reason", F.lit("no energy values that vary"))
     return z.filter(series.usable(series.TARGET)), few.unionByName(no_energy)
 
@@ -69,7 +60,7 @@ def model_features(z: DataFrame) -> DataFrame:
     """if_x, mlp_x and y of each row of prepared(); width_if and width_mlp count the inputs that the unit's measures allow.
     An input of a measure that the unit cannot use is 0 in all its rows, so the models learn nothing from it."""
     cols = series.measures(z)
-    rows = series.rolling(series.lags(z)).withColumn("rn", F.row_number().over(series.by_time())).withColumns(S.cyclic(F.col("ts_ms"), F.col("hour")))
+    rows = series.rolling(series.lags(z)).withColumns(S.cyclic(F.col("ts_ms"), F.col("hour")))
     e, ld = series.TARGET, series.LOAD
     rolled = {"roll_mean_z": S.clamp((F.col("roll_mean") - F.col(f"m_{e}")) / F.col(f"s_{e}"), -6.0, 6.0), "roll_std_z": S.clamp(F.col("roll_std") / F.col(f"s_{e}"), -6.0, 6.0)}
     if ld in cols:
@@ -86,7 +77,7 @@ def score(z: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFr
     if options.model == "learned":
         features = settle(model_features(z), "features")
         learned = settle(models.score_units(features, settle(models.fit_units(features), "models")), "learned")
-        rows = z.withColumn("rn", F.row_number().over(series.by_time())).join(learned, ["equipment_id", "rn"])
+        rows = z.join(learned, ["equipment_id", "rn"])
         r = series.raw_scores(series.calibrated(rows), F.col("forest"), options.forest_weight, options.residual_weight)
     else:
         r = series.raw_scores(series.linear_residual(z), None, options.forest_weight, options.residual_weight)

@@ -290,7 +290,7 @@ R9 = "floor(({}) * 1e9 + 0.5) / 1e9".format  # means over 48 and 12 rows lie on
 
 @query("rolling_48", f"{T}, {IMP}, ro AS (SELECT *, {ROLLED}, avg(energy) OVER ({W} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS before FROM imp) SELECT equipment_id, row_ord, {R9('CASE WHEN rn >= 48 THEN m48 ELSE energy END')} AS roll_mean, {R6('CASE WHEN rn >= 48 THEN d48 ELSE 0 END')} AS roll_std, {R9('CASE WHEN rn >= 48 THEN l48 ELSE load END')} AS roll_load, {R9('before')} AS before FROM ro")
 def _(spark, d):
-    out = series.rolling(series.impute(telemetry(spark, d))).withColumn("before", series.trailing_mean("energy", 12))
+    out = series.trailing_mean(series.rolling(series.impute(telemetry(spark, d))), "energy", 12, "before")
     return out.select("equipment_id", "row_ord", r6("roll_std").alias("roll_std"), *(r6(c, 9).alias(c) for c in ("roll_mean", "roll_load", "before")))
 
 

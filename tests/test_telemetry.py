@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kelvinlake.functions import scalar as S
 from kelvinlake.functions import text
-from kelvinlake.operators import explain, models, series
+from kelvinlake.operators import explain, models, series, selection
 from kelvinlake.plans import pipeline
 from kelvinlake.queries import ORACLES, QUERIES
 from kelvinlake.sources import contract
@@ -128,8 +128,9 @@ def test_no_unit_can_be_analysed(spark):
 
 def test_upper_median_and_medians(spark):
     t = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 10.0), ("a", 20.0), ("a", None), ("b", 5.0), ("c", None)], "equipment_id string, v double")
-    got = {r["equipment_id"]: (r["m"], r["u"]) for r in series.with_upper_median(series.with_median(t, "v", "m", []), "v", "u").collect()}
-    assert got == {"a": (6.0, 10.0), "b": (5.0, 5.0), "c": (None, None)}
+    both = selection.exact(t, ["equipment_id"], F.col("v"), {"m": ("linear", 0.5), "u": ("upper", 0.5)})
+    got = {r["equipment_id"]: (r["m"], r["u"]) for r in both.collect()}
+    assert got == {"a": (6.0, 10.0), "b": (5.0, 5.0)}
     q = series.quantiles(t.filter("v is not null"), "v", {"q": 0.25}).collect()
     assert {r["equipment_id"]: r["q"] for r in q} == {"a": 1.75, "b": 5.0}
 
