@@ -40,9 +40,9 @@ IDS_A, IDS_B = 50_257, 32_000
 STRIPES = 128
 ROWS = -(-IDS_A // STRIPES)
 #: A chunk of documents ends at either.
-CHUNK_CHARS, CHUNK_DOCS = 4_000_000, 4096
+CHUNK_CHARS, CHUNK_DOCS = 2_000_000, 4096
 #: Words that a worker keeps from one chunk to the next.
-KEEP_WORDS, KEEP_CHARS = 400_000, 60_000_000
+KEEP_WORDS, KEEP_CHARS = 200_000, 30_000_000
 #: Partial counts that a task holds before it passes them on.
 HOLD = 4_000_000
 
