@@ -11,7 +11,7 @@ from kelvinlake.operators import explain, series
 from kelvinlake.plans import pipeline
 from kelvinlake.sources.contract import MEASURES, NAME_OF, TELEMETRY_SQL, UNITS, clean, observed, safe_double, telemetry, timestamp_parts, units_dimension
 from kelvinlake.sources.demo import MISSING, demo, fault_windows
-from kelvinlake.streaming import stream
+from kelvinlake.streaming import ordered, stream
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -595,14 +595,23 @@ def _(spark, d):
 # --- streams ------------------------------------------------------------------------------------------------------
 
 
+def event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream in two files by time, with a heartbeat that closes the last windows."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    rows = e.select(F.col("event_type").alias("equipment_id"), ms.alias("ts_ms"), F.col("event_id").alias("row_ord"), "value")
+    s, _ = stream.fed(rows, 2, ordered.HEARTBEAT, F.lit(False), "event-feed")
+    return s.select(F.col("equipment_id").alias("event_type"), F.timestamp_millis("ts_ms").alias("at"), "value")
+
+
 @query("stream_daily", "SELECT event_type, epoch_ms(date_trunc('day', ts)) AS day_ms, count(*) AS n, floor(sum(value) * 100 + 0.5)::BIGINT AS cents FROM events GROUP BY ALL")
 def _(spark, d):
-    return stream.drained(stream.daily(stream.event_stream(spark, d)), "stream_daily", "complete")
+    return stream.drained(stream.daily(event_feed(spark, d)), "stream_daily", "append")
 
 
 @query("stream_sessions", "WITH g AS (SELECT event_type, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 7 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts) AS k FROM g) SELECT event_type, epoch_us(min(ts)) // 1000 AS start_ms, count(*) AS n FROM s GROUP BY event_type, k")
 def _(spark, d):
-    return stream.drained(stream.sessions(stream.event_stream(spark, d)), "stream_sessions", "complete")
+    return stream.drained(stream.sessions(event_feed(spark, d)), "stream_sessions", "append")
 
 
 @query("stream_dedupe", "SELECT event_id, event_type FROM events")
@@ -617,3 +626,27 @@ SELECT equipment_id, row_ord, {R6('filled')} AS filled, {R6(f'lag(filled, 1) OVE
 def _(spark, d):
     out = stream.features(stream.telemetry_stream(spark, d))
     return stream.drained(out, "stream_features", "append").select("equipment_id", "row_ord", *(r6(c).alias(c) for c in ("filled", "lag1", "lag48", "roll_mean")))
+
+
+def _late(rows: DataFrame) -> Column:
+    return F.pmod(F.xxhash64("row_ord"), F.lit(9)) == 0
+
+
+@query("stream_impute", ORACLES["impute_linear_ffill"])
+def _(spark, d):
+    """Fed in four files by time, a ninth of the rows one file late: the watermark's delay spans two files."""
+    t = telemetry(spark, d).select("equipment_id", "ts_ms", "row_ord", "energy", "wind", "dew")
+    nominal = series.nominal_minutes(t).first()["nominal"]
+    s, _ = stream.fed(t, 4, ordered.HEARTBEAT, _late(t), "telemetry-feed")
+    out = ordered.imputed(s, ["energy", "wind", "dew"], nominal, "20 days", 3 * S.DAY_MS)
+    return stream.drained(out, "stream_impute", "append").select("equipment_id", "row_ord", r6("energy").alias("energy"), r6("wind").alias("wind"), "dew")
+
+
+@query("stream_episodes", f"{T}, {DEV} SELECT eps.id, eps.equipment_id, start_ms, end_ms, hours, {R6('peak')} AS peak, prn AS peak_rn FROM eps JOIN peaks USING (id)")
+def _(spark, d):
+    """Runs of a stream of raw scores, fed as stream_impute is."""
+    r = raws(spark, d)
+    scores = r.select("equipment_id", "ts_ms", "row_ord", "raw").join(series.thresholds(r), "equipment_id")
+    s, _ = stream.fed(scores.select("equipment_id", "ts_ms", "row_ord", "raw", "threshold", "rescue"), 4, ordered.HEARTBEAT, _late(scores), "score-feed")
+    out = stream.drained(ordered.runs(s, "20 days"), "stream_episodes", "append")
+    return out.select("id", "equipment_id", "start_ms", "end_ms", "hours", r6("peak").alias("peak"), "peak_rn")

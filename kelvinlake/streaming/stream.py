@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kelvinlake.sources import contract
+from kelvinlake.tables import shared_folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,22 +73,27 @@ def features(s: DataFrame, window: int = 48) -> DataFrame:
     return out.select("equipment_id", "ts_ms", "row_ord", *(F.nullif(F.nanvl(c, F.lit(None).cast("double")), F.lit(None).cast("double")).alias(c) for c in ("filled", "lag1", "lag48", "roll_mean")))
 
 
+def fed(rows: DataFrame, parts: int, heartbeat: str, late: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """(a stream of rows(equipment_id, ts_ms, ...), the parts they came in): written to the shared folder in `parts` files by
+    time, one a trigger, with rows for which `late` holds in the file behind theirs; a heartbeat of no unit, 400 days on, ends it."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    span = rows.agg(F.min("ts_ms").alias("_lo"), F.max("ts_ms").alias("_hi"))
+    at = F.floor((F.col("ts_ms") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * parts).cast("int")
+    dealt = rows.join(F.broadcast(span), F.lit(True)).withColumn("part", at + F.when(late, 1).otherwise(0))  # one row
+    end = span.select(*(F.lit(heartbeat).alias(c) if c == "equipment_id" else (F.col("_hi") + 400 * 86_400_000).alias(c) if c == "ts_ms" else F.lit(0 if c == "row_ord" else None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns))
+    for i in range(parts + 1):
+        dealt.filter(F.col("part") == i).select(*rows.columns).coalesce(1).write.parquet(f"{path}/{i}")
+    end.coalesce(1).write.parquet(f"{path}/{parts + 1}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    return stream, dealt
+
+
 def drained(out: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over what is there into Parquet and returns a read of it. Table and stream state lie in the folder
-    that driver and executors share; a complete result is written anew by each batch, and the last one is read."""
+    """Runs a stream over what is there into Parquet and returns a read of it. Table and stream state lie in the folder that
+    driver and executors share. mode `append`: rows are final when they come, and state ends with the watermark."""
     spark = out.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
-    last = [f"{path}/table"]
-    if mode == "complete":
-
-        def write(batch: DataFrame, batch_id: int) -> None:
-            last[0] = f"{path}/table-{batch_id}"
-            batch.write.mode("overwrite").parquet(last[0])
-
-        q = writer.foreachBatch(write).start()
-    else:
-        q = writer.format("parquet").option("path", last[0]).start()
-    q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(last[0])
+    writer.format("parquet").option("path", f"{path}/table").start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/table")
