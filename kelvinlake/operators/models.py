@@ -1,10 +1,11 @@
 """The two learned models of each unit: an isolation forest and a residual network.
 
-Fitting is bounded, scoring is not. A tree learns from SAMPLE rows of its unit that Spark draws and joins by row number, so
-trees grow in groups of one tree each; the network learns from at most FIT_ROWS rows of its unit (all rows of shorter
-series), in the order of a hash. Scoring deals each unit's rows into shards of SHARD rows, each of which meets the unit's
-models in a cogroup, so a long series is many tasks. Seeds and draws depend on the unit's name, so a retried task gives
-the same model.
+A tree learns from SAMPLE rows of its unit that Spark draws and joins by row number, so trees grow in groups of one tree
+each. The network learns from all rows of its unit: a unit's rows are dealt by a hash into shards of about SHARD rows, in
+each round every shard descends for some epochs from the unit's weights, and the shards' weights are averaged by their
+rows. A tenth of the rows is held back in all shards and tells when to stop. Weights lie in a table of one row a unit
+between rounds. Scoring deals each unit's rows into shards as well, each of which meets the unit's models in a cogroup, so a
+long series is many tasks. Seeds and draws depend on the unit's name, so a retried task gives the same model.
 """
 
 from __future__ import annotations
@@ -18,9 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelvinlake.functions.scalar import WARMUP
+from kelvinlake.tables import settle
 
 TREES, SAMPLE, HIDDEN, EPOCHS, BATCH, PATIENCE = 80, 256, 24, 130, 48, 22
-FIT_ROWS, SHARD = 200_000, 100_000
+SHARD = 100_000
+#: Averagings of the shards' weights; EPOCHS and PATIENCE are shared out between them.
+ROUNDS = 10
 HYPER = {"trees": TREES, "sample": SAMPLE, "hidden": HIDDEN, "epochs": EPOCHS, "batch": BATCH, "patience": PATIENCE}
 
 
@@ -74,17 +78,28 @@ def forest_scores(trees: list, m: int, x: np.ndarray) -> np.ndarray:
 # --- residual network ---------------------------------------------------------------------------------------------
 
 
-def fit_network(x: np.ndarray, y: np.ndarray, seed: int) -> list[np.ndarray] | None:
-    """One hidden layer of ReLUs, momentum descent, a tenth of the rows held back to stop early; None for under 20 rows."""
+def fresh_network(inputs: int, seed: int) -> list[np.ndarray]:
+    """One hidden layer of ReLUs."""
     rng = np.random.default_rng(seed)
-    if len(x) < 20:
-        return None
-    rows = rng.permutation(len(x))
-    held, rows = rows[: len(rows) // 10], rows[len(rows) // 10 :]
-    w = [rng.normal(0, (2 / x.shape[1]) ** 0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
+    return [rng.normal(0, (2 / inputs) ** 0.5, (inputs, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
+
+
+def flat(w: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([p.ravel() for p in w])
+
+
+def shaped(x: np.ndarray) -> list[np.ndarray]:
+    n = (len(x) - 1) // HIDDEN - 2  # inputs
+    cuts = np.split(np.asarray(x, float), np.cumsum([n * HIDDEN, HIDDEN, HIDDEN]))
+    return [cuts[0].reshape(n, HIDDEN), *cuts[1:]]
+
+
+def descend(w: list[np.ndarray], x: np.ndarray, y: np.ndarray, epochs: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """w after some epochs of momentum descent in batches, with gradients clipped."""
+    w = [p.copy() for p in w]
     v = [np.zeros_like(p) for p in w]
-    best, kept, waited = np.inf, [p.copy() for p in w], 0
-    for _ in range(EPOCHS):
+    rows = np.arange(len(x))
+    for _ in range(epochs):
         rng.shuffle(rows)
         for at in range(0, len(rows), BATCH):
             b = rows[at : at + BATCH]
@@ -95,13 +110,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, seed: int) -> list[np.ndarray] | N
                 m *= 0.9
                 m -= 0.02 * np.clip(g, -40, 40)
                 p += m
-        loss = float(((predict(w, x[held]) - y[held]) ** 2).mean())
-        waited += 1
-        if loss < best - 1e-4:
-            best, kept, waited = loss, [p.copy() for p in w], 0
-        if waited >= PATIENCE:
-            break
-    return kept
+    return w
 
 
 def predict(w: list[np.ndarray] | None, x: np.ndarray) -> np.ndarray:
@@ -133,16 +142,66 @@ def fit_units(features: DataFrame) -> DataFrame:
         tree = grow(_matrix(pdf["if_x"]), depth_limit(len(pdf)), np.random.default_rng(seed))
         return pd.DataFrame({"equipment_id": pdf["equipment_id"].iloc[:1], "part": pdf["part"].iloc[:1], "model": [pickle.dumps((len(pdf), tree))]})
 
-    picked = trained.join(sizes, "equipment_id").withColumn("share", F.pmod(F.xxhash64("equipment_id", "rn"), F.col("n"))).filter(F.col("share") < FIT_ROWS)
+    schema = "equipment_id string, part int, model binary"
+    forest = samples.select("equipment_id", "part", "draw", "if_x").groupBy("equipment_id", "part").applyInPandas(one_tree, schema)
+    return forest.unionByName(fit_networks(trained))
+
+
+def _learner(turn: int, epochs: int):
+    """A shard's rows and its unit's weights -> the weights it descends to, and how far off they are on the rows held back."""
 
-    def one_network(pdf: pd.DataFrame) -> pd.DataFrame:
+    def learn(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or own.empty:
+            return pd.DataFrame({"equipment_id": [], "w": [], "now": [], "n": [], "square": [], "held": []})
+        unit, shard, now = own["equipment_id"].iloc[0], int(own["shard"].iloc[0]), own["w"].iloc[0]
         pdf = pdf.sort_values("rn")
-        w = fit_network(_matrix(pdf["mlp_x"]), pdf["y"].to_numpy(float), zlib.crc32(str(pdf["equipment_id"].iloc[0]).encode()) + 1)
-        return pd.DataFrame({"equipment_id": pdf["equipment_id"].iloc[:1], "part": -1, "model": [pickle.dumps(w)]})
+        x, y, held = _matrix(pdf["mlp_x"]), pdf["y"].to_numpy(float), pdf["held"].to_numpy(bool)
+        seed = zlib.crc32(str(unit).encode()) + 1
+        w = fresh_network(x.shape[1], seed) if now is None else shaped(now)
+        square = float(((predict(w, x[held]) - y[held]) ** 2).sum())
+        after = descend(w, x[~held], y[~held], epochs, np.random.default_rng([seed, shard, turn]))
+        return pd.DataFrame({"equipment_id": [unit], "w": [flat(after)], "now": [flat(w)], "n": [int((~held).sum())], "square": [square], "held": [int(held.sum())]})
+
+    return learn
+
+
+def fit_networks(trained: DataFrame, shard_rows: int | None = None) -> DataFrame:
+    """trained(equipment_id, rn, mlp_x, y) -> (equipment_id, part -1, model) for every unit of 20 rows or more."""
+    sizes = trained.groupBy("equipment_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
+    shards = F.ceil(F.col("n") / (shard_rows or SHARD))
+    code = F.xxhash64("equipment_id", "rn")
+    rows = trained.join(sizes.select("equipment_id", shards.alias("shards")), "equipment_id")
+    rows = settle(rows.select("equipment_id", "rn", "mlp_x", "y", F.pmod(code, F.col("shards")).alias("shard"), (F.pmod(F.xxhash64(code), F.lit(10)) == 0).alias("held")), "network-rows")
+    many = sizes.select("equipment_id", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)).alias("shard"))
+    none = F.lit(None).cast("array<double>")
+    units = settle(sizes.select("equipment_id", none.alias("w"), none.alias("best"), F.lit(float("inf")).alias("best_loss"), F.lit(0).alias("waited")), "networks")
+    patience = -(-PATIENCE * ROUNDS // EPOCHS)
+    for turn in range(ROUNDS + 1):  # the last one tells how good the weights are
+        epochs = EPOCHS // ROUNDS if turn < ROUNDS else 0
+        still = units.filter(F.col("waited") < patience)
+        if turn and still.limit(1).count() == 0:
+            break
 
-    schema = "equipment_id string, part int, model binary"
-    forest = samples.select("equipment_id", "part", "draw", "if_x").groupBy("equipment_id", "part").applyInPandas(one_tree, schema)
-    return forest.unionByName(picked.select("equipment_id", "rn", "mlp_x", "y").groupBy("equipment_id").applyInPandas(one_network, schema))
+        asked = many.join(still.select("equipment_id", "w"), "equipment_id")
+        seen = rows.join(still.select("equipment_id"), "equipment_id", "left_semi").groupBy("equipment_id", "shard")
+        parts = settle(seen.cogroup(asked.groupBy("equipment_id", "shard")).applyInPandas(_learner(turn, epochs), "equipment_id string, w array<double>, now array<double>, n long, square double, held long"), "network-parts")
+        means = parts.select("equipment_id", "n", F.posexplode("w").alias("i", "v")).groupBy("equipment_id", "i").agg((F.sum(F.col("v") * F.col("n")) / F.greatest(F.lit(1), F.sum("n"))).alias("v"))
+        means = means.groupBy("equipment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("mean"))  # a few hundred weights
+        loss = parts.groupBy("equipment_id").agg((F.sum("square") / F.greatest(F.lit(1), F.sum("held"))).alias("loss"), F.first("now").alias("now"))
+        after = units.join(means.join(loss, "equipment_id"), "equipment_id", "left")
+        better = F.col("loss") < F.col("best_loss") - 1e-4
+        units = settle(
+            after.select(
+                "equipment_id", F.coalesce("mean", "w").alias("w"), F.when(better, F.col("now")).otherwise(F.col("best")).alias("best"), F.when(better, F.col("loss")).otherwise(F.col("best_loss")).alias("best_loss"),
+                F.when(F.col("loss").isNull(), F.col("waited")).when(better, 0).otherwise(F.col("waited") + 1).alias("waited"),
+            ), "networks",
+        )
+
+    def stored(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"equipment_id": pdf["equipment_id"], "part": -1, "model": [pickle.dumps(None if x is None else shaped(x)) for x in pdf["best"]]})
+
+    return units.select("equipment_id", "best").mapInPandas(stored, "equipment_id string, part int, model binary")
 
 
 def score_units(features: DataFrame, fitted: DataFrame) -> DataFrame:
