@@ -448,8 +448,8 @@ def containing(asked: DataFrame, eps: DataFrame) -> DataFrame:
 
 def window_means(t: DataFrame, windows: DataFrame, column: str = TARGET) -> DataFrame:
     """(equipment_id, name, inside, n, before): mean of a column within each window, rows there, and its mean on the day that
-    begins three days before it. The windows are few and given by hand."""
-    j = t.join(F.broadcast(windows), "equipment_id")
+    begins three days before it."""
+    j = t.join(windows, "equipment_id")
     inside = (F.col("ts_ms") >= F.col("from_ms")) & (F.col("ts_ms") < F.col("to_ms"))
     start = F.col("from_ms") - 3 * S.DAY_MS
     base = (F.col("ts_ms") >= start) & (F.col("ts_ms") < start + S.DAY_MS)

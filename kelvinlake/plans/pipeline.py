@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -118,7 +119,7 @@ def run(t: DataFrame, options: Options = Options()) -> dict[str, DataFrame]:
     units = energy.join(reports, "equipment_id", "left").join(limits.select("equipment_id", "threshold"), "equipment_id", "left").join(insufficient.select("equipment_id", F.col("n").alias("_n"), "reason"), "equipment_id", "left")
     units = units.withColumns({"n": F.coalesce("n", "_n"), "threshold": F.coalesce("threshold", F.lit(0.0)), "trend": S.half_up(F.coalesce("trend", F.lit(0.0)), 3), "slope": S.half_up(F.col("slope"), 3), "drift": S.half_up(F.col("drift"), 2), "insufficient": F.col("reason").isNotNull()}).drop("_n")
     fleet = series.fleet_kpis(reports, energy)
-    severities = eps.agg(*(F.count_if(F.col("severity") == s).alias(s) for s in ("watch", "alert", "action")))
+    severities = severity_totals(eps)
     n_if, n_mlp = (len(x) for x in feature_names(cols))
     if options.model == "learned":
         widths = model_features(z).agg(F.max("width_if").alias("forest_features"), F.max("width_mlp").alias("network_features"))
@@ -151,9 +152,29 @@ def integrity(result: dict[str, DataFrame]) -> DataFrame:
     return points.join(F.broadcast(eps.agg(F.count_if(bad).alias("bad_episodes"))), F.lit(True))  # one row each
 
 
-def report(result: dict[str, DataFrame], k: int = 8) -> list[str]:
-    """Lines of a console report: units, and the first k episodes of each in time order."""
-    lines = [f"{r['equipment_id']}: health {r['health']}, trend {r['trend']}, threshold {r['threshold']:.3f}" if not r["insufficient"] else f"{r['equipment_id']}: {r['reason']}" for r in result["units"].orderBy("equipment_id").limit(1000).collect()]
+def report(result: dict[str, DataFrame], k: int = 8) -> Iterator[str]:
+    """Lines of a console report: units, and the first k episodes of each in time order. Rows come to the driver a part at a
+    time; all of them do."""
+    for r in result["units"].orderBy("equipment_id").toLocalIterator():
+        yield f"{r['equipment_id']}: {r['reason']}" if r["insufficient"] else f"{r['equipment_id']}: health {r['health']}, trend {r['trend']}, threshold {r['threshold']:.3f}"
     nth = F.row_number().over(series.Window.partitionBy("equipment_id").orderBy("start_ms"))
-    first = result["episodes"].withColumn("nth", nth).filter(F.col("nth") <= k).orderBy("equipment_id", "nth").limit(1000)
-    return lines + [f"  {r['severity']:6} {r['id']} {r['hours']} h, peak {r['peak']} [{', '.join(r['tags'])}]" for r in first.collect()]
+    first = result["episodes"].withColumn("nth", nth).filter(F.col("nth") <= k).orderBy("equipment_id", "nth")
+    for r in first.toLocalIterator():
+        yield f"  {r['severity']:6} {r['id']} {r['hours']} h, peak {r['peak']} [{', '.join(r['tags'])}]"
+
+
+def severity_totals(eps: DataFrame) -> DataFrame:
+    """One row: episodes of each severity."""
+    return eps.agg(*(F.count_if(F.col("severity") == s).alias(s) for s in ("watch", "alert", "action")))
+
+
+def json_report(result: dict[str, DataFrame]) -> DataFrame:
+    """(kind, json): a JSON object for the data's quality (where there is a report of it), the fleet, the metadata and the severity
+    totals, and one for each unit and each episode with its narrative; to be written as text."""
+    whole = {k: result[k] for k in ("quality", "fleet", "metadata") if k in result}
+    whole |= {"severities": severity_totals(result["episodes"]), "unit": result["units"], "episode": result["episodes"].join(result["narratives"], "id", "left")}
+    out = None
+    for kind, rows in whole.items():
+        one = rows.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*rows.columns)).alias("json"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -46,22 +46,31 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.scored(r, series.islands(r, series.thresholds(r)))
 
 
+def deviated(t: DataFrame, x: DataFrame, eps: DataFrame) -> DataFrame:
+    """Deviations of the measures of t at the peaks of the episodes of the points x."""
+    raw = t.select("equipment_id", "row_ord", *MEASURES).join(x.select("equipment_id", "row_ord", "rn"), ["equipment_id", "row_ord"])
+    stats = series.unit_stats(x).select("equipment_id", *(f"s_{c}" for c in MEASURES))
+    return pipeline.settle(series.deviations(series.around(raw, eps), stats, list(MEASURES)), "deviations")
+
+
 def explained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(points, episodes, deviations at their peaks)."""
-    t = telemetry(spark, sf_dir)
     x = pipeline.settle(points(spark, sf_dir), "points")
     eps = pipeline.settle(series.episodes(x), "episodes")
-    raw = t.select("equipment_id", "row_ord", *MEASURES).join(x.select("equipment_id", "row_ord", "rn"), ["equipment_id", "row_ord"])
-    stats = series.unit_stats(x).select("equipment_id", *(f"s_{c}" for c in MEASURES))
-    return x, eps, pipeline.settle(series.deviations(series.around(raw, eps), stats, list(MEASURES)), "deviations")
+    return x, eps, deviated(telemetry(spark, sf_dir), x, eps)
 
 
-def tagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def tagged_of(t: DataFrame, x: DataFrame, eps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(episodes with tags, deviations)."""
-    x, eps, dev = explained(spark, sf_dir)
+    dev = deviated(t, x, eps)
     return explain.tag_episodes(eps, dev, series.spearman_trend(x)), dev
 
 
+def tagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    x = pipeline.settle(points(spark, sf_dir), "points")
+    return tagged_of(telemetry(spark, sf_dir), x, pipeline.settle(series.episodes(x), "episodes"))
+
+
 # --- SQL pieces ---------------------------------------------------------------------------------------------------
 
 W = "PARTITION BY equipment_id ORDER BY ts_ms, row_ord"
@@ -470,15 +479,50 @@ def _(spark, d):
     return explain.recommend(tagged(spark, d)[0]).select("id", F.col("nth").cast("long").alias("nth"), "priority", "action")
 
 
-@query("narrative")
+#: One decimal, halves away from zero (of two-decimal values quarters alone are halves), whole from 100 on.
+_FIX = "CASE WHEN abs({0}) >= 100 THEN CAST(floor({0} + 0.5) AS BIGINT)::VARCHAR WHEN {0} * 4 = floor({0} * 4) AND {0} * 2 <> floor({0} * 2) THEN printf('%.1f', {0} + sign({0}) * 0.01) ELSE printf('%.1f', {0}) END".format
+_AT = "strftime(make_timestamp(peak_ms * 1000), '%d %b %Y, %H:%M')"
+NARRATIVES = f"""{TAGS}, cells AS (SELECT id, col, nth, direction, z, {R2('v')} AS value, {R2('base')} AS base FROM dev WHERE nth <= 4),
+names(col, name) AS (VALUES {", ".join(f"({_quoted(m)}, {_quoted(n)})" for m, n in NAME_OF.items())}),
+also AS (SELECT id, string_agg(said, ', ' ORDER BY nth) AS also FROM (SELECT id, nth, name || ' is ' || direction || ' by ' || {_FIX('abs(z)')} || ' σ' AS said FROM cells JOIN names USING (col) WHERE col <> 'energy' AND abs(z) >= 1.2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY nth) <= 2) GROUP BY id),
+en AS (SELECT id, value AS ev, base AS eb, z AS ez FROM cells WHERE col = 'energy'),
+spot AS (SELECT p.id, p.equipment_id, ts_ms AS peak_ms FROM peaks p JOIN pts ON pts.equipment_id = p.equipment_id AND pts.rn = p.prn),
+has AS (SELECT id, bool_or(holds AND tag = 'degradation_trend') AS slow, bool_or(holds AND tag = 'transient_spike') AS brief, bool_or(holds AND tag = 'sensor_stuck') AS stuck FROM tags GROUP BY id)
+SELECT spot.id, concat_ws(' ', coalesce(equipment_id || ' used ' || {_FIX('ev')} || ' kWh in one interval at ' || {_AT} || ', ' || CASE WHEN ez > 0 THEN 'more' ELSE 'less' END || ' than the median of the 24 before, ' || {_FIX('eb')} || ' kWh (' || CASE WHEN ez > 0 THEN '+' ELSE '−' END || {_FIX('abs(ez)')} || ' σ).',
+  equipment_id || ' left its usual operation at ' || {_AT} || '.'), 'At the same time ' || also || '.',
+  CASE WHEN slow THEN 'Residuals have risen over the past months, which is how a slow loss of efficiency looks.' END, CASE WHEN brief AND NOT coalesce(slow, false) THEN 'It lasted two intervals at most, so an operating event is likelier than a fault.' END,
+  CASE WHEN stuck THEN 'A channel repeats one value for hours: suspect the sensor or its transmission.' END) AS narrative
+FROM spot LEFT JOIN en USING (id) LEFT JOIN also USING (id) LEFT JOIN has USING (id)"""
+
+
+@query("narrative", f"{T}, {NARRATIVES}")
 def _(spark, d):
     eps, dev = tagged(spark, d)
     return explain.narrate(eps, dev.filter("nth <= 4"))
 
 
-@query("integrity", "SELECT 0::BIGINT AS bad_points, 0::BIGINT AS bad_episodes")
+@query("integrity", f"{T}, {TAGS}, c AS (SELECT DISTINCT id FROM dev WHERE nth <= 4) SELECT (SELECT count(*) FROM pts WHERE row_ord % 50 = 3) AS bad_points, (SELECT count(*) FROM eps WHERE start_ms % 3 = 0 OR end_ms % 4 = 1 OR s % 5 = 2 OR e % 6 = 5 OR id NOT IN (SELECT id FROM c)) AS bad_episodes")
 def _(spark, d):
-    return pipeline.integrity(pipeline.run(telemetry(spark, d)))
+    """Counts of faults planted into results: scores that are not finite, peaks, narratives and advice taken away."""
+    x = pipeline.settle(points(spark, d), "points")
+    eps = pipeline.settle(series.episodes(x), "episodes")
+    eps, dev = tagged_of(telemetry(spark, d), x, eps)
+    score = F.when(F.col("row_ord") % 50 != 3, F.col("score")).when(F.col("row_ord") % 100 == 3, F.lit(float("nan")))
+    gone = eps.filter("s % 5 = 2").select("id")
+    return pipeline.integrity({
+        "points": x.withColumn("score", score),
+        "episodes": eps.withColumn("peak", F.when(F.col("start_ms") % 3 != 0, F.col("peak")).otherwise(F.lit(float("inf")))),
+        "narratives": explain.narrate(eps, dev.filter("nth <= 4")).join(eps.select("id", "end_ms"), "id").withColumn("narrative", F.when(F.col("end_ms") % 4 != 1, F.col("narrative")).otherwise("")),
+        "recommendations": explain.recommend(eps).join(gone, "id", "left_anti"),
+        "contributors": dev.filter("nth <= 4").join(eps.filter("e % 6 = 5").select("id"), "id", "left_anti"),
+    })
+
+
+@query("report_json", f"{T}, {EPS} SELECT 'severities' AS kind, CAST(json_object('watch', count(*) FILTER (severity = 'watch'), 'alert', count(*) FILTER (severity = 'alert'), 'action', count(*) FILTER (severity = 'action')) AS VARCHAR) AS json FROM eps UNION ALL SELECT 'episode', CAST(json_object('id', id, 'severity', severity) AS VARCHAR) FROM eps")
+def _(spark, d):
+    eps = pipeline.settle(series.episodes(points(spark, d)), "episodes")
+    none = {k: eps.limit(0).select("id") for k in ("fleet", "metadata", "units")}
+    return pipeline.json_report({**none, "episodes": eps.select("id", "severity"), "narratives": eps.select("id").limit(0)})
 
 
 @query("learned_units")
@@ -542,6 +586,25 @@ def _(spark, d):
     return series.domain(series.downsample(telemetry(spark, d), "energy", 260)).select("equipment_id", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
+_STEP = "CASE WHEN raw / power < 1.5 THEN 1 WHEN raw / power < 3.5 THEN 2 WHEN raw / power < 7.5 THEN 5 ELSE 10 END * power"
+
+
+@query("axis_ticks", f"{T}, {DOWN}, dm AS (SELECT equipment_id, min(lo) AS lo, max(hi) AS hi FROM down GROUP BY ALL), pw AS (SELECT *, (hi - lo) / 5 AS raw, pow(10, floor(log10((hi - lo) / 5))) AS power FROM dm), st AS (SELECT *, {_STEP} AS step FROM pw), tk AS (SELECT equipment_id, unnest(range(ceil(lo / step)::BIGINT, floor(hi / step + 1e-6)::BIGINT + 1)) * step AS tick FROM st) SELECT equipment_id, {R6('tick')} AS tick FROM tk")
+def _(spark, d):
+    b = series.downsample(telemetry(spark, d), "energy", 260).groupBy("equipment_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return b.select("equipment_id", F.explode(text.ticks(F.col("lo"), F.col("hi"), 5)).alias("tick")).select("equipment_id", r6("tick").alias("tick"))
+
+
+_SIG = lambda x, digits: f"regexp_replace(format('{{:,.{digits}f}}', round({x}, {digits})), '\\.?0+$', '')" if digits else f"format('{{:,.0f}}', round({x}, 0))"
+
+
+@query("format_labels", f"{T}, e AS (SELECT row_ord, energy * (CASE row_ord % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 1000000 END) AS kwh, humidity, ts_ms FROM t WHERE energy IS NOT NULL) SELECT row_ord, CASE WHEN abs(kwh) >= 1e6 THEN {_SIG('kwh / 1e6', 2)} || ' GWh' WHEN abs(kwh) >= 1e3 THEN {_SIG('kwh / 1e3', 1)} || ' MWh' ELSE {_SIG('kwh', 0)} || ' kWh' END AS energy, {_SIG('humidity', 0)} || '%' AS percent, strftime(make_timestamp(ts_ms * 1000), '%-d %b %Y') AS day FROM e")
+def _(spark, d):
+    t = telemetry(spark, d).filter("energy is not null")
+    kwh = F.col("energy") * F.when(F.col("row_ord") % 3 == 0, 1.0).when(F.col("row_ord") % 3 == 1, 1000.0).otherwise(1e6)
+    return t.select("row_ord", text.energy_label(kwh).alias("energy"), text.percent_label(F.col("humidity")).alias("percent"), text.day_label(F.col("ts_ms")).alias("day"))
+
+
 @query("range_query", f"{T} SELECT equipment_id, row_ord, energy FROM t WHERE make_timestamp(ts_ms * 1000) BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12' AND equipment_id = 'click'")
 def _(spark, d):
     lo, hi = (F.expr(f"timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01', timestamp_ntz'{x}')") for x in ("2024-01-05", "2024-01-12"))

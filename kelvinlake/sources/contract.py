@@ -107,7 +107,7 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
     if multiline:
         rows = _with_blanks(spark, path, names)
     else:
-        lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("row_ord"), "value").filter(F.col("value") != line)
+        lines = _body(spark.read.text(path))
         cells = F.from_csv(F.rtrim(F.col("value"), F.lit("\r")), ", ".join(f"{c} string" for c in names), QUOTING)
         rows = lines.select("row_ord", cells.alias("cells")).select("row_ord", *(F.col("cells")[c].alias(c) for c in names))
     at = {h: f"c{i}" for i, h in reversed(list(enumerate(headers)))}
@@ -118,6 +118,16 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
     return kept.select("row_ord", *cells)
 
 
+def _body(text: DataFrame) -> DataFrame:
+    """(row_ord, value): the lines of text files in order, without the first one of each file. Lines that repeat the header stay."""
+    files = len(text.inputFiles())
+    lines = text.select(F.monotonically_increasing_id().alias("row_ord"), "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"))
+    if files == 1:
+        return lines.filter("row_ord > 0").select("row_ord", "value")
+    heads = lines.filter("_from = 0").groupBy("_file").agg(F.min("row_ord").alias("row_ord"))
+    return lines.join(heads.select("row_ord"), "row_ord", "left_anti").select("row_ord", "value")
+
+
 def _with_blanks(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Rows of a file with line ends inside quotes. The reader skips blank lines, so those that lie between rows are
     counted on the text: a line is blank if it holds nothing and an even number of quotes stands before it."""
