@@ -10,9 +10,9 @@ ids that overlap by OVERLAP; every id is scored once, in the first window that h
 predicts the id's class and then, from the same hidden state, the id's leaf within the class: CLASSES x LEAVES leaves, of
 which the most frequent ids have one each (over 99 % of all ids in a corpus of a few languages) and the others share the
 last of each class by their counts. Attention is batched over windows and masked causally.
-Weights are trained on every window of every training document (there without overlap), each in one of ROUNDS rounds:
-each partition trains on its own share, and weights are averaged, weighted by windows, after each round. A corpus of fewer
-than LEAST windows is gone through several times, PASSES at most.
+Weights are trained once on every id of every training document, in the same windows, each in one of ROUNDS rounds, whatever
+the size of the corpus: each partition trains on its own share, and weights are averaged, weighted by windows, after each
+round, so they depend on how rows lie in partitions.
 
 Training documents are those whose crc32(doc_id as text) mod 7 is not 2. Defined cases: a null or empty text is its
 end alone; a null doc_id is a training document; repeated rows count and are scored like any others; without training
@@ -38,7 +38,7 @@ from kelvinlake.llm.packing import VOCABULARY, encoder
 BLOCK_BYTES = 16_000_000
 IDS, END = 50257, 50256
 BUCKETS, CLASSES, LEAVES, DIM, WINDOW, OVERLAP = 2048, 32, 32, 16, 24, 6
-ROUNDS, BATCH, RATE, SPREAD, LEAST, PASSES = 2, 128, 0.01, 0.2, 200_000, 8
+ROUNDS, BATCH, RATE, SPREAD = 2, 128, 0.01, 0.2
 #: Documents whose ids are trained on or scored at once.
 CHUNK = 256
 
@@ -258,13 +258,13 @@ def sequence_scores(m: dict[str, np.ndarray], code: Coding, ids: np.ndarray, siz
 
 
 def share(ids: np.ndarray, sizes: np.ndarray, turn: int) -> np.ndarray:
-    """Which of the windows(sizes, 0) of these sequences a round learns from: over all rounds every window once, whatever else lies in the chunk."""
+    """Which of the windows(sizes) of these sequences a round learns from: over all rounds every window once, whatever else lies in the chunk."""
     if not len(sizes):
         return np.zeros(0, np.int64)
-    start, _, _ = windows(sizes, 0)
+    start, _, _ = windows(sizes)
     begins = np.cumsum(sizes) - sizes
     of = np.searchsorted(begins, start, "right") - 1
-    return np.flatnonzero((np.add.reduceat(ids.astype(np.int64), begins)[of] + (start - begins[of]) // WINDOW) % ROUNDS == turn)
+    return np.flatnonzero((np.add.reduceat(ids.astype(np.int64), begins)[of] + (start - begins[of]) // (WINDOW - OVERLAP)) % ROUNDS == turn)
 
 
 def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
@@ -280,22 +280,22 @@ def train(docs: DataFrame, code: Coding) -> tuple[dict[str, np.ndarray], int]:
     model, seen = initial(code.start), 0
     sizes = {k: v.size for k, v in model.items()}
     known = docs.sparkSession.sparkContext.broadcast(code)
-    each = F.greatest(F.lit(1), F.ceil(F.octet_length("ids") / (2 * WINDOW)))
-    n = docs.agg(F.coalesce(F.sum(each), F.lit(0)).alias("n")).first()["n"]
-    for step in range(ROUNDS * min(PASSES, max(1, -(-LEAST // max(1, n))))):
-        now, turn = model, step % ROUNDS
+    for turn in range(ROUNDS):
+        now = model
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keep_freed_memory()
             code = known.value
             m = {k: v.copy() for k, v in now.items()}
-            adam, done = Adam(m), 0
+            adam, done, at = Adam(m), 0, np.arange(WINDOW)
             for _, ids, lens in chunks(batches):
                 given, cls, leaf = preceding(code, ids), code.cls[ids], code.leaf[ids]
-                start, size, _ = windows(lens, 0)
-                pick = np.random.default_rng(step * 1_000_003 + len(ids)).permutation(share(ids, lens, turn))
+                start, size, scored = windows(lens)
+                pick = np.random.default_rng(turn * 1_000_003 + len(ids)).permutation(share(ids, lens, turn))
                 for lo in range(0, len(pick), BATCH):
-                    place, live = placed(start[pick[lo : lo + BATCH]], size[pick[lo : lo + BATCH]])
+                    own = pick[lo : lo + BATCH]
+                    place, live = placed(start[own], size[own])
+                    live &= at >= scored[own, None]  # what two windows hold is context in the second
                     g, _ = gradients(m, given[place], cls[place], leaf[place], live)
                     adam.step(g)
                 done += len(pick)
