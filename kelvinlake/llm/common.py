@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelvinlake.sources.contract import ship
+from kelvinlake.tables import shared_folder
 
 #: Characters of the class [\x20\x09-\x0D]: what ends a word and what is stripped from a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -21,18 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; the warehouse where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
-
-
 def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends in files that outlive executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=codec)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Remove the files of a table of cut() that nothing reads any more, and let go what only finished rounds needed: shuffle files
+    stay on the executors' disks until the driver's garbage is collected, which a large heap puts off."""
+    jvm, session = table.sparkSession._jvm, table.sparkSession._jsparkSession
+    path = jvm.org.apache.hadoop.fs.Path(table.written_to)
+    path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+    jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelvinlake.llm.common import cut, join_keys
+from kelvinlake.llm.common import cut, drop, join_keys
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -29,9 +29,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("n").agg(F.min("m").alias("least"), F.count(F.lit(1)).alias("edges")).withColumnRenamed("n", "lo")
         moved = join_keys(star, least, ["lo"], "edges", total).select(F.col("hi").alias("a"), F.col("least").alias("b"))
         after = cut(_ordered(moved), "cc")
+        drop(now)
         # finished when every edge is of a star: nobody has two roots and no root has a root
         loose = after.groupBy("hi").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-        if not loose and not after.join(after.select(F.col("hi").alias("lo")), "lo", "left_semi").limit(1).count():
+        if not loose and not after.join(after.select(F.col("lo").alias("hi")).distinct(), "hi", "left_semi").limit(1).count():
             break
         now = after
     return after.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(after.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelvinlake.llm.common import cut, join_keys, table, words
+from kelvinlake.llm.common import cut, drop, join_keys, table, words
 from kelvinlake.llm.graph import connected_components
 
 WIDTH, TREES, PAIRED, LEAF, DEPTH, SHARED, SEEN = 64, 16, 32, 1024, 3, 4, 0.5
@@ -281,6 +281,7 @@ class _Join:
         both = near.join(full("a"), "a").join(full("b"), "b")
         same = both.withColumn("same", common_shingles("set_a", "set_b"))
         self.add(same.filter(100 * F.col("same") >= p * (F.col("n_a") + F.col("n_b") - F.col("same"))).select("a", "b"))
+        drop(near)
 
     def add(self, links: DataFrame) -> None:
         links = cut(links, "links")
