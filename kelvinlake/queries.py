@@ -36,9 +36,9 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw scores of the linear model, as a table: thresholds, runs and points read it."""
+    """Raw scores of the linear model with the scales of the measures, as a table: thresholds, runs and points read it."""
     r = series.raw_scores(series.linear_residual(prepared(spark, sf_dir)))
-    return pipeline.settle(r.select("equipment_id", "row_ord", "ts_ms", "hour", *MEASURES, "rn", "resid_z", "raw"), "raw")
+    return pipeline.settle(r.select("equipment_id", "row_ord", "ts_ms", "hour", *MEASURES, *(f"s_{c}" for c in MEASURES), "rn", "resid_z", "raw"), "raw")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deviated(t: DataFrame, x: DataFrame, eps: DataFrame) -> DataFrame:
     """Deviations of the measures of t at the peaks of the episodes of the points x."""
     raw = t.select("equipment_id", "row_ord", *MEASURES).join(x.select("equipment_id", "row_ord", "rn"), ["equipment_id", "row_ord"])
-    stats = series.unit_stats(x).select("equipment_id", *(f"s_{c}" for c in MEASURES))
+    stats = x.groupBy("equipment_id").agg(*(F.first(f"s_{c}").alias(f"s_{c}") for c in MEASURES))
     return pipeline.settle(series.deviations(series.around(raw, eps), stats, list(MEASURES)), "deviations")
 
 
