@@ -230,7 +230,9 @@ class _Join:
         classes = grouped.agg(one, F.max("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
         self.classes = cut(classes.select(*CLASS, F.xxhash64(*CLASS).alias("rep"), "one.*", "sig", "copies"), "classes")
         self.reps = self.classes.select("rep", F.col("n_shingles").alias("n"), "sig")
-        self.links: DataFrame | None = None
+        # the stars of the components so far, and links found since
+        self.stars_now: DataFrame | None = None
+        self.links: list[DataFrame] = []
 
     def suspects(self) -> DataFrame:
         """(key, rep, support) at depth 1 for the documents that share enough nodes with others.
@@ -260,8 +262,14 @@ class _Join:
         found = texts.join(wanted, ["id", "text_key"]).select("rep", "text").mapInPandas(run, "rep long, shingles binary")
         self.sets = cut(found.groupBy("rep").agg(F.first("shingles").alias("shingles")), "sets")
 
-    def components(self) -> DataFrame | None:
-        return None if self.links is None else cut(connected_components(self.links), "components")
+    def components(self) -> DataFrame:
+        """(node, component) of all links so far. Components known before go in as stars, not as the links they came from."""
+        if self.links:
+            edges = reduce(DataFrame.unionByName, self.links)
+            if self.stars_now is not None:
+                edges = edges.unionByName(self.stars_now.select(F.col("component").alias("a"), F.col("node").alias("b")))
+            self.stars_now, self.links = cut(connected_components(edges), "components"), []
+        return self.stars_now
 
     def placed(self, nodes: DataFrame, components: DataFrame | None) -> DataFrame:
         """nodes with the component of each document."""
@@ -285,7 +293,8 @@ class _Join:
 
     def add(self, links: DataFrame) -> None:
         links = cut(links, "links")
-        self.links = links if self.links is None else self.links.unionByName(links)
+        if self.stars_now is None or not links.isEmpty():
+            self.links.append(links)
 
     @staticmethod
     def mixed(at: DataFrame, pivot: Column) -> DataFrame:
