@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from kelvinlake.functions import scalar as S
 from kelvinlake.operators import explain, models, series
+from kelvinlake.plans import catalog
 from kelvinlake.sources import contract
 from kelvinlake.sources.contract import DatasetError, ship
-from kelvinlake.tables import settle
+from kelvinlake.tables import released, settle
 
 log = logging.getLogger(__name__)
 
@@ -88,26 +89,45 @@ def score(z: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFr
     return series.scored(r, series.islands(r, limits, options.join_window)), limits
 
 
-def run(t: DataFrame, options: Options = Options()) -> dict[str, DataFrame]:
+#: Called with a stage's name and the share of the work that is done, from 0 to 1.
+Progress = Callable[[str, float], None]
+STEPS = ("imputation and features", "scores", "points", "episodes", "reports", "explanation", "done")
+
+
+def _steps(progress: Progress | None) -> Callable[[str], None]:
+    def at(name: str) -> None:
+        log.info(name)
+        if progress:
+            progress(name, STEPS.index(name) / (len(STEPS) - 1))
+
+    return at
+
+
+def run(t: DataFrame, options: Options = Options(), progress: Progress | None = None) -> dict[str, DataFrame]:
     """The catalog of results of a series as measured:
 
     points, episodes (with tags), units (a report for every unit, the insufficient ones included), daily, degrade,
-    contributors, evidence, recommendations, narratives, fleet (one row), metadata (one row).
+    contributors, evidence, recommendations, narratives, fleet (one row), metadata (one row). progress hears of each stage as it
+    begins, and of the end.
     """
     ship(t.sparkSession)
-    log.info("imputation and features")
+    at = _steps(progress)
+    at("imputation and features")
     z, insufficient = prepared(t)
     insufficient = settle(insufficient, "insufficient")
     if z.isEmpty():
         reasons = "; ".join(f"{r['equipment_id']}: {r['reason']}" for r in insufficient.orderBy("equipment_id").limit(20).collect())
         raise DatasetError(f"no unit could be analysed ({reasons})")
-    log.info("scores")
+    at("scores")
     x, limits = score(z, options)
+    at("points")
     points = settle(x, "points")  # every result below reads it
+    at("episodes")
     eps = settle(series.episodes(points), "episodes")
+    at("reports")
     days = settle(series.seasonal(series.daily(points)), "daily")
     reports = settle(series.unit_reports(points, days), "units")
-    log.info("explanation")
+    at("explanation")
     # explanation is of the cells as measured, with scales of the imputed series
     cols = series.measures(t)
     raw = t.select("equipment_id", "ts_ms", "row_ord", *cols).join(points.select("equipment_id", "ts_ms", "row_ord", "rn"), ["equipment_id", "ts_ms", "row_ord"])
@@ -126,6 +146,7 @@ def run(t: DataFrame, options: Options = Options()) -> dict[str, DataFrame]:
     else:
         widths = t.sparkSession.createDataFrame([(n_if, n_mlp)], "forest_features int, network_features int")
     fixed = {**models.HYPER, **{k: getattr(options, k) for k in ("forest_weight", "residual_weight", "threshold_quantile", "join_window", "model")}}
+    at("done")
     return {
         "points": points, "episodes": eps, "units": units, "daily": days, "degrade": series.degrade_view(days), "contributors": top,
         "evidence": explain.evidence(top), "recommendations": explain.recommend(eps), "narratives": explain.narrate(eps, top),
@@ -133,11 +154,18 @@ def run(t: DataFrame, options: Options = Options()) -> dict[str, DataFrame]:
     }
 
 
-def run_csv(spark: SparkSession, path: str, options: Options = Options(), multiline: bool = False) -> dict[str, DataFrame]:
+def publish_run(t: DataFrame, folder: str, options: Options = Options(), progress: Progress | None = None) -> str:
+    """run() published in folder (see catalog), its intermediate tables removed; returns the run's name."""
+    spark = t.sparkSession
+    with released(spark):
+        return catalog.publish(spark, run(t, options, progress), folder)
+
+
+def run_csv(spark: SparkSession, path: str, options: Options = Options(), multiline: bool = False, progress: Progress | None = None) -> dict[str, DataFrame]:
     """run() of a contract CSV, with its quality report (one row) added."""
     t, counts = contract.load(spark, path, multiline)
     t = settle(t, "series")
-    return {"quality": series.quality(t, counts), **run(t, options)}
+    return {"quality": series.quality(t, counts), **run(t, options, progress)}
 
 
 def integrity(result: dict[str, DataFrame]) -> DataFrame:

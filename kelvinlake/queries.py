@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelvinlake.functions import scalar as S
 from kelvinlake.functions import text
 from kelvinlake.operators import explain, series
-from kelvinlake.plans import pipeline
+from kelvinlake.plans import catalog, pipeline
 from kelvinlake.sources.contract import MEASURES, NAME_OF, TELEMETRY_SQL, UNITS, clean, observed, safe_double, telemetry, timestamp_parts, units_dimension
 from kelvinlake.sources.demo import MISSING, demo, fault_windows
 from kelvinlake.streaming import ordered, stream
+from kelvinlake.tables import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -518,6 +521,14 @@ def _(spark, d):
     })
 
 
+@query("run_catalog", f"{T} SELECT 'series' AS name, count(*) AS n_rows, true AS whole FROM t UNION ALL SELECT 'energy', count(DISTINCT equipment_id), true FROM t")
+def _(spark, d):
+    """Tables of a run that is published, then read back and compared with its manifest."""
+    t = telemetry(spark, d)
+    folder = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    return catalog.verified(spark, folder, catalog.publish(spark, {"series": t, "energy": series.energy_stats(t)}, folder))
+
+
 @query("report_json", f"{T}, {EPS} SELECT 'severities' AS kind, CAST(json_object('watch', count(*) FILTER (severity = 'watch'), 'alert', count(*) FILTER (severity = 'alert'), 'action', count(*) FILTER (severity = 'action')) AS VARCHAR) AS json FROM eps UNION ALL SELECT 'episode', CAST(json_object('id', id, 'severity', severity) AS VARCHAR) FROM eps")
 def _(spark, d):
     eps = pipeline.settle(series.episodes(points(spark, d)), "episodes")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,10 +22,38 @@ def shared_folder(spark: SparkSession, master: str | None = None) -> str:
     return f"{warehouse}/scratch"
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The file system that holds path, and path in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+#: Paths written by settle() within each released() that is open.
+_written: list[list[str]] = []
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Tables that settle() writes within are removed at its end, also after an error: results that read them must have been
+    written elsewhere by then."""
+    paths: list[str] = []
+    _written.append(paths)
+    try:
+        yield
+    finally:
+        _written.remove(paths)
+        for path in paths:
+            fs, at = file_system(spark, path)
+            fs.delete(at, True)
+
+
 def settle(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """df written to the shared folder and read back: later plans start there, and lost executors cost no more than the read.
-    Tables stay for as long as results that read them; each has its own name, and who owns the folder clears it."""
+    Tables stay for as long as results that read them, or to the end of a released(); each has its own name, and who owns the
+    folder clears it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _written[-1:]:
+        paths.append(path)
     df.write.parquet(path, **({"compression": codec} if codec else {}))
     return spark.read.schema(df.schema).parquet(path)
