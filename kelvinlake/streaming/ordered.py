@@ -2,8 +2,9 @@
 
 Rows wait in a unit's state until the watermark has passed them, so that rows that come late (within its delay) still stand
 in their place; then they are handed on in order. Event-time timers wake units that get no more rows. A unit's state holds
-the rows within the delay, and what the operator says it keeps; nothing grows with the length of the stream. A heartbeat, a
-row of no unit far ahead, moves the watermark on and drains all units.
+the rows within the delay, and what the operator says it keeps; nothing grows with the length of the stream. The rows lie in
+the state store by slices of time and come into memory about CHUNK at a time, a slice at least. A heartbeat, a row of no
+unit far ahead, moves the watermark on and drains all units.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from kelvinlake.functions import scalar as S
 
 HEARTBEAT = "\u0000heartbeat"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows that are put away, and taken in order, at once; and the length of a slice.
+CHUNK, SLICE_MS = 100_000, 3_600_000
 
 
 class InOrder(StatefulProcessor):
@@ -36,6 +40,12 @@ class InOrder(StatefulProcessor):
         """Takes rows in order, all of times up to `upto`, behind which others follow; yields results."""
         raise NotImplementedError
 
+    def advance_frame(self, unit: str, own: dict, rows: pd.DataFrame, upto: int) -> pd.DataFrame:
+        """advance() of a frame of ts_ms, row_ord and the columns."""
+        columns = [rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in self.columns]
+        out = list(self.advance(unit, own, list(zip(rows["ts_ms"].tolist(), rows["row_ord"].tolist(), *columns)), upto))
+        return pd.DataFrame(out, columns=self.output)
+
     def waits_for(self, own: dict) -> int | None:
         """The time at whose passing something is to be given out though no row comes."""
         raise NotImplementedError
@@ -43,35 +53,71 @@ class InOrder(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.state = handle.getValueState("unit", "data binary")
-
-    def _step(self, key: tuple, fresh_rows: list[tuple], upto: int) -> Iterator[pd.DataFrame]:
-        held = pickle.loads(self.state.get()[0]) if self.state.exists() else {"rows": [], "own": self.fresh(), "timer": None}
-        rows = sorted(held["rows"] + fresh_rows, key=lambda r: r[:2])
-        done = [r for r in rows if r[0] <= upto]
-        held["rows"] = rows[len(done) :]
-        out = list(self.advance(key[0], held["own"], done, upto))
-        times = [t for t in (held["rows"][0][0] if held["rows"] else None, self.waits_for(held["own"])) if t is not None]
+        self.slices = handle.getMapState("slices", "slice long, n int", "data binary")
+
+    def _put(self, held: dict, rows: pd.DataFrame) -> None:
+        """Puts rows away by slices. held["slices"]: how many pieces each slice lies in, and its least time."""
+        for at, piece in rows.groupby(rows["ts_ms"] // SLICE_MS, sort=False):
+            n, least = held["slices"].get(at, (0, None))
+            first = int(piece["ts_ms"].min())
+            self.slices.updateValue((int(at), n), (pickle.dumps([piece[c].to_numpy() for c in ("ts_ms", "row_ord", *self.columns)]),))
+            held["slices"][int(at)] = (n + 1, first if least is None else min(least, first))
+
+    def _taken(self, held: dict, at: int, upto: int) -> pd.DataFrame:
+        """The rows of a slice up to a time in order; those behind it are put away again."""
+        pieces = []
+        for i in range(held["slices"].pop(at)[0]):
+            pieces.append(pickle.loads(self.slices.getValue((at, i))[0]))
+            self.slices.removeKey((at, i))
+        names = ("ts_ms", "row_ord", *self.columns)
+        rows = pd.DataFrame({c: np.concatenate([p[i] for p in pieces]) for i, c in enumerate(names)})
+        done = rows["ts_ms"] <= upto
+        if not done.all():
+            self._put(held, rows[~done])
+            rows = rows[done]
+        return rows.sort_values(["ts_ms", "row_ord"], kind="stable")
+
+    def _step(self, key: tuple, batches: Iterator[pd.DataFrame], upto: int) -> Iterator[pd.DataFrame]:
+        held = pickle.loads(self.state.get()[0]) if self.state.exists() else {"slices": {}, "own": self.fresh(), "timer": None}
+        waiting, n = [], 0
+        for pdf in batches:
+            waiting.append(pdf)
+            n += len(pdf)
+            if n >= CHUNK:
+                self._put(held, pd.concat(waiting))
+                waiting, n = [], 0
+        if waiting:
+            self._put(held, pd.concat(waiting))
+        none = pd.DataFrame({c: [] for c in ("ts_ms", "row_ord", *self.columns)}).astype({"ts_ms": "int64", "row_ord": "int64"})
+        ready, n = [none], 0
+        for at in sorted(a for a, (_, least) in held["slices"].items() if least <= upto):
+            ready.append(self._taken(held, at, upto))
+            n += len(ready[-1])
+            if n >= CHUNK:
+                yield from self._given(key[0], held["own"], ready, min(upto, (at + 1) * SLICE_MS - 1))
+                ready, n = [none], 0
+        yield from self._given(key[0], held["own"], ready, upto)
+        times = [t for t in (min((least for _, least in held["slices"].values()), default=None), self.waits_for(held["own"])) if t is not None]
         if held["timer"] is not None and held["timer"] > upto:
             self.handle.deleteTimer(held["timer"])
         held["timer"] = max(min(times), upto + 1, 1) if times else None
         if held["timer"] is not None:
             self.handle.registerTimer(held["timer"])
         self.state.update((pickle.dumps(held),))
-        if out:
-            yield pd.DataFrame(out, columns=self.output)
+
+    def _given(self, unit: str, own: dict, ready: list[pd.DataFrame], upto: int) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(ready[1:] or ready)
+        out = self.advance_frame(unit, own, rows, upto)
+        if len(out):
+            yield out
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if key[0] == HEARTBEAT:
             return
-        fresh_rows = [r for pdf in rows for r in self._tuples(pdf)]
-        yield from self._step(key, fresh_rows, timerValues.getCurrentWatermarkInMs())
-
-    def _tuples(self, pdf: pd.DataFrame) -> list[tuple]:
-        columns = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in self.columns]
-        return list(zip(pdf["ts_ms"].tolist(), pdf["row_ord"].tolist(), *columns))
+        yield from self._step(key, rows, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._step(key, [], timerValues.getCurrentWatermarkInMs())
+        yield from self._step(key, iter(()), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -98,53 +144,51 @@ class Imputation(InOrder):
 
     def fresh(self) -> dict:
         n = len(self.columns)
-        return {"last": [None] * n, "open": [], "lost": [0] * n}
+        # the last value of each measure and its time; rows with cells that wait: times, row_ords, cells, which of them wait
+        return {"last": [None] * n, "open": (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, n)), np.zeros((0, n), bool))}
 
     def advance(self, unit: str, own: dict, rows: list[tuple], upto: int) -> Iterator[tuple]:
-        # open: rows with cells that wait, as [time, row_ord, cells, the places that wait]
-        for at, row_ord, *cells in rows:
-            yield from self._given_up(unit, own, at)
-            waits = set()
-            for i, v in enumerate(cells):
-                if v is None:
-                    waits.add(i)
-                    continue
-                for row in own["open"]:
-                    if i in row[3]:
-                        row[2][i] = self._between(own["last"][i], (v, at), row[0])
-                        row[3].discard(i)
-                own["last"][i] = (v, at)
-            own["open"].append([at, row_ord, list(cells), waits])
-            yield from self._complete(unit, own)
-        yield from self._given_up(unit, own, upto + 1)
-
-    def _between(self, before: tuple | None, after: tuple, at: int) -> float:
-        if before is None:
-            return after[0]
-        if after[1] - before[1] <= self.span:
-            return before[0] + (after[0] - before[0]) * ((at - before[1]) / (after[1] - before[1]))
-        return before[0]
-
-    def _given_up(self, unit: str, own: dict, now: int) -> Iterator[tuple]:
-        """Cells that no value at `now` or later can reach."""
-        for row in own["open"]:
-            for i in list(row[3]):
-                last = own["last"][i]
-                if last is not None and now > last[1] + self.span:
-                    row[2][i] = last[0]
-                    row[3].discard(i)
-                elif last is None and now > row[0] + self.lead:
-                    row[3].discard(i)
-        yield from self._complete(unit, own)
-
-    def _complete(self, unit: str, own: dict) -> Iterator[tuple]:
-        for at, row_ord, cells, waits in own["open"]:
-            if not waits:
-                yield (unit, at, row_ord, *cells)
-        own["open"] = [r for r in own["open"] if r[3]]
+        pdf = pd.DataFrame(rows, columns=["ts_ms", "row_ord", *self.columns]).astype({"ts_ms": "int64", "row_ord": "int64"})
+        out = self.advance_frame(unit, own, pdf, upto)
+        columns = [out[c].astype(object).where(out[c].notna(), None).tolist() for c in self.output]
+        yield from zip(*columns)
+
+    def advance_frame(self, unit: str, own: dict, rows: pd.DataFrame, upto: int) -> pd.DataFrame:
+        new = rows["ts_ms"].to_numpy(np.int64)
+        fresh_cells = np.stack([rows[c].to_numpy(float) for c in self.columns], axis=1)
+        at, order, cells, waits = (np.concatenate(x) for x in zip(own["open"], (new, rows["row_ord"].to_numpy(np.int64), fresh_cells, np.isnan(fresh_cells))))
+        begin = len(at) - len(new)
+        for i in range(len(self.columns)):
+            known = begin + np.flatnonzero(~waits[begin:, i])
+            asked = np.flatnonzero(waits[:, i])
+            if len(asked):
+                waits[asked, i] = self._fill(own["last"][i], at, cells[:, i], known, asked, upto)
+            if len(known):
+                own["last"][i] = (float(cells[known[-1], i]), int(at[known[-1]]))
+        done = ~waits.any(axis=1)
+        own["open"] = (at[~done], order[~done], cells[~done], waits[~done])
+        out = pd.DataFrame({"equipment_id": unit, "ts_ms": at[done], "row_ord": order[done]})
+        return out.assign(**{c: cells[done, i] for i, c in enumerate(self.columns)})[self.output]
+
+    def _fill(self, last: tuple | None, at: np.ndarray, cells: np.ndarray, known: np.ndarray, asked: np.ndarray, upto: int) -> np.ndarray:
+        """Fills cells at the places asked from those known, in order, and the last value before these; returns which still wait."""
+        value = np.concatenate([[np.nan if last is None else last[0]], cells[known], [np.nan]])
+        time = np.concatenate([[0 if last is None else last[1]], at[known], [0]])
+        p = np.searchsorted(known, asked)  # the value before each, 0 for `last`; the one behind it is the next
+        before, after, since, until, own = value[p], value[p + 1], time[p], time[p + 1], at[asked]
+        has_before, has_after = (p > 0) | (last is not None), p < len(known)
+        span = until - since
+        near = has_before & has_after & (span > 0) & (span <= self.span)
+        with np.errstate(invalid="ignore"):
+            line = before + (after - before) * ((own - since) / np.where(near, span, 1))
+        early = ~has_before & has_after & (until <= own + self.lead)
+        cells[asked] = np.where(near, line, np.where(has_before, before, np.where(early, after, np.nan)))
+        over = np.where(has_before, upto + 1 > since + self.span, upto + 1 > own + self.lead)
+        return ~has_after & ~over
 
     def waits_for(self, own: dict) -> int | None:
-        due = [own["last"][i][1] + self.span if own["last"][i] else row[0] + self.lead for row in own["open"] for i in row[3]]
+        at, _, _, waits = own["open"]
+        due = [own["last"][i][1] + self.span if own["last"][i] else int(at[waits[:, i]].min()) + self.lead for i in range(len(self.columns)) if waits[:, i].any()]
         return min(due, default=None)
 
 

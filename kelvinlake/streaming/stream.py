@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kelvinlake.sources import contract
-from kelvinlake.tables import shared_folder
+from kelvinlake.tables import settle, shared_folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,27 +73,43 @@ def features(s: DataFrame, window: int = 48) -> DataFrame:
     return out.select("equipment_id", "ts_ms", "row_ord", *(F.nullif(F.nanvl(c, F.lit(None).cast("double")), F.lit(None).cast("double")).alias(c) for c in ("filled", "lag1", "lag48", "roll_mean")))
 
 
+#: Rows of a file that fed() writes, about.
+FILE_ROWS = 500_000
+
+
 def fed(rows: DataFrame, parts: int, heartbeat: str, late: Column, name: str) -> tuple[DataFrame, DataFrame]:
-    """(a stream of rows(equipment_id, ts_ms, ...), the parts they came in): written to the shared folder in `parts` files by
-    time, one a trigger, with rows for which `late` holds in the file behind theirs; a heartbeat of no unit, 400 days on, ends it."""
+    """(a stream of rows(equipment_id, ts_ms, ...), the parts they came in): written to the shared folder in `parts` parts by
+    time, one a trigger, with rows for which `late` holds in the part behind theirs; a heartbeat of no unit, 400 days and the
+    length of the series on, ends it. A part is a file for each FILE_ROWS rows."""
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    span = rows.agg(F.min("ts_ms").alias("_lo"), F.max("ts_ms").alias("_hi"))
+    span = settle(rows.agg(F.min("ts_ms").alias("_lo"), F.max("ts_ms").alias("_hi"), F.count(F.lit(1)).alias("_n")), "feed")
+    files = max(1, -(-span.first()["_n"] // (parts * FILE_ROWS)))
+    span = span.drop("_n")
     at = F.floor((F.col("ts_ms") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * parts).cast("int")
     dealt = rows.join(F.broadcast(span), F.lit(True)).withColumn("part", at + F.when(late, 1).otherwise(0))  # one row
-    end = span.select(*(F.lit(heartbeat).alias(c) if c == "equipment_id" else (F.col("_hi") + 400 * 86_400_000).alias(c) if c == "ts_ms" else F.lit(0 if c == "row_ord" else None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns))
+    end = span.select(*(F.lit(heartbeat).alias(c) if c == "equipment_id" else (F.col("_hi") * 2 - F.col("_lo") + 400 * 86_400_000).alias(c) if c == "ts_ms" else F.lit(0 if c == "row_ord" else None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns))
     for i in range(parts + 1):
-        dealt.filter(F.col("part") == i).select(*rows.columns).coalesce(1).write.parquet(f"{path}/{i}")
+        part = dealt.filter(F.col("part") == i).select(*rows.columns)
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.parquet(f"{path}/{i}")
     end.coalesce(1).write.parquet(f"{path}/{parts + 1}")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(path)
     return stream, dealt
 
 
-def drained(out: DataFrame, name: str, mode: str) -> DataFrame:
+def drained(out: DataFrame, name: str, mode: str, keys: int | None = None) -> DataFrame:
     """Runs a stream over what is there into Parquet and returns a read of it. Table and stream state lie in the folder that
-    driver and executors share. mode `append`: rows are final when they come, and state ends with the watermark."""
+    driver and executors share. mode `append`: rows are final when they come, and state ends with the watermark. keys: how many the
+    stream's state is kept for, where that is known; every trigger opens a store for each part of the state, so there are four a
+    key at most."""
     spark = out.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
-    writer.format("parquet").option("path", f"{path}/table").start().awaitTermination()
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(usual), 4 * keys if keys else int(usual)))
+    try:
+        running = writer.format("parquet").option("path", f"{path}/table").start()  # with settings of its own from here on
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    running.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/table")

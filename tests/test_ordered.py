@@ -96,3 +96,86 @@ def test_a_long_run_is_kept_small():
     rows = [(1 + k * 60_000, k, 0.9, 0.5, 0.95) for k in range(20_000)]
     got, sizes = fed(Runs(idle_ms=400 * S.DAY_MS), rows, 1, 600_000)
     assert [(r[1], r[2]) for r in got] == [(97, 20_000)] and max(sizes) < 20_000
+
+
+def test_many_open_rows_stay_linear():
+    """Rows whose cells no value reaches wait together: each was gone through again for every row behind it, which took more than 45 s."""
+    import time
+
+    rows = [(1 + k * 10_000, k, float(k), None) for k in range(20_000)]
+    p, got, began = Imputation(["a", "b"], 30.0), [], time.process_time()
+    own = p.fresh()
+    for lo in range(0, len(rows), 1_000):
+        got += p.advance("u", own, rows[lo : lo + 1_000], rows[lo : lo + 1_000][-1][0])
+    got += p.advance("u", own, [], 400 * S.DAY_MS)
+    assert sorted((r[2], *r[3:]) for r in got) == [(k, float(k), None) for k in range(20_000)]
+    assert time.process_time() - began < 15
+
+
+def test_cells_between_values_of_one_time():
+    rows = [(60_000, 1, 5.0), (60_000, 2, None), (60_000, 3, 9.0)]
+    got, _ = fed(Imputation(["a"], 30.0), rows, 1, 1)
+    assert sorted((r[2], r[3]) for r in got) == [(1, 5.0), (2, 5.0), (3, 9.0)]
+
+
+class Handle:
+    """A unit's state, as the processor sees it, with the number of pieces that were read since the last look."""
+
+    def __init__(self):
+        self.value, self.pieces, self.timers = None, {}, set()
+
+    def getValueState(self, name, schema):
+        handle = self
+
+        class Value:
+            exists = staticmethod(lambda: handle.value is not None)
+            get = staticmethod(lambda: handle.value)
+            update = staticmethod(lambda v: setattr(handle, "value", v))
+
+        return Value()
+
+    def getMapState(self, name, key, value):
+        handle = self
+
+        class Map:
+            updateValue = staticmethod(lambda k, v: handle.pieces.__setitem__(k, v))
+            getValue = staticmethod(lambda k: handle.pieces[k])
+            removeKey = staticmethod(lambda k: handle.pieces.pop(k))
+
+        return Map()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+def test_waiting_rows_lie_outside_of_memory(monkeypatch):
+    """What is unpickled with a unit's state does not grow with its waiting rows, and rows are handed on some at a time."""
+    import pandas as pd
+
+    from kelvinlake.streaming import ordered
+
+    monkeypatch.setattr(ordered, "CHUNK", 500)
+    seen = []
+
+    class Watched(Imputation):
+        def advance_frame(self, unit, own, rows, upto):
+            seen.append(len(rows))
+            return super().advance_frame(unit, own, rows, upto)
+
+    p, handle = Watched(["a"], 30.0), Handle()
+    p.init(handle)
+    rows = pd.DataFrame({"ts_ms": [1 + k * 60_000 for k in range(10_000)], "row_ord": range(10_000), "a": [None if k % 7 == 0 else float(k) for k in range(10_000)]})
+    mixed = rows.sample(frac=1.0, random_state=3)
+
+    class Watermark:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = lambda: at
+
+    assert list(p.handleInputRows(("u",), iter([mixed[:6_000], mixed[6_000:]]), Watermark(0))) == []
+    assert len(handle.value[0]) < 20_000 and len(handle.pieces) > 100
+    got = pd.concat(list(p.handleExpiredTimer(("u",), Watermark(400_000_030), None)) + list(p.handleExpiredTimer(("u",), Watermark(10**12), None)))
+    assert got["row_ord"].tolist() == list(range(10_000)) and not handle.pieces and max(seen) < 700
+    assert got["a"].iloc[7] == pytest.approx(7.0) and got["a"].iloc[0] == 1.0
