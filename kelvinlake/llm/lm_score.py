@@ -2,8 +2,9 @@ r"""LM scoring with a causal self-attention model trained in numpy on subword id
 
 Two scores for each document. The base score is an add-one unigram over words [^\x20\x09-\x0D]+ (A-Z lower-cased) and
 an end: exact counts over all training documents. Each partition cuts its rows into blocks of about BLOCK_BYTES, whatever
-ids they carry; each block counts its distinct words once, Spark sums the counts by word, and each block gets back the
-counts of its own words only, so no table of all words is ever held in one place.
+ids they carry; each block counts its distinct words once and sends them, packed, to as many slices of all words as there
+are blocks' worth of text; a slice sums the counts and sends each block back those of its own words with their subword ids, so no table
+of all words is ever held in one place.
 
 The model's score is over subword ids of the words and an end id. A one-layer attention model reads windows of WINDOW
 ids that overlap by OVERLAP; every id is scored once, in the first window that holds it behind enough context. It
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelvinlake.llm.common import cut, table, words
+from kelvinlake.llm.common import cut, drop, table, words
 from kelvinlake.llm.packing import VOCABULARY, encoder
 
 BLOCK_BYTES = 16_000_000
@@ -329,54 +331,70 @@ def in_blocks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", train).mapInPandas(run, "block long, doc_id long, text string, train boolean")
 
 
-def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(block, word, n): the distinct words of each block with their counts in training documents (0 for those of held-out
-    ones alone). A block that two tasks read in parts has rows from both."""
-    now, n = None, Counter()
-    for pdf in batches:
-        for block, own in pdf.groupby("block", sort=False):
-            if block != now and n:
-                yield pd.DataFrame({"block": now, "word": list(n), "n": list(n.values())})
-                n = Counter()
-            now = block
-            for text, train_doc in zip(own["text"].fillna(""), own["train"]):
-                n.update(words(text) if train_doc else dict.fromkeys(words(text), 0))
-    if n:
-        yield pd.DataFrame({"block": now, "word": list(n), "n": list(n.values())})
+PAIRS = "slice int, block long, words binary, n binary"
+
 
+def count_words(dealt: DataFrame, slices: int) -> DataFrame:
+    """dealt(block, text, train) -> PAIRS: the distinct words of each block, dealt to slices by a checksum, a row for each block and slice:
+    the words with a blank between, and their counts in training documents (0 for those of held-out ones alone). A block that
+    two tasks read in parts has rows from both."""
 
-def with_ids(counts: DataFrame) -> DataFrame:
-    """(word, c) -> (word, c, ids): each distinct word's subword ids, as 16-bit numbers (IDS is below 2^16)."""
+    def packed(block: int, n: Counter) -> pd.DataFrame:
+        held: dict[int, list[bytes]] = {}
+        for w in n:
+            held.setdefault(zlib.crc32(w) % slices, []).append(w)
+        return pd.DataFrame({"slice": list(held), "block": block, "words": [b" ".join(x) for x in held.values()], "n": [np.array([n[w] for w in x], "<u4").tobytes() for x in held.values()]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, n = None, Counter()
         for pdf in batches:
-            flat, starts = word_ids(pdf["word"].tolist())
-            raw = flat.astype("<u2").tobytes()
-            yield pdf.assign(ids=[raw[2 * a : 2 * b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())])
-
-    return counts.mapInPandas(run, "word binary, c long, ids binary")
-
-
-def joined_ids(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """As word_ids() gives them, of the ids column of with_ids()."""
-    starts = np.zeros(len(column) + 1, np.int64)
-    np.cumsum([len(x) // 2 for x in column], out=starts[1:])
-    return np.frombuffer(b"".join(column), "<u2"), starts
-
-
-def id_counts(counts: DataFrame) -> np.ndarray:
-    """Subword ids in the training words; at most IDS rows reach the driver."""
+            for block, own in pdf.groupby("block", sort=False):
+                if block != now and n:
+                    yield packed(now, n)
+                    n = Counter()
+                now = block
+                for text, train_doc in zip(own["text"].fillna(""), own["train"]):
+                    n.update(words(text) if train_doc else dict.fromkeys(words(text), 0))
+        if n:
+            yield packed(now, n)
+
+    return dealt.select("block", "text", "train").mapInPandas(run, PAIRS)
+
+
+VOCAB = "block long, words binary, c binary, sizes binary, ids binary, n long, v long"
+
+
+def slice_vocab(pdf: pd.DataFrame) -> pd.DataFrame:
+    """PAIRS of one slice -> VOCAB. Each row gets back its words with their counts over all blocks (c), how many subword ids each
+    has (sizes) and those (ids, as 16-bit numbers: IDS is below 2^16). A row without a block sums the slice up: its subword ids with
+    their counts in training words (ids, c), its training words (n) and how many differ (v)."""
+    place: dict[bytes, int] = {}
+    which = [np.array([place.setdefault(w, len(place)) for w in x.split()], np.int64) for x in pdf["words"]]
+    c = np.zeros(len(place), np.int64)
+    for at, n in zip(which, pdf["n"]):
+        c[at] += np.frombuffer(n, "<u4")  # a row's words differ
+    flat, starts = word_ids(list(place))
+    flat, sizes = flat.astype("<u2"), np.diff(starts)
+    total = np.bincount(flat, np.repeat(c, sizes), IDS)
+    held = np.flatnonzero(total)
+    rows = [(block, x, c[at].astype("<i8").tobytes(), sizes[at].astype("<u4").tobytes(), gathered(flat, starts, at).tobytes(), None, None) for block, x, at in zip(pdf["block"], pdf["words"], which)]
+    rows.append((None, None, total[held].astype("<i8").tobytes(), None, held.astype("<u2").tobytes(), int(c.sum()), int((c > 0).sum())))
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in VOCAB.split(", ")]).astype({"block": "Int64", "n": "Int64", "v": "Int64"})
+
+
+def id_counts(sums: DataFrame) -> np.ndarray:
+    """Subword ids in the training words, from the rows of VOCAB without a block; at most IDS rows reach the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(IDS)
         for pdf in batches:
-            flat, starts = joined_ids(pdf["ids"])
-            total += np.bincount(flat, np.repeat(pdf["c"].to_numpy(float), np.diff(starts)), IDS)
+            for ids, c in zip(pdf["ids"], pdf["c"]):
+                total[np.frombuffer(ids, "<u2")] += np.frombuffer(c, "<i8")
         held = np.flatnonzero(total)
         yield pd.DataFrame({"id": held, "n": total[held]})
 
     out = np.zeros(IDS)
-    for r in counts.filter("c > 0").select("c", "ids").mapInPandas(run, "id int, n double").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in sums.select("c", "ids").mapInPandas(run, "id int, n double").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -390,22 +408,23 @@ CODED = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens l
 def coded(docs: DataFrame) -> tuple[DataFrame, Coding]:
     """docs(doc_id, text) -> CODED, a row for each row: base score, and the subword ids and END as 16-bit numbers. Training and scoring read these."""
     dealt = cut(in_blocks(docs), "blocks", "zstd")
-    each = cut(dealt.select("block", "text", "train").mapInPandas(count_words, "block long, word binary, n long"), "words", "zstd")
-    counts = cut(with_ids(each.groupBy("word").agg(F.sum("n").alias("c"))), "counts", "zstd")
-    seen = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    n_end = dealt.filter("train").count()
+    size = dealt.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count_if("train").alias("n_end")).first()
+    slices, n_end = 1 + size["chars"] // BLOCK_BYTES, size["n_end"]
+    vocab = cut(count_words(dealt, slices).groupBy("slice").applyInPandas(slice_vocab, VOCAB), "vocab", "zstd")
+    sums = vocab.filter("block is null")
+    seen = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     n_train, n_types = seen["n"] + n_end, seen["v"] + (n_end > 0)
 
-    ids = id_counts(counts)
+    ids = id_counts(sums)
     ids[END] += n_end
     floor_ = np.log10(n_train + n_types + 1.0)
 
     def run(pdf: pd.DataFrame, vocab: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
             return pd.DataFrame({x.split()[0]: [] for x in CODED.split(", ")})
-        place = {w: i for i, w in enumerate(vocab["word"])}
-        c = vocab["c"].to_numpy(np.int64) if len(vocab) else np.zeros(0, np.int64)
-        flat, starts = joined_ids(vocab["ids"])
+        place = {w: i for i, w in enumerate(w for x in vocab["words"] for w in x.split())}  # a word of two rows has the same in both
+        c, sizes, flat = (np.frombuffer(b"".join(vocab[x]), t) for x, t in (("c", "<i8"), ("sizes", "<u4"), ("ids", "<u2")))
+        starts = np.append(0, np.cumsum(sizes, dtype=np.int64))
         logs = np.log10(c + 1.0)
         rows = []
         for text in pdf["text"].fillna(""):
@@ -416,8 +435,10 @@ def coded(docs: DataFrame) -> tuple[DataFrame, Coding]:
         out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "train_tokens", "base_score", "ids"])
         return out.assign(doc_id=pdf["doc_id"].values, train=pdf["train"].values)[[x.split()[0] for x in CODED.split(", ")]]
 
-    vocab = each.select("block", "word").join(counts.hint("shuffle_hash"), "word").select("block", "word", "c", "ids")
-    return cut(dealt.groupBy("block").cogroup(vocab.groupBy("block")).applyInPandas(run, CODED), "sequences", "zstd"), Coding(ids)
+    own = vocab.filter("block is not null").select("block", "words", "c", "sizes", "ids")
+    sequences = cut(dealt.groupBy("block").cogroup(own.groupBy("block")).applyInPandas(run, CODED), "sequences", "zstd")
+    drop(dealt), drop(vocab)
+    return sequences, Coding(ids)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
