@@ -51,3 +51,13 @@ def test_scored_rows_get_a_task_a_slab(points, spark, monkeypatch):
     r = points.drop("s", "e", "score").withColumn("raw", F.lit(0.5))
     out = series.scored(r, points.filter("s is not null").select("equipment_id", "s", "e").distinct())
     assert out.rdd.getNumPartitions() == 20 and out.filter("s is not null").count() == 120
+
+
+def test_rows_before_peaks_are_not_broadcast(points):
+    """The wanted rows are 49 for each episode, so a small file of episodes does not make them small."""
+    eps = settle(points.filter("s is not null").select(F.concat_ws("-", "equipment_id", "rn").alias("id"), "equipment_id", F.col("rn").alias("peak_rn")), "episodes")
+    for rows in (0, N):
+        near = series.around(points, eps, rows=rows)
+        assert "Broadcast" not in plan(near)
+    sizes = near.select(F.size("rows").alias("n")).agg(F.count("n"), F.sum("n")).first()
+    assert tuple(sizes) == (120, 49 * 120 - (48 + 47 + 46))
