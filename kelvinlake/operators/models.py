@@ -134,7 +134,8 @@ def fit_units(features: DataFrame) -> DataFrame:
     draws = sizes.select("equipment_id", "n", m.alias("m"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("part"))
     draws = draws.select("equipment_id", "n", "m", "part", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("draw"))
     drawn = draws.select("equipment_id", "part", "m", "draw", (F.pmod(F.xxhash64("equipment_id", "part", "draw"), F.col("n")) + WARMUP + 1).cast("int").alias("rn"))
-    samples = drawn.join(trained.select("equipment_id", F.col("rn").cast("int").alias("rn"), "if_x"), ["equipment_id", "rn"])
+    # TREES x SAMPLE draws a unit, which the size of features does not tell: they are never broadcast
+    samples = drawn.hint("merge").join(trained.select("equipment_id", F.col("rn").cast("int").alias("rn"), "if_x"), ["equipment_id", "rn"])
 
     def one_tree(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("draw")

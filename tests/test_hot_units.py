@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kelvinlake.operators import series, slabs
+from kelvinlake.operators import models, series, slabs
 from kelvinlake.plans import pipeline
 from kelvinlake.tables import settle
 
@@ -61,3 +61,31 @@ def test_rows_before_peaks_are_not_broadcast(points):
         assert "Broadcast" not in plan(near)
     sizes = near.select(F.size("rows").alias("n")).agg(F.count("n"), F.sum("n")).first()
     assert tuple(sizes) == (120, 49 * 120 - (48 + 47 + 46))
+
+
+def test_rows_meet_their_numbers_and_scores_by_shuffle(points, spark, monkeypatch):
+    """A few columns of a wide table, and scores that compress well, are estimated below the threshold, however many rows they hold."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    numbered = series.numbered_as(points.select("equipment_id", "row_ord", "energy"), points, ["equipment_id", "row_ord"], N)
+    assert "Broadcast" not in plan(numbered) and numbered.count() == N
+    seen = []
+    monkeypatch.setattr(pipeline, "model_features", lambda z: z)
+    monkeypatch.setattr(models, "fit_units", lambda f: f)
+    monkeypatch.setattr(models, "score_units", lambda f, m: f.select("equipment_id", "rn", F.lit(0.1).alias("forest"), F.lit(0.0).alias("pred")))
+
+    def stop(rows):
+        seen.append(plan(rows))
+        raise StopIteration
+
+    monkeypatch.setattr(series, "calibrated", stop)
+    with pytest.raises(StopIteration):
+        pipeline.score(points, pipeline.Options(model="learned"))
+    assert "Broadcast" not in seen[0]
+
+
+def test_draws_of_many_units_are_not_broadcast(points, spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    unit, rn = F.concat(F.lit("u"), F.col("id") % 40), (F.floor(F.col("id") / 40) + 1).cast("int")
+    few = settle(spark.range(40 * 104).select(unit.alias("equipment_id"), rn.alias("rn"), F.array(F.rand(1)).alias("if_x"), F.array(F.rand(2)).alias("mlp_x"), F.rand(3).alias("y")), "features")
+    fitted = models.fit_units(few)
+    assert "Broadcast" not in plan(fitted) and fitted.filter("part >= 0").count() == 40 * models.TREES
